@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -61,3 +64,24 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             return new.select("node", "component")
         labels = new.select("node", "component")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def map_text(df: DataFrame, text: str, added: str, start, keep: list[str] | None = None, kind: str = "string") -> DataFrame:
+    """Add columns that a Python function makes from whole texts, batch by batch.
+
+    added: their DDL. start() runs once in each task and returns the function from a list of texts (str or None) to
+    the arrays of the added columns. keep: columns of df that stay (all). Columns of df named like the added ones go.
+    """
+    kinds = T._parse_datatype_string(added)
+    d = df.select(*[c for c in (df.columns if keep is None else keep) if c not in kinds.names], F.col(text).cast(kind).alias("__text"))
+    schema = T.StructType([f for f in d.schema if f.name != "__text"] + kinds.fields)
+    arrow = to_arrow_schema(kinds)
+
+    def run(batches):
+        fn = start()
+        for b in batches:
+            new = [pa.array(x, f.type) for x, f in zip(fn(b.column("__text").to_pylist()), arrow, strict=True)]
+            old = [b.column(i) for i, n in enumerate(b.schema.names) if n != "__text"]
+            yield pa.RecordBatch.from_arrays(old + new, names=schema.names)
+
+    return d.mapInArrow(run, schema)

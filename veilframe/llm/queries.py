@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import decontam, mixing, pii
+from veilframe.llm import decontam, katz, media, mixing, pii, secrets, toxicity
 from veilframe.llm.common import table
 
 
@@ -27,6 +27,34 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in each document, by fixed patterns and by the token-efficiency test."""
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    spans = lambda kinds: F.expr(f"array_join(transform(filter(secrets, x -> x.kind in ({kinds})), x -> concat_ws(':', x.kind, x.start, x.end)), ',')")
+    base = "'assign', 'access', 'hex'"
+    return found.select(
+        "doc_id", *[F.expr(f"cast(size(filter(secrets, x -> x.kind = '{k}')) as long)").alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(spans(base), 256).alias("base_sha256"), spans(base + ", 'random'").alias("spans"),
+    )
+
+
+def op6_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes stored in a JPEG, read back, with the thumbnail's hash."""
+    stored = media.to_media(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    read = media.read_media(stored, keep=["doc_id", "n_bytes"])
+    feature = F.concat_ws(":", F.concat_ws("x", "width", "height"), "thumb_hash")
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "width", "height", "thumb_hash")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document, learnt from the labelled ones that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit(docs.where(~held).join(labels, "doc_id"))
+    return toxicity.score(docs.withColumn("held_out", held), model).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced, and how many values of each kind it had."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -34,8 +62,16 @@ def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", *[F.expr(f"cast(size(filter(pii, x -> x.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii.KINDS])
 
 
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of each document under a Katz bigram model of the documents that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
+    out = katz.score_texts(docs, ~held)
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mix, op2_decontamination, op9_pii_pseudonyms)}
+    return {f.__name__: f for f in (op1_source_mix, op2_decontamination, op3_secrets, op6_jpeg_media, op8_toxicity, op9_pii_pseudonyms, op10_katz)}
 
 
 def oracle_sql() -> dict[str, str]:
