@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import decontam, katz, media, mixing, pii, secrets, toxicity
+from veilframe.llm import decontam, jaccard, katz, media, mixing, pii, secrets, toxicity
 from veilframe.llm.common import table
 
 
@@ -38,6 +38,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's number of shingles and the group that links to similar documents put it in."""
+    return jaccard.similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op6_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's bytes stored in a JPEG, read back, with the thumbnail's hash."""
     stored = media.to_media(table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -71,7 +76,7 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mix, op2_decontamination, op3_secrets, op6_jpeg_media, op8_toxicity, op9_pii_pseudonyms, op10_katz)}
+    return {f.__name__: f for f in (op1_source_mix, op2_decontamination, op3_secrets, op5_jaccard_join, op6_jpeg_media, op8_toxicity, op9_pii_pseudonyms, op10_katz)}
 
 
 def oracle_sql() -> dict[str, str]:
