@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import decontam, jaccard, katz, media, mixing, pii, secrets, toxicity
+from veilframe.llm import decontam, jaccard, katz, media, mixing, pii, secrets, substrings, toxicity
 from veilframe.llm.common import table
 
 
@@ -38,6 +38,15 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document that repeat 100 earlier ones, and a digest of those that stay."""
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        F.expr("aggregate(removed, 0L, (n, x) -> n + x.end - x.start)").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's number of shingles and the group that links to similar documents put it in."""
     return jaccard.similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
@@ -76,7 +85,7 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mix, op2_decontamination, op3_secrets, op5_jaccard_join, op6_jpeg_media, op8_toxicity, op9_pii_pseudonyms, op10_katz)}
+    return {f.__name__: f for f in (op1_source_mix, op2_decontamination, op3_secrets, op4_substring_dedup, op5_jaccard_join, op6_jpeg_media, op8_toxicity, op9_pii_pseudonyms, op10_katz)}
 
 
 def oracle_sql() -> dict[str, str]:
