@@ -2,9 +2,51 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from veilframe.llm import decontam, jaccard, mixing, pii, toxicity
 from veilframe.llm.common import stored, table
 
-STAGES: list = []
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark, docs, sf_dir):
+    """Learn from all labelled documents, score every document, keep those below 0.5 (ids without a text too)."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.score(docs.select(*COLUMNS), model, out="toxic_score").where("toxic_score < 0.5").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark, docs, sf_dir):
+    """Of each group of similar documents the one with the smallest id stays."""
+    groups = jaccard.similar_documents(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(groups, "doc_id", "left_semi")
+
+
+def drop_benchmark(spark, docs, sf_dir):
+    """Documents with any word in a benchmark window go."""
+    found = decontam.find_contamination(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+    return found.where("n_hit = 0").select(*COLUMNS)
+
+
+def replace_personal_data(spark, docs, sf_dir):
+    """Personal data in every text gets pseudonyms; n_chars follows the new text."""
+    return pii.pseudonymise(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mix_sources(spark, docs, sf_dir):
+    """The documents that the mix takes, with the epochs that take them."""
+    return mixing.corpus_mix(docs.select(*COLUMNS))
+
+
+STAGES: list = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_benchmark),
+    ("pii", replace_personal_data),
+    ("mixing", mix_sources),
+]
+#: The classifier and the text operators can't be told in SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 

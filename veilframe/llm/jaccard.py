@@ -39,10 +39,10 @@ def shingles(texts: list[bytes], width: int) -> list[np.ndarray]:
         if b - a >= width:
             out.append(np.unique(x[a : b - width + 1]))
         elif b > a:
-            one = START + np.uint64(b - a)
+            one = np.array([b - a], np.uint64)
             for t in w[a:b]:
-                one = mix(np.array([one * STEP + t]))[0]
-            out.append(np.array([one], np.uint64))
+                one = mix(one * STEP + t)
+            out.append(one)
         else:
             out.append(np.empty(0, np.uint64))
     return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import decontam, jaccard, katz, media, mixing, pii, secrets, substrings, toxicity
+from veilframe.llm import decontam, jaccard, katz, media, mixing, pii, secrets, substrings, toolcalls, toxicity
 from veilframe.llm.common import table
 
 
@@ -60,6 +60,12 @@ def op6_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "width", "height", "thumb_hash")
 
 
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every call and result in the conversations, linked, ordered, checked and written as canonical JSON."""
+    calls, results = toolcalls.from_conversations(table(spark, sf_dir, "conversations"))
+    return toolcalls.link_calls(calls, results, toolcalls.SCHEMAS).select("conv_id", "call_id", "seq", "depth", "status", F.array_join("errors", "; ").alias("errors"), "json")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of each document, learnt from the labelled ones that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -85,7 +91,7 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mix, op2_decontamination, op3_secrets, op4_substring_dedup, op5_jaccard_join, op6_jpeg_media, op8_toxicity, op9_pii_pseudonyms, op10_katz)}
+    return {f.__name__: f for f in (op1_source_mix, op2_decontamination, op3_secrets, op4_substring_dedup, op5_jaccard_join, op6_jpeg_media, op7_tool_calls, op8_toxicity, op9_pii_pseudonyms, op10_katz)}
 
 
 def oracle_sql() -> dict[str, str]:
