@@ -49,10 +49,11 @@ def test_pieces_and_hot_cells_change_nothing(monkeypatch):
     import numpy as np
 
     t = random.Random(1).randbytes(3000)
-    whole = [np.concatenate(x) for x in zip(*substrings.anchors(t, 100, None))]
+    texts = [t, b"short", t[:500], b""]
+    whole = [np.concatenate(x) for x in zip(*substrings.anchors(texts, 100, None))]
     monkeypatch.setattr(substrings, "PIECE", 700)
-    parts = list(substrings.anchors(t, 100, None))
-    spread = lambda found: [(int(d), w) for x, f, n in found for d, a, k in zip(x, f, n) for w in range(a, a + k)]
+    parts = list(substrings.anchors(texts, 100, None))
+    spread = lambda found: [(int(d), int(i), w) for x, t, f, n in found for d, i, a, k in zip(x, t, f, n) for w in range(a, a + k)]
     assert spread(parts) == spread([whole])
 
 

@@ -66,6 +66,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def slices(texts: list, most: int):
+    """(from, to) of runs of texts of about `most` bytes together, so that arrays made of them stay small."""
+    a = held = 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= most or i == len(texts) - 1:
+            yield a, i + 1
+            a, held = i + 1, 0
+
+
 def map_text(df: DataFrame, text: str, added: str, start, keep: list[str] | None = None, kind: str = "string") -> DataFrame:
     """Add columns that a Python function makes from whole texts, batch by batch.
 

@@ -14,15 +14,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import connected_components, stored
+from veilframe.llm.common import connected_components, slices, stored
 from veilframe.llm.katz import END, START, STEP, mix, tokens
 
 #: Counts of shingles, hashed into so many cells, give the global order; SLICES rows of them are sent by each task.
 CELLS, SLICES = 1 << 20, 64
 #: Shingle groups of up to so many classes are paired at once; larger ones by one leader after the other.
-SMALL = 8
+SMALL = 32
 #: Partners in one trie, and rounds of leaders before all pairs of different components that are left are verified.
-TRIE, ROUNDS = 256, 12
+TRIE, ROUNDS = 256, 4
+#: Texts are cut into shingles in groups of about so many bytes.
+GROUP = 1 << 22
 
 
 def shingles(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -64,13 +66,15 @@ def _survey(width: int, seed: int):
     def run(batches):
         counts = np.zeros(CELLS, np.uint32)
         for b in batches:
-            sets = shingles(b.column("__text").to_pylist(), width)
-            if sets:
+            texts, ids, size = b.column("__text").to_pylist(), [], []
+            for a, z in slices(texts, GROUP):
+                sets = shingles(texts[a:z], width)
                 np.add(counts, np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=CELLS).astype(np.uint32), out=counts)
-            ids = [_class_of(s, seed) if len(s) else (None, None) for s in sets]
-            n = len(sets)
+                ids += [_class_of(s, seed) if len(s) else (None, None) for s in sets]
+                size += map(len, sets)
+            n = len(ids)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), b.column("__id"), pa.array([c for c, _ in ids], pa.int64()), pa.array([c for _, c in ids], pa.int64()), pa.array([len(s) for s in sets], pa.int64())],
+                [pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), b.column("__id"), pa.array([c for c, _ in ids], pa.int64()), pa.array([c for _, c in ids], pa.int64()), pa.array(size, pa.int64())],
                 names=["slice", "counts", "id", "cls", "twin", "n"],
             )
         each = CELLS // SLICES
@@ -95,18 +99,19 @@ def _prefixes(width: int, seed: int, threshold: int, shipped):
     def run(batches):
         counts = np.frombuffer(shipped.value, np.uint32)
         for b in batches:
-            token, cls, size, seen = [], [], [], set()
-            for s in shingles(b.column("__text").to_pylist(), width):
-                c = _class_of(s, seed)[0] if len(s) else None
-                if c is None or c in seen:
-                    continue
-                seen.add(c)
-                p = len(s) - least_overlap(len(s), threshold) + 1
-                token.append(_ordered(s, counts)[:p].view(np.int64))
-                cls.append(np.full(p, c))
-                size.append(np.full(p, len(s)))
-            if token:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, cls, size)], names=["token", "cls", "n"])
+            texts, seen = b.column("__text").to_pylist(), set()
+            for a, z in slices(texts, GROUP):
+                cols: list = [[], [], [], []]
+                for s in shingles(texts[a:z], width):
+                    c = _class_of(s, seed)[0] if len(s) else None
+                    if c is None or c in seen:
+                        continue
+                    seen.add(c)
+                    p = len(s) - least_overlap(len(s), threshold) + 1
+                    for x, y in zip(cols, (_ordered(s, counts)[:p].view(np.int64), np.full(p, c), np.full(p, len(s), np.int32), np.arange(p, dtype=np.int32)), strict=True):
+                        x.append(y)
+                if cols[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in cols], names=["token", "cls", "n", "i"])
 
     return run
 
@@ -115,8 +120,10 @@ def _sets(width: int, seed: int, shipped):
     def run(batches):
         counts = np.frombuffer(shipped.value, np.uint32)
         for b in batches:
-            own = [_ordered(s, counts).view(np.int64) for s in shingles(b.column("__text").to_pylist(), width)]
-            yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array([s.tobytes() for s in own], pa.binary())], names=["cls", "members"])
+            texts = b.column("__text").to_pylist()
+            for a, z in slices(texts, GROUP):
+                own = [_ordered(s, counts).tobytes() for s in shingles(texts[a:z], width)]
+                yield pa.RecordBatch.from_arrays([b.column("cls").slice(a, z - a), pa.array(own, pa.binary())], names=["cls", "members"])
 
     return run
 
@@ -192,16 +199,17 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return rows.mapInArrow(_verify(threshold), "a long, b long")
 
 
-def _alike(n_a: str, n_b: str, threshold: int):
-    return F.expr(f"100 * least({n_a}, {n_b}) >= {threshold} * greatest({n_a}, {n_b})")
+def _alike(n_a: str, i_a: str, n_b: str, i_b: str, threshold: int):
+    """Whether sets of these sizes can be similar if the shingle at these places is the first that they share."""
+    return F.expr(f"100L * least({n_a}, {n_b}) >= {threshold} * greatest({n_a}, {n_b}) and {100 + threshold}L * least({n_a} - {i_a}, {n_b} - {i_b}) >= {threshold} * ({n_a} + {n_b})")
 
 
 def _all_pairs(groups: DataFrame, threshold: int) -> DataFrame:
     """Pairs of different components of each group of at most SMALL classes."""
-    lists = groups.groupBy("token").agg(F.collect_list(F.struct("cls", "n", "comp")).alias("m"))
+    lists = groups.groupBy("token").agg(F.collect_list(F.struct("cls", "n", "i", "comp")).alias("m"))
     one = lists.select("m", F.explode("m").alias("x"))
     two = one.select("x", F.explode("m").alias("y")).where("x.cls < y.cls and x.comp <> y.comp")
-    return two.where(_alike("x.n", "y.n", threshold)).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    return two.where(_alike("x.n", "x.i", "y.n", "y.i", threshold)).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
 
 
 def similar_documents(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", width: int = 5, threshold: int = 75, seed: int = 0) -> DataFrame:
@@ -233,9 +241,9 @@ def similar_documents(docs: DataFrame, *, text: str = "text", id_col: str = "doc
         raise ValueError("two different sets have the same digest: choose another seed")
 
     # prefix shingles that at least two classes have
-    prefix = work.select("__text").mapInArrow(_prefixes(width, seed, threshold, shipped), "token long, cls long, n long")
+    prefix = work.select("__text").mapInArrow(_prefixes(width, seed, threshold, shipped), "token long, cls long, n int, i int")
     shared = prefix.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("token")
-    active = stored(prefix.join(shared, "token").groupBy("token", "cls").agg(F.first("n").alias("n")))
+    active = stored(prefix.join(shared, "token").groupBy("token", "cls").agg(F.first("n").alias("n"), F.first("i").alias("i")))
     reps = active.select("cls").distinct().join(classes.select("cls", "first"), "cls")
     needed = work.join(reps.select(F.col("first").alias("__id"), "cls"), "__id").dropDuplicates(["cls"])
     sets = stored(needed.select("cls", "__text").mapInArrow(_sets(width, seed, shipped), "cls long, members binary"))
@@ -248,12 +256,12 @@ def similar_documents(docs: DataFrame, *, text: str = "text", id_col: str = "doc
         pairs = _all_pairs(sized.where(F.col("m") <= SMALL), threshold)
         large = sized.where(F.col("m") > SMALL)
         # the leader: the first class, by a mixed digest, outside of the group's largest component
-        by_comp = large.groupBy("token", "comp").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("cls").alias("o"), "cls", "n")).alias("best"))
+        by_comp = large.groupBy("token", "comp").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("cls").alias("o"), "cls", "n", "i")).alias("best"))
         top = by_comp.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("top"))
-        lead = by_comp.join(top, "token").where("comp <> top.comp").groupBy("token").agg(F.min(F.struct("best.o", "best.cls", "best.n", "comp")).alias("lead"))
+        lead = by_comp.join(top, "token").where("comp <> top.comp").groupBy("token").agg(F.min(F.struct("best.o", "best.cls", "best.n", "best.i", "comp")).alias("lead"))
         led = stored(large.drop("m").join(lead, "token"))
         pairs = pairs.unionByName(
-            led.where("comp <> lead.comp").where(_alike("n", "lead.n", threshold)).select(F.col("lead.cls").alias("a"), F.col("cls").alias("b"))
+            led.where("comp <> lead.comp").where(_alike("n", "i", "lead.n", "lead.i", threshold)).select(F.col("lead.cls").alias("a"), F.col("cls").alias("b"))
         )
         links = stored(_links(pairs.distinct(), sets, threshold))
         if comp is not None:
@@ -268,15 +276,15 @@ def similar_documents(docs: DataFrame, *, text: str = "text", id_col: str = "doc
                 new = merged.select(F.col("node").alias("cls"), F.col("component").alias("comp")).join(comp.select("cls"), "cls", "left_anti")
                 comp = stored(old.unionByName(new))
         # what is left: large groups without their leader, in more than one component
-        rest = led.where("cls <> lead.cls").select("token", "cls", "n")
-        rest = rest.join(comp, "cls", "left").select("token", "cls", "n", F.coalesce("comp", "cls").alias("comp")) if comp is not None else rest.withColumn("comp", F.col("cls"))
+        rest = led.where("cls <> lead.cls").select("token", "cls", "n", "i")
+        rest = rest.join(comp, "cls", "left").select("token", "cls", "n", "i", F.coalesce("comp", "cls").alias("comp")) if comp is not None else rest.withColumn("comp", F.col("cls"))
         mixed = rest.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
         groups = stored(rest.join(mixed, "token"))
         if groups.isEmpty():
             break
     else:
-        other = groups.select("token", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("cb"))
-        pairs = groups.join(other, "token").where("cls < b and comp <> cb").where(_alike("n", "n_b", threshold)).select(F.col("cls").alias("a"), "b").distinct()
+        other = groups.select("token", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("i").alias("i_b"), F.col("comp").alias("cb"))
+        pairs = groups.join(other, "token").where("cls < b and comp <> cb").where(_alike("n", "i", "n_b", "i_b", threshold)).select(F.col("cls").alias("a"), "b").distinct()
         more = stored(_links(pairs, sets, threshold))
         old = [comp.select(F.col("cls").alias("a"), F.col("comp").alias("b"))] if comp is not None else []
         for x in old:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import stored
+from veilframe.llm.common import slices, stored
 
 #: Lower-case A-Z only; space and \t-\r part the words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -31,7 +31,9 @@ K = 5
 #: A word or pair that is this share of all tokens is spread over all parts; there can't be more of them than its inverse.
 HOT = 1e-5
 #: Bytes of text for each part, and pairs in a row of the table at most.
-PART_BYTES, ROW_PAIRS = 32_000_000, 65_536
+PART_BYTES, ROW_PAIRS = 12_000_000, 65_536
+#: Texts of a block, about.
+BLOCK_BYTES = 6_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -95,8 +97,18 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def _lists(values: np.ndarray, offsets: np.ndarray, kind) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+def _cells(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Slices of an array of numbers as binary values."""
+    at = (offsets * values.dtype.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def _numbers(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """What _cells() has packed, all rows in one; and each row's length."""
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    at = np.frombuffer(column.buffers()[1], wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    return data.view(kind), np.diff(at) // np.dtype(kind).itemsize
 
 
 def _is_in(x: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -105,12 +117,19 @@ def _is_in(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
+def _blocks(batches):
+    for b in batches:
+        ids, train, texts = b.column("__id").to_numpy(), b.column("__train").to_numpy(zero_copy_only=False), b.column("__text").to_pylist()
+        for a, z in slices(texts, BLOCK_BYTES):
+            yield ids[a:z], train[a:z], texts[a:z]
+
+
 def _hot(work: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Digests of words and of pairs that are at least HOT of all tokens: no more than 1 / HOT each."""
 
     def heavy(batches):
-        for b in batches:
-            h, w, _ = tokens(b.column("__text").to_pylist())
+        for _, _, texts in _blocks(batches):
+            h, w, _ = tokens(texts)
             out = [np.array([0]), np.array([0]), np.array([len(w)])]
             for kind, x in ((1, w), (2, pair(h, w))):
                 key, n = np.unique(x, return_counts=True)
@@ -118,7 +137,7 @@ def _hot(work: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 out = [np.append(a, v) for a, v in zip(out, (np.full(keep.sum(), kind), key[keep].view(np.int64), n[keep]), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["kind", "key", "n"])
 
-    found = stored(work.select("__text").mapInArrow(heavy, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    found = stored(work.mapInArrow(heavy, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     total = found.where("kind = 0").first()
     rows = found.where(F.col("kind") > 0).where(F.col("n") >= max(100.0, HOT * (total.n if total else 0))).select("kind", "key").toArrow()
     kind, key = rows.column("kind").to_numpy(), rows.column("key").to_numpy()
@@ -127,9 +146,8 @@ def _hot(work: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _senders(parts: int, hot_words: np.ndarray, hot_pairs: np.ndarray):
     def run(batches):
-        for b in batches:
-            ids, train = b.column("__id").to_numpy(), b.column("__train").to_numpy(zero_copy_only=False)
-            h, w, d = tokens(b.column("__text").to_pylist())
+        for ids, train, texts in _blocks(batches):
+            h, w, d = tokens(texts)
             if not len(w):
                 continue
             both = pair(h, w)
@@ -151,8 +169,11 @@ def _senders(parts: int, hot_words: np.ndarray, hot_pairs: np.ndarray):
     return run
 
 
-def _gather(hot_words: np.ndarray):
-    """Adds a part's cells up: rows of (w, c_w, pairs' histories and counts, occurrences of each and their documents)."""
+def _gather(hot_words: np.ndarray, id_kind):
+    """Adds a part's cells up: rows of (w, c_w, pairs' histories and counts, occurrences of each and their documents).
+
+    Lists are packed numbers (64 bits; counts 32 bits), so that reading them costs no work for each number.
+    """
 
     def run(cells: pa.Table) -> pa.Table:
         cols = {c: cells.column(c).to_pylist() for c in ("h", "w", "n", "at", "ids", "train")}
@@ -190,7 +211,7 @@ def _gather(hot_words: np.ndarray):
         return pa.Table.from_arrays(
             [
                 pa.array(w[rows].view(np.int64)), pa.array(c_w[rows]), pa.array(_is_in(w[rows], hot_words)), pa.array(since[rows] == 0),
-                _lists(h.view(np.int64), off, pa.int64()), _lists(count, off, pa.int64()), _lists(occ, off, pa.int64()), _lists(docs, doc_off, pa.int64()),
+                _cells(h, off), _cells(count.astype(np.uint32), off), _cells(occ.astype(np.uint32), off), _cells(docs.astype(id_kind), doc_off),
             ],
             names=["w", "c_w", "hot", "lead", "h", "c", "occ", "docs"],
         )
@@ -198,7 +219,7 @@ def _gather(hot_words: np.ndarray):
     return run
 
 
-TABLE = "w long, c_w long, hot boolean, lead boolean, h array<long>, c array<long>, occ array<long>, docs array<long>"
+TABLE = "w long, c_w long, hot boolean, lead boolean, h binary, c binary, occ binary, docs binary"
 
 
 def discounts(of: dict[int, int], k: int = K) -> np.ndarray:
@@ -239,15 +260,23 @@ def score_texts(docs: DataFrame, train: Column, *, text: str = "text", id_col: s
     spark = docs.sparkSession
     none = -(2**63)
     work = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("__id"), F.coalesce(train, F.lit(False)).alias("__train"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("__text"))
-    size = work.agg(F.sum(F.octet_length("__text")), F.sum(F.col("__train").cast("long"))).first()
+    size = work.agg(F.sum(F.octet_length("__text")), F.sum(F.col("__train").cast("long")), F.min("__id"), F.max("__id")).first()
     n_bytes, n_train = size[0] or 0, size[1] or 0
+    id_kind = np.uint32 if size[2] is not None and size[2] >= 0 and size[3] < 2**32 else np.int64
     parts = max(1, math.ceil(n_bytes / part_bytes))
     hot_words, hot_pairs = _hot(work)
     cells = work.mapInArrow(_senders(parts, hot_words, hot_pairs), "part int, h binary, w binary, n binary, at binary, ids binary, train binary")
-    table = stored(cells.groupBy("part").applyInArrow(_gather(hot_words), TABLE))
+    table = stored(cells.groupBy("part").applyInArrow(_gather(hot_words, id_kind), TABLE))
 
     # totals of the hot keys (two bounded lists) and counts of counts
-    shared = table.where("hot").select("w", F.expr("aggregate(c, 0L, (a, x) -> a + x)").alias("n")).groupBy("w").agg(F.sum("n").alias("n")).toArrow()
+    
+    def word_rows(batches):
+        for b in batches:
+            c, n = _numbers(b.column("c"), np.uint32)
+            row = np.repeat(np.arange(len(n)), n)
+            yield pa.RecordBatch.from_arrays([b.column("w"), pa.array(np.bincount(row, c, len(n)).astype(np.int64))], names=["w", "n"])
+
+    shared = table.where("hot").select("w", "c").mapInArrow(word_rows, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
     w_key = shared.column("w").to_numpy().view(np.uint64)
     order = np.argsort(w_key)
     w_key, w_n = w_key[order], shared.column("n").to_numpy()[order]
@@ -331,7 +360,7 @@ def score_texts(docs: DataFrame, train: Column, *, text: str = "text", id_col: s
             with np.errstate(divide="ignore"):
                 x = np.where(c > 0, np.log10(reduced(c, d2)), np.log10(p_word(c_w))) - np.where((w != END) & (c_w > 0), np.log10(np.maximum(c_w, 1)), 0)
             base, known = np.log10(c_w + 1.0), c_w > 0
-            docs = b.column("docs").flatten().to_numpy()
+            docs = _numbers(b.column("docs"), id_kind)[0].astype(np.int64)
             key, inv = np.unique(docs, return_inverse=True)
             each = lambda v: np.bincount(inv, np.repeat(v, occ), len(key))
             out = [each(np.ones(len(w))), each(known), each(w == END), each(base), each(x)]
@@ -342,7 +371,7 @@ def score_texts(docs: DataFrame, train: Column, *, text: str = "text", id_col: s
             h, w, c, row, occ = _flat(b)
             c, _ = pair_counts(h, w, c)
             on = np.repeat(c == 0, occ)
-            docs, hs = b.column("docs").flatten().to_numpy()[on], np.repeat(h, occ)[on]
+            docs, hs = _numbers(b.column("docs"), id_kind)[0].astype(np.int64)[on], np.repeat(h, occ)[on]
             order = np.lexsort((hs, docs))
             docs, hs = docs[order], hs[order]
             first = _runs(docs, hs)
@@ -364,9 +393,8 @@ def score_texts(docs: DataFrame, train: Column, *, text: str = "text", id_col: s
 
 def _flat(b: pa.RecordBatch):
     """Histories, words and counts of a batch's pairs, the row of each, and the occurrences (if read)."""
-    hs = b.column("h")
-    row = np.repeat(np.arange(b.num_rows), np.diff(hs.offsets.to_numpy()))
+    h, n = _numbers(b.column("h"), np.uint64)
+    row = np.repeat(np.arange(b.num_rows), n)
     w = b.column("w").to_numpy().view(np.uint64)[row]
-    occ = b.column("occ").flatten().to_numpy() if "occ" in b.schema.names else None
-    return hs.flatten().to_numpy().view(np.uint64), w, b.column("c").flatten().to_numpy(), row, occ
-
+    occ = _numbers(b.column("occ"), np.uint32)[0].astype(np.int64) if "occ" in b.schema.names else None
+    return h, w, _numbers(b.column("c"), np.uint32)[0].astype(np.int64), row, occ

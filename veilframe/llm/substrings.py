@@ -14,19 +14,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import stored
+from veilframe.llm.common import slices, stored
 from veilframe.llm.jaccard import CELLS, SLICES, _added
-from veilframe.llm.katz import BYTE, mix
+from veilframe.llm.katz import BYTE, mix, pair
 
 LENGTH, GRAM = 100, 32
 #: Texts go through numpy in pieces of so many bytes (with the windows that begin in them).
-PIECE = 1 << 21
+PIECE = 1 << 20
 #: Anchors in a part, about.
-PART_ANCHORS = 20_000
+PART_ANCHORS = 12_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 LOW = np.uint64((1 << 28) - 1)
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def grams(data: np.ndarray) -> np.ndarray:
     """Digest of the GRAM bytes from each place on (GRAM is a power of 2)."""
     x, k, step = BYTE[data], 1, STEP
@@ -37,27 +47,35 @@ def grams(data: np.ndarray) -> np.ndarray:
     return mix(x)
 
 
-def anchors(text: bytes, length: int, hot: np.ndarray | None):
-    """(digest, first window, windows) of the runs of windows that share an anchor.
+def anchors(texts: list[bytes], length: int, hot: np.ndarray | None):
+    """(digest, which text, first window, windows) of the runs of windows that share an anchor.
 
     A window's anchor is the gram with the smallest digest, one whose cell isn't hot if there is any; the first of equal ones.
     """
-    n = len(text) - length + 1
-    for a in range(0, n, PIECE):
-        m = min(PIECE, n - a)
-        x = grams(np.frombuffer(text, np.uint8, m + length - 1, a))
-        key = x >> np.uint64(1)
-        if hot is not None:
-            key |= hot[(x >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(63)
-        best = (key & ~LOW) | np.arange(len(key), dtype=np.uint64)
-        span, want = 1, length - GRAM + 1
-        while span < want:
-            more = min(span, want - span)
-            best = np.minimum(best[: len(best) - more], best[more:])
-            span += more
-        at = (best & LOW).astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        yield x[at[first]], a + first, np.diff(np.append(first, len(at)))
+    for a, z in slices(texts, PIECE):
+        size = np.array([len(t) for t in texts[a:z]])
+        data, begin = b"".join(texts[a:z]), np.cumsum(size) - size
+        for at in range(0, len(data) - length + 1, PIECE):
+            part = np.frombuffer(data, np.uint8, min(PIECE + length - 1, len(data) - at), at)
+            n = len(part) - length + 1
+            x = grams(part)
+            key = x >> np.uint64(1)
+            if hot is not None:
+                key |= hot[(x >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(63)
+            best = (key & ~LOW) | np.arange(len(key), dtype=np.uint64)
+            span, want = 1, length - GRAM + 1
+            while span < want:
+                more = min(span, want - span)
+                best = np.minimum(best[: len(best) - more], best[more:])
+                span += more
+            place = np.arange(at, at + n)
+            own = np.searchsorted(begin, place[[0, -1]], "right") - 1
+            text = np.repeat(np.arange(own[0], own[1] + 1), np.diff(np.clip(np.append(begin[own[0] : own[1] + 1], at + n), at, None)))
+            on = np.flatnonzero(place + length <= (begin + size)[text])  # no window crosses texts
+            if len(on):
+                anchor, text, place = (best[on] & LOW).astype(np.int64), text[on], place[on]
+                first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]))))
+                yield x[anchor[first]], text[first] + a, place[first] - begin[text[first]], np.diff(np.append(first, len(on)))
 
 
 def _survey(length: int):
@@ -66,13 +84,12 @@ def _survey(length: int):
     def run(batches):
         counts = np.zeros(CELLS, np.int64)
         for b in batches:
-            for t in b.column("__text").to_pylist():
-                for a in range(0, len(t) - length + 1, PIECE):
-                    x = grams(np.frombuffer(t, np.uint8, min(PIECE + GRAM - 1, len(t) - a), a))
-                    cell = (x >> np.uint64(44)).astype(np.int64)
-                    counts += np.bincount(cell, minlength=CELLS) if len(cell) > CELLS // 8 else 0
-                    if len(cell) <= CELLS // 8:
-                        np.add.at(counts, cell, 1)
+            texts = b.column("__text").to_pylist()
+            for a, z in slices(texts, PIECE):  # grams across two texts are counted too: that only bears on the choice of anchors
+                data = b"".join(texts[a:z])
+                for at in range(0, len(data) - GRAM + 1, PIECE):
+                    x = grams(np.frombuffer(data, np.uint8, min(PIECE + GRAM - 1, len(data) - at), at))
+                    counts += np.bincount((x >> np.uint64(44)).astype(np.int64), minlength=CELLS)
         each, counts = CELLS // SLICES, np.minimum(counts, 2**32 - 1).astype(np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([counts[k * each : (k + 1) * each].tobytes() for k in range(SLICES)], pa.binary())], names=["slice", "counts"])
 
@@ -85,7 +102,7 @@ def _counter(length: int, shipped):
     def run(batches):
         hot = np.unpackbits(np.frombuffer(shipped.value, np.uint8))
         for b in batches:
-            found = [x for t in b.column("__text").to_pylist() for x, _, _ in anchors(t, length, hot)]
+            found = [x for x, *_ in anchors(b.column("__text").to_pylist(), length, hot)]
             if found:
                 key, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["gram", "n"])
@@ -97,14 +114,9 @@ def _owners(length: int, shipped):
     def run(batches):
         hot = np.unpackbits(np.frombuffer(shipped.value, np.uint8))
         for b in batches:
-            ids, keys = [], []
-            for i, t in zip(b.column("__id").to_pylist(), b.column("__text").to_pylist(), strict=True):
-                found = [x for x, _, _ in anchors(t, length, hot)]
-                if found:
-                    keys.append(np.unique(np.concatenate(found)))
-                    ids.append(np.full(len(keys[-1]), i))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys).view(np.int64))], names=["id", "gram"])
+            ids = b.column("__id").to_numpy()
+            for x, text, *_ in anchors(b.column("__text").to_pylist(), length, hot):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(x.view(np.int64))], names=["id", "gram"])
 
     return run
 
@@ -122,37 +134,42 @@ def _contexts(length: int, shipped):
         hot = np.unpackbits(np.frombuffer(shipped.value, np.uint8))
         for b in batches:
             seen: dict = {}
-            rows = []
-            for i, t, wanted in zip(b.column("__id").to_pylist(), b.column("__text").to_pylist(), b.column("grams"), strict=True):
-                wanted = np.sort(np.asarray(wanted.values))
-                for x, first, n in anchors(t, length, hot):
-                    key = x.view(np.int64)
-                    on = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
-                    for g, p, k in zip(key[on].tolist(), first[on].tolist(), n[on].tolist(), strict=True):
-                        context = (t[p - 1 : p] if p else b"") + t[p : p + k + length - 1]
-                        here, old = (i, p), seen.setdefault((p > 0, context), (i, p, g, k))
-                        if old[:2] == here:
-                            continue
-                        if here < old[:2]:
-                            seen[p > 0, context] = (i, p, g, k)
-                            i2, p2 = old[:2]
-                        else:
-                            i2, p2 = here
-                        rows.append((None, i2, p2, k, None, p2 + k + length - 1))
-            rows += [(g, i, p, k, context, p + k + length - 1) for (_, context), (i, p, g, k) in seen.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()), strict=True)] if rows else [pa.nulls(0, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())], names=["gram", "id", "start", "windows", "context", "end"])
+            gone: dict = {}
+            ids, texts = b.column("__id").to_pylist(), b.column("__text").to_pylist()
+            lists = b.column("grams")
+            owner = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+            wanted = np.sort(pair(owner.astype(np.uint64), lists.flatten().to_numpy().view(np.uint64)))
+            for x, text, first, n in anchors(texts, length, hot):
+                key = pair(text.astype(np.uint64), x)
+                on = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
+                for g, d, p, k in zip(x[on].view(np.int64).tolist(), text[on].tolist(), first[on].tolist(), n[on].tolist(), strict=True):
+                    t = texts[d]
+                    context = (t[p - 1 : p] if p else b"") + t[p : p + k + length - 1]
+                    here, old = (ids[d], p), seen.setdefault((p > 0, context), (ids[d], p, g, k))
+                    if old[:2] == here:
+                        continue
+                    if here < old[:2]:
+                        seen[p > 0, context] = (*here, g, k)
+                        here = old[:2]
+                    gone.setdefault(here[0], []).append((here[1], here[1] + k + length - 1))
+            rows = [(g, i, p, k, context, p + k + length - 1) for (_, context), (i, p, g, k) in seen.items()]
+            rows += [(None, i, p, None, None, e) for i, spans in gone.items() for p, e in merged(spans)]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
+            cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.nulls(0, k) for k in kinds]
+            yield pa.RecordBatch.from_arrays(cols, names=["gram", "id", "start", "windows", "context", "end"])
 
     return run
 
 
 def suffix_array(data: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Places in the order of their suffixes, each of which ends at end[place]; and ranks by the first 8, 16, ... bytes."""
+    """Places in the order of their suffixes, each of which ends at end[place]; and ranks by the first 8, 24, 72, ... bytes."""
     n = len(data)
     place = np.arange(n)
     key = np.zeros(n, np.uint64)
     for j in range(8):
         key = (key << np.uint64(8)) | np.where(place + j < end, data[np.minimum(place + j, n - 1)], 0).astype(np.uint64)
     levels, k, longest = [], 8, int((end - place).max())
+    times = 3 if n < (1 << 21) - 1 else 2  # ranks of so many stretches fit into 64 bits
     while True:
         order = np.argsort(key, kind="stable")
         s = key[order]
@@ -161,8 +178,9 @@ def suffix_array(data: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[tu
         levels.append((k, rank))
         if k >= longest:
             return order, levels
-        key = rank * (n + 1) + np.where(place + k < end, rank[np.minimum(place + k, n - 1)], 0)
-        k *= 2
+        for more in range(1, times):
+            key = (rank if more == 1 else key) * (n + 1) + np.where(place + more * k < end, rank[np.minimum(place + more * k, n - 1)], 0)
+        k *= times
 
 
 def common_prefixes(a: np.ndarray, b: np.ndarray, data: np.ndarray, end: np.ndarray, levels) -> np.ndarray:
@@ -170,7 +188,8 @@ def common_prefixes(a: np.ndarray, b: np.ndarray, data: np.ndarray, end: np.ndar
     lcp, n = np.zeros(len(a), np.int64), len(data)
     most = np.minimum(end[a] - a, end[b] - b)
     for k, rank in reversed(levels):
-        lcp += k * ((lcp < most) & (rank[np.minimum(a + lcp, n - 1)] == rank[np.minimum(b + lcp, n - 1)]))
+        for _ in range(2):
+            lcp += k * ((lcp < most) & (rank[np.minimum(a + lcp, n - 1)] == rank[np.minimum(b + lcp, n - 1)]))
     for _ in range(7):
         lcp += (lcp < most) & (data[np.minimum(a + lcp, n - 1)] == data[np.minimum(b + lcp, n - 1)])
     return np.minimum(lcp, most)
@@ -232,7 +251,7 @@ def _groups(length: int):
 
     def run(t: pa.Table) -> pa.Table:
         seen: dict = {}
-        out: list[tuple] = []
+        gone: dict = {}
         by_gram: dict = {}
         for g, i, p, k, context in zip(*[t.column(c).to_pylist() for c in ("gram", "id", "start", "windows", "context")], strict=True):
             key = (p > 0, context)
@@ -241,10 +260,11 @@ def _groups(length: int):
                 seen[key] = (g, i, p, k, context)
             if old is not None and (i, p) != old[1:3]:
                 i, p = max((i, p), old[1:3])
-                out.append((None, True, i, p, p + k + length - 1))
+                gone.setdefault(i, []).append((p, p + k + length - 1))
         for g, *row in seen.values():
             by_gram.setdefault(g, []).append(tuple(row))
-        rows = [r for own in by_gram.values() if len(own) > 1 or own[0][2] > 1 for r in own]
+        out: list[tuple] = [(None, True, i, a, b) for i, spans in gone.items() for a, b in merged(spans)]
+        rows = [r for own in by_gram.values() if len(own) > 1 for r in own]  # equal windows lie at different places only in different contexts
         if rows:
             for size, ids, starts in maximal_repeats(rows, length):
                 order = np.lexsort((starts, ids))
@@ -291,16 +311,6 @@ def repeat_groups(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id"
     return groups.unionByName(folded)
 
 
-def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
 def remove_repeats(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", length: int = LENGTH) -> DataFrame:
     """Add removed (array of (start, end) byte offsets, maximal runs) and kept (binary: the other bytes) to docs.
 
@@ -318,7 +328,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id
         for b in batches:
             removed, kept = [], []
             for t, spans in zip(b.column("kept").to_pylist(), b.column("__spans").to_pylist(), strict=True):
-                runs = _merged([(s["start"], s["end"]) for s in spans or []])
+                runs = merged([(s["start"], s["end"]) for s in spans or []])
                 removed.append([{"start": x, "end": y} for x, y in runs])
                 kept.append(b"".join(t[x:y] for x, y in zip([0] + [y for _, y in runs], [x for x, _ in runs] + [len(t)], strict=True)))
             new = {"removed": pa.array(removed, kind), "kept": pa.array(kept, pa.binary())}
