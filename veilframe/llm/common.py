@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import pyarrow as pa
@@ -10,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -32,20 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/veilframe-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, *partition_by: str) -> DataFrame:
+def stored(df: DataFrame, *, release: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The shuffles behind it aren't needed any more, so Spark is asked to delete their files once the table is written.
+    release: the shuffles behind it are large. Spark deletes a shuffle's files when the driver collects its handle as
+    garbage; that is asked for at once, so that the disks are free for what comes next.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    df.write.mode("overwrite").parquet(path)
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -32,6 +32,8 @@ K = 5
 HOT = 1e-5
 #: Bytes of text for each part, and pairs in a row of the table at most.
 PART_BYTES, ROW_PAIRS = 12_000_000, 65_536
+#: The parts are counted in so many passes over the texts, so that only a share of the counting cells is on disk at a time.
+PASSES = 2
 #: Texts of a block, about.
 BLOCK_BYTES = 6_000_000
 
@@ -144,7 +146,7 @@ def _hot(work: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.sort(key[kind == k].view(np.uint64)) for k in (1, 2))
 
 
-def _senders(parts: int, hot_words: np.ndarray, hot_pairs: np.ndarray):
+def _senders(parts: int, lo: int, hi: int, hot_words: np.ndarray, hot_pairs: np.ndarray):
     def run(batches):
         for ids, train, texts in _blocks(batches):
             h, w, d = tokens(texts)
@@ -159,6 +161,8 @@ def _senders(parts: int, hot_words: np.ndarray, hot_pairs: np.ndarray):
             part = ((top[order] * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
             out: list = [[], [], [], [], [], [], []]
             for a, z in zip(s := _runs(part), np.append(s[1:], len(part)), strict=True):
+                if not lo <= part[a] < hi:
+                    continue
                 first = _runs(h[a:z], w[a:z])
                 docs, local = np.unique(d[a:z], return_inverse=True)
                 cell = [int(part[a]), h[a:z][first].tobytes(), w[a:z][first].tobytes(), np.diff(np.append(first, z - a)).astype(np.uint32).tobytes(), local.astype(np.uint16 if len(docs) < 65536 else np.uint32).tobytes(), ids[docs].tobytes(), train[docs].astype(np.uint8).tobytes()]
@@ -265,8 +269,14 @@ def score_texts(docs: DataFrame, train: Column, *, text: str = "text", id_col: s
     id_kind = np.uint32 if size[2] is not None and size[2] >= 0 and size[3] < 2**32 else np.int64
     parts = max(1, math.ceil(n_bytes / part_bytes))
     hot_words, hot_pairs = _hot(work)
-    cells = work.mapInArrow(_senders(parts, hot_words, hot_pairs), "part int, h binary, w binary, n binary, at binary, ids binary, train binary")
-    table = stored(cells.groupBy("part").applyInArrow(_gather(hot_words, id_kind), TABLE))
+    tables = []
+    for k in range(min(PASSES, parts)):
+        lo, hi = parts * k // min(PASSES, parts), parts * (k + 1) // min(PASSES, parts)
+        cells = work.mapInArrow(_senders(parts, lo, hi, hot_words, hot_pairs), "part int, h binary, w binary, n binary, at binary, ids binary, train binary")
+        tables.append(stored(cells.groupBy("part").applyInArrow(_gather(hot_words, id_kind), TABLE), release=True))
+    table = tables[0]
+    for t in tables[1:]:
+        table = table.unionByName(t)
 
     # totals of the hot keys (two bounded lists) and counts of counts
     

@@ -299,12 +299,12 @@ def repeat_groups(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id"
 
     twice = work.select("__text").mapInArrow(_counter(length, shipped), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
     owners = work.mapInArrow(_owners(length, shipped), "id long, gram long").join(twice, "gram")
-    lists = stored(owners.groupBy("id").agg(F.collect_set("gram").alias("grams")))
+    lists = stored(owners.groupBy("id").agg(F.collect_set("gram").alias("grams")), release=True)
     total = lists.agg(F.sum(F.size("grams"))).first()[0] or 0
     parts = max(1, -(-total // PART_ANCHORS))
     joined = work.join(lists.withColumnRenamed("id", "__id"), "__id")
     found = joined.mapInArrow(_contexts(length, shipped), CONTEXT)
-    found = stored(found)
+    found = stored(found, release=True)
     folded = found.where("gram is null").select(F.lit(None).cast("long").alias("group"), F.lit(True).alias("later"), "id", "start", "end")
     sent = found.where("gram is not null").withColumn("part", F.pmod(F.col("gram"), F.lit(parts)))
     groups = sent.groupBy("part").applyInArrow(_groups(length), "group long, later boolean, id long, start long, end long")
