@@ -244,12 +244,8 @@ def similar_documents(docs: DataFrame, *, text: str = "text", id_col: str = "doc
     prefix = work.select("__text").mapInArrow(_prefixes(width, seed, threshold, shipped), "token long, cls long, n int, i int")
     shared = prefix.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("token")
     active = stored(prefix.join(shared, "token").groupBy("token", "cls").agg(F.first("n").alias("n"), F.first("i").alias("i")), release=True)
-    reps = active.select("cls").distinct().join(classes.select("cls", "first"), "cls")
-    needed = work.join(reps.select(F.col("first").alias("__id"), "cls"), "__id").dropDuplicates(["cls"])
-    sets = stored(needed.select("cls", "__text").mapInArrow(_sets(width, seed, shipped), "cls long, members binary"), release=True)
-
     groups = active.withColumn("comp", F.col("cls"))
-    comp = None
+    comp = sets = None
     for k in range(ROUNDS):
         size = groups.groupBy("token").agg(F.count("*").alias("m"))
         sized = groups.join(size, "token")
@@ -263,7 +259,13 @@ def similar_documents(docs: DataFrame, *, text: str = "text", id_col: str = "doc
         pairs = pairs.unionByName(
             led.where("comp <> lead.comp").where(_alike("n", "i", "lead.n", "lead.i", threshold)).select(F.col("lead.cls").alias("a"), F.col("cls").alias("b"))
         )
-        links = stored(_links(stored(pairs.distinct()), sets, threshold), release=True)
+        pairs = stored(pairs.distinct(), release=True)
+        if sets is None:  # of the classes that later rounds can ask for
+            asked = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).unionByName(led.select("cls")).distinct()
+            reps = asked.join(classes.select("cls", "first"), "cls").select(F.col("first").alias("__id"), "cls")
+            texts = work.join(reps, "__id").dropDuplicates(["cls"]).select("cls", "__text")
+            sets = stored(texts.mapInArrow(_sets(width, seed, shipped), "cls long, members binary"), release=True)
+        links = stored(_links(pairs, sets, threshold), release=True)
         if comp is not None:
             links = links.join(comp.select(F.col("cls").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("cls").alias("b"), F.col("comp").alias("cb")), "b", "left")
             links = stored(links.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b"))
