@@ -6,6 +6,7 @@ import gc
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,8 +84,19 @@ def slices(texts: list, most: int):
             a, held = i + 1, 0
 
 
+def parts(batch: pa.RecordBatch, column: str, most: int = 1 << 21):
+    """Cut a batch into runs of rows whose values in a column have about `most` bytes together."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    a = held = 0
+    for i, n in enumerate(sizes):
+        held += n
+        if held >= most or i == len(sizes) - 1:
+            yield batch.slice(a, i + 1 - a)
+            a, held = i + 1, 0
+
+
 def map_text(df: DataFrame, text: str, added: str, start, keep: list[str] | None = None, kind: str = "string") -> DataFrame:
-    """Add columns that a Python function makes from whole texts, batch by batch.
+    """Add columns that a Python function makes from whole texts, about 2 MB of them at a time.
 
     added: their DDL. start() runs once in each task and returns the function from a list of texts (str or None) to
     the arrays of the added columns. keep: columns of df that stay (all). Columns of df named like the added ones go.
@@ -96,7 +108,7 @@ def map_text(df: DataFrame, text: str, added: str, start, keep: list[str] | None
 
     def run(batches):
         fn = start()
-        for b in batches:
+        for b in (part for batch in batches for part in parts(batch, "__text")):
             new = [pa.array(x, f.type) for x, f in zip(fn(b.column("__text").to_pylist()), arrow, strict=True)]
             old = [b.column(i) for i, n in enumerate(b.schema.names) if n != "__text"]
             yield pa.RecordBatch.from_arrays(old + new, names=schema.names)
