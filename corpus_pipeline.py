@@ -13,7 +13,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def drop_toxic(spark, docs, sf_dir):
     """Learn from all labelled documents, score every document, keep those below 0.5 (ids without a text too)."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    model = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = toxicity.fit_by_id(docs.select("doc_id", "text"), labels)
     return toxicity.score(docs.select(*COLUMNS), model, out="toxic_score").where("toxic_score < 0.5").select(*COLUMNS)
 
 

@@ -97,3 +97,14 @@ def test_pseudonyms_keep_format_and_links(spark):
     again = {x.kind: x.pseudonym for x in got[2].pii}
     assert again["ssn"] == new["ssn"].pseudonym and again["email"] == new["email"].pseudonym
     assert got[3].text is None and got[4].text == "" and got[3].pii == []
+
+
+def test_toxicity_fit_by_id_defined_cases(spark):
+    docs = spark.createDataFrame([(1, "vile words"), (1, "vile words"), (2, "kind words"), (3, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (None, 1), (2, None)], "doc_id long, label int")
+    model = toxicity.fit_by_id(docs, labels)
+    got = {r.text: r.score for r in toxicity.score(docs, model).collect()}
+    assert got["vile words"] > got["kind words"]
+    assert toxicity.fit_by_id(docs.limit(0), labels)[1] == 0.0
+    one = toxicity.fit_by_id(docs, labels.where("label = 0"))
+    assert toxicity.score(docs, one).agg(F.max("score")).first()[0] < 0.01

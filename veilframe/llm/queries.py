@@ -71,7 +71,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    model = toxicity.fit(docs.where(~held).join(labels, "doc_id"))
+    model = toxicity.fit_by_id(docs.where(~held), labels)
     return toxicity.score(docs.withColumn("held_out", held), model).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -106,17 +106,52 @@ def fit(labelled: DataFrame, *, text: str = "text", label: str = "label", per_cl
     of both classes every score is the share of label 1 (0.5 without any rows).
     """
     rows = labelled.where(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(F.col(text).cast("binary").alias("t"), F.col(label).cast("int").alias("y"))
-    n = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    total = sum(n.values())
+    n = _classes(rows)
     if len(n) < 2:
-        share = n.get(1, 0) / total if total else 0.5
-        return np.zeros(1 << BITS, np.float32), float(np.clip(np.log(max(share, 1e-6) / max(1 - share, 1e-6)), -14, 14))
-    # about 1.2 * per_class rows of each class by digest, then the smallest digests: the driver never sees more
+        return _constant(n)
     key = F.conv(F.substring(F.md5("t"), 1, 12), 16, 10).cast("long")
+    return _fit_sample(_below(rows.withColumn("key", key), n, per_class), n, per_class)
+
+
+def fit_by_id(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", label: str = "label", per_class: int = PER_CLASS):
+    """fit() for texts and labels in two tables: the sample is chosen by digest of the id, before any text is moved.
+
+    Ids and labels alone are joined; the ids of the sample (about 1.2 * per_class of each class) are broadcast to the
+    texts. An id that occurs several times with one label counts once in the sample, with its smallest text. Rows with a null
+    id, text or label are left out.
+    """
+    key = F.pmod(F.xxhash64(F.col(id_col)), F.lit(2**48))
+    ids = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), key.alias("key"))
+    marks = labels.where(F.col(label).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y"))
+    rows = ids.join(marks, "id").distinct()
+    n = _classes(rows)
+    if len(n) < 2:
+        return _constant(n)
+    chosen = F.broadcast(_below(rows, n, per_class))
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).cast("binary").alias("t"))
+    return _fit_sample(texts.join(chosen, "id").groupBy("key", "y").agg(F.min("t").alias("t")), n, per_class)
+
+
+def _classes(rows: DataFrame) -> dict[int, int]:
+    return {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+
+
+def _constant(n: dict[int, int]):
+    total = sum(n.values())
+    share = n.get(1, 0) / total if total else 0.5
+    return np.zeros(1 << BITS, np.float32), float(np.clip(np.log(max(share, 1e-6) / max(1 - share, 1e-6)), -14, 14))
+
+
+def _below(rows: DataFrame, n: dict[int, int], per_class: int) -> DataFrame:
+    """About 1.2 * per_class rows of each class by key (48 bits): the driver never sees more."""
     limit = F.lit(0).cast("long")
     for y, k in n.items():
         limit = F.when(F.col("y") == y, F.lit(int(2**48 * min(1.0, 1.2 * per_class / k)))).otherwise(limit)
-    near = rows.withColumn("key", key).where(F.col("key") < limit)
+    return rows.where(F.col("key") < limit)
+
+
+def _fit_sample(near: DataFrame, n: dict[int, int], per_class: int):
+    """Train on the per_class rows of each class with the smallest keys."""
 
     def bags(batches):
         for b in batches:
@@ -134,7 +169,7 @@ def fit(labelled: DataFrame, *, text: str = "text", label: str = "label", per_cl
     (ids, at), (val, _) = flat("ids"), flat("shares")
     at = at - at[0]
     data = [(ids[a:b], val[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-    return train(data, np.array(got.column("y").to_pylist()), prior=n.get(1, 0) / total)
+    return train(data, np.array(got.column("y").to_pylist()), prior=n.get(1, 0) / sum(n.values()))
 
 
 def score(df: DataFrame, model, *, text: str = "text", out: str = "score") -> DataFrame:
