@@ -158,18 +158,18 @@ def _fit_sample(near: DataFrame, n: dict[int, int], per_class: int):
             got = [bag(t) for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("y"), pa.array([i for i, _ in got], pa.list_(pa.int32())), pa.array([v for _, v in got], pa.list_(pa.float32()))], names=["key", "y", "ids", "shares"])
 
-    got = near.select("key", "y", "t").mapInArrow(bags, "key long, y int, ids array<int>, shares array<float>").toArrow().sort_by([("key", "ascending")])
-    keep, seen = [], {0: 0, 1: 0}
-    for i, y in enumerate(got.column("y").to_pylist()):
-        if seen[y] < per_class:
-            seen[y] += 1
-            keep.append(i)
-    got = got.take(keep).combine_chunks()
-    flat = lambda c: (np.asarray(got.column(c).chunk(0).flatten()), np.asarray(got.column(c).chunk(0).offsets)) if len(keep) else (np.empty(0), np.zeros(1, int))
-    (ids, at), (val, _) = flat("ids"), flat("shares")
-    at = at - at[0]
-    data = [(ids[a:b], val[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-    return train(data, np.array(got.column("y").to_pylist()), prior=n.get(1, 0) / sum(n.values()))
+    got = near.select("key", "y", "t").mapInArrow(bags, "key long, y int, ids array<int>, shares array<float>").toArrow()
+    key, y = got.column("key").to_numpy(), got.column("y").to_numpy()
+    order = np.argsort(key, kind="stable")
+    keep = np.sort(np.concatenate([np.flatnonzero(y[order] == c)[:per_class] for c in (0, 1)]))
+    data = []  # views of what has arrived, no copies
+    for batch in got.to_batches():
+        ids, val = (batch.column(c) for c in ("ids", "shares"))
+        at = ids.offsets.to_numpy()
+        ids, val = ids.values.to_numpy(), val.values.to_numpy()
+        data += [(ids[a:z], val[a:z]) for a, z in zip(at[:-1], at[1:], strict=True)]
+    rows = order[keep]
+    return train([data[i] for i in rows], y[rows], prior=n.get(1, 0) / sum(n.values()))
 
 
 def score(df: DataFrame, model, *, text: str = "text", out: str = "score") -> DataFrame:
