@@ -25,3 +25,13 @@ def first_arrivals(items: DataFrame, within: str = "10 minutes") -> DataFrame:
 def admitted(batch: DataFrame, running: int, throttle: int = 25) -> DataFrame:
     """The oldest items for which there is room: for use in foreachBatch, the rest stays in the queue."""
     return batch.orderBy("ts", "recording").limit(max(0, throttle - running))
+
+
+def to_retry(dispatched: DataFrame, now: str, wait: str = "2 hours", most: int = 1) -> DataFrame:
+    """The one recording to send again in this pass: of (recording, ts, status, retries) the longest-waiting unfinished one.
+
+    It must have waited for longer than `wait` and been retried fewer than `most` times (null counts as 0); ties go by
+    recording. Null times never are stale.
+    """
+    late = F.col("ts") < F.lit(now).cast("timestamp") - F.expr(f"interval {wait}")
+    return dispatched.where(late & ~F.coalesce("status", F.lit("")).isin("success", "failed") & (F.coalesce("retries", F.lit(0)) < most)).orderBy("ts", "recording").limit(1)
