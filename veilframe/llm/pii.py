@@ -2,7 +2,9 @@
 
 Numbers and dates that pass their validation are moved by a keyed Feistel permutation inside their own format, so the
 result is again a valid card number, phone number, address or date, and equal values get equal pseudonyms in every
-document. E-mail addresses have no fixed digit format; they get a keyed digest as local part and domain.
+document. Phone numbers are any ten digits in one of the layouts of SHAPES; those with an area code or exchange that
+begins with 0 or 1 (which nobody has) are permuted among themselves. E-mail addresses have no fixed digit format; they
+get a keyed digest as local part and domain.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 KINDS = ("email", "phone", "card", "ssn", "date", "ip")
 
 EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-PHONE = r"(?:\+1[ .-]?)?\([0-9]{3}\) ?[0-9]{3}-[0-9]++"
+PHONE = r"(?:\+1[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[.-][0-9]++|\+1[ .-]?[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9]|[-./][0-9])"
 CARD4 = r"[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9])"
 NUMBER = r"[0-9]++(?:[-./][0-9]++)*+"
 CANDIDATE = f"{EMAIL}|{PHONE}|{CARD4}|{NUMBER}"
@@ -21,7 +23,7 @@ CANDIDATE = f"{EMAIL}|{PHONE}|{CARD4}|{NUMBER}"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 SHAPES = {
     "email": f"^{EMAIL}$",
-    "phone": r"^(?:(?:\+1[ .-]?)?\([2-9][0-9]{2}\) ?[2-9][0-9]{2}-[0-9]{4}|[2-9][0-9]{2}-[2-9][0-9]{2}-[0-9]{4})$",
+    "phone": r"^(?:(?:\+1[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[.-][0-9]{4}|\+1[ .-]?[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}|(?:1[.-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})$",
     "card": r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})$",
     "ssn": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$",
     "date": r"^(?:(?:18|19|20|21)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./](?:18|19|20|21)[0-9]{2})$",
@@ -75,10 +77,15 @@ def _pseudonym(kind: str, key: str) -> str:
     digits = "regexp_replace(m, '[^0-9]', '')"
     if kind == "phone":
         # area and exchange begin with 2-9: 800 * 800 * 10000 = 80000 * 80000 numbers; a leading 1 is the country's
-        x = "((cast(substring(d, 1, 3) as bigint) - 200) * 800 + cast(substring(d, 4, 3) as bigint) - 200) * 10000 + cast(substring(d, 7, 4) as bigint)"
+        # all others (area or exchange begins with 0 or 1) stay among themselves: 360000 * 10000 = 60000 * 60000 numbers
+        area, exchange, line = (f"cast(substring(d, {k}, {n}) as bigint)" for k, n in ((1, 3), (4, 3), (7, 4)))
+        x = f"(({area} - 200) * 800 + {exchange} - 200) * 10000 + {line}"
         out = "concat(200 + y div 8000000, 200 + pmod(y div 10000, 800), lpad(cast(pmod(y, 10000) as string), 4, '0'))"
-        body = _let("y", _feistel(x, "80000L", "80000L", key, kind), _fill("m", f"concat(case when length({digits}) = 11 then '1' else '' end, {out})"))
-        return _let("d", f"right({digits}, 10)", body)
+        x0 = f"case when {area} < 200 then {area} * 1000 + {exchange} else 200000 + ({area} - 200) * 200 + {exchange} end * 10000 + {line}"
+        pair = "case when y div 10000 < 200000 then y div 10000 else 200000 + (y div 10000 - 200000) div 200 * 1000 + pmod(y div 10000 - 200000, 200) end"
+        out0 = f"concat(lpad(cast({pair} as string), 6, '0'), lpad(cast(pmod(y, 10000) as string), 4, '0'))"
+        new = f"case when d rlike '^[2-9]..[2-9]' then {_let('y', _feistel(x, '80000L', '80000L', key, kind), out)} else {_let('y', _feistel(x0, '60000L', '60000L', key, 'phone01'), out0)} end"
+        return _let("d", f"right({digits}, 10)", _fill("m", f"concat(case when length({digits}) = 11 then '1' else '' end, {new})"))
     if kind == "card":
         # all digits but the last are permuted; the last keeps its distance from the right check digit (0 if valid)
         p = "substring(d, 1, length(d) - 1)"
