@@ -34,3 +34,18 @@ def test_phones_that_nobody_has_are_permuted_one_to_one(spark):
 def test_longer_numbers_are_no_phones(spark):
     texts = ["(415) 555-01345", "415-555-01345", "+1-415-555-0134-99", "415.555.0134.7", "4155550134", "2-415-555-0134"]
     assert [h for _, h in found(spark, texts)] == [[]] * len(texts)
+
+
+def luhn(digits):
+    return sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+
+
+def test_cards_must_pass_luhn(spark):
+    body = ["411111111111111", "980791576280449", "000000000000", "123456789012345678"]
+    good = [next(b + str(c) for c in range(10) if luhn(b + str(c))) for b in body] + ["4111 1111 1111 1111", "4111-1111-1111-1111"]
+    for card, (text, hits) in zip(good, found(spark, [f"pay {c}." for c in good]), strict=True):
+        assert [h[:2] for h in hits] == [("card", card)] and text == f"pay {hits[0][2]}."
+        assert luhn(re.sub("[^0-9]", "", hits[0][2])) and re.sub("[0-9]", "0", hits[0][2]) == re.sub("[0-9]", "0", card)
+    bad = [b + str(c) for b in body for c in range(10) if not luhn(b + str(c))] + ["9807915762804490", "4111 1111 1111 1112", "1700000000001"]
+    assert not any(luhn(re.sub("[^0-9]", "", b)) for b in bad)
+    assert found(spark, bad) == [(b, []) for b in bad]
