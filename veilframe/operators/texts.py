@@ -11,21 +11,24 @@ from veilframe.functions.text import indel_ratio, ratio_bound
 BROADCAST_PHRASES = 10_000
 
 
-def fuzzy_phrases(texts: DataFrame, phrases: DataFrame, threshold: int = 70) -> DataFrame:
-    """Each distinct text with the first phrase (by ord) that is more similar than the threshold.
+def similar(texts: DataFrame, phrases: DataFrame, threshold: int = 70) -> DataFrame:
+    """Distinct texts (text) with all phrases (phrase, other columns stay) that are more similar than the threshold, and the ratio.
 
-    The list of phrases is counted: a small one is broadcast; a larger one is joined by length, since texts whose
-    lengths differ too much can't pass.
+    Joined by length, since texts whose lengths differ too much can't pass: no pair above the threshold is missed. The
+    phrases are counted, and few are broadcast. Null and empty texts are similar to nothing.
     """
     t = texts.select("text").where("text is not null").distinct().withColumn("n", F.length("text"))
-    p = phrases.select("ord", "phrase").withColumn("m", F.length("phrase"))
-    possible = ratio_bound("text", "phrase") > threshold
-    if p.count() <= BROADCAST_PHRASES:
-        pairs = t.join(F.broadcast(p), possible)
-    else:
-        fits = F.expr(f"explode(sequence(greatest(1, cast(floor(m * {threshold} / (200.0 - {threshold})) as int)), cast(ceil(m * (200.0 - {threshold}) / {threshold}) as int)))")
-        pairs = t.join(p.withColumn("n", fits), "n").where(possible)
-    scored = pairs.withColumn("ratio", indel_ratio("text", "phrase")).where(F.col("ratio") > threshold)
+    p = phrases.withColumn("m", F.length("phrase"))
+    fits = F.expr(f"explode(sequence(greatest(1, cast(floor(m * {threshold} / (200.0 - {threshold})) as int)), greatest(1, cast(ceil(m * (200.0 - {threshold}) / {threshold}) as int))))")
+    few = p.count() <= BROADCAST_PHRASES
+    p = p.withColumn("n", fits)
+    pairs = t.join(F.broadcast(p) if few else p, "n").where(ratio_bound("text", "phrase") > threshold)
+    return pairs.withColumn("ratio", indel_ratio("text", "phrase")).where(F.col("ratio") > threshold).drop("n", "m")
+
+
+def fuzzy_phrases(texts: DataFrame, phrases: DataFrame, threshold: int = 70) -> DataFrame:
+    """Each distinct text with the first phrase (by ord) that is more similar than the threshold."""
+    scored = similar(texts, phrases.select("ord", "phrase"), threshold)
     return scored.groupBy("text").agg(F.min_by(F.struct("phrase", "ratio"), "ord").alias("hit")).select("text", "hit.phrase", "hit.ratio")
 
 

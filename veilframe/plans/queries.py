@@ -201,6 +201,21 @@ def t2a_fuzzy_phrases(spark, d):
     return texts.fuzzy_phrases(part.select(F.col("p_name").alias("text")), phrases)
 
 
+SIMILAR = f"""t as (select distinct p_name s from part), r as (select a, b, cast(round_even(100 * (2.0::double * {LCS} / (length(a) + length(b))), 0) as int) ratio from (select x.s a, y.s b from t x, t y))"""
+
+
+@query(f"with {SIMILAR} select a, b, ratio from r where ratio > 70")
+def fuzz_ratio_all(spark, d):
+    p = S.table(spark, d, "part").select("p_name").distinct()
+    return texts.similar(p.selectExpr("p_name text"), p.selectExpr("p_name phrase")).select(F.col("text").alias("a"), F.col("phrase").alias("b"), "ratio")
+
+
+@query(f"with {SIMILAR} select a \"text\", min(b) phrase, arg_min(ratio, b) ratio from r where ratio > 70 group by a")
+def t2a_fuzzy_phrases_all(spark, d):
+    part = S.table(spark, d, "part")
+    return texts.fuzzy_phrases(part.select(F.col("p_name").alias("text")), part.selectExpr("p_name ord", "p_name phrase").distinct())
+
+
 @query("select p_partkey, coalesce(nullif(regexp_extract(p_name, '([a-z]+)e ', 1), ''), p_name) hit from part where regexp_matches(p_name, '([a-z]+)e ')")
 def t2b_regex(spark, d):
     return texts.regex_hits(S.table(spark, d, "part").withColumn("text", F.col("p_name")), "([a-z]+)e ").select("p_partkey", "hit")
