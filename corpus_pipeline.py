@@ -18,9 +18,13 @@ def drop_toxic(spark, docs, sf_dir):
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
-    """Of each group of similar documents the one with the smallest id stays."""
-    groups = jaccard.similar_documents(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(groups, "doc_id", "left_semi")
+    """Of each group of similar documents one row stays: the smallest id, null ids last; of rows that share it the one
+    with the smallest digest, of equal rows any. Documents without words are in no group and stay."""
+    row = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.xxhash64(*COLUMNS).alias("digest"), "row").alias("rank")
+    docs = stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
+    groups = jaccard.similar_documents(docs, id_col="row").select("row", "component_id")
+    first = docs.select("row", row).join(groups, "row").groupBy("component_id").agg(F.min("rank").alias("first"))
+    return docs.join(first.select("first.row"), "row", "left_semi").select(*COLUMNS)
 
 
 def drop_benchmark(spark, docs, sf_dir):

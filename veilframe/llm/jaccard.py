@@ -117,13 +117,15 @@ def _prefixes(width: int, seed: int, threshold: int, shipped):
 
 
 def _sets(width: int, seed: int, shipped):
+    """The set of each class of a batch."""
+
     def run(batches):
         counts = np.frombuffer(shipped.value, np.uint32)
         for b in batches:
             texts = b.column("__text").to_pylist()
             for a, z in slices(texts, GROUP):
-                own = [_ordered(s, counts).tobytes() for s in shingles(texts[a:z], width)]
-                yield pa.RecordBatch.from_arrays([b.column("cls").slice(a, z - a), pa.array(own, pa.binary())], names=["cls", "members"])
+                own = {_class_of(s, seed)[0]: s for s in shingles(texts[a:z], width) if len(s)}
+                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array([_ordered(s, counts).tobytes() for s in own.values()], pa.binary())], names=["cls", "members"])
 
     return run
 
@@ -224,8 +226,9 @@ def similar_documents(docs: DataFrame, *, text: str = "text", id_col: str = "doc
     against all the others, so that a large group of near copies takes rounds, not all pairs. Equal sets are one class
     from the start. The driver gets the counts of CELLS cells (4 MB at any size) and no row of the corpus.
 
-    Null and empty texts have no shingles and are linked with nothing. Repeated rows and ids share their class; null
-    ids never are the smallest unless alone. Empty tables give empty results. Digests of sets have 64 bits; a second
+    Null and empty texts have no shingles and are linked with nothing. Rows with equal sets share their class, whatever
+    their ids; texts that share an id are linked each for itself. Null ids are linked like others, but never are the
+    smallest unless alone. Empty tables give empty results. Digests of sets have 64 bits; a second
     digest tells if two sets ever share one, and an error then asks for another seed.
     """
     spark = docs.sparkSession
@@ -262,9 +265,11 @@ def similar_documents(docs: DataFrame, *, text: str = "text", id_col: str = "doc
         pairs = stored(pairs.distinct(), release=True)
         if sets is None:  # of the classes that later rounds can ask for
             asked = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).unionByName(led.select("cls")).distinct()
-            reps = asked.join(classes.select("cls", "first"), "cls").select(F.col("first").alias("__id"), "cls")
-            texts = work.join(reps, "__id").dropDuplicates(["cls"]).select("cls", "__text")
-            sets = stored(texts.mapInArrow(_sets(width, seed, shipped), "cls long, members binary"), release=True)
+            reps = asked.join(classes.select("cls", "first"), "cls").select(F.col("first").alias("__id"))
+            # ids only narrow down the texts: several may have one id, or none; each text's class tells if its set is asked for
+            texts = work.join(reps, "__id", "left_semi").select("__text").unionByName(work.where("__id is null").select("__text"))
+            sets = texts.mapInArrow(_sets(width, seed, shipped), "cls long, members binary").join(asked, "cls", "left_semi")
+            sets = stored(sets.dropDuplicates(["cls"]), release=True)
         links = stored(_links(pairs, sets, threshold), release=True)
         if comp is not None:
             links = links.join(comp.select(F.col("cls").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("cls").alias("b"), F.col("comp").alias("cb")), "b", "left")
