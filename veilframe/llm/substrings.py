@@ -7,6 +7,7 @@ part builds an enhanced suffix array over what it gets and scans its intervals.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 
 import numpy as np
@@ -122,12 +123,15 @@ def _owners(length: int, shipped):
 
 
 CONTEXT = "gram long, id long, start long, windows int, context binary, end long"
+#: With whole: the place of the context that a folded one equals.
+OF = ", of_id long, of_start long"
 
 
-def _contexts(length: int, shipped):
+def _contexts(length: int, shipped, whole: bool = False):
     """Bytes around each repeated anchor, the byte before them first (none at a text's start).
 
-    Of equal contexts in a batch only the earliest is sent on; the others come out as removed spans (gram null).
+    Of equal contexts in a batch only the earliest is sent on; the others come out as removed spans (gram null), or,
+    with whole, each with the place of the one sent on.
     """
 
     def run(batches):
@@ -135,6 +139,7 @@ def _contexts(length: int, shipped):
         for b in batches:
             seen: dict = {}
             gone: dict = {}
+            equal: list = []
             ids, texts = b.column("__id").to_pylist(), b.column("__text").to_pylist()
             lists = b.column("grams")
             owner = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
@@ -151,12 +156,19 @@ def _contexts(length: int, shipped):
                     if here < old[:2]:
                         seen[p > 0, context] = (*here, g, k)
                         here = old[:2]
+                    if whole:
+                        equal.append(((p > 0, context), *here, k))
+                        continue
                     gone.setdefault(here[0], []).append((here[1], here[1] + k + length - 1))
             rows = [(g, i, p, k, context, p + k + length - 1) for (_, context), (i, p, g, k) in seen.items()]
             rows += [(None, i, p, None, None, e) for i, spans in gone.items() for p, e in merged(spans)]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
+            names = ["gram", "id", "start", "windows", "context", "end"]
+            if whole:
+                rows = [(*r, None, None) for r in rows] + [(None, i, p, None, None, p + k + length - 1, *seen[key][:2]) for key, i, p, k in equal]
+                kinds, names = (*kinds, pa.int64(), pa.int64()), [*names, "of_id", "of_start"]
             cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.nulls(0, k) for k in kinds]
-            yield pa.RecordBatch.from_arrays(cols, names=["gram", "id", "start", "windows", "context", "end"])
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
@@ -246,12 +258,16 @@ def maximal_repeats(rows: list[tuple], length: int):
                 yield size, ids[k], starts[k] + offset[i : j + 1]
 
 
-def _groups(length: int):
-    """A part's repeats: a row for each occurrence but for those that were equal contexts, which come as (group null)."""
+def _groups(length: int, whole: bool = False):
+    """A part's repeats: a row for each occurrence but for those that were equal contexts, which come as (group null).
+
+    With whole, rows have the place of the context that the occurrence is in, or that the equal context was folded into.
+    """
 
     def run(t: pa.Table) -> pa.Table:
         seen: dict = {}
         gone: dict = {}
+        equal: list = []
         by_gram: dict = {}
         for g, i, p, k, context in zip(*[t.column(c).to_pylist() for c in ("gram", "id", "start", "windows", "context")], strict=True):
             key = (p > 0, context)
@@ -260,6 +276,7 @@ def _groups(length: int):
                 seen[key] = (g, i, p, k, context)
             if old is not None and (i, p) != old[1:3]:
                 i, p = max((i, p), old[1:3])
+                equal.append((key, i, p, p + k + length - 1))
                 gone.setdefault(i, []).append((p, p + k + length - 1))
         for g, *row in seen.values():
             by_gram.setdefault(g, []).append(tuple(row))
@@ -273,8 +290,14 @@ def _groups(length: int):
                 name = int.from_bytes(name, "little", signed=True)
                 out += [(name, bool(i != i0 or s != s0), int(i), int(s), int(s) + size) for i, s in zip(ids[order], starts[order], strict=True)]
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
+        names = ["group", "later", "id", "start", "end"]
+        if whole:
+            places = sorted((i, p) for i, p, *_ in rows)  # windows lie in one context each: the last that begins at or before
+            out = [(*r, *places[bisect.bisect_right(places, (r[2], r[3])) - 1]) for r in out if r[0] is not None]
+            out += [(None, True, i, a, b, *seen[key][1:3]) for key, i, a, b in equal]
+            kinds, names = (*kinds, pa.int64(), pa.int64()), [*names, "of_id", "of_start"]
         cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.nulls(0, k) for k in kinds]
-        return pa.Table.from_arrays(cols, names=["group", "later", "id", "start", "end"])
+        return pa.Table.from_arrays(cols, names=names)
 
     return run
 
@@ -284,12 +307,32 @@ def repeat_groups(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id"
 
     A group is a maximal repeat as far as the windows of one anchor reach (up to 2 * length - 32 + 1 bytes), with all its
     occurrences; longer repeats are chains of overlapping groups. later: not the first occurrence, by id and then start.
-    Rows without a group are contexts that equal an earlier one byte for byte; they are folded before the suffix
-    arrays are built, so that many copies of one passage never meet in one part.
+    Contexts that equal an earlier one byte for byte are folded before the suffix arrays are built, so that many copies
+    of one passage never meet in one part; they get the groups of the one that they equal afterwards, at their own
+    place. A context that only such copies share is a group of its own.
 
     Null and short texts have no repeats. Rows with equal ids must have equal texts; they count as one. Null ids come
     first. Empty tables give empty results. Nothing is sampled or capped; digests only decide where bytes meet.
     """
+    found = stored(_repeats(docs, text, id_col, length, whole=True), release=True)
+    group = found.where("group is not null")
+    folded = found.where("group is null").select("id", "start", "end", "of_id", "of_start")
+    # a context folded in its batch may equal one that was folded later, in its part
+    onward = folded.select(F.col("id").alias("of_id"), F.col("start").alias("of_start"), F.col("of_id").alias("to_id"), F.col("of_start").alias("to_start"))
+    folded = folded.join(onward.distinct(), ["of_id", "of_start"], "left").select("id", "start", "end", F.coalesce("to_id", "of_id").alias("of_id"), F.coalesce("to_start", "of_start").alias("of_start"))
+    folded = stored(folded.where("id <> of_id or start <> of_start").distinct())
+    first = folded.select("of_id", "of_start", (F.col("of_start") + F.col("end") - F.col("start")).alias("end")).distinct()
+    alone = first.join(group.where("start = of_start").select("of_id", "of_start", "end"), ["of_id", "of_start", "end"], "left_anti")
+    alone = alone.select(F.xxhash64("of_id", "of_start", "end").alias("group"), F.lit(False).alias("later"), F.col("of_id").alias("id"), F.col("of_start").alias("start"), "end", "of_id", "of_start")
+    group = stored(group.unionByName(alone))
+    at = folded.select("of_id", "of_start", F.col("id").alias("__id"), (F.col("start") - F.col("of_start")).alias("by"))
+    copies = group.join(at, ["of_id", "of_start"]).select("group", F.lit(True).alias("later"), F.col("__id").alias("id"), (F.col("start") + F.col("by")).alias("start"), (F.col("end") + F.col("by")).alias("end"))
+    return group.select("group", "later", "id", "start", "end").unionByName(copies)
+
+
+def _repeats(docs: DataFrame, text: str, id_col: str, length: int, whole: bool = False) -> DataFrame:
+    """Rows (group, later, id, start, end): occurrences in contexts that weren't folded; group null: spans of folded
+    contexts, or with whole each folded context, and of_id and of_start as _groups() has them."""
     spark = docs.sparkSession
     work = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("__id"), F.col(text).cast("binary").alias("__text")).where(F.octet_length("__text") >= length)
     cells = {r.slice: np.frombuffer(bytes(r.counts), np.uint32) for r in work.select("__text").mapInArrow(_survey(length), "slice int, counts binary").groupBy("slice").applyInArrow(_added, "slice int, counts binary").collect()}
@@ -303,11 +346,12 @@ def repeat_groups(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id"
     total = lists.agg(F.sum(F.size("grams"))).first()[0] or 0
     parts = max(1, -(-total // PART_ANCHORS))
     joined = work.join(lists.withColumnRenamed("id", "__id"), "__id")
-    found = joined.mapInArrow(_contexts(length, shipped), CONTEXT)
+    of = OF if whole else ""
+    found = joined.mapInArrow(_contexts(length, shipped, whole), CONTEXT + of)
     found = stored(found, release=True)
-    folded = found.where("gram is null").select(F.lit(None).cast("long").alias("group"), F.lit(True).alias("later"), "id", "start", "end")
+    folded = found.where("gram is null").select(F.lit(None).cast("long").alias("group"), F.lit(True).alias("later"), "id", "start", "end", *(["of_id", "of_start"] if whole else []))
     sent = found.where("gram is not null").withColumn("part", F.pmod(F.col("gram"), F.lit(parts)))
-    groups = sent.groupBy("part").applyInArrow(_groups(length), "group long, later boolean, id long, start long, end long")
+    groups = sent.groupBy("part").applyInArrow(_groups(length, whole), "group long, later boolean, id long, start long, end long" + of)
     return groups.unionByName(folded)
 
 
@@ -318,7 +362,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id
     the same text. Null texts are kept as empty bytes. See repeat_groups() for the rest; other columns pass through,
     those named like the added ones are replaced.
     """
-    spans = repeat_groups(docs, text=text, id_col=id_col, length=length).where("later").select(F.col("id").alias("__id"), F.struct("start", "end").alias("s"))
+    spans = _repeats(docs, text, id_col, length).where("later").select(F.col("id").alias("__id"), F.struct("start", "end").alias("s"))
     spans = stored(spans.groupBy("__id").agg(F.array_sort(F.collect_set("s")).alias("__spans")))
     d = docs.drop("removed", "kept").withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))).join(spans, "__id", "left").drop("__id")
     d = d.withColumn("removed", F.expr("cast(array() as array<struct<start:long,end:long>>)")).withColumn("kept", F.coalesce(F.col(text).cast("binary"), F.lit(b"")))
