@@ -50,7 +50,8 @@ STAGES: list = [
     ("pii", replace_personal_data),
     ("mixing", mix_sources),
 ]
-#: The classifier and the text operators can't be told in SQL; tests hold each stage against a plain version.
+#: The classifier and the text operators can't be told in SQL. tests/llm holds the operators against plain versions; of the
+#: stages only near_duplicates has a test of its own, run() has none.
 ORACLE_SQL = None
 
 
