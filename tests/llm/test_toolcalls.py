@@ -35,3 +35,9 @@ def test_links_order_and_status(spark):
 def test_long_chain(spark):
     nodes = spark.range(1, 300).selectExpr("cast(id as string) node", "case when id > 1 then cast(id - 1 as string) end parent")
     assert {int(r.node): r.depth for r in T.depths(nodes).collect()} == {i: i - 1 for i in range(1, 300)}
+
+
+def test_turns_that_are_no_calls(spark):
+    chat = spark.createDataFrame([(1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", "hello"), (1, None, "user", "no number"), (1, None, "assistant", "none"), (1, 3, None, "x"), (1, 4, "tool", "x")], "conv_id long, turn long, role string, text string")
+    got = T.link_calls(*T.from_conversations(chat), T.SCHEMAS).collect()
+    assert sorted((r.call_id or "", r.status) for r in got) == [("", "orphan"), ("t1", "ok")]

@@ -137,7 +137,11 @@ SCHEMAS = {"reply": {"type": "object", "required": ["prompt", "turn"], "addition
 
 def from_conversations(chat: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of (conv_id, turn, role, text): a user's turn is a call of 'reply' that waits for the call two
-    turns before; what an assistant says is the result of the call one turn before."""
+    turns before; what an assistant says is the result of the call one turn before.
+
+    Turns of other roles (system, null) are neither calls nor results and are left out. A user's turn without a number
+    has no call id and is left out too; an assistant's is an orphan.
+    """
     name = lambda back: F.concat(F.lit("t"), (F.col("turn") - back).cast("string"))
     calls = chat.where("role = 'user'").select(
         "conv_id", name(0).alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct(F.col("text").alias("prompt"), "turn")).alias("arguments"),
