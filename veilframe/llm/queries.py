@@ -83,10 +83,10 @@ def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """log10 probability of each document under a Katz bigram model of the documents that aren't held out."""
+    """log10 probability of each document under a Katz trigram model of the documents that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
-    out = katz.score_texts(docs, ~held)
+    out = katz.score_texts(docs, ~held, order=3)
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
