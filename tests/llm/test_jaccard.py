@@ -68,3 +68,22 @@ def test_trie_shares_and_prunes():
     for probe in sets[:10]:
         want = [i for i, s in enumerate(sets) if 100 * len(np.intersect1d(probe, s)) >= 40 * len(np.union1d(probe, s))]
         assert sorted(jaccard.trie_links(probe, list(enumerate(sets)), lambda s: s.astype(">i8"), 40)) == want
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """Copies of one text, too different for many of their pairs to be links, among other texts that share its rare words."""
+    monkeypatch.setattr(jaccard, "SMALL", 1)
+    monkeypatch.setattr(jaccard, "PART_BYTES", 5000)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(4000)]
+    text = rng.choices(words, k=60)
+    rows = []
+    for i in range(90):
+        copy = list(text)
+        for _ in range(rng.randrange(0, 3)):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        rows.append((i, " ".join(copy)))
+    rows += [(i, " ".join(text[:20] + rng.choices(words, k=25))) for i in range(100, 120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_documents(df).collect()}
+    assert got == brute(rows)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import gc
+import struct
 import uuid
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,3 +117,35 @@ def map_text(df: DataFrame, text: str, added: str, start, keep: list[str] | None
             yield pa.RecordBatch.from_arrays(old + new, names=schema.names)
 
     return d.mapInArrow(run, schema)
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers, byte by byte of equal weight, compressed."""
+    head = struct.pack("<B", len(arrays)) + b"".join(struct.pack("<cI", a.dtype.char.encode(), len(a)) for a in arrays)
+    return zstandard.compress(head + b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes() for a in arrays), 1)
+
+
+def unpack(body: bytes) -> list[np.ndarray]:
+    data = zstandard.decompress(body)
+    out, at = [], 1 + 5 * data[0]
+    for i in range(data[0]):
+        kind, n = struct.unpack_from("<cI", data, 1 + 5 * i)
+        kind = np.dtype(kind.decode())
+        out.append(np.frombuffer(data, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n).T.copy().view(kind)[:, 0])
+        at += n * kind.itemsize
+    return out
+
+
+def small(x: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes as they need."""
+    most = int(x.max()) if len(x) else 0
+    return x.astype(np.uint8 if most < 256 else np.uint16 if most < 65536 else np.uint32 if most < 2**32 else np.uint64)
+
+
+def runs(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys start."""
+    change = np.zeros(len(keys[0]), bool)
+    change[:1] = True
+    for k in keys:
+        change[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(change)

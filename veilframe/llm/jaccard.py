@@ -11,18 +11,20 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import connected_components, slices, stored
+from veilframe.llm.common import connected_components, pack, runs, slices, small, stored, unpack
 from veilframe.llm.katz import END, START, STEP, mix, tokens
 
 #: Counts of shingles, hashed into so many cells, give the global order; SLICES rows of them are sent by each task.
 CELLS, SLICES = 1 << 20, 64
-#: Shingle groups of up to so many classes are paired at once; larger ones by one leader after the other.
-SMALL = 32
-#: Partners in one trie, and rounds of leaders before all pairs of different components that are left are verified.
-TRIE, ROUNDS = 256, 4
+#: Leaders of each shingle's group in the first round; groups with one class more at most are done by then.
+SMALL = 2
+#: Partners in one trie.
+TRIE = 256
+#: Prefix shingles are dealt out to parts, one for so many bytes of text.
+PART_BYTES = 16_000_000
 #: Texts are cut into shingles in groups of about so many bytes.
 GROUP = 1 << 22
 
@@ -93,29 +95,61 @@ def _ordered(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return s[np.lexsort((s, counts[(s >> np.uint64(44)).astype(np.int64)]))]
 
 
-def _prefixes(width: int, seed: int, threshold: int, shipped):
-    """Prefix shingles of each class of a batch."""
+def _prefixes(width: int, seed: int, threshold: int, parts: int, shipped):
+    """Prefix shingles of each class of a group of texts: a cell for each part, classes numbered in the cell."""
 
     def run(batches):
         counts = np.frombuffer(shipped.value, np.uint32)
         for b in batches:
             texts, seen = b.column("__text").to_pylist(), set()
             for a, z in slices(texts, GROUP):
-                cols: list = [[], [], [], []]
+                known, sizes, tokens_of, own, place = [], [], [], [], []
                 for s in shingles(texts[a:z], width):
                     c = _class_of(s, seed)[0] if len(s) else None
                     if c is None or c in seen:
                         continue
                     seen.add(c)
                     p = len(s) - least_overlap(len(s), threshold) + 1
-                    for x, y in zip(cols, (_ordered(s, counts)[:p].view(np.int64), np.full(p, c), np.full(p, len(s), np.int32), np.arange(p, dtype=np.int32)), strict=True):
-                        x.append(y)
-                if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in cols], names=["token", "cls", "n", "i"])
+                    tokens_of.append(_ordered(s, counts)[:p])
+                    own.append(np.full(p, len(known), np.uint32))
+                    place.append(np.arange(p, dtype=np.uint32))
+                    known.append(c)
+                    sizes.append(len(s))
+                if not known:
+                    continue
+                token, own, place = (np.concatenate(x) for x in (tokens_of, own, place))
+                part = ((mix(token) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+                order = np.lexsort((own, part))
+                token, own, place, part = token[order], own[order], place[order], part[order]
+                cut = np.append(runs(part), len(part))
+                cells = []
+                for x, y in zip(cut[:-1], cut[1:], strict=True):
+                    there, at = np.unique(own[x:y], return_inverse=True)
+                    cells.append(pack(token[x:y], small(at), small(place[x:y]), np.array(known, np.int64)[there], small(np.array(sizes)[there])))
+                yield pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]].astype(np.int32)), pa.array(cells, pa.binary())], names=["part", "body"])
 
     return run
 
 
+def _shared(cells: pa.Table) -> pa.Table:
+    """The shingles of a part that at least two classes have, and who has them where."""
+    token, cls, place, n = [], [], [], []
+    for body in cells.column("body").to_pylist():
+        t, at, i, known, sizes = unpack(body)
+        token.append(t)
+        cls.append(known[at])
+        place.append(i.astype(np.int32))
+        n.append(sizes[at].astype(np.int32))
+    token, cls, place, n = (np.concatenate(x) for x in (token, cls, place, n))
+    order = np.lexsort((cls, token))
+    token, cls, place, n = token[order], cls[order], place[order], n[order]
+    first = runs(token, cls)
+    token, cls, place, n = token[first], cls[first], place[first], n[first]
+    group = runs(token)
+    keep = np.repeat(np.diff(np.append(group, len(token))) > 1, np.diff(np.append(group, len(token))))
+    return pa.table({"token": token[keep].view(np.int64), "cls": cls[keep], "n": n[keep], "i": place[keep]})
+
+
 def _sets(width: int, seed: int, shipped):
     """The set of each class of a batch."""
 
@@ -206,12 +240,18 @@ def _alike(n_a: str, i_a: str, n_b: str, i_b: str, threshold: int):
     return F.expr(f"100L * least({n_a}, {n_b}) >= {threshold} * greatest({n_a}, {n_b}) and {100 + threshold}L * least({n_a} - {i_a}, {n_b} - {i_b}) >= {threshold} * ({n_a} + {n_b})")
 
 
-def _all_pairs(groups: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of different components of each group of at most SMALL classes."""
-    lists = groups.groupBy("token").agg(F.collect_list(F.struct("cls", "n", "i", "comp")).alias("m"))
-    one = lists.select("m", F.explode("m").alias("x"))
-    two = one.select("x", F.explode("m").alias("y")).where("x.cls < y.cls and x.comp <> y.comp")
-    return two.where(_alike("x.n", "x.i", "y.n", "y.i", threshold)).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+def _round(groups: DataFrame, lo: int, hi: int, threshold: int) -> DataFrame:
+    """Pairs (a, b) to verify: the leaders of each group, its classes of rank lo ... hi - 1, with the classes that are not
+    yet in the component of the group's first class.
+
+    A leader outside of that component leaves the classes inside to their own turns as leaders, so that most pairs of a
+    large group of near copies never come up, and yet each pair does unless it is in one component by then.
+    """
+    main = groups.where("rank = 0").select("token", F.col("comp").alias("main"))
+    apart = groups.join(main, "token").where("comp <> main")
+    lead = groups.where(F.col("rank").between(lo, hi - 1)).select("token", *[F.col(c).alias(f"l_{c}") for c in ("cls", "n", "i", "comp", "rank")])
+    pairs = apart.join(lead, "token").where("l_comp <> comp and (l_comp = main or rank > l_rank)").where(_alike("n", "i", "l_n", "l_i", threshold))
+    return pairs.select(F.col("l_cls").alias("a"), F.col("cls").alias("b")).distinct()
 
 
 def similar_documents(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", width: int = 5, threshold: int = 75, seed: int = 0) -> DataFrame:
@@ -222,9 +262,8 @@ def similar_documents(docs: DataFrame, *, text: str = "text", id_col: str = "doc
     characters than space and \\t-\\r, A-Z folded; a text of fewer than `width` words is one n-gram.
 
     No link between components is missed: every pair of classes that shares a prefix shingle is either verified or found
-    to be in one component already. Groups of many classes at one shingle are worked off by leaders, each verified
-    against all the others, so that a large group of near copies takes rounds, not all pairs. Equal sets are one class
-    from the start. The driver gets the counts of CELLS cells (4 MB at any size) and no row of the corpus.
+    to be in one component already. The classes of a shingle's group take turns as leaders, twice as many in each round,
+    so that a large group of near copies takes a few rounds, not all pairs. Equal sets are one class from the start. The driver gets the counts of CELLS cells (4 MB at any size) and no row of the corpus.
 
     Null and empty texts have no shingles and are linked with nothing. Rows with equal sets share their class, whatever
     their ids; texts that share an id are linked each for itself. Null ids are linked like others, but never are the
@@ -243,34 +282,22 @@ def similar_documents(docs: DataFrame, *, text: str = "text", id_col: str = "doc
     if not classes.where("t0 <> t1").isEmpty():
         raise ValueError("two different sets have the same digest: choose another seed")
 
-    # prefix shingles that at least two classes have
-    prefix = work.select("__text").mapInArrow(_prefixes(width, seed, threshold, shipped), "token long, cls long, n int, i int")
-    shared = prefix.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("token")
-    active = stored(prefix.join(shared, "token").groupBy("token", "cls").agg(F.first("n").alias("n"), F.first("i").alias("i")), release=True)
-    groups = active.withColumn("comp", F.col("cls"))
-    comp = sets = None
-    for k in range(ROUNDS):
-        size = groups.groupBy("token").agg(F.count("*").alias("m"))
-        sized = groups.join(size, "token")
-        pairs = _all_pairs(sized.where(F.col("m") <= SMALL), threshold)
-        large = sized.where(F.col("m") > SMALL)
-        # the leader: the first class, by a mixed digest, outside of the group's largest component
-        by_comp = large.groupBy("token", "comp").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("cls").alias("o"), "cls", "n", "i")).alias("best"))
-        top = by_comp.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("top"))
-        lead = by_comp.join(top, "token").where("comp <> top.comp").groupBy("token").agg(F.min(F.struct("best.o", "best.cls", "best.n", "best.i", "comp")).alias("lead"))
-        led = stored(large.drop("m").join(lead, "token"))
-        pairs = pairs.unionByName(
-            led.where("comp <> lead.comp").where(_alike("n", "i", "lead.n", "lead.i", threshold)).select(F.col("lead.cls").alias("a"), F.col("cls").alias("b"))
-        )
-        pairs = stored(pairs.distinct(), release=True)
-        if sets is None:  # of the classes that later rounds can ask for
-            asked = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).unionByName(led.select("cls")).distinct()
-            reps = asked.join(classes.select("cls", "first"), "cls").select(F.col("first").alias("__id"))
-            # ids only narrow down the texts: several may have one id, or none; each text's class tells if its set is asked for
-            texts = work.join(reps, "__id", "left_semi").select("__text").unionByName(work.where("__id is null").select("__text"))
-            sets = texts.mapInArrow(_sets(width, seed, shipped), "cls long, members binary").join(asked, "cls", "left_semi")
-            sets = stored(sets.dropDuplicates(["cls"]), release=True)
-        links = stored(_links(pairs, sets, threshold), release=True)
+    # prefix shingles that at least two classes have; the classes of each in one order for all groups
+    n_bytes = work.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    parts = max(1, -(-n_bytes // PART_BYTES))
+    cells = work.select("__text").mapInArrow(_prefixes(width, seed, threshold, parts, shipped), "part int, body binary")
+    active = stored(cells.groupBy("part").applyInArrow(_shared, "token long, cls long, n int, i int"))
+    turn = Window.partitionBy("token").orderBy(F.xxhash64("cls"), "cls")
+    groups = stored(active.select("*", (F.row_number().over(turn) - 1).alias("rank"), F.col("cls").alias("comp")))
+    comp = None
+    # ids only narrow down the texts: several may have one id, or none; each text's class tells if its set is asked for
+    asked = stored(active.select("cls").distinct())
+    reps = asked.join(classes.select("cls", "first"), "cls").select(F.col("first").alias("__id"))
+    texts = work.join(reps, "__id", "left_semi").select("__text").unionByName(work.where("__id is null").select("__text"))
+    sets = stored(texts.mapInArrow(_sets(width, seed, shipped), "cls long, members binary").join(asked, "cls", "left_semi").dropDuplicates(["cls"]))
+    lo, hi = 0, SMALL
+    while not groups.isEmpty():
+        links = stored(_links(stored(_round(groups, lo, hi, threshold)), sets, threshold))
         if comp is not None:
             links = links.join(comp.select(F.col("cls").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("cls").alias("b"), F.col("comp").alias("cb")), "b", "left")
             links = stored(links.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b"))
@@ -282,21 +309,11 @@ def similar_documents(docs: DataFrame, *, text: str = "text", id_col: str = "doc
                 old = comp.join(merged.withColumnRenamed("node", "comp"), "comp", "left").select("cls", F.coalesce("component", "comp").alias("comp"))
                 new = merged.select(F.col("node").alias("cls"), F.col("component").alias("comp")).join(comp.select("cls"), "cls", "left_anti")
                 comp = stored(old.unionByName(new))
-        # what is left: large groups without their leader, in more than one component
-        rest = led.where("cls <> lead.cls").select("token", "cls", "n", "i")
-        rest = rest.join(comp, "cls", "left").select("token", "cls", "n", "i", F.coalesce("comp", "cls").alias("comp")) if comp is not None else rest.withColumn("comp", F.col("cls"))
-        mixed = rest.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-        groups = stored(rest.join(mixed, "token"))
-        if groups.isEmpty():
-            break
-    else:
-        other = groups.select("token", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("i").alias("i_b"), F.col("comp").alias("cb"))
-        pairs = groups.join(other, "token").where("cls < b and comp <> cb").where(_alike("n", "i", "n_b", "i_b", threshold)).select(F.col("cls").alias("a"), "b").distinct()
-        more = stored(_links(pairs, sets, threshold))
-        old = [comp.select(F.col("cls").alias("a"), F.col("comp").alias("b"))] if comp is not None else []
-        for x in old:
-            more = more.unionByName(x)
-        comp = connected_components(more).select(F.col("node").alias("cls"), F.col("component").alias("comp"))
+            groups = groups.drop("comp").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        lo, hi = hi, 3 * hi - 2 * lo
+        # groups with a component besides the first class's, and with leaders to come
+        left = groups.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("rank").alias("last")).where(F.col("lo") < F.col("hi")).where(F.col("last") >= lo)
+        groups = stored(groups.join(left.select("token"), "token").select("token", "cls", "n", "i", "rank", "comp"))
     if comp is None:
         comp = spark.createDataFrame([], "cls long, comp long")
     labelled = stored(rows.select("id", "cls", "n").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))

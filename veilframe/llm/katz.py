@@ -18,16 +18,14 @@ counts of counts, and sums for frequent words and n-grams: all bounded by DICT a
 from __future__ import annotations
 
 import math
-import struct
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import slices, stored
+from veilframe.llm.common import pack, runs, slices, small, stored, unpack
 
 #: Lower-case A-Z only; space and \t-\r part the words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -118,45 +116,10 @@ def reduced(c: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.where(c <= len(d), np.append(0.0, d)[np.minimum(c, len(d))] * c, c - 0.5)
 
 
-# --- packed arrays
-
-
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of numbers, byte by byte of equal weight, compressed."""
-    head = struct.pack("<B", len(arrays)) + b"".join(struct.pack("<cI", a.dtype.char.encode(), len(a)) for a in arrays)
-    return zstandard.compress(head + b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes() for a in arrays), 1)
-
-
-def _unpack(body: bytes) -> list[np.ndarray]:
-    data = zstandard.decompress(body)
-    out, at = [], 1 + 5 * data[0]
-    for i in range(data[0]):
-        kind, n = struct.unpack_from("<cI", data, 1 + 5 * i)
-        kind = np.dtype(kind.decode())
-        out.append(np.frombuffer(data, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n).T.copy().view(kind)[:, 0])
-        at += n * kind.itemsize
-    return out
-
-
-def _small(x: np.ndarray) -> np.ndarray:
-    """Counts in as few bytes as they need."""
-    most = int(x.max()) if len(x) else 0
-    return x.astype(np.uint8 if most < 256 else np.uint16 if most < 65536 else np.uint32 if most < 2**32 else np.uint64)
-
-
-def _runs(*keys: np.ndarray) -> np.ndarray:
-    """Where runs of equal keys start."""
-    change = np.zeros(len(keys[0]), bool)
-    change[:1] = True
-    for k in keys:
-        change[1:] |= k[1:] != k[:-1]
-    return np.flatnonzero(change)
-
-
 def _rank(*keys: np.ndarray) -> np.ndarray:
     """The number of each row's run of equal keys."""
     out = np.zeros(len(keys[0]), np.int64)
-    out[_runs(*keys)[1:]] = 1
+    out[runs(*keys)[1:]] = 1
     return np.cumsum(out)
 
 
@@ -292,7 +255,7 @@ def _sender(shipped, order: int, hot_grams=None):
                 cols, keep, doc = [c[use] for c in cols], keep[use], doc[use]
             go = _order(cols)
             cols, keep, doc = [c[go] for c in cols], keep[go], doc[go]
-            starts = _runs(*cols) if len(keep) else np.empty(0, np.int64)
+            starts = runs(*cols) if len(keep) else np.empty(0, np.int64)
             count = np.add.reduceat(keep.astype(np.int64), starts) if len(starts) else np.empty(0, np.int64)
             many = np.diff(np.append(starts, len(keep)))
             cols = [c[starts] for c in cols]
@@ -306,11 +269,11 @@ def _sender(shipped, order: int, hot_grams=None):
                 common = code < words.size
                 d = np.repeat(np.arange(len(texts)), np.bincount(doc, minlength=len(texts)))
                 base = np.bincount(d, np.where(common, np.log10(c + 1.0), 0), len(texts))
-                body = _pack(ids.astype(np.int64), np.bincount(d, minlength=len(texts)), np.bincount(d, common & (c > 0), len(texts)).astype(np.int64), base, x)
+                body = pack(ids.astype(np.int64), np.bincount(d, minlength=len(texts)), np.bincount(d, common & (c > 0), len(texts)).astype(np.int64), base, x)
                 out.append((int(block) % words.parts, TEXTS, block, body))
             part = words.part(cols[0], cols[1], extra)
             by = np.argsort(part.astype(np.uint16) if words.parts < 65536 else part, kind="stable")
-            cuts = np.append(_runs(part[by]) if len(by) else [], len(by)).astype(np.int64)
+            cuts = np.append(runs(part[by]) if len(by) else [], len(by)).astype(np.int64)
             for a, z in zip(cuts[:-1], cuts[1:], strict=True):
                 e = by[a:z]
                 own, rare = _own([c[e] for c in cols], extra, words.size)
@@ -318,8 +281,8 @@ def _sender(shipped, order: int, hot_grams=None):
                 if hot_grams is not None:
                     n = np.where(send[e], many[e], 0)
                     at = np.repeat(starts[e] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    more = [_small(n), doc[at].astype(np.uint16 if len(texts) < 65536 else np.uint32)]
-                out.append((int(part[e[0]]), OCCURS, block, _pack(*own, _small(count[e]), *more, rare)))
+                    more = [small(n), doc[at].astype(np.uint16 if len(texts) < 65536 else np.uint32)]
+                out.append((int(part[e[0]]), OCCURS, block, pack(*own, small(count[e]), *more, rare)))
             for i in range(0, len(out), 256):
                 p, k, b, body = zip(*out[i : i + 256], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(k, pa.int32()), pa.array(b, pa.int64()), pa.array(body, pa.binary())], names=["part", "kind", "block", "body"])
@@ -335,7 +298,7 @@ class _Part:
         cols, self.extra = _joined(bodies, width, words.size)
         count = np.concatenate([b[width] for b in bodies]).astype(np.int64) if bodies else np.empty(0, np.int64)
         go = _order(cols)
-        starts = _runs(*[c[go] for c in cols]) if len(go) else np.empty(0, np.int64)
+        starts = runs(*[c[go] for c in cols]) if len(go) else np.empty(0, np.int64)
         self.inv = np.empty(len(go), np.int64)
         self.inv[go] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(go))))
         self.cols = [c[go[starts]] for c in cols]
@@ -382,7 +345,7 @@ def _counter(shipped, order: int, frequent: float):
     def run(cells: pa.Table) -> pa.Table:
         words = shipped.value
         me = cells.column("part")[0].as_py()
-        part = _Part([_unpack(x) for x in cells.column("body").to_pylist()], width, words)
+        part = _Part([unpack(x) for x in cells.column("body").to_pylist()], width, words)
         out = []
         for k in range(2, order + 1):
             row, _, count = part.grams(k)
@@ -395,7 +358,7 @@ def _counter(shipped, order: int, frequent: float):
                 out += [(GRAM, 0, 0, int(a), int(b), float(c), None) for a, b, c in zip(name, total, count[top], strict=True)]
         if order > 1:
             # words outside of the dictionary after each history
-            first = _runs(part.context[2]) if len(part.count) else np.empty(0, np.int64)
+            first = runs(part.context[2]) if len(part.count) else np.empty(0, np.int64)
             first = first[part.rare(first) & (part.of_context[2] > 0)]
             p = words.p(part.of_context[1][part.context[1][first]])
             before, inv = np.unique(part.cols[1][first], return_inverse=True)
@@ -406,7 +369,7 @@ def _counter(shipped, order: int, frequent: float):
             to = words.part(before, before, part.extra)
             for q in np.unique(to):
                 own, rare = _own([before[to == q]], part.extra, words.size)
-                out.append((MASS, int(q), 0, 0, 0, 0.0, _pack(*own, p[to == q], rare)))
+                out.append((MASS, int(q), 0, 0, 0, 0.0, pack(*own, p[to == q], rare)))
             # bigrams of spread words
             row, _, count = part.grams(2)
             row, count = row[part.hot[row]], count[part.hot[row]]
@@ -414,7 +377,7 @@ def _counter(shipped, order: int, frequent: float):
             to = (((pair(part.digest[h], part.digest[w]) >> np.uint64(32)) * np.uint64(words.parts)) >> np.uint64(32)).astype(np.int64)
             for q in np.unique(to):
                 own, rare = _own([h[to == q], w[to == q]], part.extra, words.size)
-                out.append((ASK, int(q), me, 0, 0, 0.0, _pack(*own, _small(count[to == q]), rare)))
+                out.append((ASK, int(q), me, 0, 0, 0.0, pack(*own, small(count[to == q]), rare)))
         return _found(out)
 
     return run
@@ -425,7 +388,7 @@ def _adder(shipped, order: int, frequent: float):
 
     def run(asked: pa.Table) -> pa.Table:
         words = shipped.value
-        who, bodies = asked.column("block").to_pylist(), [_unpack(x) for x in asked.column("body").to_pylist()]
+        who, bodies = asked.column("block").to_pylist(), [unpack(x) for x in asked.column("body").to_pylist()]
         cols, extra = _joined(bodies, 2, words.size)
         count = np.concatenate([b[2] for b in bodies]).astype(np.int64)
         key, inv = np.unique((cols[0].astype(np.int64) << 32) | cols[1], return_inverse=True)
@@ -447,7 +410,7 @@ def _adder(shipped, order: int, frequent: float):
         at = 0
         for one, body in zip(who, bodies, strict=True):
             n = len(body[0])
-            out.append((TOTALS, int(one), 0, 0, 0, 0.0, _pack(body[0], body[1], _small(total[inv[at : at + n]]), body[-1])))
+            out.append((TOTALS, int(one), 0, 0, 0, 0.0, pack(body[0], body[1], small(total[inv[at : at + n]]), body[-1])))
             at += n
         return _found(out)
 
@@ -466,7 +429,7 @@ def _backoff(part: _Part, order: int, disc: list[np.ndarray], freed_of: np.ndarr
         of = part.context[k - 1][row]
         n = part.of_context[k - 1].astype(float)
         more = np.zeros(len(n))
-        first = _runs(part.context[k - 1])
+        first = runs(part.context[k - 1])
         if k == 2:
             hot = part.hot[row]
             if hot.any():
@@ -511,7 +474,7 @@ def _scorer(shipped, order: int, disc: list[np.ndarray], spread):
         kinds, blocks, raw = cells.column("kind").to_pylist(), cells.column("block").to_pylist(), cells.column("body").to_pylist()
         names, out = [b for b, k in zip(blocks, kinds, strict=True) if k == TEXTS], [b for b, k in zip(raw, kinds, strict=True) if k == TEXTS]
         whole = [True] * len(out)
-        bodies = {k: [_unpack(b) for b, x in zip(raw, kinds, strict=True) if x == k] for k in (OCCURS, MASS, TOTALS)}
+        bodies = {k: [unpack(b) for b, x in zip(raw, kinds, strict=True) if x == k] for k in (OCCURS, MASS, TOTALS)}
         own = [b for b, k in zip(blocks, kinds, strict=True) if k == OCCURS]
         raw = None
         if own:
@@ -535,7 +498,7 @@ def _scorer(shipped, order: int, disc: list[np.ndarray], spread):
                 late, i = np.unique(docs[r], return_inverse=True)
                 names.append(name)
                 whole.append(False)
-                out.append(_pack(there, np.bincount(inv, x[e]), late, _small(np.bincount(i, known[e][r], len(late)).astype(np.int64)), np.bincount(i, base[e][r], len(late))))
+                out.append(pack(there, np.bincount(inv, x[e]), late, small(np.bincount(i, known[e][r], len(late)).astype(np.int64)), np.bincount(i, base[e][r], len(late))))
         return pa.Table.from_arrays([pa.array(names, pa.int64()), pa.array(whole, pa.bool_()), pa.array(out, pa.binary())], names=["block", "whole", "body"])
 
     return run
@@ -543,7 +506,7 @@ def _scorer(shipped, order: int, disc: list[np.ndarray], spread):
 
 def _gather(sums: pa.Table) -> pa.Table:
     """A block's texts with the sums of all parts."""
-    whole, bodies = sums.column("whole").to_pylist(), [_unpack(b) for b in sums.column("body").to_pylist()]
+    whole, bodies = sums.column("whole").to_pylist(), [unpack(b) for b in sums.column("body").to_pylist()]
     ids, n, known, base, x = bodies[whole.index(True)]
     known, base, x = known.copy(), base.copy(), x.copy()
     for (there, own, late, k, b), w in zip(bodies, whole, strict=True):
