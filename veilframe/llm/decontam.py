@@ -2,58 +2,59 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import stored
+from veilframe.llm.common import parts, stored
 
 #: Bytes that belong to no word become a space, A-Z become a-z; bytes from 0x80 are letters of a word.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 WINDOW = 10
-#: Items are taken in blocks of so many bytes; each block's automaton is broadcast and every text is run through it.
-BLOCK_BYTES = 32_000_000
+#: Items are taken in blocks of so many bytes; each block's automaton takes about 100 times as much memory in a worker.
+BLOCK_BYTES = 4_000_000
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
-def windows_of(words: list[bytes], width: int) -> list[bytes]:
-    """The runs of `width` words; all words if there are fewer; each as ' a b c '."""
-    if not words:
-        return []
-    return [b" " + b" ".join(words[i : i + width]) + b" " for i in range(max(1, len(words) - width + 1))]
-
-
-def automaton(items: list[tuple[str, bytes]], width: int):
-    """Automaton over the windows of (item_id, text); its values are (window, items that have it)."""
-    import ahocorasick
-
-    at: dict[bytes, set] = {}
-    for item, text in items:
-        for w in windows_of(words_of(text or b""), width):
-            at.setdefault(w, set()).add(item)
-    auto = ahocorasick.Automaton()
-    for w, ids in at.items():
-        auto.add_word(w.decode("latin-1"), (w.count(b" ") - 1, sorted(ids)))
-    if at:
-        auto.make_automaton()
-    return auto if at else None
+class Windows:
+    """Automaton over the windows of items (item_id, text), whose letters are whole words, numbered.
 
+    Its values are (words of the window, items that have it).
+    """
 
-def hit_runs(words: list[bytes], auto) -> tuple[list[tuple[int, int]], set]:
+    def __init__(self, items: list[tuple[str, bytes]], width: int):
+        import ahocorasick
+
+        self.number: dict[bytes, int] = {}
+        at: dict[tuple, set] = {}
+        for item, text in items:
+            words = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text or b"")]
+            for i in range(max(1, len(words) - width + 1) if words else 0):
+                at.setdefault(tuple(words[i : i + width]), set()).add(item)
+        self.auto = None
+        if at:
+            self.auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            while at:
+                w, ids = at.popitem()
+                self.auto.add_word(w, (len(w), sorted(ids)))
+            self.auto.make_automaton()
+
+
+def hit_runs(words: list[bytes], windows: Windows) -> tuple[list[tuple[int, int]], set]:
     """Runs [first word, end word) that windows cover, merged; and the items found."""
     found: set = set()
-    if auto is None or not words:
+    if windows.auto is None or not words:
         return [], found
-    norm = (b" " + b" ".join(words) + b" ").decode("latin-1")
-    runs, seen, last = [], 0, 0
-    for end, (n, ids) in auto.iter(norm):  # ends rise, so the blanks before an end are counted once
-        seen += norm.count(" ", last, end)
-        last = end
+    number, runs = windows.number.get, []
+    for end, (n, ids) in windows.auto.iter(tuple([number(w, 0) for w in words])):
         found.update(ids)
-        runs.append((seen - n, seen))
+        runs.append((end + 1 - n, end + 1))
     return merge(runs), found
 
 
@@ -71,40 +72,82 @@ def places(text: bytes, words: list[bytes], runs: list[tuple[int, int]]) -> list
     """Code points of the original text that the word runs cover."""
     if not runs:
         return []
-    folded, at, where = text.translate(FOLD), 0, []
-    for w in words:
-        at = folded.index(w, at)
-        where.append((at, at + len(w)))
-        at += len(w)
-    return [(len(text[: where[a][0]].decode("utf-8", "replace")), len(text[: where[b - 1][1]].decode("utf-8", "replace"))) for a, b in runs]
+    is_word = np.frombuffer(text.translate(FOLD), np.uint8) != 32
+    first = np.flatnonzero(is_word & ~np.concatenate(([False], is_word[:-1])))
+    stop = np.flatnonzero(is_word & ~np.concatenate((is_word[1:], [False]))) + 1
+    begins = (np.frombuffer(text, np.uint8) & 0xC0) != 0x80  # bytes that begin a code point
+    point = np.concatenate(([0], np.cumsum(begins)))
+    return [(int(point[first[a]]), int(point[stop[b - 1]])) for a, b in runs]
 
 
 RUN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+RUNS = "array<struct<start:int,end:int>>"
+
+_kept: dict = {}
+
+
+def _windows(shipped, name: str, width: int) -> Windows:
+    """A block's automaton; a worker process keeps the one that it has built last for its next tasks."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = Windows(shipped.value, width)
+    return _kept[name]
+
 
+def _structs(runs):
+    return [{"start": a, "end": b} for a, b in runs]
+
+
+def _scanner(shipped, name: str, width: int):
+    """All rows with what a single block finds in them."""
 
-def _scanner(shipped, width: int, text: str):
     def run(batches):
-        auto = automaton(shipped.value, width)
-        for batch in batches:
-            data = batch.to_pydict()
-            n_words, n_hit, spans, all_runs, items = [], [], [], [], []
-            for t, old, ids in zip(data["__text"], data["__runs"], data["hit_items"], strict=True):
+        windows = _windows(shipped, name, width)
+        for batch in (part for whole in batches for part in parts(whole, "__text")):
+            new: dict = {"n_words": [], "n_hit": [], "hit_spans": [], "hit_items": []}
+            for t in batch.column("__text").to_pylist():
                 t = t or b""
                 words = words_of(t)
-                runs, found = hit_runs(words, auto)
-                runs = merge(runs + [(x["start"], x["end"]) for x in old])
-                n_words.append(len(words))
-                n_hit.append(sum(b - a for a, b in runs))
-                spans.append([{"start": a, "end": b} for a, b in places(t, words, runs)])
-                all_runs.append([{"start": a, "end": b} for a, b in runs])
-                items.append(sorted(found.union(ids)))
-            new = {"n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "hit_spans": pa.array(spans, RUN), "hit_items": pa.array(items, pa.list_(pa.string())), "__runs": pa.array(all_runs, RUN)}
-            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(i)) for i, c in enumerate(batch.schema.names)], names=batch.schema.names)
+                runs, found = hit_runs(words, windows)
+                for c, v in zip(new.values(), (len(words), sum(b - a for a, b in runs), _structs(places(t, words, runs)), sorted(found)), strict=True):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(new[c], KINDS[c]) if c in new else batch.column(i) for i, c in enumerate(batch.schema.names)], names=batch.schema.names)
+
+    return run
+
+
+def _finder(shipped, name: str, width: int):
+    """Rows (numbered) that a block's windows occur in: runs of words and items."""
+
+    def run(batches):
+        windows = _windows(shipped, name, width)
+        for batch in (part for whole in batches for part in parts(whole, "__text")):
+            rows, runs, items = [], [], []
+            for row, t in zip(batch.column("__row").to_pylist(), batch.column("__text").to_pylist(), strict=True):
+                got, found = hit_runs(words_of(t or b""), windows)
+                if got:
+                    rows.append(row)
+                    runs.append(_structs(got))
+                    items.append(sorted(found))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(runs, RUN), pa.array(items, pa.list_(pa.string()))], names=["__row", "__runs", "__items"])
 
     return run
 
 
-ADDED = "n_words long, n_hit long, hit_spans array<struct<start:int,end:int>>, hit_items array<string>, __runs array<struct<start:int,end:int>>"
+def _joiner(batches):
+    """Puts the runs that several blocks have found in a text together."""
+    for batch in (part for whole in batches for part in parts(whole, "__text")):
+        new: dict = {"n_words": [], "n_hit": [], "hit_spans": [], "hit_items": []}
+        for t, runs, items in zip(*(batch.column(c).to_pylist() for c in ("__text", "__runs", "__items")), strict=True):
+            words = words_of(t or b"")
+            runs = merge([(x["start"], x["end"]) for x in runs or []])
+            for c, v in zip(new.values(), (len(words), sum(b - a for a, b in runs), _structs(places(t or b"", words, runs)), sorted(set(items or []))), strict=True):
+                c.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(new[c], KINDS[c]) if c in new else batch.column(i) for i, c in enumerate(batch.schema.names)], names=batch.schema.names)
+
+
+ADDED = {"n_words": "long", "n_hit": "long", "hit_spans": RUNS, "hit_items": "array<string>"}
+KINDS = {"n_words": pa.int64(), "n_hit": pa.int64(), "hit_spans": RUN, "hit_items": pa.list_(pa.string())}
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -112,26 +155,35 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, text: str = "text",
 
     Words are runs of digits, ASCII letters (case folded) and bytes beyond ASCII. An item's windows are its runs of
     `width` words, or all its words if it has fewer; a word of a text is hit if some window that covers it occurs.
-    The items (questions and answers) are broadcast in blocks of about block_bytes, whose number is counted first;
-    texts are only read, never shuffled, and each block passes over them once (usually there is one block).
+    The items (questions and answers) are broadcast in blocks of about block_bytes, whose number is counted first. A
+    worker process builds a block's automaton once. With one block texts are only read; with more, the rows are
+    numbered in the shared folder, each block reads them once and gives the numbers of the texts that it occurs in, and
+    only these are joined.
 
     Null texts have no words; items without words occur nowhere; equal items are all found; items with a null id are
-    left out. Empty tables work on either side. Columns of docs named like the added ones are replaced.
+    left out. Repeated rows are scanned each for itself. Empty tables work on either side. Columns of docs named like
+    the added ones are replaced.
     """
     spark = docs.sparkSession
     items = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("id"), F.col(item_text).cast("binary").alias("t"))
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    out = docs.drop("n_words", "n_hit", "hit_spans", "hit_items").withColumn("__text", F.col(text).cast("binary"))
-    for c in ADDED.replace("array<struct<start:int,end:int>>", "runs").split(", "):
-        name, kind = c.split(" ")
-        kind = kind.replace("runs", "array<struct<start:int,end:int>>")
-        out = out.withColumn(name, F.expr(f"cast({'0' if kind == 'long' else 'array()'} as {kind})"))
+    own = [c for c in docs.columns if c not in ADDED]
+    texts = docs.select(*own, F.col(text).cast("binary").alias("__text"))
+    result = texts.select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in ADDED.items()])
+    load = lambda k: spark.sparkContext.broadcast([(r.id, bytes(r.t or b"")) for r in (items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k) if blocks > 1 else items).collect()])
+    if blocks == 1:
+        return result.mapInArrow(_scanner(load(0), uuid.uuid4().hex, width), result.schema).drop("__text")
+    rows = stored(texts.withColumn("__row", F.monotonically_increasing_id()))
+    found = None
     for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k) if blocks > 1 else items
-        shipped = spark.sparkContext.broadcast([(r.id, bytes(r.t or b"")) for r in part.collect()])
-        out = (stored(out) if k else out).mapInArrow(_scanner(shipped, width, text), out.schema)
-    return out.drop("__text", "__runs")
+        shipped = load(k)
+        hits = stored(rows.select("__row", "__text").mapInArrow(_finder(shipped, uuid.uuid4().hex, width), f"__row long, __runs {RUNS}, __items array<string>"))
+        shipped.destroy()
+        found = hits if found is None else found.unionByName(hits)
+    found = found.groupBy("__row").agg(F.flatten(F.collect_list("__runs")).alias("__runs"), F.flatten(F.collect_list("__items")).alias("__items"))
+    both = rows.join(found, "__row", "left").drop("__row").select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in ADDED.items()])
+    return both.mapInArrow(_joiner, both.schema).drop("__text", "__runs", "__items")
 
 
 ORACLE = r"""

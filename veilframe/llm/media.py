@@ -129,8 +129,22 @@ def encode(payloads: list[bytes]) -> list[bytes]:
 def parse(data: bytes) -> dict | None:
     """Markers of a baseline JPEG: dimensions, components, tables, comment, restart interval and the scan's bytes.
 
-    None where data is no baseline JPEG of one scan.
+    None where data is no baseline JPEG of one scan, where a segment is cut short or where a table is missing.
     """
+    try:
+        out = _parse(data)
+        if out is None:
+            return None
+        known = {p[0]: p for p in out["parts"]}
+        tables = {k for _, dc, ac in out["scan"] for k in (dc, 0x10 | ac)}
+        whole = tables <= set(out["huff"]) and all(len(t) == 16 + sum(t[:16]) and sum(n << (15 - i) for i, n in enumerate(t[:16])) <= 65536 for t in out["huff"].values())
+        sound = all(1 <= h <= 4 and 1 <= v <= 4 and q in out["quant"] and len(out["quant"][q]) == 64 for _, h, v, q in known.values())
+        return out if whole and sound and len(known) == len(out["parts"]) else None
+    except (struct.error, IndexError, ValueError):
+        return None
+
+
+def _parse(data: bytes) -> dict | None:
     if data is None or data[:2] != b"\xff\xd8":
         return None
     out: dict = {"quant": {}, "huff": {}, "restart": 0, "note": b""}
@@ -309,9 +323,10 @@ def padded(data: bytes) -> bytes:
 
 
 def payload(image: dict) -> bytes:
-    """The bytes that encode() has stored."""
-    n = int(image["note"].partition(b"=")[2] or 0)
+    """The bytes that encode() has stored; of other files: all coefficients of the first component."""
     c = image["parts"][0][0]
+    note = image["note"].partition(b"=")[2]
+    n = int(note) if note.isdigit() else image["coef"][c].size
     return (image["coef"][c].reshape(-1).astype(np.int64)[:n] + 128).astype(np.uint8).tobytes()
 
 

@@ -10,6 +10,8 @@ get a keyed digest as local part and domain.
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,7 +76,7 @@ def _pseudonym(kind: str, key: str) -> str:
     """SQL for the pseudonym of m, a match of the kind."""
     if kind == "email":
         digest = lambda part: f"sha2(concat_ws(':', {_q(key)}, lower({part})), 256)"
-        return f"concat('u', substring({digest('m')}, 1, 12), '@h', substring({digest('substring_index(m, chr(64), -1)')}, 1, 8), '.example')"
+        return f"concat('u', substring({digest('m')}, 1, 20), '@h', substring({digest('substring_index(m, chr(64), -1)')}, 1, 16), '.example')"
     digits = "regexp_replace(m, '[^0-9]', '')"
     if kind == "phone":
         # area and exchange begin with 2-9: 800 * 800 * 10000 = 80000 * 80000 numbers; a leading 1 is the country's
@@ -124,8 +126,29 @@ def _valid(kind: str) -> str:
     return test
 
 
-def pseudonymise(df: DataFrame, text: str = "text", key: str = "veilframe", out: str | None = None, found: str = "pii") -> DataFrame:
-    """Replace personal data in a text column; add `found`, an array of structs (kind, start, value, pseudonym).
+#: Lengths are added up in runs of so many, so that a text with n candidates costs about n * STRIDE steps.
+STRIDE = 256
+
+
+def _starts() -> str:
+    """SQL for where each hit begins: sums of the lengths of the gaps and values before it."""
+    step = "length(g) + length(coalesce(x.value, ''))"
+    rises = f"zip_with(slice(__gaps, 1, size(__hits)), __hits, (g, x) -> {step})"
+    sums = "aggregate(r, cast(array(0) as array<int>), (s, v) -> array_append(s, s[size(s) - 1] + v))"  # one more than r, from 0
+    chunks = f"transform(sequence(0, (size(r) - 1) div {STRIDE}), c -> {_let('r', f'slice(r, c * {STRIDE} + 1, {STRIDE})', sums)})"
+    bases = "aggregate(chunks, cast(array(0) as array<int>), (s, c) -> array_append(s, s[size(s) - 1] + c[size(c) - 1]))"
+    ends = f"flatten({_let('bases', bases, 'transform(chunks, (c, k) -> transform(slice(c, 2, size(c)), e -> e + bases[k]))')})"
+    ends = _let("r", rises, _let("chunks", chunks, ends))
+    return f"zip_with({ends}, __hits, (e, x) -> e - length(x.value))"
+
+
+def session_key(spark) -> str:
+    """The secret of spark.veilframe.pii.key, or a new random one, with which pseudonyms link within one call alone."""
+    return spark.conf.get("spark.veilframe.pii.key", None) or secrets.token_hex(16)
+
+
+def pseudonymise(df: DataFrame, text: str = "text", key: str | None = None, out: str | None = None, found: str = "pii") -> DataFrame:
+    """Replace personal data in a text column by pseudonyms under a secret key (session_key() if none is given); add `found`, an array of structs (kind, start, value, pseudonym).
 
     Candidates are the leftmost, longest runs that look like an e-mail address, phone number or group of digits; those
     that no validation accepts stay as they are. The text is split at the candidates and put together again, in
@@ -135,6 +158,7 @@ def pseudonymise(df: DataFrame, text: str = "text", key: str = "veilframe", out:
     occurs twice is replaced twice, by the same pseudonym. Empty tables give empty tables; other columns pass
     through (a column already named like `found` is replaced).
     """
+    key = session_key(df.sparkSession) if key is None else key
     gaps = f"split(__t, {_q(CANDIDATE)}, -1)"
     parts = f"regexp_extract_all(__t, {_q(CANDIDATE)}, 0)"
     kind = "case " + " ".join(f"when {_valid(k)} then '{k}'" for k in KINDS) + " end"
@@ -146,10 +170,7 @@ def pseudonymise(df: DataFrame, text: str = "text", key: str = "veilframe", out:
         .withColumn("__new", F.expr(f"transform(__hits, x -> {value})"))
     )
     whole = F.expr("array_join(flatten(zip_with(__gaps, __new, (g, n) -> array(g, coalesce(n, '')))), '')")
-    starts = F.expr(
-        "aggregate(__hits, named_struct('at', 0, 'k', 0, 'out', cast(array() as array<int>)), (s, x) -> named_struct("
-        "'at', s.at + length(__gaps[s.k]) + length(x.value), 'k', s.k + 1, 'out', array_append(s.out, s.at + length(__gaps[s.k]))), s -> s.out)"
-    )
+    starts = F.expr(_starts())
     hits = F.when(F.size("__hits") > 0, starts)
     work = work.withColumn("__at", hits).withColumn(
         found,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -63,10 +64,14 @@ def is_known(s: str) -> bool:
 
 def random_spans(t: str, encoding, taken: list[tuple[int, int, int]], max_ratio: float) -> list[tuple[int, int, int]]:
     """Runs whose characters per token stay below max_ratio, outside of spans already taken."""
-    out = []
+    out, i = [], 0
+    taken = sorted((x, y) for x, _, y in taken)
+    last = list(accumulate((y for _, y in taken), max))  # the furthest end so far
     for m in RUN.finditer(t):
         a, b, s = m.start(), m.end(), m[0]
-        if is_known(s) or any(x <= a and b <= y or a < y and x < b for x, _, y in taken):
+        while i < len(taken) and taken[i][0] < b:
+            i += 1
+        if i and last[i - 1] > a or is_known(s):
             continue
         tokens = sum(map(len, encoding.encode_ordinary_batch([s[i : i + PIECE] for i in range(0, len(s), PIECE)], num_threads=1)))
         if len(s) < max_ratio * tokens:
@@ -79,7 +84,8 @@ def find_secrets(docs: DataFrame, *, text: str = "text", vocabulary: str = VOCAB
 
     assign, access and hex are fixed patterns. random: runs of 16 or more key characters, apart from the fixed spans,
     that are no known digest or identifier and have fewer than max_ratio characters per token of the vocabulary (a
-    tiktoken file, read by the driver and sent along: its size doesn't depend on the data).
+    tiktoken file, read by the driver and sent along: its size doesn't depend on the data; a missing one is an error at once).
+    Runs longer than PIECE are tokenised piece by piece.
 
     One pass over whole texts, no shuffle. Null and empty texts have an empty array. Rows are independent, so repeated
     rows get equal results; empty tables stay empty; a column already named secrets is replaced.

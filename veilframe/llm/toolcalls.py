@@ -73,7 +73,9 @@ def depths(nodes: DataFrame, max_rounds: int = 50) -> DataFrame:
         if state.where("up is not null").isEmpty():
             break
         above = state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        state = stored(state.join(above, "up", "left").select("node", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+        done = state.where("up is null")
+        going = state.where("up is not null").join(above, "up", "left").select("node", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        state = stored(done.unionByName(going))
     return state.select("node", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
 
 
@@ -98,7 +100,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], *
     node = lambda c: F.to_json(F.struct(*k, F.col(c).alias("id")), {"ignoreNullFields": "false"})
     first = stored(first.select("*", node("call_id").alias("node"), F.when(F.col("after").isNotNull(), node("after")).alias("want")))
     there = first.select(F.col("node").alias("want"), F.col("node").alias("parent"))
-    ordered = depths(first.join(there, "want", "left").select("node", "parent"))
+    free = first.where("want is null").select("node", F.lit(None).cast("string").alias("parent"))
+    ordered = depths(first.where("want is not null").join(there, "want", "left").select("node", "parent").unionByName(free))
     answers = results.where(F.col("call_id").isNotNull()).select(node("call_id").alias("node"), "content", *[F.col(c).alias(f"r_{c}") for c in k], F.col("call_id").alias("r_id"))
     answers = answers.groupBy("node").agg(F.min("content").alias("content"), F.count("*").alias("n"), *[F.first(f"r_{c}").alias(f"r_{c}") for c in k], F.first("r_id").alias("r_id"))
     both = first.join(ordered, "node", "left").join(answers, "node", "full")

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.llm.common import pack, small, unpack
+
 BITS, NMIN, NMAX, DIM = 18, 3, 6, 4
 #: At most so many labelled rows of each class are fitted on (the ones with the smallest digests of their text).
 PER_CLASS = 2500
@@ -54,8 +56,32 @@ def bag(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     return ids, (n / n.sum()).astype(np.float32)
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, prior: float, epochs: int = 12, batch: int = 64, rate: float = 0.4, seed: int = 1):
-    """Fit embeddings and softmax by AdaGrad; returns the per-bucket logit of class 1 against 0, and the bias."""
+class PackedBags:
+    """Bags kept packed (about 5 kB each) and unpacked when they are asked for."""
+
+    def __init__(self, bodies: list[bytes]):
+        self.bodies = bodies
+
+    def __len__(self) -> int:
+        return len(self.bodies)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        steps, n = unpack(self.bodies[i])
+        return np.cumsum(steps, dtype=np.int64).astype(np.int32), (n / max(1, n.sum(dtype=np.int64))).astype(np.float32)
+
+
+def pack_bag(text: bytes) -> bytes:
+    """Steps between the text's buckets, and their counts."""
+    parts = list(buckets(text))
+    ids, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.int32), np.empty(0, np.int64))
+    return pack(small(np.diff(ids, prepend=0)), small(n))
+
+
+def train(bags, labels: np.ndarray, *, prior: float, epochs: int = 12, batch: int = 64, rate: float = 0.4, seed: int = 1):
+    """Fit embeddings and softmax by AdaGrad; returns the per-bucket logit of class 1 against 0, and the bias.
+
+    bags: (buckets, shares) of each row, by number.
+    """
     rng = np.random.default_rng(seed)
     emb = (rng.standard_normal((1 << BITS, DIM)) * 0.05).astype(np.float32)
     out = (rng.standard_normal((DIM, 2)) * 0.5).astype(np.float32)
@@ -69,9 +95,10 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, prio
         rng.shuffle(rows)
         for k in range(0, len(rows), batch):
             own = rows[k : k + batch]
-            ids = np.concatenate([bags[i][0] for i in own])
-            val = np.concatenate([bags[i][1] for i in own]) * scale
-            at = np.concatenate(([0], np.cumsum([len(bags[i][0]) for i in own])[:-1]))
+            got = [bags[i] for i in own]
+            ids = np.concatenate([b[0] for b in got])
+            val = np.concatenate([b[1] for b in got]) * scale
+            at = np.concatenate(([0], np.cumsum([len(b[0]) for b in got])[:-1]))
             mean = np.add.reduceat(emb[ids] * val[:, None], at)
             z = mean @ out + bias
             z -= z.max(1, keepdims=True)
@@ -101,7 +128,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, prio
 def fit(labelled: DataFrame, *, text: str = "text", label: str = "label", per_class: int = PER_CLASS):
     """Train on (text, label 0/1) rows; at most per_class rows of each class, whole texts, chosen by md5 of the text.
 
-    Texts are turned into bags in Spark tasks; the driver gets the bags of the sample (about 25 kB a row) and trains in
+    Texts are turned into bags in Spark tasks; the driver gets the bags of the sample, packed (about 5 kB a row), and trains in
     numpy. Rows with a null text or label are left out. The classes' shares among all rows set the bias. Without rows
     of both classes every score is the share of label 1 (0.5 without any rows).
     """
@@ -155,21 +182,15 @@ def _fit_sample(near: DataFrame, n: dict[int, int], per_class: int):
 
     def bags(batches):
         for b in batches:
-            got = [bag(t) for t in b.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("y"), pa.array([i for i, _ in got], pa.list_(pa.int32())), pa.array([v for _, v in got], pa.list_(pa.float32()))], names=["key", "y", "ids", "shares"])
+            for a in range(0, b.num_rows, 64):
+                c = b.slice(a, 64)
+                yield pa.RecordBatch.from_arrays([c.column("key"), c.column("y"), pa.array([pack_bag(t) for t in c.column("t").to_pylist()], pa.binary())], names=["key", "y", "body"])
 
-    got = near.select("key", "y", "t").mapInArrow(bags, "key long, y int, ids array<int>, shares array<float>").toArrow()
+    got = near.select("key", "y", "t").mapInArrow(bags, "key long, y int, body binary").toArrow()
     key, y = got.column("key").to_numpy(), got.column("y").to_numpy()
     order = np.argsort(key, kind="stable")
-    keep = np.sort(np.concatenate([np.flatnonzero(y[order] == c)[:per_class] for c in (0, 1)]))
-    data = []  # views of what has arrived, no copies
-    for batch in got.to_batches():
-        ids, val = (batch.column(c) for c in ("ids", "shares"))
-        at = ids.offsets.to_numpy()
-        ids, val = ids.values.to_numpy(), val.values.to_numpy()
-        data += [(ids[a:z], val[a:z]) for a, z in zip(at[:-1], at[1:], strict=True)]
-    rows = order[keep]
-    return train([data[i] for i in rows], y[rows], prior=n.get(1, 0) / sum(n.values()))
+    rows = order[np.sort(np.concatenate([np.flatnonzero(y[order] == c)[:per_class] for c in (0, 1)]))]
+    return train(PackedBags(got.column("body").take(pa.array(rows)).to_pylist()), y[rows], prior=n.get(1, 0) / sum(n.values()))
 
 
 def score(df: DataFrame, model, *, text: str = "text", out: str = "score") -> DataFrame:
