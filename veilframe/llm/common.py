@@ -149,3 +149,10 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     for k in keys:
         change[1:] |= k[1:] != k[:-1]
     return np.flatnonzero(change)
+
+
+def ranks(*keys: np.ndarray) -> np.ndarray:
+    """The number of each row's run of equal keys."""
+    out = np.zeros(len(keys[0]), np.int64)
+    out[runs(*keys)[1:]] = 1
+    return np.cumsum(out)

@@ -11,10 +11,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import connected_components, pack, runs, slices, small, stored, unpack
+from veilframe.llm.common import connected_components, pack, ranks, runs, slices, small, stored, unpack
 from veilframe.llm.katz import END, START, STEP, mix, tokens
 
 #: Counts of shingles, hashed into so many cells, give the global order; SLICES rows of them are sent by each task.
@@ -131,8 +132,12 @@ def _prefixes(width: int, seed: int, threshold: int, parts: int, shipped):
     return run
 
 
-def _shared(cells: pa.Table) -> pa.Table:
-    """The shingles of a part that at least two classes have, and who has them where."""
+def _shared(threshold: int):
+    """The shingles of a part that at least two classes have that can be similar, and who has them where."""
+    return lambda cells: _sharers(cells, threshold)
+
+
+def _sharers(cells: pa.Table, threshold: int) -> pa.Table:
     token, cls, place, n = [], [], [], []
     for body in cells.column("body").to_pylist():
         t, at, i, known, sizes = unpack(body)
@@ -144,22 +149,27 @@ def _shared(cells: pa.Table) -> pa.Table:
     order = np.lexsort((cls, token))
     token, cls, place, n = token[order], cls[order], place[order], n[order]
     first = runs(token, cls)
-    token, cls, place, n = token[first], cls[first], place[first], n[first]
-    group = runs(token)
-    keep = np.repeat(np.diff(np.append(group, len(token))) > 1, np.diff(np.append(group, len(token))))
-    return pa.table({"token": token[keep].view(np.int64), "cls": cls[keep], "n": n[keep], "i": place[keep]})
+    token, cls, at, n = token[first], cls[first], place[first], n[first]
+    # a class stays if another one of the group has a size that it can be similar to
+    key, size = ranks(token) << 32, n.astype(np.int64)
+    order = np.argsort(key | size)
+    key, size, place = key[order], size[order], at[order].astype(np.int64)
+    low = -(-threshold * size // 100)
+    high = np.minimum(100 * size // threshold, (100 + threshold) * (size - place) // threshold - size)
+    others = np.searchsorted(key | size, key | np.maximum(high, 0), "right") - np.searchsorted(key | size, key | low) - (size <= high)
+    keep = order[others > 0]
+    return pa.table({"token": token[keep].view(np.int64), "cls": cls[keep], "n": n[keep], "i": at[keep]})
 
 
-def _sets(width: int, seed: int, shipped):
-    """The set of each class of a batch."""
+def _texts(width: int, seed: int):
+    """The class and the compressed text of each document; equal classes of a group of texts once."""
 
     def run(batches):
-        counts = np.frombuffer(shipped.value, np.uint32)
         for b in batches:
             texts = b.column("__text").to_pylist()
             for a, z in slices(texts, GROUP):
-                own = {_class_of(s, seed)[0]: s for s in shingles(texts[a:z], width) if len(s)}
-                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array([_ordered(s, counts).tobytes() for s in own.values()], pa.binary())], names=["cls", "members"])
+                own = {_class_of(s, seed)[0]: t for s, t in zip(shingles(texts[a:z], width), texts[a:z], strict=True) if len(s)}
+                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array([zstandard.compress(t, 3) for t in own.values()], pa.binary())], names=["cls", "body"])
 
     return run
 
@@ -192,10 +202,11 @@ def trie_links(probe: np.ndarray, partners: list[tuple[int, np.ndarray]], rank,
     return links
 
 
-def _verify(threshold: int):
-    """Streams groups (a, blk): the probe's row first, then its partners."""
+def _verify(width: int, threshold: int, shipped):
+    """Streams groups (a, blk): the probe's row first, then its partners; texts are cut into ordered sets on arrival."""
 
     def run(batches):
+        counts = np.frombuffer(shipped.value, np.uint32)
         key, probe, partners = None, None, []
         out_a, out_b = [], []
 
@@ -206,12 +217,13 @@ def _verify(threshold: int):
                 out_b.extend(hits)
 
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("a", "blk", "b", "members")]
-            for a, blk, other, members in zip(*cols, strict=True):
+            cols = [b.column(c).to_pylist() for c in ("a", "blk", "b")]
+            texts = [zstandard.decompress(t) for t in b.column("body").to_pylist()]
+            sets = (_ordered(s, counts).view(np.int64) for x, z in slices(texts, GROUP) for s in shingles(texts[x:z], width))
+            for a, blk, other, s in zip(*cols, sets, strict=True):
                 if (a, blk) != key:
                     done()
                     key, probe, partners = (a, blk), None, []
-                s = np.frombuffer(members, np.int64)
                 if other is None:
                     probe = s
                 else:
@@ -225,14 +237,14 @@ def _verify(threshold: int):
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The similar ones of the pairs (a, b) of classes."""
+def _links(pairs: DataFrame, texts: DataFrame, verify) -> DataFrame:
+    """The similar ones of the pairs (a, b) of classes. texts: (cls, body), each class once."""
     per = pairs.groupBy("a").agg(F.ceil(F.count("*") / TRIE).alias("blocks"))
     pairs = pairs.join(per, "a").select("a", "b", F.pmod(F.xxhash64("b"), "blocks").alias("blk"))
-    partners = pairs.join(sets.withColumnRenamed("cls", "b"), "b").select("a", "blk", "b", "members")
-    probes = pairs.select("a", "blk").distinct().join(sets.withColumnRenamed("cls", "a"), "a").select("a", "blk", F.lit(None).cast("long").alias("b"), "members")
-    rows = partners.unionByName(probes).repartition("a", "blk").sortWithinPartitions("a", "blk", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(_verify(threshold), "a long, b long")
+    probes = pairs.select(F.col("a").alias("cls"), "a", "blk", F.lit(None).cast("long").alias("b")).distinct()
+    want = stored(pairs.select(F.col("b").alias("cls"), "a", "blk", "b").unionByName(probes))
+    rows = texts.join(want, "cls").select("a", "blk", "b", "body")
+    return rows.repartition("a", "blk").sortWithinPartitions("a", "blk", F.col("b").asc_nulls_first()).mapInArrow(verify, "a long, b long")
 
 
 def _alike(n_a: str, i_a: str, n_b: str, i_b: str, threshold: int):
@@ -286,18 +298,26 @@ def similar_documents(docs: DataFrame, *, text: str = "text", id_col: str = "doc
     n_bytes = work.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
     parts = max(1, -(-n_bytes // PART_BYTES))
     cells = work.select("__text").mapInArrow(_prefixes(width, seed, threshold, parts, shipped), "part int, body binary")
-    active = stored(cells.groupBy("part").applyInArrow(_shared, "token long, cls long, n int, i int"))
+    active = stored(cells.groupBy("part").applyInArrow(_shared(threshold), "token long, cls long, n int, i int"))
     turn = Window.partitionBy("token").orderBy(F.xxhash64("cls"), "cls")
     groups = stored(active.select("*", (F.row_number().over(turn) - 1).alias("rank"), F.col("cls").alias("comp")))
     comp = None
-    # ids only narrow down the texts: several may have one id, or none; each text's class tells if its set is asked for
-    asked = stored(active.select("cls").distinct())
-    reps = asked.join(classes.select("cls", "first"), "cls").select(F.col("first").alias("__id"))
-    texts = work.join(reps, "__id", "left_semi").select("__text").unionByName(work.where("__id is null").select("__text"))
-    sets = stored(texts.mapInArrow(_sets(width, seed, shipped), "cls long, members binary").join(asked, "cls", "left_semi").dropDuplicates(["cls"]))
+
+    def texts_of(classes_asked):
+        # ids only narrow down the texts: several may have one id, or none; each text's class tells if it is asked for
+        reps = classes_asked.join(classes.select("cls", "first"), "cls").select(F.col("first").alias("__id"))
+        texts = work.join(reps, "__id", "left_semi").select("__text").unionByName(work.where("__id is null").select("__text"))
+        return texts.mapInArrow(_texts(width, seed), "cls long, body binary").groupBy("cls").agg(F.first("body").alias("body"))
+
+    verify, texts = _verify(width, threshold, shipped), None
     lo, hi = 0, SMALL
     while not groups.isEmpty():
-        links = stored(_links(stored(_round(groups, lo, hi, threshold)), sets, threshold))
+        pairs = stored(_round(groups, lo, hi, threshold))
+        if texts is None:  # the first round asks for most of them, once
+            now = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+        else:
+            now = texts
+        links = stored(_links(pairs, now, verify))
         if comp is not None:
             links = links.join(comp.select(F.col("cls").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("cls").alias("b"), F.col("comp").alias("cb")), "b", "left")
             links = stored(links.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b"))
@@ -314,6 +334,8 @@ def similar_documents(docs: DataFrame, *, text: str = "text", id_col: str = "doc
         # groups with a component besides the first class's, and with leaders to come
         left = groups.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("rank").alias("last")).where(F.col("lo") < F.col("hi")).where(F.col("last") >= lo)
         groups = stored(groups.join(left.select("token"), "token").select("token", "cls", "n", "i", "rank", "comp"))
+        if texts is None and not groups.isEmpty():
+            texts = stored(texts_of(groups.select("cls").distinct()))
     if comp is None:
         comp = spark.createDataFrame([], "cls long, comp long")
     labelled = stored(rows.select("id", "cls", "n").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import pack, runs, slices, small, stored, unpack
+from veilframe.llm.common import pack, ranks, runs, slices, small, stored, unpack
 
 #: Lower-case A-Z only; space and \t-\r part the words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -116,13 +116,6 @@ def reduced(c: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.where(c <= len(d), np.append(0.0, d)[np.minimum(c, len(d))] * c, c - 0.5)
 
 
-def _rank(*keys: np.ndarray) -> np.ndarray:
-    """The number of each row's run of equal keys."""
-    out = np.zeros(len(keys[0]), np.int64)
-    out[runs(*keys)[1:]] = 1
-    return np.cumsum(out)
-
-
 def _order(cols: list[np.ndarray]) -> np.ndarray:
     """Sorts rows by the first column, then by the second one, and so on."""
     if len(cols) <= 3 and all(len(c) == 0 or int(c.max()) < 1 << 21 for c in cols):
@@ -304,7 +297,7 @@ class _Part:
         self.cols = [c[go[starts]] for c in cols]
         self.count = np.bincount(self.inv, count, len(starts)).astype(np.int64)
         #: histories of 1, 2, ... words: the number of each n-gram's, and their counts
-        self.context = [None, *(_rank(*self.cols[: j + 1]) for j in range(width - 1))]
+        self.context = [None, *(ranks(*self.cols[: j + 1]) for j in range(width - 1))]
         self.of_context = [None, *(np.bincount(c, self.count, int(c[-1]) + 1 if len(c) else 0).astype(np.int64) for c in self.context[1:])]
         self.hot = np.append(words.hot, np.zeros(len(self.extra), bool))[self.cols[0]]
         self.digest = np.concatenate((words.digest, self.extra))
