@@ -41,3 +41,35 @@ def difference_hash(pixels: str, size: int = 8) -> Column:
         f"cast(aggregate(filter(sequence(1, {n * n}), i -> i % {n} <> 0 and element_at({pixels}, i + 1) > element_at({pixels}, i)), 0L, "
         f"(a, i) -> a + shiftleft(1L, cast(((i - 1) div {n}) * {n - 1} + (i - 1) % {n} as int))) as string)"
     )
+
+
+def wall_clock(seconds: str | Column) -> Column:
+    """h:mm:ss of a duration in seconds; whole days are left out, as clocks show it."""
+    s = F.pmod(F.col(seconds) if isinstance(seconds, str) else seconds, F.lit(86400))
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    return F.concat(F.floor(s / 3600).cast("string"), F.lit(":"), two(F.floor(s % 3600 / 60)), F.lit(":"), two(s % 60))
+
+
+def pretty_age(seconds: str | Column) -> Column:
+    """An age in seconds in words: 'just now', '5 minutes ago', 'yesterday', '3 weeks ago'. Negative ages: empty."""
+    s = F.col(seconds) if isinstance(seconds, str) else seconds
+    d, r = F.floor(s / 86400), F.pmod(s, F.lit(86400))
+    some = lambda n, unit: F.concat(F.floor(n).cast("string"), F.lit(f" {unit} ago"))
+    today = F.when(r < 10, "just now").when(r < 60, some(r, "seconds")).when(r < 120, "a minute ago").when(r < 3600, some(r / 60, "minutes")).when(r < 7200, "an hour ago").otherwise(some(r / 3600, "hours"))
+    past = F.when(d < 7, some(d, "days")).when(d < 31, some(d / 7, "weeks")).when(d < 365, some(d / 30, "months")).otherwise(some(d / 365, "years"))
+    return F.when(d < 0, "").when(d == 0, today).when(d == 1, "yesterday").otherwise(past)
+
+
+def from_base64url(coded: str | Column) -> Column:
+    """Bytes of URL-safe base64, with or without its padding."""
+    c = F.rtrim(F.translate(F.col(coded) if isinstance(coded, str) else coded, "-_", "+/"), F.lit("="))
+    return F.unbase64(F.concat(c, F.repeat(F.lit("="), F.pmod(4 - F.length(c) % 4, F.lit(4)))))
+
+
+def from_data_uri(uri: str | Column) -> Column:
+    """Bytes of a data URI: what follows its last comma."""
+    return F.unbase64(F.substring_index(uri, ",", -1))
+
+
+def distance(x1: str, y1: str, x2: str, y2: str) -> Column:
+    return F.expr(f"sqrt(double(power({x2} - {x1}, 2)) + double(power({y2} - {y1}, 2)))")

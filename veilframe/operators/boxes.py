@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veilframe.operators.sets import FRAME
 
@@ -38,12 +39,16 @@ def clip(matches: DataFrame, x1: int, y1: int, x2: int, y2: int) -> DataFrame:
 def aligned(matches: DataFrame, tolerance: int) -> DataFrame:
     """Matches that share their top, left or right edge with another of the frameset, within a tolerance.
 
-    Edges are joined by strips as wide as the tolerance, a strip and its neighbours, not by all pairs of a frameset.
+    In the order of their edges the nearest other edge is the one before or the one after, so no pairs are made. Null edges are
+    aligned with nothing.
     """
     edge = "inline(array({}))".format(", ".join(f"named_struct('kind', '{k}', 'at', {e})" for k, e in (("y", "y"), ("x", "x"), ("x2", "x + w"))))
-    e = matches.select(*FRAME, "uid", F.expr(edge)).withColumn("strip", F.expr(f"at div {tolerance + 1}"))
-    near = e.selectExpr(*FRAME, "uid other", "kind", "at other_at", "explode(array(strip - 1, strip, strip + 1)) strip")
-    hits = e.join(near, [*FRAME, "kind", "strip"]).where(f"uid <> other and abs(at - other_at) <= {tolerance}").select(*FRAME, "uid").distinct()
+    e = matches.select(*FRAME, "uid", F.expr(edge)).where("at is not null").distinct()
+    up, down = (Window.partitionBy(*FRAME, "kind").orderBy(*o) for o in (("at", "uid"), (F.col("at").desc(), F.col("uid").desc())))
+    e = e.withColumn("low", F.when(F.lag("uid").over(up) != F.col("uid"), F.lag("at").over(up))).withColumn("high", F.when(F.lag("uid").over(down) != F.col("uid"), F.lag("at").over(down)))
+    last = lambda c, by: F.last(c, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    near = (F.col("at") - last("low", up) <= tolerance) | (last("high", down) - F.col("at") <= tolerance)
+    hits = e.withColumn("near", F.coalesce(near, F.lit(False))).where("near").select(*FRAME, "uid").distinct()
     return matches.join(hits, [*FRAME, "uid"], "left_semi")
 
 
@@ -67,14 +72,27 @@ def project_zone(matches: DataFrame, anchor: tuple[int, int], zone: tuple[int, i
     return matches.selectExpr(*FRAME, "uid", f"{cut(f'x + ({x1 - ax}) / {scale}')} x", f"{cut(f'y + ({y1 - ay}) / {scale}')} y", f"{cut(f'{x2 - x1} / {scale}')} w", f"{cut(f'{y2 - y1} / {scale}')} h")
 
 
-def union_area(matches: DataFrame) -> DataFrame:
-    """Pixels that a frameset's rectangles cover together, both edges included.
+def union_area(matches: DataFrame, keys: tuple[str, ...] = FRAME) -> DataFrame:
+    """Pixels that the rectangles of a frameset (or other keys) cover together, both edges included.
 
-    Rows of pixels are split at the rectangles' edges, and the x runs of each strip are merged by a running maximum.
+    Distinct rectangles are gathered once by key; each strip between two of their upper or lower edges adds its height
+    times the runs of x that its rectangles cover, found by a running maximum. Null rectangles are left out.
     """
-    m = matches.select(*FRAME, "x", "y", F.expr("x + w + 1").alias("x2"), F.expr("y + h + 1").alias("y2"))
-    cuts = m.select(*FRAME, F.explode(F.array("y", "y2")).alias("c")).groupBy(*FRAME).agg(F.array_sort(F.collect_set("c")).alias("cs"))
-    strips = cuts.select(*FRAME, F.expr("inline(transform(slice(cs, 1, size(cs) - 1), (c, i) -> struct(c top, cs[i + 1] bottom)))"))
-    runs = m.join(strips, list(FRAME)).where("y <= top and bottom <= y2").groupBy(*FRAME, "top", "bottom").agg(F.array_sort(F.collect_set(F.struct("x", "x2"))).alias("r"))
-    covered = "aggregate(r, struct(0 n, cast(-1 as int) e), (s, v) -> struct(s.n + greatest(0, v.x2 - greatest(v.x, s.e)) as n, greatest(s.e, v.x2) as e), s -> s.n)"
-    return runs.select(*FRAME, F.expr(f"cast((bottom - top) * {covered} as long)").alias("a")).groupBy(*FRAME).agg(F.sum("a").alias("area"))
+    k = list(keys)
+    rect = F.struct("x", F.expr("x + w + 1").alias("x2"), "y", F.expr("y + h + 1").alias("y2"))
+    by = matches.where("x is not null and y is not null and w is not null and h is not null").groupBy(*k).agg(F.array_sort(F.collect_set(rect)).alias("r"))
+    by = by.withColumn("ys", F.expr("array_sort(array_distinct(flatten(transform(r, q -> array(q.y, q.y2)))))"))
+    covered = "aggregate(filter(r, q -> q.y <= top and q.y2 > top), struct(0 n, cast(-1000000000 as int) e), (s, q) -> struct(s.n + greatest(0, q.x2 - greatest(q.x, s.e)) as n, greatest(s.e, q.x2) as e), s -> s.n)"
+    area = f"aggregate(transform(slice(ys, 1, size(ys) - 1), (top, i) -> cast(ys[i + 1] - top as long) * {covered}), 0L, (a, v) -> a + v)"
+    return by.select(*k, F.expr(area).alias("area"))
+
+
+def reading_order(matches: DataFrame) -> DataFrame:
+    """place: a match's number in its frameset from above, then from the left; ties by uid, nulls first."""
+    return matches.withColumn("place", F.row_number().over(Window.partitionBy(*FRAME).orderBy("y", "x", "uid")))
+
+
+def largest(matches: DataFrame, value: str) -> DataFrame:
+    """Each frameset's match of the largest value; of equal ones the smallest uid. Null values lose."""
+    rest = [c for c in matches.columns if c not in FRAME]
+    return matches.groupBy(*FRAME).agg(F.max_by(F.struct(*rest), F.struct(F.expr(value).alias("v"), (-F.col("uid")).alias("o"))).alias("m")).select(*FRAME, "m.*")

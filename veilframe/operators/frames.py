@@ -58,3 +58,35 @@ def final_image(frames: DataFrame, redacted: DataFrame, illustrated: DataFrame)
     """What each frame shows at last: its frameset's illustration, else its redaction, else itself."""
     keys = ["movie_url", "frameset"]
     return frames.join(redacted, keys, "left").join(illustrated, keys, "left").withColumn("final", F.coalesce("illustrated_image", "redacted_image", "image"))
+
+
+def gathered(frames: DataFrame) -> DataFrame:
+    """Framesets with the URLs of their images, sorted as text."""
+    return frames.groupBy("movie_url", "frameset").agg(F.array_sort(F.collect_list("image")).alias("images"))
+
+
+def hashed_batches(frames: DataFrame, size: int) -> DataFrame:
+    """Frames grouped by hash within each batch of a movie's frames."""
+    return batches(frames, size).groupBy("movie_url", "batch", "frameset").agg(F.count("*").alias("n_frames"), F.min("ts").alias("first_ts"))
+
+
+def merged_batches(parts: DataFrame) -> DataFrame:
+    """What batches have grouped by hash, put together."""
+    return parts.groupBy("movie_url", "frameset").agg(F.sum("n_frames").alias("n_frames"), F.min("first_ts").alias("first_ts"))
+
+
+def merge_framesets(frames: DataFrame, into: str, merged: str) -> DataFrame:
+    """Frames of one frameset become frames of another."""
+    return frames.withColumn("frameset", F.when(F.col("frameset") == merged, F.lit(into)).otherwise(F.col("frameset")))
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Frames or matches but for those of framesets that are removed."""
+    return rows.join(gone.select("movie_url", "frameset").distinct(), ["movie_url", "frameset"], "left_anti")
+
+
+def cleared(frames: DataFrame, *columns: str) -> DataFrame:
+    """The columns (redactions, illustrations) emptied in all rows."""
+    for c in columns:
+        frames = frames.withColumn(c, F.lit(None).cast(frames.schema[c].dataType))
+    return frames

@@ -27,3 +27,22 @@ def movie_scores(frames: DataFrame, objective: dict = OBJECTIVE) -> DataFrame:
 def job_score(movies: DataFrame) -> DataFrame:
     """Mean of the rounded movie scores; failed if any movie failed."""
     return movies.agg(F.bround(F.avg(F.col("score").cast("decimal(12,2)")).cast("double"), 2).alias("score"), F.min("score").alias("lowest"), F.max("score").alias("highest"), F.max("failed").alias("failed"))
+
+
+def series(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """(keys, series): each group's values in order, as a chart shows them. Null values stay out."""
+    by = rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("__v")))).alias("s"))
+    return by.select(*keys, F.expr("transform(s, e -> e.__v)").alias("series"))
+
+
+def most_frequent(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value, n): each group's most frequent value and how often it occurs; of equally frequent ones the largest."""
+    n = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    return n.groupBy(*keys).agg(F.max(F.struct("n", F.col(value).alias("value"))).alias("m")).select(*keys, "m.value", "m.n")
+
+
+def by_interest(cells: DataFrame) -> DataFrame:
+    """place: a mesh cell's number in its frameset, the most interesting first; ties by uid."""
+    from pyspark.sql.window import Window
+
+    return cells.withColumn("place", F.row_number().over(Window.partitionBy("movie_url", "frameset").orderBy(F.col("interest").desc_nulls_last(), "uid")))

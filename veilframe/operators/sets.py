@@ -41,3 +41,48 @@ def any_criterion(matches: DataFrame, criteria: dict[str, list]) -> DataFrame:
     for name, values in criteria.items():
         test = test | F.coalesce(F.col(name).isin(values), F.lit(False))
     return matches.where(test)
+
+
+def containing(rows: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
+    """Rows with each needle that their text contains. Null and empty texts and needles match nothing.
+
+    An equi-join, not all pairs: texts are cut into their pieces of just the lengths that needles have.
+    """
+    n = needles.where(F.length(needle) > 0)
+    lengths = sorted(r[0] for r in n.select(F.length(needle)).distinct().collect())
+    if not lengths:
+        return rows.join(n.limit(0), F.lit(False))
+    texts, found = rows.select(F.col(text)).distinct(), None
+    for k in lengths:
+        cut = f"array_distinct(transform(sequence(1, length({text}) - {k} + 1), i -> substring({text}, i, {k})))"
+        pieces = texts.where(F.length(text) >= k).select(text, F.explode(F.expr(cut)).alias("__piece"))
+        found = pieces if found is None else found.unionByName(pieces)
+    return rows.join(found.join(n, F.col("__piece") == F.col(needle)).drop("__piece"), text)
+
+
+def unmatched(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys the others don't have; null keys are never had."""
+    return rows.join(others.select(*keys).distinct(), keys, "left_anti")
+
+
+def fan_in(matches: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """What children found, put together: of rows that share keys the last child's counts."""
+    rest = [c for c in matches.columns if c not in keys]
+    return matches.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("m")).select(*keys, "m.*")
+
+
+def replaced(matches: DataFrame, keys: list[str], child: str) -> DataFrame:
+    """What children found, where a later child replaces all that earlier ones have of a movie or frameset (keys)."""
+    last = matches.groupBy(*keys).agg(F.max(child).alias(child))
+    return matches.join(last, [*keys, child], "left_semi")
+
+
+def carried_in(inputs: DataFrame, ocr: DataFrame) -> DataFrame:
+    """A scanner's input with the recognised text of its framesets added; framesets it doesn't have stay out."""
+    return inputs.unionByName(ocr.join(inputs.select(*FRAME).distinct(), list(FRAME), "left_semi").select(*inputs.columns))
+
+
+def all_anchors(matches: DataFrame, anchors: list[str]) -> DataFrame:
+    """Matches of the framesets where every anchor (anchor_id) was found."""
+    full = matches.where(F.col("anchor_id").isin(anchors)).groupBy(*FRAME).agg(F.count_distinct("anchor_id").alias("n")).where(F.col("n") == len(set(anchors)))
+    return matches.join(full.select(*FRAME), list(FRAME), "left_semi")

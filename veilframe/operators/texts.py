@@ -42,3 +42,23 @@ def seconds_into_log(lines: DataFrame, pattern: str) -> DataFrame:
     t = lines.withColumn("at", F.try_to_timestamp(F.regexp_extract("line", r"(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)", 1), F.lit("yyyy-MM-dd HH:mm:ss"))).where("at is not null")
     first = t.groupBy("log_id").agg(F.min("at").alias("first"))
     return t.where(F.col("line").rlike(pattern)).join(first, "log_id").withColumn("second", F.expr("(unix_timestamp(at) - unix_timestamp(first)) % 86400")).drop("first")
+
+
+def frames_of_log(lines: DataFrame, pattern: str, offset: int) -> DataFrame:
+    """seconds_into_log() less what the recording began after the log; lines from before it are left out."""
+    return seconds_into_log(lines, pattern).withColumn("second", F.col("second") - offset).where("second >= 0")
+
+
+def mappings(lines: DataFrame) -> DataFrame:
+    """Lines (text) of two forms, "recording: transaction" and "('recording', 'transaction')", with both names; others are left out."""
+    pair = r"\(\s*'([^']*)'\s*,\s*'([^']*)'"
+    quoted = F.col("text").rlike(pair)
+    plain = ~quoted & F.col("text").contains(":")
+    one = lambda i: F.when(quoted, F.regexp_extract("text", pair, i)).otherwise(F.trim(F.regexp_extract("text", r"^([^:]*):([\s\S]*)$", i)))
+    return lines.where(quoted | plain).withColumn("recording", one(1)).withColumn("transaction", one(2))
+
+
+def csv_ready(rows: DataFrame) -> DataFrame:
+    """Nested columns (structs, maps, arrays) written as JSON, so that every column is a plain value."""
+    nested = [f.name for f in rows.schema if f.dataType.typeName() in ("struct", "map", "array")]
+    return rows.select(*[F.to_json(c).alias(c) if c in nested else F.col(c) for c in rows.columns])

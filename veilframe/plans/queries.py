@@ -2,27 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.functions import text as T
 from veilframe.operators import boxes, frames, jobs, scores, sets, texts
+from veilframe.plans import areas, catalog, layouts  # noqa: F401  they register their queries
+from veilframe.plans.registry import ORACLES, PLAIN, QUERIES, query  # noqa: F401
 from veilframe.sources import tables as S
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str):
-    def register(f):
-        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
-        return f
-
-    return register
-
-
 M, FR, J = S.MATCHES_SQL, S.FRAMES_SQL, S.JOBS_SQL
 RANK = "row_number() over (partition by movie_url, frameset, match_id order by job_id, uid)"
 

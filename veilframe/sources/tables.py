@@ -47,3 +47,13 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 JOBS_SQL = "j as (select o_orderkey id, case when o_orderkey // 7 > 0 then o_orderkey // 7 end parent_id, case o_orderstatus when 'F' then 'success' when 'O' then 'running' else 'failed' end status, o_orderdate created_on, o_custkey % 20 owner from orders)"
+
+
+def result_of(results: DataFrame, job_id: str) -> DataFrame:
+    """What another job has found: results are kept in folders by job_id, so that no other job's are read."""
+    return results.where(F.col("job_id") == job_id)
+
+
+def write_results(results: DataFrame, path: str) -> None:
+    """Results as a table with a folder for each job; jobs that come again replace their own folder alone."""
+    results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").parquet(path)
