@@ -17,3 +17,45 @@ def test_stale_retry(spark):
     df = spark.createDataFrame(rows, "recording string, ts string, status string, retries int").selectExpr("recording", "cast(ts as timestamp) ts", "status", "retries")
     assert [r.recording for r in queue.to_retry(df, "2024-01-01 05:00:00").collect()] == ["b"]
     assert queue.to_retry(df.limit(0), "2024-01-01 05:00:00").count() == 0
+
+
+def test_running_stream(spark, tmp_path):
+    """Files that arrive one after the other: bad items go, each recording comes out once, the rest waits its turn."""
+    item = lambda k, s: {"Annotation": '{"accountId": "1", "timestamp": "2024-01-02T03:04:%02d.000000Z", "value": "r%d", "agentId": "a"}' % (s, k), "Pipeline": "p"}
+    for n, rows in enumerate([[item(1, 1), item(1, 2), {"Annotation": "bad", "Pipeline": "p"}], [item(2, 3), item(1, 4), item(3, 5)]]):
+        spark.createDataFrame(rows, "Annotation string, Pipeline string").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    raw = spark.readStream.schema("Annotation string, Pipeline string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    seen: list = []
+
+    def take(batch, number):
+        seen.append([r.recording for r in queue.admitted(batch, running=24).collect()])
+
+    first = queue.first_arrivals(queue.parse_items(raw, ["p"]))
+    query = first.writeStream.foreachBatch(take).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    taken = [r for b in seen for r in b]
+    assert len(taken) == len(set(taken)) and set(taken) <= {"r1", "r2", "r3"} and all(len(b) <= 1 for b in seen)
+    dispatched = spark.createDataFrame([("r1", 1), ("r2", 2)], "recording string, n int")
+    received = spark.createDataFrame([("r2",), (None,)], "recording string")
+    assert [r.recording for r in queue.unreceived(dispatched, received).collect()] == ["r1"]
+    assert queue.has_room(spark.createDataFrame([("running",), ("success",), (None,)], "status string"), unreceived=2, throttle=4)
+    assert not queue.has_room(spark.createDataFrame([("running",)], "status string"), unreceived=3, throttle=4)
+    assert first.isStreaming
+
+
+def test_equal_texts_are_alike(spark):
+    from veilframe.functions import text as T
+
+    rng = __import__("random").Random(1)
+    words = ["", "a", "ab\U0001f600c", "x" * 62, "y" * 70] + ["".join(rng.choices("abcde", k=rng.randrange(1, 90))) for _ in range(40)]
+
+    def ratio(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            old, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(old[j] + 1 if x == y else max(old[j + 1], row[j]))
+        return 100 if a == b else round(200.0 * row[-1] / (len(a) + len(b)))
+
+    pairs = spark.createDataFrame([(a, b) for a in words for b in words[::3]], "a string, b string")
+    assert all(r.r == ratio(r.a, r.b) for r in pairs.withColumn("r", T.indel_ratio("a", "b")).collect())

@@ -6,19 +6,39 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def indel_ratio(a: str, b: str) -> Column:
+#: Texts of up to so many characters are compared bit by bit in one 64-bit number.
+BITS = 62
+
+
+def match_masks(a: str) -> str:
+    """SQL for a map from each character of a text of at most BITS characters to the places (bits) where it stands."""
+    places = f"aggregate(sequence(1, length({a})), 0L, (v, i) -> v | case when substring({a}, i, 1) = c then shiftleft(1L, i - 1) else 0L end)"
+    chars = f"array_distinct(transform(sequence(1, length({a})), i -> substring({a}, i, 1)))"
+    return f"case when length({a}) between 1 and {BITS} then map_from_entries(transform({chars}, c -> struct(c, {places}))) end"
+
+
+def indel_ratio(a: str, b: str, masks: str | None = None) -> Column:
     """Similarity 0-100 of two columns: 200 * longest common subsequence / (both lengths), rounded half to even.
 
-    Two empty texts: 0. Null if one is null.
+    Two empty texts: 100; one empty: 0. Null if one is null. masks: a column that holds match_masks(a), where one text
+    meets many. A text a of at most BITS characters is compared with a few whole-number steps for each character of b, longer ones
+    row by row.
     """
+    step = f"transform(array(v & coalesce(try_element_at(k, substring({b}, j, 1)), 0L)), u -> ((v + u) | (v - u)) & (shiftleft(1L, length({a})) - 1))[0]"
+    fold = f"aggregate(sequence(1, length({b})), shiftleft(1L, length({a})) - 1, (v, j) -> {step})"
+    short = f"length({a}) - bit_count(transform(array({masks or match_masks(a)}), k -> {fold})[0])"
     row = f"aggregate(sequence(1, length({b})), array(0), (r, j) -> array_append(r, case when substring({a}, i, 1) = substring({b}, j, 1) then element_at(old, j) + 1 else greatest(element_at(old, j + 1), element_at(r, j)) end))"
-    lcs = f"element_at(aggregate(sequence(1, length({a})), array_repeat(0, length({b}) + 1), (old, i) -> {row}), -1)"
-    return F.expr(f"case when {a} is null or {b} is null then null when length({a}) = 0 or length({b}) = 0 then 0 else cast(bround(100 * (2.0D * {lcs} / (length({a}) + length({b})))) as int) end")
+    long = f"element_at(aggregate(sequence(1, length({a})), array_repeat(0, length({b}) + 1), (old, i) -> {row}), -1)"
+    lcs = f"case when length({a}) <= {BITS} then {short} else {long} end"
+    return F.expr(
+        f"case when {a} is null or {b} is null then null when length({a}) = 0 and length({b}) = 0 then 100 when length({a}) = 0 or length({b}) = 0 then 0 "
+        f"else cast(bround(100 * (2.0D * {lcs} / (length({a}) + length({b})))) as int) end"
+    )
 
 
 def ratio_bound(a: str, b: str) -> Column:
     """The most that indel_ratio can be for texts of these lengths: cheap, so that most pairs need no comparison."""
-    return F.expr(f"200.0D * least(length({a}), length({b})) / (length({a}) + length({b}))")
+    return F.expr(f"case when length({a}) + length({b}) = 0 then 100.0D else 200.0D * least(length({a}), length({b})) / (length({a}) + length({b})) end")
 
 
 #: Characters that text recognition takes for digits and the colon of a clock, and what they stand for (fixed values).

@@ -46,18 +46,46 @@ def batches(frames: DataFrame, size: int) -> DataFrame:
     return numbered(frames).withColumn("batch", F.expr(f"frame_seq div {size}"))
 
 
-def black_out(frames: DataFrame, ranges: list[tuple[int, int]], black: str) -> DataFrame:
-    """Frames outside of all ranges (first and last second, both included) show the black image."""
-    inside = F.lit(False)
-    for a, b in ranges:
-        inside = inside | F.col("frame_seq").between(a, b)
-    return numbered(frames).withColumn("image", F.when(inside, F.col("image")).otherwise(F.lit(black)))
+def black_out(frames: DataFrame, ranges: DataFrame, black: str) -> DataFrame:
+    """Frames outside of all ranges (lo, hi: first and last second, both included) show the black image.
+
+    Ranges are spread over their seconds, as far as some movie goes, for an equi-join; those with a null end or hi < lo are left out.
+    """
+    f = numbered(frames)
+    most = f.agg(F.max("frame_seq")).first()[0] or 0
+    lit = ranges.where(F.col("lo") <= F.col("hi")).select(F.greatest("lo", F.lit(0)).cast("long").alias("a"), F.least("hi", F.lit(most)).cast("long").alias("b")).where("a <= b")
+    seconds = lit.select(F.explode(F.sequence("a", "b")).alias("frame_seq")).distinct().withColumn("lit", F.lit(True))
+    return f.withColumn("frame_seq", F.col("frame_seq").cast("long")).join(seconds, "frame_seq", "left").withColumn("image", F.when(F.col("lit"), F.col("image")).otherwise(F.lit(black))).drop("lit")
 
 
 def final_image(frames: DataFrame, redacted: DataFrame, illustrated: DataFrame) -> DataFrame:
-    """What each frame shows at last: its frameset's illustration, else its redaction, else itself."""
+    """What each frame shows at last: its frameset's illustration, else its redaction, else itself.
+
+    A frame without a frameset (null) shows what its movie's first frameset does: the one of the earliest frame.
+    """
     keys = ["movie_url", "frameset"]
-    return frames.join(redacted, keys, "left").join(illustrated, keys, "left").withColumn("final", F.coalesce("illustrated_image", "redacted_image", "image"))
+    own = frames.withColumn("__own", F.col("frameset"))
+    first = frames.where("frameset is not null").groupBy("movie_url").agg(F.min_by(F.struct("frameset", "image"), F.struct("ts", "event_id")).alias("__f"))
+    lost = own.where("frameset is null").join(first, "movie_url", "left").withColumn("frameset", F.col("__f.frameset")).withColumn("__image", F.coalesce("__f.image", "image")).drop("__f")
+    rows = own.where("frameset is not null").withColumn("__image", F.col("image")).unionByName(lost)
+    both = rows.join(redacted, keys, "left").join(illustrated, keys, "left").withColumn("final", F.coalesce("illustrated_image", "redacted_image", "__image"))
+    return both.withColumn("frameset", F.col("__own")).drop("__own", "__image")
+
+
+def skip_first(frames: DataFrame, n: int) -> DataFrame:
+    """Framesets in order, but for each movie's first n."""
+    return frameset_order(frames).where(F.col("place") > n)
+
+
+def images_in_order(frames: DataFrame) -> DataFrame:
+    """Framesets with all their images in the order of the frames."""
+    by = frames.groupBy("movie_url", "frameset").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "image"))).alias("f"))
+    return by.select("movie_url", "frameset", F.expr("transform(f, x -> x.image)").alias("images"))
+
+
+def matches_before(matches: DataFrame, frames: DataFrame, frameset: str) -> DataFrame:
+    """Matches of the framesets that stay when movies are cut at a frameset; those of framesets without frames go."""
+    return matches.join(truncate_at(frames, frameset).select("movie_url", "frameset"), ["movie_url", "frameset"], "left_semi")
 
 
 def gathered(frames: DataFrame) -> DataFrame:

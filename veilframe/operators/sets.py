@@ -86,3 +86,14 @@ def all_anchors(matches: DataFrame, anchors: list[str]) -> DataFrame:
     """Matches of the framesets where every anchor (anchor_id) was found."""
     full = matches.where(F.col("anchor_id").isin(anchors)).groupBy(*FRAME).agg(F.count_distinct("anchor_id").alias("n")).where(F.col("n") == len(set(anchors)))
     return matches.join(full.select(*FRAME), list(FRAME), "left_semi")
+
+
+def with_first(matches: DataFrame, others: DataFrame, order: str, values: list[str]) -> DataFrame:
+    """Matches with p, a struct of the values of another job's first match in their frameset; null if it has none."""
+    first = others.groupBy(*FRAME).agg(F.min_by(F.struct(*values), order).alias("p"))
+    return matches.join(first, list(FRAME), "left")
+
+
+def of_app(matches: DataFrame, app: str) -> DataFrame:
+    """Matches that name this app or none."""
+    return matches.where(F.col("app_id").isNull() | (F.col("app_id") == app))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.functions.text import indel_ratio, ratio_bound
+from veilframe.functions.text import indel_ratio, match_masks, ratio_bound
 
 #: Phrase lists beyond so many rows are not broadcast.
 BROADCAST_PHRASES = 10_000
@@ -15,15 +15,15 @@ def similar(texts: DataFrame, phrases: DataFrame, threshold: int = 70) -> DataFr
     """Distinct texts (text) with all phrases (phrase, other columns stay) that are more similar than the threshold, and the ratio.
 
     Joined by length, since texts whose lengths differ too much can't pass: no pair above the threshold is missed. The
-    phrases are counted, and few are broadcast. Null and empty texts are similar to nothing.
+    phrases are counted, and few are broadcast. Null and empty texts are similar to nothing here.
     """
-    t = texts.select("text").where("text is not null").distinct().withColumn("n", F.length("text"))
+    t = texts.select("text").where("text is not null").distinct().withColumn("n", F.length("text")).withColumn("__masks", F.expr(match_masks("text")))
     p = phrases.withColumn("m", F.length("phrase"))
     fits = F.expr(f"explode(sequence(greatest(1, cast(floor(m * {threshold} / (200.0 - {threshold})) as int)), greatest(1, cast(ceil(m * (200.0 - {threshold}) / {threshold}) as int))))")
     few = p.count() <= BROADCAST_PHRASES
     p = p.withColumn("n", fits)
     pairs = t.join(F.broadcast(p) if few else p, "n").where(ratio_bound("text", "phrase") > threshold)
-    return pairs.withColumn("ratio", indel_ratio("text", "phrase")).where(F.col("ratio") > threshold).drop("n", "m")
+    return pairs.withColumn("ratio", indel_ratio("text", "phrase", "__masks")).where(F.col("ratio") > threshold).drop("n", "m", "__masks")
 
 
 def fuzzy_phrases(texts: DataFrame, phrases: DataFrame, threshold: int = 70) -> DataFrame:
@@ -62,3 +62,9 @@ def csv_ready(rows: DataFrame) -> DataFrame:
     """Nested columns (structs, maps, arrays) written as JSON, so that every column is a plain value."""
     nested = [f.name for f in rows.schema if f.dataType.typeName() in ("struct", "map", "array")]
     return rows.select(*[F.to_json(c).alias(c) if c in nested else F.col(c) for c in rows.columns])
+
+
+def phrases_of(matches: DataFrame, values: list[str], order: list[str]) -> DataFrame:
+    """(movie_url, text, values) of the distinct texts that a movie's items have, with what the first one says (app id, made-up text)."""
+    by = matches.where("text is not null").groupBy("movie_url", "text").agg(F.min_by(F.struct(*values), F.struct(*order)).alias("v"))
+    return by.select("movie_url", "text", "v.*")

@@ -56,7 +56,7 @@ def flt1_any_equals(spark, d):
 
 @query(f"with {M} select uid, frameset, x, y, x + w x2, y + h y2 from m where app_id is null or app_id = 'Brand#3'")
 def flt3_app_corners(spark, d):
-    return S.matches(spark, d).where("app_id is null or app_id = 'Brand#3'").selectExpr("uid", "frameset", "x", "y", "x + w x2", "y + h y2")
+    return sets.of_app(S.matches(spark, d), "Brand#3").selectExpr("uid", "frameset", "x", "y", "x + w x2", "y + h y2")
 
 
 @query(f"with {M} select movie_url, frameset, min(x) x, min(y) y, max(x + w) - min(x) w, max(y + h) - min(y) h from m group by all")
@@ -112,8 +112,7 @@ def agg9_union_area(spark, d):
 @query(f"with {M} select m.uid, m.frameset, p.uid other_uid, p.app_id other_app from m left join (select distinct on (movie_url, frameset) movie_url, frameset, uid, app_id from m where job_id = 'job_1' order by movie_url, frameset, uid) p using (movie_url, frameset) where m.job_id = 'job_0'")
 def jn3_left_ocr(spark, d):
     m = S.matches(spark, d)
-    first = m.where("job_id = 'job_1'").groupBy(*sets.FRAME).agg(F.min_by(F.struct("uid", "app_id"), "uid").alias("p"))
-    return m.where("job_id = 'job_0'").join(first, list(sets.FRAME), "left").select("uid", "frameset", F.col("p.uid").alias("other_uid"), F.col("p.app_id").alias("other_app"))
+    return sets.with_first(m.where("job_id = 'job_0'"), m.where("job_id = 'job_1'"), "uid", ["uid", "app_id"]).select("uid", "frameset", F.col("p.uid").alias("other_uid"), F.col("p.app_id").alias("other_app"))
 
 
 @query(f"with {FR} select movie_url, frameset, count(*) n_frames, min(ts) first_ts, arg_min(image, row(ts, event_id)) image from f group by all")
@@ -154,7 +153,8 @@ def win6_batch(spark, d):
 
 @query(f"with {FR} select event_id, case when s between 3 and 10 or s between 8 and 20 or s between 100 and 120 then image else 'black.png' end image from (select *, row_number() {OVER} - 1 s from f)")
 def src16_blackout(spark, d):
-    return frames.black_out(S.frames(spark, d), [(3, 10), (8, 20), (100, 120)], "black.png").select("event_id", "image")
+    ranges = spark.createDataFrame([(3, 10), (8, 20), (100, 120)], "lo long, hi long")
+    return frames.black_out(S.frames(spark, d), ranges, "black.png").select("event_id", "image")
 
 
 @query(f"""with {FR}, r as (select movie_url, frameset, 'red_' || arg_min(image, event_id) redacted_image from f where value > 60 group by all), i as (select movie_url, frameset, 'ill_' || arg_min(image, event_id) illustrated_image from f where value > 99 group by all)
@@ -174,18 +174,18 @@ LCS = """(list_reduce(list_transform(range(1, length(a) + 1), lambda i: [i]), la
   case when substr(a, i[1], 1) = substr(b, j[1], 1) then old[j[1]] + 1 else greatest(old[j[1] + 1], nw[j[1]]) end), [0::bigint]), list_transform(range(0, length(b) + 1), lambda z: 0::bigint)))[-1]"""
 
 
-@query(f"select a, b, cast(round_even(100 * (2.0::double * {LCS} / (length(a) + length(b))), 0) as int) ratio from (select distinct x.p_name a, y.p_name b from part x, part y where x.p_partkey <= 40 and y.p_partkey <= 40)")
+@query(f"select p_partkey, a, b, cast(round_even(100 * (2.0::double * {LCS} / (length(a) + length(b))), 0) as int) ratio from (select p_partkey, p_name a, p_type b from part)")
 def fuzz_ratio(spark, d):
-    p = S.table(spark, d, "part").where("p_partkey <= 40").select("p_name").distinct()
-    return p.selectExpr("p_name a").join(p.selectExpr("p_name b"), F.lit(True)).withColumn("ratio", T.indel_ratio("a", "b"))
+    p = S.table(spark, d, "part").selectExpr("p_partkey", "p_name a", "p_type b")
+    return p.withColumn("ratio", T.indel_ratio("a", "b"))
 
 
-@query(f"""with t as (select distinct p_name a from part), p as (select row_number() over (order by b) ord, b from (select distinct p_name b from part where p_partkey <= 20)),
+@query(f"""with t as (select distinct p_name a from part), p as (select row_number() over (order by b) ord, b from (select distinct p_name b from part)),
 r as (select a, ord, b, cast(round_even(100 * (2.0::double * {LCS} / (length(a) + length(b))), 0) as int) ratio from t, p)
 select a "text", arg_min(b, ord) phrase, arg_min(ratio, ord) ratio from r where ratio > 70 group by a""")
 def t2a_fuzzy_phrases(spark, d):
     part = S.table(spark, d, "part")
-    phrases = part.where("p_partkey <= 20").select(F.col("p_name").alias("phrase")).distinct().selectExpr("row_number() over (order by phrase) ord", "phrase")
+    phrases = part.selectExpr("p_name ord", "p_name phrase").distinct()
     return texts.fuzzy_phrases(part.select(F.col("p_name").alias("text")), phrases)
 
 
@@ -211,12 +211,12 @@ def t2b_regex(spark, d):
 
 @query(f"with {FR}, {ORDER} select movie_url, frameset from o where place > 2")
 def t2c_skip(spark, d):
-    return frames.frameset_order(S.frames(spark, d)).where("place > 2").select("movie_url", "frameset")
+    return frames.skip_first(S.frames(spark, d), 2).select("movie_url", "frameset")
 
 
 @query(f"with {M} select movie_url, \"text\", arg_min(app_id, row(job_id, uid, frameset)) app_id from m group by all")
 def t2d_phrases(spark, d):
-    return S.matches(spark, d).groupBy("movie_url", "text").agg(F.min_by("app_id", F.struct("job_id", "uid", "frameset")).alias("app_id"))
+    return texts.phrases_of(S.matches(spark, d), ["app_id"], ["job_id", "uid", "frameset"])
 
 
 @query("select p_partkey, translate(p_type || ' lI[]i|{}O.', 'lI[]i|{}O.', '111111110:') fixed from part")
@@ -304,7 +304,7 @@ def t18_colours(spark, d):
 @query("select coalesce(lang, 'all') lang, sum(n_chars)::bigint n_bytes, count(*) n from documents group by grouping sets ((lang), ())")
 def src9_listing(spark, d):
     docs = S.table(spark, d, "documents")
-    return docs.groupingSets([["lang"], []], "lang").agg(F.sum("n_chars").alias("n_bytes"), F.count("*").alias("n")).withColumn("lang", F.coalesce("lang", F.lit("all")))
+    return S.listing(docs, "lang", "n_chars")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

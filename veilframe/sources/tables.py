@@ -57,3 +57,9 @@ def result_of(results: DataFrame, job_id: str) -> DataFrame:
 def write_results(results: DataFrame, path: str) -> None:
     """Results as a table with a folder for each job; jobs that come again replace their own folder alone."""
     results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").parquet(path)
+
+
+def listing(files: DataFrame, folder: str, size: str) -> DataFrame:
+    """Bytes and number of files of each folder, and of all ('all'; files without a folder are counted there as well)."""
+    sums = files.groupingSets([[folder], []], folder).agg(F.sum(size).alias("n_bytes"), F.count("*").alias("n"), F.grouping_id().alias("g"))
+    return sums.where(F.col(folder).isNotNull() | (F.col("g") > 0)).select(F.coalesce(folder, F.lit("all")).alias(folder), "n_bytes", "n")

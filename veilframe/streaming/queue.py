@@ -35,3 +35,13 @@ def to_retry(dispatched: DataFrame, now: str, wait: str = "2 hours", most: int =
     """
     late = F.col("ts") < F.lit(now).cast("timestamp") - F.expr(f"interval {wait}")
     return dispatched.where(late & ~F.coalesce("status", F.lit("")).isin("success", "failed") & (F.coalesce("retries", F.lit(0)) < most)).orderBy("ts", "recording").limit(1)
+
+
+def unreceived(dispatched: DataFrame, received: DataFrame) -> DataFrame:
+    """Recordings that were sent out and have not come in; null recordings never come in."""
+    return dispatched.join(received.select("recording").where("recording is not null").distinct(), "recording", "left_anti")
+
+
+def has_room(jobs: DataFrame, unreceived: int, throttle: int = 25) -> bool:
+    """Whether another recording may be sent out: running jobs and those not yet received stay below the throttle."""
+    return jobs.where("status = 'running'").count() + unreceived < throttle
