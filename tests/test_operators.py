@@ -261,3 +261,68 @@ def test_plain_queries_give_rows(spark, name):
 def test_texts_of_odd_rows(spark):
     lines = spark.createDataFrame([(" a : b:c ",), ("('x', 'y')",), ("none",), (None,)], "text string")
     assert sorted((r.recording, r.transaction) for r in texts.mappings(lines).collect()) == [("a", "b:c"), ("x", "y")]
+
+
+def test_sift_finds_a_known_screen(spark):
+    from veilframe.operators import sifter
+
+    items = [("a", "label", "Name", 10, 10, False, 1, 1, 1, 1, 1, 1), ("b", "user_data", None, 100, 10, True, 1, 2, 2, 1, 2, 1), ("c", "label", "Street", 10, 50, False, 2, 1, 1, 2, 1, 2), ("d", "user_data", None, 300, 90, True, None, None, None, None, None, None), ("e", "label", "City", 10, 90, False, 3, 1, 1, 3, 1, 3)]
+    lay = spark.createDataFrame(items, "app_id string, type string, text string, x int, y int, mask_this_field boolean, row_no int, row_pos int, left_no int, left_pos int, right_no int, right_pos int")
+    texts_ = [("m", 1, 1, "Name", 20, 20, 40, 12), ("m", 1, 2, "Ann Onym", 110, 21, 60, 12), ("m", 1, 3, "Streel", 20, 60, 40, 12), ("m", 1, 4, "City", 21, 100, 40, 12), ("m", 1, 5, "stray", 320, 110, 30, 12), ("m", 2, 6, "Nothing", 1, 1, 5, 5), ("m", 2, 7, None, 1, 30, 5, 5)]
+    df = spark.createDataFrame(texts_, "movie_url string, frameset long, uid long, text string, x int, y int, w int, h int")
+    got = {r.app_id: (r.uid, r.how) for r in sifter.sift(df, lay, least_total=400).collect()}
+    assert got == {"a": (1, "row"), "b": (2, "row"), "c": (3, "row"), "e": (4, "row"), "d": (5, "near")}
+    assert sifter.sift(df, lay, least_total=4000).count() == 0 and sifter.sift(df.limit(0), lay).count() == 0
+
+
+def test_scene_and_seldom(spark):
+    from veilframe.operators import sifter
+
+    p = spark.createDataFrame([("mail", 1, 1, "Inbox", 150), ("mail", 1, 2, "Sent", 150), ("bank", 1, 1, "Account", 100), ("bank", 2, 1, None, 100)], "app string, row_no int, pos int, text string, least int")
+    t = [("m", 1, 1, "Inbox", 0, 0, 9, 9), ("m", 1, 2, "Sent", 50, 4, 9, 9), ("m", 1, 3, None, 0, 40, 9, 9), ("m", 2, 4, "Sent", 0, 0, 9, 9), ("m", 2, 5, "Inbox", 50, 0, 9, 9), ("n", 9, 6, "Inbox", 0, 0, 9, 9)]
+    df = spark.createDataFrame(t, "movie_url string, frameset long, uid long, text string, x int, y int, w int, h int")
+    assert [(r.frameset, r.app, r.score) for r in sifter.scene_apps(df, p).collect()] == [(1, "mail", 200.0)]
+    assert {r.text: r.n_missed for r in sifter.seldom_seen(df).collect()} == {"Inbox": 0, "Sent": 1}
+    a = [("m", 1, k, f"t{k}", *n) for k, n in enumerate([(0, 0, 100, 60), (90, 50, 200, 90), (195, 85, 260, 140), (500, 500, 700, 600), (None, 1, 1, 1)])]
+    got = sifter.app_areas(spark.createDataFrame(a, "movie_url string, frameset long, uid long, text string, nx1 int, ny1 int, nx2 int, ny2 int")).collect()
+    assert [tuple(r)[2:] for r in got] in ([(0, 0, 260, 140, 2, "t1\nt2")], [(0, 0, 260, 140, 3, "t0\nt1\nt2")], [(0, 0, 200, 90, 2, "t0\nt1")])
+
+
+def test_masked_images_and_meshes(spark):
+    import numpy as np
+
+    from veilframe.operators import images
+
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 256, (24, 30), dtype=np.uint8)
+    i = spark.createDataFrame([("p", a.reshape(-1).tolist(), 30, 24), ("q", None, 3, 3)], "image string, grey array<int>, width int, height int")
+    r = spark.createDataFrame([("p", 1, 5, 6, 8, 7), ("p", 2, None, 1, 1, 1)], "image string, ord int, x int, y int, w int, h int")
+    for method in images.METHODS:
+        got = {x.image: x.grey for x in images.masked(i, r, method).collect()}
+        assert got["q"] is None
+        out = np.array(got["p"], np.uint8).reshape(24, 30)
+        want = a.copy()
+        if method.startswith("blur"):
+            k = 10 if method == "blur_21x21" else 3
+            wide = np.pad(a.astype(int), k, mode="edge" if method == "blur_median" else "reflect")
+            for y in range(6, 13):
+                for x in range(5, 13):
+                    part = wide[y : y + 2 * k + 1, x : x + 2 * k + 1]
+                    want[y, x] = np.median(part) if method == "blur_median" else np.rint(part.mean())
+        elif method == "black_rectangle":
+            want[6:14, 5:14] = 0
+        elif method == "background_color":
+            want[6:14, 5:14] = np.argmax(np.bincount(a[6:13, 5:13].reshape(-1) // 8, minlength=32))
+        else:
+            want[5:15, 4:15] = 128
+            want[7:13, 6:13] = a[7:13, 6:13]
+        assert (out == want).all(), method
+    first = np.zeros((20, 20), np.uint8)
+    first[3:5, 3] = first[3, 11:13] = first[12, 12] = 255
+    first[11:13, 3:5] = 255
+    moved = np.roll(first, (2, 3), (0, 1))
+    f = spark.createDataFrame([("m", n, x.reshape(-1).tolist(), 20, 20) for n, x in enumerate([first, first, moved, np.zeros((20, 20), np.uint8)])], "movie_url string, place long, grey array<int>, width int, height int")
+    m = spark.createDataFrame([("m", 1, 1, 2, 2, 12, 12), ("m", 1, 2, 0, 0, 5, 5)], "movie_url string, place long, uid long, x int, y int, w int, h int")
+    assert [tuple(r)[1:] for r in images.mesh_matches(f, m, 4, 0).collect()] == [(2, 5, 4, 12, 12, 4)]
+    spots = images.colour_regions(f.selectExpr("concat('i', place) image", "grey", "width", "height").where("image = 'i0'"), spark.createDataFrame([("i0", 0, 0, 10, 20)], "image string, x1 int, y1 int, x2 int, y2 int"), 200, 255)
+    assert sorted(tuple(r)[1:] for r in spots.collect()) == [(3, 3, 1, 2), (3, 11, 2, 2)]

@@ -165,3 +165,31 @@ def purged(jobs: DataFrame, roots: DataFrame) -> DataFrame:
     """Jobs below the given ones (id) whose folders go, but for those that are bypassed."""
     down = subtree(jobs, roots).where("id <> root").select("id").distinct()
     return jobs.join(down, "id", "left_semi").where(F.coalesce(F.col("status"), F.lit("")) != "bypassed")
+
+
+#: Short names of kinds of nodes (fixed values); others are '?'.
+SHORT = {
+    "noop": "N", "template": "T", "selected_area": "SA", "secure_files_import": "IMP", "mesh_match": "MM", "data_sifter": "DS", "focus_finder": "FF", "t1_filter": "T1F", "selection_grower": "SG", "ocr": "OCR",
+    "split_and_hash": "S|H", "redact": "R", "zip": "Z", "remove_job_resources": "RM", "save_gt_attribute": "EXP", "t1_sum": "SUM", "t1_dif": "DIF", "pipeline": "P", "intersect": "IN",
+}
+
+
+def described(nodes: DataFrame, scanners: DataFrame) -> DataFrame:
+    """Nodes (node, type, entity_id) with short, their kind in short, and task, their kind and their scanner's (or pipeline's) name (id, name)."""
+    short = F.lit("?")
+    for kind, s in SHORT.items():
+        short = F.when(F.col("type") == kind, s).otherwise(short)
+    named = F.col("type").isin("template", "selected_area", "mesh_match", "data_sifter", "ocr", "selection_grower", "pipeline") & F.col("name").isNotNull()
+    names = scanners.groupBy(F.col("id").alias("entity_id")).agg(F.min("name").alias("name"))
+    rows = nodes.join(names, "entity_id", "left")
+    return rows.select("node", "type", short.alias("short"), F.when(named, F.concat("type", F.lit(" - "), "name")).otherwise(F.col("type")).alias("task"))
+
+
+def jobs_of_nodes(jobs: DataFrame, attributes: DataFrame, root_of: DataFrame) -> DataFrame:
+    """(root, node, id): which job below a root works on a node: the attribute node_id of the job tells; of several the newest.
+
+    root_of: (id, root), as graphs.tops() gives it.
+    """
+    nodes = attributes.where("name = 'node_id' and value is not null").select(F.col("job_id").alias("id"), F.col("value").alias("node"))
+    rows = jobs.select("id", "created_on").join(nodes, "id").join(root_of, "id")
+    return rows.groupBy("root", "node").agg(F.max_by("id", F.struct("created_on", "id")).alias("id"))

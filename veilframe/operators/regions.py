@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilframe.operators.boxes import exterior
+from veilframe.operators.boxes import bounding_box, exterior
 from veilframe.operators.sets import FRAME, containing
 
 BIG = 9999
@@ -202,3 +202,20 @@ def match_threshold(percent: str, *, strict: bool = True) -> Column:
     value = F.when(whole > 1, whole / 100.0).when(whole.isNotNull(), whole.cast("double"))
     part = F.lit(None).cast("double") if strict else F.expr(f"try_cast({percent} as double)")
     return F.coalesce(value, F.when(part > 1, part / 100).otherwise(part), F.lit(0.9))
+
+
+def selected_areas(matches: DataFrame, width: int, height: int, *, minimum: tuple[int, int, int, int] | None = None, origin: tuple[int, int] = (0, 0), merge: bool = False, exterior_of: bool = False, zones: DataFrame | None = None) -> DataFrame:
+    """(frame, x, y, w, h): a scanner's areas after its rules, in this order: the zone always taken is added, all are merged into
+    one box, the inside is turned out, and what remains is cut to the largest zones allowed."""
+    areas = matches.select(*FRAME, "uid", *[F.col(c).cast("double").alias(c) for c in "xywh"])
+    if minimum:
+        extra = minimum_zones(matches if "scale" in matches.columns else matches.withColumn("scale", F.lit(1.0)), minimum, origin)
+        areas = areas.unionByName(extra.select(*FRAME, "uid", *[F.col(c).cast("double").alias(c) for c in "xywh"]))
+    if merge:
+        areas = bounding_box(areas).withColumn("uid", F.lit(0).cast(dict(matches.dtypes)["uid"]))
+    if exterior_of:
+        boxes = to_exterior(areas, width, height)
+        areas = boxes.select(*FRAME, "uid", F.col("x1").alias("x"), F.col("y1").alias("y"), F.expr("x2 - x1").alias("w"), F.expr("y2 - y1").alias("h"))
+    if zones is not None:
+        areas = clip_to_zones(areas, zones)
+    return areas.select(*FRAME, "x", "y", "w", "h")

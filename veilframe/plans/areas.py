@@ -260,3 +260,10 @@ def ord2_reading_order(spark, d):
 @query(f"with {M} select movie_url, frameset, arg_max(uid, row(w * h, -uid)) uid from m group by all")
 def lim4_largest(spark, d):
     return boxes.largest(S.matches(spark, d), "w * h").select("movie_url", "frameset", "uid")
+
+
+@query(f"""with {M}, b as (select movie_url, frameset, min(x) x, min(y) y, max(x + w) x2, max(y + h) y2 from m group by all), e as (select movie_url, frameset, 0 x1, 0 y1, 1920 x2, y y2 from b union all select movie_url, frameset, 0, y, x, y2 from b union all select movie_url, frameset, x2, y, 1920, y2 from b union all select movie_url, frameset, 0, y2, 1920, 1080 from b)
+select movie_url, frameset, greatest(x1, 100)::double x, greatest(y1, 50)::double y, (least(x2, 1500) - greatest(x1, 100))::double w, (least(y2, 900) - greatest(y1, 50))::double h from e where x1 < 1500 and x2 > 100 and y1 < 900 and y2 > 50""")
+def t3_all_rules(spark, d):
+    zones = spark.createDataFrame([(1, 100, 50, 1500, 900)], "zone int, x1 int, y1 int, x2 int, y2 int")
+    return regions.selected_areas(S.matches(spark, d), 1920, 1080, merge=True, exterior_of=True, zones=zones)

@@ -308,3 +308,30 @@ def agg21_pivot(spark, d):
     """Attributes of pipelines by name, and the jobs they are linked to."""
     a = _attributes(spark, d).withColumn("pipeline", F.expr("job_id % 50"))
     return archive.with_attributes(a.select("pipeline").distinct(), a, a.select("pipeline", "job_id").distinct())
+
+
+@query("""with n as (select p_partkey node, ['ocr', 'template', 'zip', 'other', 'pipeline'][1 + p_partkey % 5] "type", p_size entity_id from part), s as (select p_size id, min(p_name) "name" from part where p_size % 2 = 0 group by all)
+select node, "type", case "type" when 'ocr' then 'OCR' when 'template' then 'T' when 'zip' then 'Z' when 'pipeline' then 'P' else '?' end short, case when s.name is not null and "type" in ('ocr', 'template', 'pipeline') then "type" || ' - ' || s.name else "type" end task from n left join s on s.id = entity_id""")
+def cat9_described(spark, d):
+    p = S.table(spark, d, "part")
+    nodes = p.selectExpr("p_partkey node", "element_at(array('ocr', 'template', 'zip', 'other', 'pipeline'), cast(1 + p_partkey % 5 as int)) type", "p_size entity_id")
+    return jobs.described(nodes, p.where("p_size % 2 = 0").selectExpr("p_size id", "p_name name"))
+
+
+@query(f"with recursive {ROOTS}, a as (select id, 'n' || (id % 6) node from j where id % 2 = 0) select root, node, arg_max(id, row(created_on, id)) id from a join r using (id) join j using (id) group by all")
+def jn13_node_jobs(spark, d):
+    j = S.jobs(spark, d)
+    attrs = j.where("id % 2 = 0").selectExpr("id job_id", "'node_id' name", "concat('n', id % 6) value")
+    return jobs.jobs_of_nodes(j, attrs, graphs.tops(j))
+
+
+@query(f"with {FR} select movie_url, frameset, string_agg(image, ',' order by ts, event_id) images from f group by all")
+def hsh2_images(spark, d):
+    return frames.images_in_order(S.frames(spark, d)).select("movie_url", "frameset", F.array_join("images", ",").alias("images"))
+
+
+@query(f"""with {FR}, o as (select *, row_number() over (partition by movie_url order by first_ts, frameset) place from (select movie_url, frameset, min(ts) first_ts from f group by all)), s as (select movie_url, place stop from o where frameset = 'click')
+select event_id from f join o using (movie_url, frameset) left join s using (movie_url) where stop is null or place < stop""")
+def hsh7_matches(spark, d):
+    f = S.frames(spark, d)
+    return frames.matches_before(f, f, "click").select("event_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilframe.operators import focus, frames, layout, pixels, scores, sets, texts
+from veilframe.operators import focus, frames, images, layout, pixels, scores, sets, sifter, texts
 from veilframe.plans.registry import plain, query
 from veilframe.sources import tables as S
 
@@ -264,3 +264,74 @@ def prj5_mappings(spark, d):
 def prj4_csv_ready(spark, d):
     p = S.table(spark, d, "part").selectExpr("p_partkey id", "named_struct('size', p_size) nested")
     return texts.csv_ready(p)
+
+
+def _layout(spark, d):
+    """A layout from the names that are most frequent: a grid of labels and fields."""
+    names = S.table(spark, d, "part").groupBy("p_name").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "p_name").limit(24)
+    k = F.row_number().over(Window.orderBy("p_name")) - 1
+    rows = names.select(F.concat(F.lit("item"), k.cast("string")).alias("app_id"), k.alias("k"), F.col("p_name").alias("text"))
+    return rows.selectExpr(
+        "app_id", "case when k % 5 = 4 then 'user_data' else 'label' end type", "text", "cast(100 + k % 3 * 300 as int) x", "cast(50 + k div 3 * 40 as int) y", "k % 2 = 0 mask_this_field",
+        "cast(k div 3 + 1 as int) row_no", "cast(k % 3 + 1 as int) row_pos", "cast(k % 3 + 1 as int) left_no", "cast(k div 3 + 1 as int) left_pos", "cast(k % 3 + 1 as int) right_no", "cast(k div 3 + 1 as int) right_pos",
+    )
+
+
+@plain
+def t6_sift(spark, d):
+    """The items of a layout that are found in each frameset."""
+    return sifter.sift(S.matches(spark, d), _layout(spark, d), least_total=100)
+
+
+@plain
+def t6k_seldom_seen(spark, d):
+    """Texts of the densest frame, and how many other movies don't have them."""
+    return sifter.seldom_seen(S.matches(spark, d))
+
+
+@plain
+def t15_scene_apps(spark, d):
+    """Applications whose phrases a frameset shows."""
+    p = _layout(spark, d).selectExpr("case when row_no % 2 = 0 then 'mail' else 'bank' end app", "row_no", "row_pos pos", "text", "100 least")
+    return sifter.scene_apps(S.matches(spark, d), p, row_gap=150)
+
+
+@plain
+def t16_app_areas(spark, d):
+    """Areas that the texts of a frameset grow together to."""
+    m = S.matches(spark, d).selectExpr("movie_url", "frameset", "uid", "text", "x - 200 nx1", "y - 200 ny1", "x + w + 200 nx2", "y + h + 200 ny2")
+    return sifter.app_areas(m)
+
+
+def _images(spark, d):
+    return S.table(spark, d, "embeddings").select(F.col("vec_id").alias("image"), F.expr("transform(embedding, v -> cast(floor((cast(v as double) + 1) * 127) as int) % 256)").alias("grey"), F.lit(8).alias("width"), F.lit(8).alias("height"))
+
+
+@plain
+def red1_masked(spark, d):
+    """Small images with two regions blurred."""
+    i = _images(spark, d)
+    regions = i.select("image", F.expr("inline(array(struct(1 ord, 1 x, 1 y, 3 w, 2 h), struct(2 ord, 4 x, 4 y, 9 w, 9 h)))"))
+    return images.masked(i, regions, "blur_7x7")
+
+
+@query("select vec_id image, list_transform(range(0, 64), lambda i: case when i % 8 between 2 and 5 and i // 8 between 1 and 3 then 0 else floor((embedding[i + 1]::double + 1) * 127)::int % 256 end)::varchar grey from embeddings")
+def red1_black(spark, d):
+    i = _images(spark, d)
+    out = images.masked(i, i.selectExpr("image", "1 ord", "2 x", "1 y", "3 w", "2 h"), "black_rectangle")
+    return out.select("image", F.concat(F.lit("["), F.array_join(F.col("grey").cast("array<string>"), ", "), F.lit("]")).alias("grey"))
+
+
+@plain
+def t4_mesh(spark, d):
+    """Small images where the area matched in the last one is found again."""
+    i = _images(spark, d).selectExpr("concat('m', image % 20) movie_url", "cast(image div 20 as long) place", "transform(grey, v -> case when v > 128 then 255 else 0 end) grey", "width", "height")
+    found = i.where("place % 3 = 0").selectExpr("movie_url", "place", "1 uid", "0 x", "0 y", "6 w", "6 h")
+    return images.mesh_matches(i, found, 2, 0, 0.9)
+
+
+@plain
+def t5g_colour_regions(spark, d):
+    """Boxes of the bright spots in a part of small images."""
+    i = _images(spark, d)
+    return images.colour_regions(i, i.selectExpr("image", "1 x1", "0 y1", "8 x2", "6 y2"), 150, 255, least=2)
