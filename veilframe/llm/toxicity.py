@@ -186,11 +186,13 @@ def _fit_sample(near: DataFrame, n: dict[int, int], per_class: int):
                 c = b.slice(a, 64)
                 yield pa.RecordBatch.from_arrays([c.column("key"), c.column("y"), pa.array([pack_bag(t) for t in c.column("t").to_pylist()], pa.binary())], names=["key", "y", "body"])
 
-    got = near.select("key", "y", "t").mapInArrow(bags, "key long, y int, body binary").toArrow()
-    key, y = got.column("key").to_numpy(), got.column("y").to_numpy()
+    got = near.select("key", "y", "t").mapInArrow(bags, "key long, y int, body binary").collect()
+    key, y = np.array([r.key for r in got], np.int64), np.array([r.y for r in got], np.int64)
     order = np.argsort(key, kind="stable")
     rows = order[np.sort(np.concatenate([np.flatnonzero(y[order] == c)[:per_class] for c in (0, 1)]))]
-    return train(PackedBags(got.column("body").take(pa.array(rows)).to_pylist()), y[rows], prior=n.get(1, 0) / sum(n.values()))
+    bodies = [bytes(got[i].body) for i in rows]
+    del got
+    return train(PackedBags(bodies), y[rows], prior=n.get(1, 0) / sum(n.values()))
 
 
 def score(df: DataFrame, model, *, text: str = "text", out: str = "score") -> DataFrame:
