@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import pack, ranks, runs, slices, small, stored, unpack
+from veilframe.llm.common import pack, parts, ranks, runs, small, stored, unpack
 
 #: Lower-case A-Z only; space and \t-\r part the words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -199,11 +199,9 @@ def _blocks(batches):
     """(name, ids, train, texts): blocks are named by task and order, so that a task that runs again makes the same ones."""
     task = TaskContext.get()
     name = (task.partitionId() if task else 0) << 32
-    for b in batches:
-        ids, train, texts = b.column("__id").to_numpy(zero_copy_only=False), b.column("__train").to_numpy(zero_copy_only=False), b.column("__text").to_pylist()
-        for a, z in slices(texts, BLOCK_BYTES):
-            yield name, ids[a:z], train[a:z], texts[a:z]
-            name += 1
+    for b in (part for whole in batches for part in parts(whole, "__text", BLOCK_BYTES)):
+        yield name, b.column("__id").to_numpy(zero_copy_only=False), b.column("__train").to_numpy(zero_copy_only=False), b.column("__text").to_pylist()
+        name += 1
 
 
 def _histories(code: np.ndarray, doc: np.ndarray, n: int) -> list[np.ndarray]:
