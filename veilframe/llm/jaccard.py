@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import connected_components, pack, ranks, runs, slices, small, stored, unpack
+from veilframe.llm.common import connected_components, pack, parts, ranks, runs, slices, small, stored, unpack
 from veilframe.llm.katz import END, START, STEP, mix, tokens
 
 #: Counts of shingles, hashed into so many cells, give the global order; SLICES rows of them are sent by each task.
@@ -68,7 +68,7 @@ def _survey(width: int, seed: int):
 
     def run(batches):
         counts = np.zeros(CELLS, np.uint32)
-        for b in batches:
+        for b in (part for whole in batches for part in parts(whole, "__text", GROUP)):
             texts, ids, size = b.column("__text").to_pylist(), [], []
             for a, z in slices(texts, GROUP):
                 sets = shingles(texts[a:z], width)
@@ -96,12 +96,12 @@ def _ordered(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return s[np.lexsort((s, counts[(s >> np.uint64(44)).astype(np.int64)]))]
 
 
-def _prefixes(width: int, seed: int, threshold: int, parts: int, shipped):
+def _prefixes(width: int, seed: int, threshold: int, n_parts: int, shipped):
     """Prefix shingles of each class of a group of texts: a cell for each part, classes numbered in the cell."""
 
     def run(batches):
         counts = np.frombuffer(shipped.value, np.uint32)
-        for b in batches:
+        for b in (part for whole in batches for part in parts(whole, "__text", GROUP)):
             texts, seen = b.column("__text").to_pylist(), set()
             for a, z in slices(texts, GROUP):
                 known, sizes, tokens_of, own, place = [], [], [], [], []
@@ -119,7 +119,7 @@ def _prefixes(width: int, seed: int, threshold: int, parts: int, shipped):
                 if not known:
                     continue
                 token, own, place = (np.concatenate(x) for x in (tokens_of, own, place))
-                part = ((mix(token) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+                part = ((mix(token) >> np.uint64(32)) * np.uint64(n_parts)) >> np.uint64(32)
                 order = np.lexsort((own, part))
                 token, own, place, part = token[order], own[order], place[order], part[order]
                 cut = np.append(runs(part), len(part))
@@ -165,7 +165,7 @@ def _texts(width: int, seed: int):
     """The class and the compressed text of each document; equal classes of a group of texts once."""
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in parts(whole, "__text", GROUP)):
             texts = b.column("__text").to_pylist()
             for a, z in slices(texts, GROUP):
                 own = {_class_of(s, seed)[0]: t for s, t in zip(shingles(texts[a:z], width), texts[a:z], strict=True) if len(s)}
@@ -216,7 +216,7 @@ def _verify(width: int, threshold: int, shipped):
                 out_a.extend([key[0]] * len(hits))
                 out_b.extend(hits)
 
-        for b in batches:
+        for b in (part for whole in batches for part in parts(whole, "body", GROUP)):
             cols = [b.column(c).to_pylist() for c in ("a", "blk", "b")]
             texts = [zstandard.decompress(t) for t in b.column("body").to_pylist()]
             sets = (_ordered(s, counts).view(np.int64) for x, z in slices(texts, GROUP) for s in shingles(texts[x:z], width))
@@ -296,8 +296,8 @@ def similar_documents(docs: DataFrame, *, text: str = "text", id_col: str = "doc
 
     # prefix shingles that at least two classes have; the classes of each in one order for all groups
     n_bytes = work.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
-    parts = max(1, -(-n_bytes // PART_BYTES))
-    cells = work.select("__text").mapInArrow(_prefixes(width, seed, threshold, parts, shipped), "part int, body binary")
+    n_parts = max(1, -(-n_bytes // PART_BYTES))
+    cells = work.select("__text").mapInArrow(_prefixes(width, seed, threshold, n_parts, shipped), "part int, body binary")
     active = stored(cells.groupBy("part").applyInArrow(_shared(threshold), "token long, cls long, n int, i int"))
     turn = Window.partitionBy("token").orderBy(F.xxhash64("cls"), "cls")
     groups = stored(active.select("*", (F.row_number().over(turn) - 1).alias("rank"), F.col("cls").alias("comp")))
