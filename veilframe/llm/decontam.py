@@ -14,16 +14,21 @@ from veilframe.llm.common import parts, stored
 #: Bytes that belong to no word become a space, A-Z become a-z; bytes from 0x80 are letters of a word.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 WINDOW = 10
-#: Items are taken in blocks of so many bytes; each block's automaton takes about 100 times as much memory in a worker.
-BLOCK_BYTES = 4_000_000
+#: Items are taken in blocks of so many bytes; each block's automaton takes some 150 times as much memory in a worker.
+BLOCK_BYTES = 3_000_000
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
+#: Words are written as letters of so many kinds, since a node of the automaton looks through its edges one by one.
+BASE = 128
+
+
 class Windows:
-    """Automaton over the windows of items (item_id, text), whose letters are whole words, numbered.
+    """Automaton over the windows of items (item_id, text). Each word of the items is a code of `size` letters; the first
+    letter of a code is of another alphabet than the rest, so that matches begin and end with words.
 
     Its values are (words of the window, items that have it).
     """
@@ -31,18 +36,23 @@ class Windows:
     def __init__(self, items: list[tuple[str, bytes]], width: int):
         import ahocorasick
 
-        self.number: dict[bytes, int] = {}
-        at: dict[tuple, set] = {}
-        for item, text in items:
-            words = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text or b"")]
+        texts = [(item, words_of(text or b"")) for item, text in items]
+        known = sorted({w for _, words in texts for w in words})
+        self.size = 1
+        while BASE**self.size < len(known):
+            self.size += 1
+        self.code = {w: "".join(chr((0x100 if k == 0 else 0x200) + i // BASE**k % BASE) for k in range(self.size)) for i, w in enumerate(known)}
+        self.other = chr(0x300) * self.size
+        at: dict[str, tuple[int, set]] = {}
+        for item, words in texts:
             for i in range(max(1, len(words) - width + 1) if words else 0):
-                at.setdefault(tuple(words[i : i + width]), set()).add(item)
-        self.auto = None
-        if at:
-            self.auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-            while at:
-                w, ids = at.popitem()
-                self.auto.add_word(w, (len(w), sorted(ids)))
+                own = words[i : i + width]
+                at.setdefault("".join([self.code[w] for w in own]), (len(own), set()))[1].add(item)
+        self.auto = ahocorasick.Automaton() if at else None
+        while at:
+            w, (n, ids) = at.popitem()
+            self.auto.add_word(w, (n, sorted(ids)))
+        if self.auto is not None:
             self.auto.make_automaton()
 
 
@@ -51,10 +61,11 @@ def hit_runs(words: list[bytes], windows: Windows) -> tuple[list[tuple[int, int]
     found: set = set()
     if windows.auto is None or not words:
         return [], found
-    number, runs = windows.number.get, []
-    for end, (n, ids) in windows.auto.iter(tuple([number(w, 0) for w in words])):
+    code, other, runs = windows.code.get, windows.other, []
+    for end, (n, ids) in windows.auto.iter("".join([code(w, other) for w in words])):
         found.update(ids)
-        runs.append((end + 1 - n, end + 1))
+        last = (end + 1) // windows.size
+        runs.append((last - n, last))
     return merge(runs), found
 
 
