@@ -142,6 +142,10 @@ def _starts() -> str:
     return f"zip_with({ends}, __hits, (e, x) -> e - length(x.value))"
 
 
+#: What queries and the pipeline use where spark.veilframe.pii.key is not set: anybody knows it, so it hides nothing.
+TRIAL_KEY = "a key for trials"
+
+
 def session_key(spark) -> str:
     """The secret of spark.veilframe.pii.key, or a new random one, with which pseudonyms link within one call alone."""
     return spark.conf.get("spark.veilframe.pii.key", None) or secrets.token_hex(16)

@@ -78,7 +78,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced, and how many values of each kind it had."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = pii.pseudonymise(docs, key=spark.conf.get("spark.veilframe.pii.key", "a key for trials"))
+    out = pii.pseudonymise(docs, key=spark.conf.get("spark.veilframe.pii.key", pii.TRIAL_KEY))
     return out.select("doc_id", "text", *[F.expr(f"cast(size(filter(pii, x -> x.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii.KINDS])
 
 
