@@ -35,7 +35,8 @@ def drop_benchmark(spark, docs, sf_dir):
 
 def replace_personal_data(spark, docs, sf_dir):
     """Personal data in every text gets pseudonyms; n_chars follows the new text."""
-    return pii.pseudonymise(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    key = spark.conf.get("spark.veilframe.pii.key", pii.TRIAL_KEY)
+    return pii.pseudonymise(docs.select(*COLUMNS), key=key).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark, docs, sf_dir):
@@ -50,8 +51,8 @@ STAGES: list = [
     ("pii", replace_personal_data),
     ("mixing", mix_sources),
 ]
-#: The classifier and the text operators can't be told in SQL. tests/llm holds the operators against plain versions; of the
-#: stages only near_duplicates has a test of its own, run() has none.
+#: The classifier and the text operators can't be told in SQL. tests/llm holds the operators against plain versions, the
+#: stages and run() against plain rules on a small corpus (test_pipeline.py).
 ORACLE_SQL = None
 
 
