@@ -41,3 +41,35 @@ def test_turns_that_are_no_calls(spark):
     chat = spark.createDataFrame([(1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", "hello"), (1, None, "user", "no number"), (1, None, "assistant", "none"), (1, 3, None, "x"), (1, 4, "tool", "x")], "conv_id long, turn long, role string, text string")
     got = T.link_calls(*T.from_conversations(chat), T.SCHEMAS).collect()
     assert sorted((r.call_id or "", r.status) for r in got) == [("", "orphan"), ("t1", "ok")]
+
+
+def test_calls_that_wait_for_several(spark):
+    """Random graphs with cycles, missing and repeated predecessors, beside plain longest paths; and long diamonds."""
+    import random
+
+    rng = random.Random(3)
+    rows, want = [], {}
+    for conv in range(12):
+        after = {f"c{i}": [f"c{rng.randrange(i)}" for _ in range(rng.randrange(0, 4))] if i and rng.random() < 0.8 else None for i in range(14)}
+        if conv % 3 == 0:
+            after["c2"] = ["c5", "c1"]
+            after["c5"] = ["c2"]
+        if conv % 3 == 1:
+            after["c4"] = ["c3", "nobody", None, "c3"]
+        depth = {}
+        while True:
+            new = {c: max([depth[p] + 1 for p in set(ps or []) if p in after], default=0) for c, ps in after.items() if c not in depth and all(p in depth for p in ps or [] if p in after)}
+            if not new:
+                break
+            depth |= new
+        for c, ps in after.items():
+            rows.append((conv, c, "add", '{"a":1}', ps, int(c[1:])))
+            want[conv, c] = depth.get(c)
+    chain = {0: [], **{i: [f"c{i - 1}"] if i % 5 else [f"c{i - 1}", f"c{i - 3}"] for i in range(1, 60) if i >= 1}}
+    rows += [(99, f"c{i}", "add", '{"a":1}', ps if i >= 3 or len(ps) == 1 else [], i) for i, ps in chain.items()]
+    want |= {(99, f"c{i}"): i for i in chain}
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, name string, arguments string, after array<string>, seq long")
+    got = T.link_calls(calls, calls.limit(0).selectExpr("conv_id", "call_id", "name content"), SCHEMA).collect()
+    assert {(r.conv_id, r.call_id): r.depth for r in got} == want
+    assert all((r.status == "cycle") == (r.depth is None) for r in got)
+    assert json.loads(next(r.json for r in got if r.conv_id == 99 and r.call_id == "c5"))["after"] == ["c4", "c2"]

@@ -7,6 +7,7 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilframe.llm.common import map_text, stored
 
@@ -61,28 +62,49 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
-def depths(nodes: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """Steps from each node to its root: (node, depth) of the forest (node, parent); null on a cycle or above one.
+def depths(nodes: DataFrame) -> DataFrame:
+    """Steps from each node to its root: (node, depth) of the forest (node, parent), as levels() gives them."""
+    return levels(nodes, nodes)
 
-    Pointers are doubled each round, so the rounds grow with the logarithm of the longest chain, whatever the size of
-    one conversation; every round is written to the shared folder.
+
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, depth): the most steps from a node without parents, of the graph (node, parent); null on a cycle or behind one.
+
+    Nodes of one parent are first followed up to the next one of none or several, by pointers that double each round; only
+    nodes of several parents are then ordered level by level, each once all its parents are. Parents that are no nodes
+    are left out.
     """
-    state = stored(nodes.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")))
+    ids = nodes.select("node").distinct()
+    e = stored(edges.where("node is not null and parent is not null").select("node", "parent").distinct().join(ids.withColumnRenamed("node", "parent"), "parent", "left_semi"))
+    n = e.groupBy("node").agg(F.count("*").alias("n"), F.min("parent").alias("only"))
+    one = F.col("n") == 1
+    state = stored(ids.join(n, "node", "left").select("node", F.when(one, F.col("only")).otherwise(F.col("node")).alias("at"), F.when(one, 1).otherwise(0).cast("long").alias("dist"), F.coalesce(one, F.lit(False)).alias("going"), F.coalesce("n", F.lit(0)).alias("n")))
     limit = max(1, math.ceil(math.log2(max(2, state.count()))) + 1)
-    for _ in range(min(max_rounds, limit)):
-        if state.where("up is not null").isEmpty():
+    for _ in range(limit):
+        if state.where("going").isEmpty():
+            break
+        there = state.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("dist").alias("more"), F.col("going").alias("on"))
+        moved = state.where("going").join(there, "at").select("node", F.col("next").alias("at"), (F.col("dist") + F.col("more")).alias("dist"), F.col("on").alias("going"), "n")
+        state = stored(state.where("not going").unionByName(moved))
+    known = state.where("n = 0").select(F.col("node").alias("at"), F.lit(0).cast("long").alias("depth"))
+    steps = e.join(state.where("n > 1").select("node"), "node", "left_semi")
+    steps = steps.join(state.where("not going").select(F.col("node").alias("parent"), "at", "dist"), "parent", "left").select("node", "at", (F.col("dist") + 1).alias("step"))
+    open_ = stored(steps)
+    while not open_.isEmpty():
+        ready = open_.where("at is not null").join(known, "at").groupBy("node").agg(F.count("*").alias("k"), F.max(F.col("depth") + F.col("step")).alias("depth"))
+        full = stored(open_.groupBy("node").agg(F.count("*").alias("all")).join(ready, "node").where("k = all").select(F.col("node").alias("at"), "depth"))
+        if full.isEmpty():
             break
-        above = state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        done = state.where("up is null")
-        going = state.where("up is not null").join(above, "up", "left").select("node", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-        state = stored(done.unionByName(going))
-    return state.select("node", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
+        known = stored(known.unionByName(full))
+        open_ = stored(open_.join(full.select(F.col("at").alias("node")), "node", "left_anti"))
+    done = state.where("not going").join(known, "at", "left").select("node", (F.col("depth") + F.col("dist")).alias("depth"))
+    return done.unionByName(state.where("going").select("node", F.lit(None).cast("long").alias("depth")))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], *, keys: tuple[str, ...] = ("conv_id",)) -> DataFrame:
     """One row for each tool call and for each result without a call.
 
-    calls: keys, call_id, name, arguments (JSON), after (call_id of the call that must come first, or null), seq.
+    calls: keys, call_id, name, arguments (JSON), after (call_id of the call that must come first, an array of several, or null), seq.
     results: keys, call_id, content. Both are hash-joined by keys and call_id. Returns keys, call_id, seq, depth
     (0 for calls that wait for none: rows ordered by depth, seq and call_id are in topological order), status, errors, json.
 
@@ -98,10 +120,10 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], *
     first = calls.where(F.col("call_id").isNotNull()).groupBy(*k, "call_id").agg(F.min(F.struct(*[F.struct(F.col(c).isNull(), c).alias(f"o_{c}") for c in ("seq", "name", "arguments", "after")])).alias("m"))
     first = first.select(*k, "call_id", *[F.col(f"m.o_{c}.{c}").alias(c) for c in ("seq", "name", "arguments", "after")])
     node = lambda c: F.to_json(F.struct(*k, F.col(c).alias("id")), {"ignoreNullFields": "false"})
-    first = stored(first.select("*", node("call_id").alias("node"), F.when(F.col("after").isNotNull(), node("after")).alias("want")))
-    there = first.select(F.col("node").alias("want"), F.col("node").alias("parent"))
-    free = first.where("want is null").select("node", F.lit(None).cast("string").alias("parent"))
-    ordered = depths(first.where("want is not null").join(there, "want", "left").select("node", "parent").unionByName(free))
+    first = stored(first.select("*", node("call_id").alias("node")))
+    several = isinstance(first.schema["after"].dataType, T.ArrayType)
+    edges = first.select(*k, F.col("node").alias("own"), (F.explode("after") if several else F.col("after")).alias("one")).where("one is not null").select(F.col("own").alias("node"), node("one").alias("parent"))
+    ordered = levels(first, edges)
     answers = results.where(F.col("call_id").isNotNull()).select(node("call_id").alias("node"), "content", *[F.col(c).alias(f"r_{c}") for c in k], F.col("call_id").alias("r_id"))
     answers = answers.groupBy("node").agg(F.min("content").alias("content"), F.count("*").alias("n"), *[F.first(f"r_{c}").alias(f"r_{c}") for c in k], F.first("r_id").alias("r_id"))
     both = first.join(ordered, "node", "left").join(answers, "node", "full")
@@ -142,13 +164,13 @@ def from_conversations(chat: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of (conv_id, turn, role, text): a user's turn is a call of 'reply' that waits for the call two
     turns before; what an assistant says is the result of the call one turn before.
 
-    Turns of other roles (system, null) are neither calls nor results and are left out. A user's turn without a number
+    It waits for the call four turns before as well. Turns of other roles (system, null) are neither calls nor results and are left out. A user's turn without a number
     has no call id and is left out too; an assistant's is an orphan.
     """
     name = lambda back: F.concat(F.lit("t"), (F.col("turn") - back).cast("string"))
     calls = chat.where("role = 'user'").select(
         "conv_id", name(0).alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct(F.col("text").alias("prompt"), "turn")).alias("arguments"),
-        F.when(F.col("turn") >= 2, name(2)).alias("after"), F.col("turn").alias("seq"),
+        F.filter(F.array(F.when(F.col("turn") >= 4, name(4)), F.when(F.col("turn") >= 2, name(2))), lambda x: x.isNotNull()).alias("after"), F.col("turn").alias("seq"),
     )
     results = chat.where("role = 'assistant'").select("conv_id", name(1).alias("call_id"), F.col("text").alias("content"))
     return calls, results
