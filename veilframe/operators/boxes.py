@@ -1,4 +1,8 @@
-"""Rectangles: bounding boxes, exteriors, half planes, clipping, alignment, areas."""
+"""Rectangles: bounding boxes, exteriors, half planes, clipping, alignment, areas.
+
+Null coordinates are left out of boxes around others, areas, histograms and comparisons; where a rectangle is moved or turned
+out, the result is null as well. Repeated rows count as often as they are, but cover no more. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -62,7 +66,7 @@ def within(matches: DataFrame, regions: DataFrame) -> DataFrame:
 
 def position_histogram(matches: DataFrame, width: int, at_least: int) -> DataFrame:
     """Bins of left and right edges with enough of them."""
-    return matches.select("movie_url", F.explode(F.array("x", F.expr("x + w"))).alias("at")).groupBy("movie_url", F.expr(f"at div {width}").alias("bin")).agg(F.count("*").alias("n")).where(F.col("n") >= at_least)
+    return matches.select("movie_url", F.explode(F.array("x", F.expr("x + w"))).alias("at")).where("at is not null").groupBy("movie_url", F.expr(f"at div {width}").alias("bin")).agg(F.count("*").alias("n")).where(F.col("n") >= at_least)
 
 
 def project_zone(matches: DataFrame, anchor: tuple[int, int], zone: tuple[int, int, int, int], scale: str) -> DataFrame:

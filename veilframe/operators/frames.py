@@ -1,4 +1,8 @@
-"""Frames and framesets: grouping by hash, order, what came before, ranges of time."""
+"""Frames and framesets: grouping by hash, order, what came before, ranges of time.
+
+Frames are ordered by ts and then event_id (null times first; frames equal in both in any order). A null hash is a frameset like
+others where frames are grouped, and equals nothing where they are compared or joined. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Trees of jobs and graphs of pipeline nodes."""
+"""Trees of jobs, graphs of pipeline nodes, retention and status.
+
+Jobs without a parent are roots; a null id is no job's parent. Null statuses are neither success nor failure. Ties of time go by
+the larger id. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Scores of what was found against what should have been: frame, movie, job."""
+"""Scores of what was found against what should have been: frame, movie, job.
+
+Null counts, and frames of no pixels, give null scores, which means leave out and which fail nothing. Without movies the
+job's score is null. Ties are told at each function.
+"""
 
 from __future__ import annotations
 
@@ -11,8 +15,9 @@ OBJECTIVE = {"weight_false_pos": 1.0, "weight_false_neg": 20.0, "frame_passing_s
 def frame_scores(counts: DataFrame, objective: dict = OBJECTIVE) -> DataFrame:
     """counts: movie_url, frameset, total, f_pos, f_neg (pixels). Adds score (2 digits, half to even, not below 0) and failed."""
     o = objective
-    raw = f"greatest(0.0D, 100.0D - 100.0D * {o['weight_false_pos']}D * f_pos / total - 100.0D * {o['weight_false_neg']}D * f_neg / total)"
-    return counts.withColumn("score", F.expr(f"bround({raw}, 2)")).withColumn("failed", F.col("score") < o["frame_passing_score"])
+    raw = f"greatest(0.0D, 100.0D - 100.0D * {o['weight_false_pos']}D * f_pos / nullif(total, 0) - 100.0D * {o['weight_false_neg']}D * f_neg / nullif(total, 0))"
+    known = "f_pos is not null and f_neg is not null and total <> 0"
+    return counts.withColumn("score", F.expr(f"case when {known} then bround({raw}, 2) end")).withColumn("failed", F.col("score") < o["frame_passing_score"])
 
 
 def movie_scores(frames: DataFrame, objective: dict = OBJECTIVE) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Set operations over matches: what jobs found, added, taken away and intersected."""
+"""Set operations over matches: what jobs found, added, taken away and intersected.
+
+Framesets or ids that are null match nothing: such rows stay in differences and drop out of intersections and of what has
+to be in every job. Repeated rows stay as often as they are. Other columns pass through; helper columns begin with two
+underscores. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 

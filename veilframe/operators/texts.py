@@ -1,4 +1,8 @@
-"""Recognised text: phrase matching, regular expressions, logs."""
+"""Recognised text: phrase matching, regular expressions, logs.
+
+Null texts match no pattern and no phrase; patterns are Java's. Repeated rows stay repeated where rows are filtered. Empty tables
+give empty results.
+"""
 
 from __future__ import annotations
 
