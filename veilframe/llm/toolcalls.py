@@ -71,11 +71,15 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, depth): the most steps from a node without parents, of the graph (node, parent); null on a cycle or behind one.
 
     Nodes of one parent are first followed up to the next one of none or several, by pointers that double each round; only
-    nodes of several parents are then ordered level by level, each once all its parents are. Parents that are no nodes
-    are left out.
+    nodes of several parents are then ordered level by level, each once all its parents are: as many rounds as there are such
+    nodes one behind the other. Parents that are no nodes are left out, as are most of those that another parent waits for.
     """
     ids = nodes.select("node").distinct()
     e = stored(edges.where("node is not null and parent is not null").select("node", "parent").distinct().join(ids.withColumnRenamed("node", "parent"), "parent", "left_semi"))
+    # a parent that another parent of the node waits for says nothing more; taken out only if that one's name is larger, so
+    # that of parents on a cycle one stays
+    over = e.select("node", F.col("parent").alias("via")).join(e.select(F.col("node").alias("via"), "parent"), "via").where("via > parent").select("node", "parent").distinct()
+    e = stored(e.join(over, ["node", "parent"], "left_anti"))
     n = e.groupBy("node").agg(F.count("*").alias("n"), F.min("parent").alias("only"))
     one = F.col("n") == 1
     state = stored(ids.join(n, "node", "left").select("node", F.when(one, F.col("only")).otherwise(F.col("node")).alias("at"), F.when(one, 1).otherwise(0).cast("long").alias("dist"), F.coalesce(one, F.lit(False)).alias("going"), F.coalesce("n", F.lit(0)).alias("n")))
