@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import decontam, jaccard, katz, media, mixing, pii, secrets, substrings, toolcalls, toxicity
+from veilframe.llm import audit, decontam, jaccard, katz, media, mixing, pii, secrets, spelling, substrings, toolcalls, toxicity
 from veilframe.llm.common import table
 
 
@@ -90,9 +90,19 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes at every step of all 120 orders, by language."""
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with the more frequent word that it is a variant of."""
+    return spelling.variant_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mix, op2_decontamination, op3_secrets, op4_substring_dedup, op5_jaccard_join, op6_jpeg_media, op7_tool_calls, op8_toxicity, op9_pii_pseudonyms, op10_katz)}
+    return {f.__name__: f for f in (op1_source_mix, op2_decontamination, op3_secrets, op4_substring_dedup, op5_jaccard_join, op6_jpeg_media, op7_tool_calls, op8_toxicity, op9_pii_pseudonyms, op10_katz, op11_filter_audit, op12_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mix": mixing.oracle(), "op2_decontamination": decontam.ORACLE}
+    return {"op1_source_mix": mixing.oracle(), "op2_decontamination": decontam.ORACLE, "op11_filter_audit": audit.ORACLE}
