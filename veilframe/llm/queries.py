@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import audit, decontam, jaccard, katz, media, mixing, pii, secrets, spelling, substrings, toolcalls, toxicity
+from veilframe.llm import audit, decontam, jaccard, katz, langid, media, mixing, pii, secrets, spelling, substrings, toolcalls, toxicity
 from veilframe.llm.common import table
 
 
@@ -100,8 +100,16 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variant_groups(table(spark, sf_dir, "documents"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document, learnt from those that aren't held out (documents without an id are)."""
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(True))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held.alias("held_out"))
+    filters = langid.fit(docs.where("not held_out"))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), filters, keep=["doc_id", "held_out"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mix, op2_decontamination, op3_secrets, op4_substring_dedup, op5_jaccard_join, op6_jpeg_media, op7_tool_calls, op8_toxicity, op9_pii_pseudonyms, op10_katz, op11_filter_audit, op12_spelling_variants)}
+    return {f.__name__: f for f in (op1_source_mix, op2_decontamination, op3_secrets, op4_substring_dedup, op5_jaccard_join, op6_jpeg_media, op7_tool_calls, op8_toxicity, op9_pii_pseudonyms, op10_katz, op11_filter_audit, op12_spelling_variants, op13_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
