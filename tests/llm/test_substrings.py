@@ -76,3 +76,27 @@ def test_edges(spark):
     odd = spark.createDataFrame([(1, "z" * 150, b"old"), (1, "z" * 150, b""), (None, None, None)], "doc_id long, text string, kept binary")
     got = [(r.doc_id, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in substrings.remove_repeats(odd).collect()]
     assert sorted(got, key=str) == sorted([(1, hashlib.sha256(b"z").hexdigest()), (1, hashlib.sha256(b"z").hexdigest()), (None, hashlib.sha256(b"").hexdigest())], key=str)
+
+
+def test_different_texts_of_one_id(spark):
+    """Each row keeps what occurs nowhere before it; texts of one id come in the order of their digests."""
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage, own = text(230), text(350)
+    rows = [(1, passage), (1, passage[10:150] + own), (1, passage), (2, own), (2, text(120)), (0, text(90)), (None, own[:200]), (None, text(30)), (None, None)]
+    order = sorted({(-1 if i is None else i, hashlib.sha256((t or "").encode()).hexdigest(), t) for i, t in rows}, key=lambda r: r[:2])
+    want = dict(zip([r[::2] for r in order], brute([(k, t) for k, (*_, t) in enumerate(order)]).values()))
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as nth").repartition(3)
+    got = substrings.remove_repeats(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (sum(x.end - x.start for x in r.removed), bytes(r.kept)) == want[-1 if r.doc_id is None else r.doc_id, r.text]
+        assert all(0 <= x.start < x.end <= len(r.text) for x in r.removed)
+    texts = {(-1 if i is None else i, t) for i, t in rows if t}
+    groups: dict = {}
+    for g in substrings.repeat_groups(df).collect():
+        mine = sorted((hashlib.sha256(t.encode()).hexdigest(), t) for i, t in texts if i == (-1 if g.id == -(2**63) else g.id))
+        if g.id == -(2**63):  # the null text is one of that id's
+            mine = sorted([*mine, (hashlib.sha256(b"").hexdigest(), "")])
+        groups.setdefault(g.group, set()).add(mine[g.nth][1][g.start : g.end])
+    assert groups and all(len(x) == 1 for x in groups.values())

@@ -73,3 +73,49 @@ def test_calls_that_wait_for_several(spark):
     assert {(r.conv_id, r.call_id): r.depth for r in got} == want
     assert all((r.status == "cycle") == (r.depth is None) for r in got)
     assert json.loads(next(r.json for r in got if r.conv_id == 99 and r.call_id == "c5"))["after"] == ["c4", "c2"]
+
+
+def test_odd_json_does_not_end_the_job(spark):
+    deep = "[" * 200_000 + "]" * 200_000
+    odd = ["1e400", '{"a":1e400}', '"\\ud800"', '{"a":1,"\\udc00":2}', deep, '{"a":' + "9" * 5000 + "}", "NaN", "", "{}x", '{"a":1,"a":2}', "null", '"\\ud83d\\ude00"']
+    calls = spark.createDataFrame([("k", str(i), "add", t, None, i) for i, t in enumerate(odd)], "conv_id string, call_id string, name string, arguments string, after string, seq int")
+    results = spark.createDataFrame([("k", "9", "r")], "conv_id string, call_id string, content string")
+    got = {int(r.call_id): r for r in T.link_calls(calls, results, SCHEMA).collect()}
+    assert {i for i, r in got.items() if r.status == "ok"} == {9} and all(r.status == "invalid" for i, r in got.items() if i != 9)
+    assert [r.errors for i, r in sorted(got.items()) if i in (0, 1, 4, 5, 6, 7, 8)] == [["$: no JSON"]] * 7
+    assert got[3].errors == ["$.\\udc00: unknown"] and '"\\udc00":2' in got[3].json and '"arguments":"😀"' in got[11].json
+    assert json.loads(got[9].json)["arguments"] == {"a": 2} and json.loads(got[4].json)["arguments"] == deep
+    for r in got.values():
+        json.loads(r.json)
+
+
+def test_unknown_types_and_enums():
+    assert T.violations(1, {"type": "whatever"}) == ["$: not whatever"] and T.violations(1, {"type": ["whatever", "integer"]}) == []
+    enum = lambda v, *of: T.violations(v, {"enum": list(of)}) == []
+    assert enum(1, 1.0) and not enum(True, 1) and not enum(0, False) and enum([1, {"a": True}], [1.0, {"a": True}]) and not enum([True], [1]) and not enum({"a": 1}, {"a": True}) and enum(None, None)
+
+
+def test_query_shows_every_status(spark):
+    """The registered query beside a plain reading of the conversations."""
+    data = "/root/testdata/sf0.1"
+    from veilframe.llm import queries
+
+    chat = spark.read.parquet(f"{data}/conversations.parquet")
+    rows = chat.selectExpr("conv_id", "turn", "role", "text", "pmod(xxhash64(conv_id, turn), 64L) as fault").collect()
+    got = queries.op7_tool_calls(spark, data).collect()
+    by = {(r.conv_id, r.call_id): r for r in got if r.status != "orphan"}
+    said = {(r.conv_id, r.turn) for r in rows if r.role == "assistant"}
+    calls = {(r.conv_id, r.turn): r for r in rows if r.role == "user"}
+    after = {(c, t): [(c, u) for u, yes in ((t - 4, t >= 4), (t - 2, t >= 2), (t + 2, r.fault == 5)) if yes and (c, u) in calls] for (c, t), r in calls.items()}
+    depth: dict = {}
+    while True:
+        ready = {x: max([depth[p] + 1 for p in ps], default=0) for x, ps in after.items() if x not in depth and all(p in depth for p in ps)}
+        if not ready:
+            break
+        depth |= ready
+    want = {}
+    for (c, t), r in calls.items():
+        bad = r.fault in (1, 2, 3, 4) or not r.text
+        want[c, f"t{t}"] = (depth.get((c, t)), "cycle" if (c, t) not in depth else "unknown_tool" if r.fault == 0 else "invalid" if bad else "ok" if (c, t + 1) in said else "unanswered")
+    assert {k: (r.depth, r.status) for k, r in by.items()} == want
+    assert {"ok", "cycle", "unknown_tool", "invalid"} <= {s for _, s in want.values()}

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veilframe.llm.common import slices, stored
 from veilframe.llm.jaccard import CELLS, SLICES, _added
@@ -24,6 +25,8 @@ LENGTH, GRAM = 100, 32
 PIECE = 1 << 20
 #: Anchors in a part, about.
 PART_ANCHORS = 12_000
+#: Of different texts with one id the k-th has its bytes at k * TEXT and on: places of an id's rows never meet.
+TEXT = 1 << 40
 STEP = np.uint64(0x9E3779B97F4A7C15)
 LOW = np.uint64((1 << 28) - 1)
 
@@ -115,9 +118,9 @@ def _owners(length: int, shipped):
     def run(batches):
         hot = np.unpackbits(np.frombuffer(shipped.value, np.uint8))
         for b in batches:
-            ids = b.column("__id").to_numpy()
+            ids, base = b.column("__id").to_numpy(), b.column("__base").to_numpy()
             for x, text, *_ in anchors(b.column("__text").to_pylist(), length, hot):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(x.view(np.int64))], names=["id", "gram"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(base[text]), pa.array(x.view(np.int64))], names=["id", "base", "gram"])
 
     return run
 
@@ -140,7 +143,7 @@ def _contexts(length: int, shipped, whole: bool = False):
             seen: dict = {}
             gone: dict = {}
             equal: list = []
-            ids, texts = b.column("__id").to_pylist(), b.column("__text").to_pylist()
+            ids, bases, texts = (b.column(c).to_pylist() for c in ("__id", "__base", "__text"))
             lists = b.column("grams")
             owner = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
             wanted = np.sort(pair(owner.astype(np.uint64), lists.flatten().to_numpy().view(np.uint64)))
@@ -148,16 +151,17 @@ def _contexts(length: int, shipped, whole: bool = False):
                 key = pair(text.astype(np.uint64), x)
                 on = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
                 for g, d, p, k in zip(x[on].view(np.int64).tolist(), text[on].tolist(), first[on].tolist(), n[on].tolist(), strict=True):
-                    t = texts[d]
+                    t, base = texts[d], bases[d]
                     context = (t[p - 1 : p] if p else b"") + t[p : p + k + length - 1]
-                    here, old = (ids[d], p), seen.setdefault((p > 0, context), (ids[d], p, g, k))
+                    here, inner = (ids[d], base + p), p > 0
+                    old = seen.setdefault((inner, context), (*here, g, k))
                     if old[:2] == here:
                         continue
                     if here < old[:2]:
-                        seen[p > 0, context] = (*here, g, k)
+                        seen[inner, context] = (*here, g, k)
                         here = old[:2]
                     if whole:
-                        equal.append(((p > 0, context), *here, k))
+                        equal.append(((inner, context), *here, k))
                         continue
                     gone.setdefault(here[0], []).append((here[1], here[1] + k + length - 1))
             rows = [(g, i, p, k, context, p + k + length - 1) for (_, context), (i, p, g, k) in seen.items()]
@@ -230,7 +234,7 @@ def maximal_repeats(rows: list[tuple], length: int):
     """
     text, end, own, base = [], [], [], 0
     for k, (_, start, windows, context) in enumerate(rows):
-        body = context[1:] if start else context
+        body = context[1:] if start % TEXT else context
         text.append(body)
         end.append(np.full(len(body), base + len(body)))
         own.append(np.full(len(body), k))
@@ -270,7 +274,7 @@ def _groups(length: int, whole: bool = False):
         equal: list = []
         by_gram: dict = {}
         for g, i, p, k, context in zip(*[t.column(c).to_pylist() for c in ("gram", "id", "start", "windows", "context")], strict=True):
-            key = (p > 0, context)
+            key = (p % TEXT > 0, context)
             old = seen.get(key)
             if old is None or (i, p) < old[1:3]:
                 seen[key] = (g, i, p, k, context)
@@ -303,7 +307,7 @@ def _groups(length: int, whole: bool = False):
 
 
 def repeat_groups(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", length: int = LENGTH) -> DataFrame:
-    """Repeated byte strings of at least `length` bytes: rows (group, later, id, start, end), end exclusive.
+    """Repeated byte strings of at least `length` bytes: rows (group, later, id, nth, start, end), end exclusive.
 
     A group is a maximal repeat as far as the windows of one anchor reach (up to 2 * length - 32 + 1 bytes), with all its
     occurrences; longer repeats are chains of overlapping groups. later: not the first occurrence, by id and then start.
@@ -311,10 +315,10 @@ def repeat_groups(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id"
     of one passage never meet in one part; they get the groups of the one that they equal afterwards, at their own
     place. A context that only such copies share is a group of its own.
 
-    Null and short texts have no repeats. Rows with equal ids must have equal texts; they count as one. Null ids come
-    first. Empty tables give empty results. Nothing is sampled or capped; digests only decide where bytes meet.
+    Null and short texts have no repeats. Equal rows count as one. Different texts of one id are told apart by nth: which of
+    the id's texts it is, in the order of their digests, from 0 (0 for all where ids are unique). Null ids come first. Empty tables give empty results. Nothing is sampled or capped; digests only decide where bytes meet.
     """
-    found = stored(_repeats(docs, text, id_col, length, whole=True), release=True)
+    found = stored(_repeats(_placed(docs.select(id_col, text), text, id_col), length, whole=True), release=True)
     group = found.where("group is not null")
     folded = found.where("group is null").select("id", "start", "end", "of_id", "of_start")
     # a context folded in its batch may equal one that was folded later, in its part
@@ -327,25 +331,42 @@ def repeat_groups(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id"
     group = stored(group.unionByName(alone))
     at = folded.select("of_id", "of_start", F.col("id").alias("__id"), (F.col("start") - F.col("of_start")).alias("by"))
     copies = group.join(at, ["of_id", "of_start"]).select("group", F.lit(True).alias("later"), F.col("__id").alias("id"), (F.col("start") + F.col("by")).alias("start"), (F.col("end") + F.col("by")).alias("end"))
-    return group.select("group", "later", "id", "start", "end").unionByName(copies)
-
-
-def _repeats(docs: DataFrame, text: str, id_col: str, length: int, whole: bool = False) -> DataFrame:
+    every = group.select("group", "later", "id", "start", "end").unionByName(copies)
+    place = lambda c: (F.col(c) - F.shiftright("start", 40) * TEXT).alias(c)
+    return every.select("group", "later", "id", F.shiftright("start", 40).alias("nth"), place("start"), place("end"))
+
+
+def _placed(docs: DataFrame, text: str, id_col: str) -> DataFrame:
+    """docs with __id (null ids: the smallest number), __text and __base, where the text's bytes begin: 0, or k * TEXT for the
+    k-th of several different texts of one id. Only those ids are looked at again, by the digests of their texts."""
+    d = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))).withColumn("__text", F.col(text).cast("binary"))
+    digest = F.sha2(F.coalesce("__text", F.lit(b"")), 256).alias("__digest")
+    twice = stored(d.groupBy("__id").agg(F.count("*").alias("n")).where("n > 1").select("__id"))
+    if not twice.isEmpty():
+        kinds = d.select("__id", digest).join(twice, "__id", "left_semi").distinct()
+        nth = F.row_number().over(Window.partitionBy("__id").orderBy("__digest")) - 1
+        kinds = stored(kinds.withColumn("__nth", nth).where("__nth > 0"))
+        if not kinds.isEmpty():
+            return d.withColumn("__digest", digest).join(kinds, ["__id", "__digest"], "left").withColumn("__base", F.coalesce("__nth", F.lit(0)).cast("long") * TEXT).drop("__digest", "__nth")
+    return d.withColumn("__base", F.lit(0).cast("long"))
+
+
+def _repeats(placed: DataFrame, length: int, whole: bool = False) -> DataFrame:
     """Rows (group, later, id, start, end): occurrences in contexts that weren't folded; group null: spans of folded
     contexts, or with whole each folded context, and of_id and of_start as _groups() has them."""
-    spark = docs.sparkSession
-    work = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("__id"), F.col(text).cast("binary").alias("__text")).where(F.octet_length("__text") >= length)
+    spark = placed.sparkSession
+    work = placed.select("__id", "__base", "__text").where(F.octet_length("__text") >= length)
     cells = {r.slice: np.frombuffer(bytes(r.counts), np.uint32) for r in work.select("__text").mapInArrow(_survey(length), "slice int, counts binary").groupBy("slice").applyInArrow(_added, "slice int, counts binary").collect()}
     counts = np.concatenate([cells[k] for k in sorted(cells)]) if cells else np.zeros(CELLS, np.uint32)
     hot = counts > 50 + 3 * counts.mean()
     shipped = spark.sparkContext.broadcast(np.packbits(hot).tobytes())
 
     twice = work.select("__text").mapInArrow(_counter(length, shipped), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
-    owners = work.mapInArrow(_owners(length, shipped), "id long, gram long").join(twice, "gram")
-    lists = stored(owners.groupBy("id").agg(F.collect_set("gram").alias("grams")), release=True)
+    owners = work.mapInArrow(_owners(length, shipped), "id long, base long, gram long").join(twice, "gram")
+    lists = stored(owners.groupBy("id", "base").agg(F.collect_set("gram").alias("grams")), release=True)
     total = lists.agg(F.sum(F.size("grams"))).first()[0] or 0
     parts = max(1, -(-total // PART_ANCHORS))
-    joined = work.join(lists.withColumnRenamed("id", "__id"), "__id")
+    joined = work.join(lists.withColumnsRenamed({"id": "__id", "base": "__base"}), ["__id", "__base"])
     of = OF if whole else ""
     found = joined.mapInArrow(_contexts(length, shipped, whole), CONTEXT + of)
     found = stored(found, release=True)
@@ -358,13 +379,15 @@ def _repeats(docs: DataFrame, text: str, id_col: str, length: int, whole: bool =
 def remove_repeats(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", length: int = LENGTH) -> DataFrame:
     """Add removed (array of (start, end) byte offsets, maximal runs) and kept (binary: the other bytes) to docs.
 
-    A byte is removed if a string of `length` bytes that covers it also starts earlier: at a smaller id, or earlier in
-    the same text. Null texts are kept as empty bytes. See repeat_groups() for the rest; other columns pass through,
+    A byte is removed if a string of `length` bytes that covers it also starts earlier: at a smaller id, in a text of the
+    same id that has a smaller digest, or earlier in the same text; equal rows stay alike. Null texts are kept as empty bytes. See repeat_groups() for the rest; other columns pass through,
     those named like the added ones are replaced.
     """
-    spans = _repeats(docs, text, id_col, length).where("later").select(F.col("id").alias("__id"), F.struct("start", "end").alias("s"))
-    spans = stored(spans.groupBy("__id").agg(F.array_sort(F.collect_set("s")).alias("__spans")))
-    d = docs.drop("removed", "kept").withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))).join(spans, "__id", "left").drop("__id")
+    d = _placed(docs.drop("removed", "kept"), text, id_col)
+    base = F.shiftright("start", 40) * TEXT
+    spans = _repeats(d, length).where("later").select(F.col("id").alias("__id"), base.alias("__base"), F.struct((F.col("start") - base).alias("start"), (F.col("end") - base).alias("end")).alias("s"))
+    spans = stored(spans.groupBy("__id", "__base").agg(F.array_sort(F.collect_set("s")).alias("__spans")))
+    d = d.drop("__text").join(spans, ["__id", "__base"], "left").drop("__id", "__base")
     d = d.withColumn("removed", F.expr("cast(array() as array<struct<start:long,end:long>>)")).withColumn("kept", F.coalesce(F.col(text).cast("binary"), F.lit(b"")))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,16 +20,30 @@ def _is(value, kind: str) -> bool:
         return isinstance(value, int) and not isinstance(value, bool) or isinstance(value, float) and value.is_integer()
     if kind == "number":
         return isinstance(value, (int, float)) and not isinstance(value, bool)
-    return isinstance(value, TYPES[kind])
+    return isinstance(value, TYPES.get(kind, ()))
+
+
+def _same(a, b) -> bool:
+    """Equal JSON values: numbers by value, true and false are no numbers."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(v, b[k]) for k, v in a.items())
+    return a == b
 
 
 def violations(value, schema: dict, at: str = "$") -> list[str]:
-    """What of the JSON schema the value breaks: type, enum, required, properties, additionalProperties, items, bounds and lengths."""
+    """What of the JSON schema the value breaks: type, enum, required, properties, additionalProperties, items, bounds and lengths.
+
+    A type that JSON schemas don't know fits no value.
+    """
     kinds = schema.get("type")
     kinds = [kinds] if isinstance(kinds, str) else kinds
     if kinds and not any(_is(value, k) for k in kinds):
         return [f"{at}: not {'/'.join(kinds)}"]
-    out = [f"{at}: not in enum"] if "enum" in schema and value not in schema["enum"] else []
+    out = [f"{at}: not in enum"] if "enum" in schema and not any(_same(value, x) for x in schema["enum"]) else []
     if isinstance(value, dict):
         known = schema.get("properties", {})
         out += [f"{at}.{k}: missing" for k in schema.get("required", []) if k not in value]
@@ -53,13 +68,23 @@ def _refuse(x):
     raise ValueError(f"{x} is no JSON number")
 
 
+def _finite(x: str) -> float:
+    return y if math.isfinite(y := float(x)) else _refuse(x)
+
+
 def read_json(text: str):
-    return json.loads(text, parse_constant=_refuse)
+    """The value; a ValueError for what is no JSON, and for numbers too large to hold."""
+    return json.loads(text, parse_constant=_refuse, parse_float=_finite)
+
+
+def whole(s: str) -> str:
+    """Halves of surrogate pairs, which no encoding can hold, as escapes."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", s)
 
 
 def canonical(value) -> str:
-    """JSON with sorted keys, no blanks, and other characters than ASCII as they are."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    """JSON with sorted keys, no blanks, and other characters than ASCII as they are (halves of surrogate pairs: escaped)."""
+    return whole(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
 
 
 def depths(nodes: DataFrame) -> DataFrame:
@@ -112,7 +137,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], *
     results: keys, call_id, content. Both are hash-joined by keys and call_id. Returns keys, call_id, seq, depth
     (0 for calls that wait for none: rows ordered by depth, seq and call_id are in topological order), status, errors, json.
 
-    status: ok; invalid (arguments are no JSON or break the schema); unknown_tool; unanswered; cycle (depth null); orphan (a
+    status: ok; invalid (arguments are no JSON, hold a number beyond a double, nest too deep, or break the schema); unknown_tool; unanswered; cycle (depth null); orphan (a
     result without a call). The first that holds in the order cycle, unknown_tool, invalid, unanswered is told; errors
     lists the schema's violations. json is the canonical form of after, arguments, id, name and result.
 
@@ -142,17 +167,17 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], *
         def check(rows):
             out = []
             for r in map(json.loads, rows):
-                value, errors, status = r.get("arguments"), [], "ok"
-                if not r["call"]:
-                    status = "orphan"
-                else:
+                call = {"after": r.get("after"), "arguments": r.get("arguments"), "id": r.get("id"), "name": r.get("name"), "result": r.get("content")}
+                errors, line = [], None
+                if r["call"]:
                     try:
-                        value = read_json(value)
+                        value = read_json(r.get("arguments"))
                         errors = violations(value, schemas.get(r.get("name"), {}))
+                        line = canonical(call | {"arguments": value})
                     except (ValueError, TypeError, RecursionError):
                         errors = ["$: no JSON"]
-                    status = "cycle" if r["cycle"] else "unknown_tool" if r.get("name") not in schemas else "invalid" if errors else "ok" if r.get("answered") else "unanswered"
-                out.append((status, errors, canonical({"after": r.get("after"), "arguments": value, "id": r.get("id"), "name": r.get("name"), "result": r.get("content")})))
+                status = "orphan" if not r["call"] else "cycle" if r["cycle"] else "unknown_tool" if r.get("name") not in schemas else "invalid" if errors else "ok" if r.get("answered") else "unanswered"
+                out.append((status, [whole(e) for e in errors], line or canonical(call)))
             return [list(c) for c in zip(*out, strict=True)] if out else [[], [], []]
 
         return check
@@ -165,16 +190,26 @@ SCHEMAS = {"reply": {"type": "object", "required": ["prompt", "turn"], "addition
 
 
 def from_conversations(chat: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results of (conv_id, turn, role, text): a user's turn is a call of 'reply' that waits for the call two
-    turns before; what an assistant says is the result of the call one turn before.
+    """Calls and results of (conv_id, turn, role, text): a user's turn is a call of 'reply' that waits for the calls two and
+    four turns before; what an assistant says is the result of the call one turn before.
 
-    It waits for the call four turns before as well. Turns of other roles (system, null) are neither calls nor results and are left out. A user's turn without a number
-    has no call id and is left out too; an assistant's is an orphan.
+    The conversations hold no faults of their own, so a digest of (conv_id, turn), pmod 64, decides on some: 0: the tool is
+    'fetch', which nobody knows; 1: the turn is told as a string; 2: the prompt is missing, and there is a field that
+    nobody knows; 3: the arguments end too early; 4: the turn is 1e999; 5: the call waits for the next one as well, which waits for it.
+
+    Turns of other roles (system, null) are neither calls nor results and are left out. A user's turn without a number has no
+    call id and is left out too; an assistant's is an orphan.
     """
     name = lambda back: F.concat(F.lit("t"), (F.col("turn") - back).cast("string"))
-    calls = chat.where("role = 'user'").select(
-        "conv_id", name(0).alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct(F.col("text").alias("prompt"), "turn")).alias("arguments"),
-        F.filter(F.array(F.when(F.col("turn") >= 4, name(4)), F.when(F.col("turn") >= 2, name(2))), lambda x: x.isNotNull()).alias("after"), F.col("turn").alias("seq"),
+    fault = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(64))
+    good = F.to_json(F.struct(F.col("text").alias("prompt"), "turn"))
+    arguments = (
+        F.when(fault == 1, F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn").cast("string").alias("turn")))).when(fault == 2, F.to_json(F.struct("turn", F.col("role").alias("speaker"))))
+        .when(fault == 3, F.expr("left(good, length(good) - 1)")).when(fault == 4, F.concat(F.expr("left(good, length(good) - 1)"), F.lit(',"turn":1e999}'))).otherwise(F.col("good"))
+    )
+    calls = chat.where("role = 'user'").withColumn("good", good).select(
+        "conv_id", name(0).alias("call_id"), F.when(fault == 0, "fetch").otherwise("reply").alias("name"), arguments.alias("arguments"),
+        F.filter(F.array(F.when(F.col("turn") >= 4, name(4)), F.when(F.col("turn") >= 2, name(2)), F.when(fault == 5, name(-2))), lambda x: x.isNotNull()).alias("after"), F.col("turn").alias("seq"),
     )
     results = chat.where("role = 'assistant'").select("conv_id", name(1).alias("call_id"), F.col("text").alias("content"))
     return calls, results
