@@ -49,3 +49,37 @@ def test_cards_must_pass_luhn(spark):
     bad = [b + str(c) for b in body for c in range(10) if not luhn(b + str(c))] + ["9807915762804490", "4111 1111 1111 1112", "1700000000001"]
     assert not any(luhn(re.sub("[^0-9]", "", b)) for b in bad)
     assert found(spark, bad) == [(b, []) for b in bad]
+
+
+def test_cards_of_four_six_and_five(spark):
+    for text, hits in found(spark, ["3782-822463-10005", "no. 3782 822463 10005!", "3782-822463-10006", "3782-822463-100051"]):
+        for kind, value, new in hits:
+            assert kind == "card" and luhn(re.sub("[^0-9]", "", new)) and re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", value) and new in text and new != value
+    assert [len(h) for _, h in found(spark, ["3782-822463-10005", "no. 3782 822463 10005!", "3782-822463-10006", "3782-822463-100051"])] == [1, 1, 0, 0]
+
+
+def test_dates_of_every_layout_are_permuted_in_it(spark):
+    import datetime
+
+    day = datetime.date(1999, 12, 1)
+    days = [day + datetime.timedelta(k) for k in range(450)] + [datetime.date(1800, 1, 1), datetime.date(1800, 1, 13), datetime.date(2199, 12, 31), datetime.date(2199, 12, 13)]
+    layouts = {"ymd": lambda d: f"{d:%Y-%m-%d}", "d.m": lambda d: f"{d:%d.%m.%Y}", "m/d": lambda d: f"{d:%m/%d/%Y}", "short": lambda d: f"{d.day}/{d.month}/{d.year}", "short m/d": lambda d: f"{d.month}/{d.day}/{d.year}"}
+    for name, write in layouts.items():
+        texts = sorted({write(d) for d in days if "m/d" not in name or d.day > 12})
+        new = []
+        for value, (text, hits) in zip(texts, found(spark, texts), strict=True):
+            assert [h[:2] for h in hits] == [("date", value)] and text == hits[0][2]
+            new.append(text)
+        assert len(set(new)) == len(texts)
+        for value, t in zip(texts, new):
+            a, b, c = map(int, re.split("[-./]", t))
+            d = datetime.date(a, b, c) if name == "ymd" else datetime.date(c, a, b) if "m/d" in name else datetime.date(c, b, a)
+            assert datetime.date(1800, 1, 1) <= d <= datetime.date(2199, 12, 31) and (d.day > 12 or "m/d" not in name)
+            assert t == (write(d) if len(value) < 10 or "short" not in name else layouts["m/d"](d) if "m/d" in name else f"{d:%d/%m/%Y}")
+    assert [h for _, h in found(spark, ["13/13/2020", "2/30/2020", "31.4.2020", "1/2/20"])] == [[]] * 4
+
+
+def test_the_key_is_not_in_the_plan(spark):
+    out = pii.pseudonymise(spark.createDataFrame([("2020-02-29",)], "text string"), key="nobody-may-read-this")
+    assert out.first().text != "2020-02-29"
+    assert "nobody-may-read-this" not in out._jdf.queryExecution().toString()

@@ -4,7 +4,8 @@ Numbers and dates that pass their validation are moved by a keyed Feistel permut
 result is again a valid card number, phone number, address or date, and equal values get equal pseudonyms in every
 document. Phone numbers are any ten digits in one of the layouts of SHAPES; those with an area code or exchange that
 begins with 0 or 1 (which nobody has) are permuted among themselves. Card numbers are runs of 13 to 19 digits whose last
-is the Luhn check digit of the others; other runs (identifiers, time stamps) stay as they are. E-mail addresses have no fixed digit format; they
+is the Luhn check digit of the others, also in groups of 4-4-4-4 or 4-6-5; other runs (identifiers, time stamps) stay as they are.
+Dates are 2020-12-25, and 25.12.2020 or 25/12/2020, with one or two digits; 12/25/2020 is read month first because it is no day otherwise. E-mail addresses have no fixed digit format; they
 get a keyed digest as local part and domain.
 """
 
@@ -19,7 +20,7 @@ KINDS = ("email", "phone", "card", "ssn", "date", "ip")
 
 EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 PHONE = r"(?:\+1[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[.-][0-9]++|\+1[ .-]?[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9]|[-./][0-9])"
-CARD4 = r"[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9])"
+CARD4 = r"[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9])|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9])"
 NUMBER = r"[0-9]++(?:[-./][0-9]++)*+"
 CANDIDATE = f"{EMAIL}|{PHONE}|{CARD4}|{NUMBER}"
 
@@ -27,22 +28,24 @@ OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 SHAPES = {
     "email": f"^{EMAIL}$",
     "phone": r"^(?:(?:\+1[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[.-][0-9]{4}|\+1[ .-]?[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}|(?:1[.-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})$",
-    "card": r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})$",
+    "card": r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})$",
     "ssn": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$",
-    "date": r"^(?:(?:18|19|20|21)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./](?:18|19|20|21)[0-9]{2})$",
+    "date": r"^(?:(?:18|19|20|21)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./](?:18|19|20|21)[0-9]{2})$",
     "ip": rf"^{OCTET}(?:\.{OCTET}){{3}}$",
 }
 #: 400 years of the calendar from 1800-01-01 are 146097 = 773 * 189 days.
 FIRST_DAY, DAYS_A, DAYS_B = "1800-01-01", 773, 189
+#: Without the first twelve of each of their 4800 months, 9 * 9833 days.
+LATE_A, LATE_B, MONTHS = 9, 9833, 4800
 
 
 def _q(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _feistel(x: str, a: str, b: str, key: str, tag: str, rounds: int = 4) -> str:
-    """SQL that permutes the integer x of [0, a*b): halves x div b and x mod b, each moved by a digest of the other."""
-    f = lambda side, half: f"cast(conv(substring(md5(concat_ws(':', {_q(key)}, {_q(tag)}, {_q(side)}, i, {half})), 1, 13), 16, 10) as bigint)"
+def _feistel(x: str, a: str, b: str, tag: str, rounds: int = 4) -> str:
+    """SQL that permutes the integer x of [0, a*b): halves x div b and x mod b, each moved by a digest of the other under __key."""
+    f = lambda side, half: f"cast(conv(substring(md5(concat_ws(':', __key, {_q(tag)}, {_q(side)}, i, {half})), 1, 13), 16, 10) as bigint)"
     left = f"pmod(s.l + {f('l', 's.r')}, {a})"
     return (
         f"aggregate(sequence(1, {rounds}), named_struct('l', cast(({x}) div ({b}) as bigint), 'r', cast(pmod({x}, {b}) as bigint)), "
@@ -72,10 +75,22 @@ def _let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _pseudonym(kind: str, key: str) -> str:
-    """SQL for the pseudonym of m, a match of the kind."""
+#: The day that m tells: year first, or day first; month first only where that is no day.
+DAY = "coalesce(try_to_date(m, 'yyyy-MM-dd'), try_to_date(translate(m, '/', '.'), 'd.M.yyyy'))"
+MONTH_FIRST = "try_to_date(translate(m, '/', '.'), 'M.d.yyyy')"
+
+
+def _written(day: str, first: str, second: str) -> str:
+    """SQL for a day in the layout of m: its separator, and blanks for leading zeros if m leaves one out."""
+    sign = "substring(m, length(m) - 4, 1)"
+    shape = lambda n: f"concat({', '.join([_q(first * n), sign, _q(second * n), sign])}, 'yyyy')"
+    return f"case when length(m) < 10 then date_format({day}, {shape(1)}) else date_format({day}, {shape(2)}) end"
+
+
+def _pseudonym(kind: str) -> str:
+    """SQL for the pseudonym of m, a match of the kind, under the key in column __key."""
     if kind == "email":
-        digest = lambda part: f"sha2(concat_ws(':', {_q(key)}, lower({part})), 256)"
+        digest = lambda part: f"sha2(concat_ws(':', __key, lower({part})), 256)"
         return f"concat('u', substring({digest('m')}, 1, 20), '@h', substring({digest('substring_index(m, chr(64), -1)')}, 1, 16), '.example')"
     digits = "regexp_replace(m, '[^0-9]', '')"
     if kind == "phone":
@@ -87,14 +102,14 @@ def _pseudonym(kind: str, key: str) -> str:
         x0 = f"case when {area} < 200 then {area} * 1000 + {exchange} else 200000 + ({area} - 200) * 200 + {exchange} end * 10000 + {line}"
         pair = "case when y div 10000 < 200000 then y div 10000 else 200000 + (y div 10000 - 200000) div 200 * 1000 + pmod(y div 10000 - 200000, 200) end"
         out0 = f"concat(lpad(cast({pair} as string), 6, '0'), lpad(cast(pmod(y, 10000) as string), 4, '0'))"
-        new = f"case when d rlike '^[2-9]..[2-9]' then {_let('y', _feistel(x, '80000L', '80000L', key, kind), out)} else {_let('y', _feistel(x0, '60000L', '60000L', key, 'phone01'), out0)} end"
+        new = f"case when d rlike '^[2-9]..[2-9]' then {_let('y', _feistel(x, '80000L', '80000L', kind), out)} else {_let('y', _feistel(x0, '60000L', '60000L', 'phone01'), out0)} end"
         return _let("d", f"right({digits}, 10)", _fill("m", f"concat(case when length({digits}) = 11 then '1' else '' end, {new})"))
     if kind == "card":
         # all digits but the last are permuted; the last is their check digit
         p = "substring(d, 1, length(d) - 1)"
         half = "cast(power(10, (length(d) - 1) div 2) as bigint)"
         other = "cast(power(10, length(d) - 1 - (length(d) - 1) div 2) as bigint)"
-        new = f"lpad(cast({_feistel(f'cast({p} as bigint)', other, half, key, kind)} as string), length(d) - 1, '0')"
+        new = f"lpad(cast({_feistel(f'cast({p} as bigint)', other, half, kind)} as string), length(d) - 1, '0')"
         return _let("d", digits, _let("y", new, _fill("m", f"concat(y, {_luhn('y')})")))
     if kind == "ssn":
         # 898 areas (not 000, 666, 900-999), 99 groups, 9999 serials
@@ -102,21 +117,28 @@ def _pseudonym(kind: str, key: str) -> str:
         x = f"({area} - case when {area} > 666 then 2 else 1 end) * 989901 + (cast(substring(m, 5, 2) as bigint) - 1) * 9999 + cast(substring(m, 8, 4) as bigint) - 1"
         a = "y div 989901"
         out = f"concat(lpad(cast({a} + case when {a} >= 665 then 2 else 1 end as string), 3, '0'), '-', lpad(cast(pmod(y, 989901) div 9999 + 1 as string), 2, '0'), '-', lpad(cast(pmod(pmod(y, 989901), 9999) + 1 as string), 4, '0'))"
-        return _let("y", _feistel(x, "898L", "989901L", key, kind), out)
+        return _let("y", _feistel(x, "898L", "989901L", kind), out)
     if kind == "date":
-        day = "coalesce(try_to_date(m, 'yyyy-MM-dd'), try_to_date(translate(m, '/', '.'), 'dd.MM.yyyy'))"
-        x = f"cast(datediff({day}, date'{FIRST_DAY}') as bigint)"
-        moved = f"date_add(date'{FIRST_DAY}', cast({_feistel(x, f'{DAYS_A}L', f'{DAYS_B}L', key, kind)} as int))"
-        return f"case when substring(m, 5, 1) = '-' then date_format({moved}, 'yyyy-MM-dd') else date_format({moved}, concat('dd', quoted, 'MM', quoted, 'yyyy')) end".replace("quoted", "substring(m, 3, 1)")
+        since = lambda d: f"cast(datediff({d}, date'{FIRST_DAY}') as bigint)"
+        all_days = f"date_add(date'{FIRST_DAY}', cast({_feistel(since(DAY), f'{DAYS_A}L', f'{DAYS_B}L', kind)} as int))"
+        iso = f"date_format({all_days}, 'yyyy-MM-dd')"
+        # month first is what can't be day first: days from the 13th on, which are permuted among themselves. The k-th of them lies in
+        # the last month that has no more than k of them before it; months have 13 to 19 of them each, so a few guesses do
+        month = f"cast(months_between(trunc({MONTH_FIRST}, 'MM'), date'{FIRST_DAY}') as bigint)"
+        before = "datediff(add_months(first, cast(n as int)), first) - 12 * n".replace("first", f"date'{FIRST_DAY}'")
+        guess = f"k * {MONTHS} div {LATE_A * LATE_B}"
+        found = f"array_max(filter(sequence(greatest(0L, {guess} - 3), least({MONTHS - 1}L, {guess} + 3)), n -> {before} <= k))"
+        late = _let("k", _feistel(f"({since(MONTH_FIRST)} - 12 * ({month} + 1))", f"{LATE_A}L", f"{LATE_B}L", "month", rounds=8), f"date_add(date'{FIRST_DAY}', cast(k + 12 * ({found} + 1) as int))")
+        return f"case when substring(m, 5, 1) = '-' then {iso} when {DAY} is not null then {_let('y', all_days, _written('y', 'd', 'M'))} else {_let('y', late, _written('y', 'M', 'd'))} end"
     octet = lambda k: f"cast(split(m, '\\\\.')[{k}] as bigint)"
     x = f"(({octet(0)} * 256 + {octet(1)}) * 256 + {octet(2)}) * 256 + {octet(3)}"
-    return _let("y", _feistel(x, "65536L", "65536L", key, kind), "concat_ws('.', y div 16777216, pmod(y div 65536, 256), pmod(y div 256, 256), pmod(y, 256))")
+    return _let("y", _feistel(x, "65536L", "65536L", kind), "concat_ws('.', y div 16777216, pmod(y div 65536, 256), pmod(y div 256, 256), pmod(y, 256))")
 
 
 def _valid(kind: str) -> str:
     test = f"m rlike {_q(SHAPES[kind])}"
     if kind == "date":
-        test += " and coalesce(try_to_date(m, 'yyyy-MM-dd'), try_to_date(translate(m, '/', '.'), 'dd.MM.yyyy')) is not null"
+        test += f" and coalesce({DAY}, {MONTH_FIRST}) is not null"
     if kind == "card":
         digits = "regexp_replace(m, '[^0-9]', '')"
         # a case, so that the check digit is computed for runs of the right length alone
@@ -155,7 +177,8 @@ def pseudonymise(df: DataFrame, text: str = "text", key: str | None = None, out:
     """Replace personal data in a text column by pseudonyms under a secret key (session_key() if none is given); add `found`, an array of structs (kind, start, value, pseudonym).
 
     Candidates are the leftmost, longest runs that look like an e-mail address, phone number or group of digits; those
-    that no validation accepts stay as they are. The text is split at the candidates and put together again, in
+    that no validation accepts stay as they are. The key is a one-row table that the plan reads; the plan's text, and so event logs,
+    don't show it. The text is split at the candidates and put together again, in
     whole-row expressions: no shuffle, no Python. start is the 0-based code point in the input text.
 
     Null text: null, with an empty array. Empty text: empty. Texts of any length are treated whole. A value that
@@ -163,12 +186,13 @@ def pseudonymise(df: DataFrame, text: str = "text", key: str | None = None, out:
     through (a column already named like `found` is replaced).
     """
     key = session_key(df.sparkSession) if key is None else key
+    secret = df.sparkSession.sql("select key from values (:key) as t(key)", args={"key": key}).scalar()
     gaps = f"split(__t, {_q(CANDIDATE)}, -1)"
     parts = f"regexp_extract_all(__t, {_q(CANDIDATE)}, 0)"
     kind = "case " + " ".join(f"when {_valid(k)} then '{k}'" for k in KINDS) + " end"
-    value = "case x.kind " + " ".join(f"when '{k}' then transform(array(x.value), m -> {_pseudonym(k, key)})[0]" for k in KINDS) + " else x.value end"
+    value = "case x.kind " + " ".join(f"when '{k}' then transform(array(x.value), m -> {_pseudonym(k)})[0]" for k in KINDS) + " else x.value end"
     work = (
-        df.withColumn("__t", F.col(text).cast("string"))
+        df.withColumns({"__t": F.col(text).cast("string"), "__key": secret})
         .withColumn("__gaps", F.expr(gaps))
         .withColumn("__hits", F.expr(f"transform({parts}, m -> named_struct('kind', {kind}, 'value', m))"))
         .withColumn("__new", F.expr(f"transform(__hits, x -> {value})"))
@@ -184,4 +208,4 @@ def pseudonymise(df: DataFrame, text: str = "text", key: str | None = None, out:
             "x -> x.kind is not null), cast(array() as array<struct<kind:string,start:int,value:string,pseudonym:string>>))"
         ),
     )
-    return work.withColumn(out or text, F.when(F.size("__hits") > 0, whole).otherwise(F.col("__t"))).drop("__t", "__gaps", "__hits", "__new", "__at")
+    return work.withColumn(out or text, F.when(F.size("__hits") > 0, whole).otherwise(F.col("__t"))).drop("__t", "__gaps", "__hits", "__new", "__at", "__key")
