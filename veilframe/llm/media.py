@@ -139,7 +139,10 @@ def parse(data: bytes) -> dict | None:
         tables = {k for _, dc, ac in out["scan"] for k in (dc, 0x10 | ac)}
         whole = tables <= set(out["huff"]) and all(len(t) == 16 + sum(t[:16]) and sum(n << (15 - i) for i, n in enumerate(t[:16])) <= 65536 for t in out["huff"].values())
         sound = all(1 <= h <= 4 and 1 <= v <= 4 and q in out["quant"] and len(out["quant"][q]) == 64 for _, h, v, q in known.values())
-        return out if whole and sound and len(known) == len(out["parts"]) else None
+        if not (whole and sound and len(known) == len(out["parts"])):
+            return None
+        blocks = _units(out)[2] * (1 if len(known) == 1 else sum(h * v for _, h, v, _ in known.values()))
+        return out if 2 * blocks <= 8 * len(out["coded"]) else None  # a block takes two codes of a bit at least
     except (struct.error, IndexError, ValueError):
         return None
 
@@ -187,9 +190,17 @@ def _parse(data: bytes) -> dict | None:
     return None
 
 
+def _units(image: dict) -> tuple[int, int, int]:
+    """Units of the scan across, down and in all."""
+    alone = len(image["parts"]) == 1
+    wide = -(-image["width"] // (8 if alone else 8 * max(p[1] for p in image["parts"])))
+    high = -(-image["height"] // (8 if alone else 8 * max(p[2] for p in image["parts"])))
+    return wide, high, wide * high
+
+
 def _lookup(table: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Symbol and code length for each 16 bits that may come next."""
-    symbols, lengths = np.zeros(65536, np.int64), np.full(65536, 17, np.int64)
+    """Symbol and code length for each 16 bits that may come next; bits that are no code lead behind the end."""
+    symbols, lengths = np.zeros(65536, np.int64), np.full(65536, 1 << 40, np.int64)
     code, at = 0, 16
     for n in range(1, 17):
         for _ in range(table[n - 1]):
@@ -226,7 +237,8 @@ class _Bits:
 
 
 def decode(files: list[bytes]) -> list[dict | None]:
-    """Quantised coefficients of the blocks of each component (blocks high, wide, 64; in scan order); None as in parse()."""
+    """Quantised coefficients of the blocks of each component (blocks high, wide, 64; in scan order); None as in parse(), and
+    where an interval's codes go on behind its bits."""
     seen = [parse(f) for f in files]
     groups: dict = {}
     for i, p in enumerate(seen):
@@ -235,7 +247,7 @@ def decode(files: list[bytes]) -> list[dict | None]:
             groups.setdefault(alike, []).append(i)
     for members in groups.values():
         _decode_alike([seen[i] for i in members])
-    return seen
+    return [m if m and m["coef"] else None for m in seen]
 
 
 def _decode_alike(images: list[dict]) -> None:
@@ -243,14 +255,11 @@ def _decode_alike(images: list[dict]) -> None:
     tables = {k: _lookup(t) for k, t in one["huff"].items()}
     parts = {p[0]: p for p in one["parts"]}
     alone = len(parts) == 1
-    top_h, top_v = max(p[1] for p in parts.values()), max(p[2] for p in parts.values())
     hv = {c: (1, 1) if alone else (p[1], p[2]) for c, p in parts.items()}
-    raws, starts, counts, owner, offset = [], [], [], [], []
+    raws, starts, stops, counts, owner, offset = [], [], [], [], [], []
     base, blocks = 0, 0
     for i, m in enumerate(images):
-        unit_h, unit_v = (8, 8) if alone else (8 * top_h, 8 * top_v)
-        m["wide"], m["high"] = -(-m["width"] // unit_h), -(-m["height"] // unit_v)
-        units = m["wide"] * m["high"]
+        m["wide"], m["high"], units = _units(m)
         raw = np.frombuffer(m["coded"], np.uint8)
         mark = np.flatnonzero((raw[:-1] == 255) & (raw[1:] >= 0xD0) & (raw[1:] <= 0xD7)) if len(raw) > 1 else np.empty(0, int)
         drop = np.zeros(len(raw), bool)
@@ -260,9 +269,10 @@ def _decode_alike(images: list[dict]) -> None:
         begin = np.concatenate(([0], kept[mark + 1]))
         each = m["restart"] or units
         k = np.minimum(each, units - each * np.arange(-(-units // each)))
-        begin = begin[: len(k)] if len(begin) >= len(k) else np.concatenate((begin, np.full(len(k) - len(begin), len(raw))))
         raws.append(raw[~drop])
-        starts.append(base + begin)
+        edges = np.concatenate((begin, np.full(max(1, len(k) + 1 - len(begin)), len(raws[-1]))))  # intervals that are missing have no bits
+        starts.append(base + edges[: len(k)])
+        stops.append(base + edges[1 : len(k) + 1])
         counts.append(k)
         owner.append(np.full(len(k), i))
         offset.append(blocks + each * np.arange(len(k)))
@@ -270,11 +280,13 @@ def _decode_alike(images: list[dict]) -> None:
         m["first"], m["units"] = blocks, units
         blocks += units
     bits = _Bits(np.concatenate(raws), np.minimum(np.concatenate(starts), base) * 8)
-    count, place = np.concatenate(counts), np.concatenate(offset)
+    count, place, stop, owner = np.concatenate(counts), np.concatenate(offset), np.concatenate(stops) * 8, np.concatenate(owner)
     coef = {c: np.zeros((blocks * h * v, 64), np.int16) for c, (h, v) in hv.items()}
     before = {c: np.zeros(len(count), np.int64) for c in hv}
     for step in range(int(count.max())):
-        on = np.flatnonzero(count > step)
+        on = np.flatnonzero((count > step) & (bits.pos <= stop))
+        if not len(on):
+            break
         for c, dc, ac in one["scan"]:
             h, v = hv[c]
             for b in range(h * v):
@@ -296,9 +308,10 @@ def _decode_alike(images: list[dict]) -> None:
                     stay = (k < 64) & (s != 0)
                     if not stay.all():
                         who, row, k = who[stay], row[stay], k[stay]
-    for m in images:
+    short = set(owner[bits.pos > stop].tolist())
+    for i, m in enumerate(images):
         m["coef"] = {}
-        for c, (h, v) in hv.items():
+        for c, (h, v) in hv.items() if i not in short else ():
             x = coef[c][m["first"] * h * v : (m["first"] + m["units"]) * h * v]
             x = x.reshape(m["high"], m["wide"], v, h, 64).transpose(0, 2, 1, 3, 4)
             m["coef"][c] = x.reshape(m["high"] * v, m["wide"] * h, 64)
@@ -362,7 +375,8 @@ def read_media(df: DataFrame, *, media: str = "media", keep: list[str] | None =
     """Add width, height, thumbnail (binary, one luminance byte a block), thumb_hash, payload_bytes, payload_sha256,
     tail_crc32, media_bytes, media_sha256 of a column of JPEGs.
 
-    Nulls and bytes that are no baseline JPEG of one scan get nulls (media_bytes and media_sha256 of null: null).
+    Nulls, bytes that are no baseline JPEG of one scan, and files that are cut short or whose header tells of more blocks than
+    their bits can hold get nulls (media_bytes and media_sha256 of null: null).
     """
     added = "width int, height int, thumbnail binary, thumb_hash string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
 
