@@ -263,25 +263,11 @@ def test_texts_of_odd_rows(spark):
     assert sorted((r.recording, r.transaction) for r in texts.mappings(lines).collect()) == [("a", "b:c"), ("x", "y")]
 
 
-def test_sift_finds_a_known_screen(spark):
+def test_seldom_and_areas(spark):
     from veilframe.operators import sifter
 
-    items = [("a", "label", "Name", 10, 10, False, 1, 1, 1, 1, 1, 1), ("b", "user_data", None, 100, 10, True, 1, 2, 2, 1, 2, 1), ("c", "label", "Street", 10, 50, False, 2, 1, 1, 2, 1, 2), ("d", "user_data", None, 300, 90, True, None, None, None, None, None, None), ("e", "label", "City", 10, 90, False, 3, 1, 1, 3, 1, 3)]
-    lay = spark.createDataFrame(items, "app_id string, type string, text string, x int, y int, mask_this_field boolean, row_no int, row_pos int, left_no int, left_pos int, right_no int, right_pos int")
-    texts_ = [("m", 1, 1, "Name", 20, 20, 40, 12), ("m", 1, 2, "Ann Onym", 110, 21, 60, 12), ("m", 1, 3, "Streel", 20, 60, 40, 12), ("m", 1, 4, "City", 21, 100, 40, 12), ("m", 1, 5, "stray", 320, 110, 30, 12), ("m", 2, 6, "Nothing", 1, 1, 5, 5), ("m", 2, 7, None, 1, 30, 5, 5)]
-    df = spark.createDataFrame(texts_, "movie_url string, frameset long, uid long, text string, x int, y int, w int, h int")
-    got = {r.app_id: (r.uid, r.how) for r in sifter.sift(df, lay, least_total=400).collect()}
-    assert got == {"a": (1, "row"), "b": (2, "row"), "c": (3, "row"), "e": (4, "row"), "d": (5, "near")}
-    assert sifter.sift(df, lay, least_total=4000).count() == 0 and sifter.sift(df.limit(0), lay).count() == 0
-
-
-def test_scene_and_seldom(spark):
-    from veilframe.operators import sifter
-
-    p = spark.createDataFrame([("mail", 1, 1, "Inbox", 150), ("mail", 1, 2, "Sent", 150), ("bank", 1, 1, "Account", 100), ("bank", 2, 1, None, 100)], "app string, row_no int, pos int, text string, least int")
     t = [("m", 1, 1, "Inbox", 0, 0, 9, 9), ("m", 1, 2, "Sent", 50, 4, 9, 9), ("m", 1, 3, None, 0, 40, 9, 9), ("m", 2, 4, "Sent", 0, 0, 9, 9), ("m", 2, 5, "Inbox", 50, 0, 9, 9), ("n", 9, 6, "Inbox", 0, 0, 9, 9)]
     df = spark.createDataFrame(t, "movie_url string, frameset long, uid long, text string, x int, y int, w int, h int")
-    assert [(r.frameset, r.app, r.score) for r in sifter.scene_apps(df, p).collect()] == [(1, "mail", 200.0)]
     assert {r.text: r.n_missed for r in sifter.seldom_seen(df).collect()} == {"Inbox": 0, "Sent": 1}
     a = [("m", 1, k, f"t{k}", *n) for k, n in enumerate([(0, 0, 100, 60), (90, 50, 200, 90), (195, 85, 260, 140), (500, 500, 700, 600), (None, 1, 1, 1)])]
     got = sifter.app_areas(spark.createDataFrame(a, "movie_url string, frameset long, uid long, text string, nx1 int, ny1 int, nx2 int, ny2 int")).collect()

@@ -78,27 +78,28 @@ def best_assignment(scores: list[list[float]]) -> tuple[list[int], float]:
     return path, best[n_cols][n_rows]
 
 
-def assigned_rows(scores: DataFrame) -> DataFrame:
-    """best_assignment() for each frameset of (frame, ocr_row, app_row, score), rows and columns by number; missing scores
-    are 0. Returns frame, app_row, ocr_row, score and the frameset's total, for matched rows only."""
+def assigned_rows(scores: DataFrame, keys: tuple[str, ...] = FRAME) -> DataFrame:
+    """best_assignment() for each frameset (or other keys) of (keys, ocr_row, app_row, score), rows and columns by number; missing
+    scores are 0. Returns keys, app_row, ocr_row, score and the group's total, for matched rows only."""
 
     def best(rows):
         cells = [(r["ocr_row"], r["app_row"], r["score"]) for r in rows]
         ocr, app = sorted({c[0] for c in cells}), sorted({c[1] for c in cells})
+        place, side = {o: i for i, o in enumerate(ocr)}, {a: i for i, a in enumerate(app)}
         table = [[0.0] * len(app) for _ in ocr]
         for o, a, s in cells:
-            table[ocr.index(o)][app.index(a)] = float(s)
+            table[place[o]][side[a]] = float(s)
         path, total = best_assignment(table)
         return [(app[c], ocr[r], table[r][c], total) for c, r in enumerate(path) if r >= 0]
 
-    rows = scores.where("ocr_row is not null and app_row is not null and score is not null").select(*FRAME, "ocr_row", "app_row", "score")
-    return in_groups(rows, list(FRAME), ["ocr_row", "app_row"], best, "app_row int, ocr_row int, score double, total double")
+    rows = scores.where("ocr_row is not null and app_row is not null and score is not null").select(*keys, "ocr_row", "app_row", "score")
+    return in_groups(rows, list(keys), ["ocr_row", "app_row"], best, "app_row int, ocr_row int, score double, total double")
 
 
-def quick_scores(pairs: DataFrame, threshold: int = 70) -> DataFrame:
-    """(frame, ocr_row, app_row, score): how well a row of text fits a row of the layout.
+def quick_scores(pairs: DataFrame, threshold: int = 70, keys: tuple[str, ...] = FRAME) -> DataFrame:
+    """(keys, ocr_row, app_row, score): how well a row of text fits a row of the layout.
 
-    pairs: frame, ocr_row, app_row, ocr_pos, app_pos, ratio. The layout's texts are taken in order, each matched with the
+    pairs: keys (a frameset's), ocr_row, app_row, ocr_pos, app_pos, ratio. The layout's texts are taken in order, each matched with the
     first text of the row, after those already taken, that is similar enough; the ratios are added up.
     """
 
@@ -117,7 +118,7 @@ def quick_scores(pairs: DataFrame, threshold: int = 70) -> DataFrame:
             out.append((o, a, total))
         return out
 
-    return in_groups(pairs.select(*FRAME, "ocr_row", "app_row", "ocr_pos", "app_pos", "ratio"), list(FRAME), ["ocr_row"], score, "ocr_row int, app_row int, score int")
+    return in_groups(pairs.select(*keys, "ocr_row", "app_row", "ocr_pos", "app_pos", "ratio"), list(keys), ["ocr_row"], score, "ocr_row int, app_row int, score int")
 
 
 def vertical_scale(tops: DataFrame, first_y: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 layout: app_id, type (label or user_data), text, x, y, mask_this_field, and the item's place in the layout's rows and columns:
 row_no, row_pos, left_no, left_pos, right_no, right_pos (numbers from 1; null where it is in none). A layout is a screen's
-worth of items and is broadcast once it is counted.
+worth of items; it is counted before tasks get it.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from veilframe.operators import layout as L
 from veilframe.operators.grouped import in_groups
 from veilframe.operators.sets import FRAME
 from veilframe.operators.texts import similar
+from veilframe.sources.shared import stored
 
 KINDS = {"row": ("row_no", "row_pos"), "left_col": ("left_no", "left_pos"), "right_col": ("right_no", "right_pos")}
 MOST_ITEMS = 20_000
@@ -40,66 +41,168 @@ def layout_places(layout: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).where("app_row is not null and app_pos is not null")
 
 
-def _in_rows(rows):
-    """A matched row's items take its texts in order: labels a similar one, user data the next."""
-    by: dict = {}
-    for r in rows:
-        by.setdefault((r["kind"], r["app_row"]), []).append(r)
-    for _, cells in sorted(by.items()):
-        least, items = -1, {}
-        for r in cells:
-            items.setdefault(r["app_pos"], []).append(r)
-        for pos in sorted(items):
-            for r in sorted(items[pos], key=lambda r: r["ocr_pos"]):
-                if r["ocr_pos"] > least and (r["type"] == "user_data" or r["ratio"] is not None):
-                    least = r["ocr_pos"]
-                    yield r["app_id"], r["uid"]
-                    break
+def row_matches(texts: DataFrame, layout: DataFrame, threshold: int = 70) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Groups of texts, pairs of texts and similar labels, and the best rising match of the groups of each kind with the
+    layout's rows and columns: (groups, alike, matched). Each is written once.
+
+    A group's score for a row or column is the sum of the ratios of the labels that it has in order.
+    """
+    groups = stored(grouped_texts(texts))
+    labels = layout.where("type = 'label' and text is not null").select(F.col("text").alias("phrase")).distinct()
+    alike = stored(similar(texts.select("text"), labels, threshold - 1).select("text", F.col("phrase").alias("label"), "ratio"))
+    pairs = groups.join(alike, "text").join(layout_places(layout).where("type = 'label'"), ["kind", "label"])
+    keys = (*FRAME, "kind")
+    return groups, alike, stored(L.assigned_rows(L.quick_scores(pairs, threshold, keys), keys))
+
+
+class _Layout:
+    """A layout in the rows and columns that its items stand in; bounded by a screen."""
+
+    def __init__(self, rows: list):
+        self.items = {r["app_id"]: r for r in rows}
+        self.groups: dict = {}
+        for kind, (no, pos) in KINDS.items():
+            for r in sorted((r for r in rows if r[no] is not None and r[pos] is not None), key=lambda r: (r[no], r[pos], str(r["app_id"]))):
+                self.groups.setdefault(kind, {}).setdefault(r[no], []).append(r["app_id"])
+        first = next(iter(self.groups.get("row", {}).values()), None)
+        self.first_y = (self.items[first[0]]["y"] or 0) if first else 0
+
+    def each(self, kinds=tuple(KINDS)):
+        """(kind, number, items) of every row, then left column, then right column."""
+        for kind in kinds:
+            for no, own in self.groups.get(kind, {}).items():
+                yield kind, no, own
+
+
+class _Screen:
+    """One frameset's texts and what is known of the layout's items: the text of each item in each row and column."""
+
+    def __init__(self, layout: _Layout, texts: list[dict], reach: float):
+        self.layout, self.reach = layout, reach
+        self.texts = {t["uid"]: t for t in texts}
+        self.members: dict = {}
+        for t in texts:
+            for c in t["cells"] or ():
+                self.members.setdefault((c["kind"], c["app_row"]), []).append((c["ocr_pos"], t["uid"]))
+        self.held: dict = {}  # (kind, number, item) -> (uid, how)
+        self.own: set = set()  # those not carried over from elsewhere
+
+    def match_rows(self):
+        """Items of a matched row or column take its texts in order: user data the first that is wide enough, labels the last
+        similar one; what follows begins behind as many texts as were passed."""
+        for kind, no, own in self.layout.each():
+            members, base = [u for _, u in sorted(self.members.get((kind, no), ()))], 0
+            for item in own:
+                spec = self.layout.items[item]
+                for i, uid in enumerate(members[base:]):
+                    t = self.texts[uid]
+                    if spec["type"] == "label" and spec["text"] in (t["labels"] or ()):
+                        base += i + 1
+                        self.held[kind, no, item] = (uid, kind)
+                    elif spec["type"] == "user_data" and (t["w"] or 0) >= (spec["min_width"] or 0):
+                        base += i + 1
+                        self.held[kind, no, item] = (uid, kind)
+                        break
+        self.own |= set(self.held)
+
+    def found(self) -> dict:
+        """Of each item found anywhere its text: the one in the last right column, else left column, else row."""
+        return {item: self.held[kind, no, item] for kind, no, own in self.layout.each() for item in own if (kind, no, item) in self.held}
+
+    def carry(self):
+        """What is found in one row or column holds for all others that the item stands in and that have nothing for it."""
+        found = self.found()
+        for kind, no, own in self.layout.each():
+            for item in own:
+                if item in found:
+                    self.held.setdefault((kind, no, item), found[item])
+
+    def scale(self) -> tuple[float, float]:
+        """Vertical scale and origin: the mean over the rows of how far they lie below the first found one, found against drawn."""
+        tops = []
+        for kind, no, own in self.layout.each(("row",)):
+            some = next((i for i in own if (kind, no, i) in self.held), None)
+            if some is not None:
+                tops.append((self.layout.items[some]["y"], self.texts[self.held[kind, no, some][0]]["y"]))
+        steps = [(o - tops[0][1]) / (a - tops[0][0]) for a, o in tops[1:] if a != tops[0][0]]
+        if not steps:
+            return 1.0, 0.0
+        scale = sum(steps) / len(steps)
+        return scale, tops[0][1] - (tops[0][0] - self.layout.first_y) * scale
+
+    def column_at(self, item) -> tuple[float, bool] | None:
+        """Where the item's first left column (without one: right column) was found, and whether that is a left edge."""
+        for kind in ("left_col", "right_col"):
+            own = next(((no, own) for _, no, own in self.layout.each((kind,)) if item in own), None)
+            if own:
+                uid = next((self.held[kind, own[0], i][0] for i in own[1] if (kind, own[0], i) in self.held), None)
+                t = self.texts.get(uid)
+                x = (t["x"] + (t["w"] if kind == "right_col" else 0)) if t else 0
+                return (x, kind == "left_col") if x else None
+        return None
+
+    def claim_near(self):
+        """Items of rows that are not found yet take the nearest free text, if it is near enough to where their column and the
+        scale put them; one after the other."""
+        scale, origin = self.scale()
+        taken = {uid for uid, _ in self.held.values()}
+        for kind, no, own in self.layout.each(("row",)):
+            for item in own:
+                at = None if (kind, no, item) in self.held else self.column_at(item)
+                if at is None or self.layout.items[item]["y"] is None:
+                    continue
+                y = int((self.layout.items[item]["y"] - self.layout.first_y) * scale) + origin
+                free = [(((t["x"] + (0 if at[1] else t["w"]) - at[0]) ** 2 + (t["y"] - y) ** 2) ** 0.5, u) for u, t in self.texts.items() if u not in taken]
+                best = min(free, default=None)
+                if best and best[0] <= self.reach:
+                    taken.add(best[1])
+                    self.held[kind, no, item] = (best[1], "near")
+                    self.own.add((kind, no, item))
+
+    def confirm(self):
+        """(item, uid, text, how, carried) of all found items."""
+        self.match_rows()
+        self.carry()
+        self.claim_near()
+        self.carry()
+        carried: dict = {}
+        for kind, no, item in self.held:
+            carried[item] = carried.get(item, 0) + ((kind, no, item) not in self.own)
+        return [(item, uid, self.texts[uid]["text"], how, carried[item]) for item, (uid, how) in sorted(self.found().items(), key=lambda x: str(x[0]))]
 
 
 def sift(texts: DataFrame, layout: DataFrame, *, threshold: int = 70, least_total: int = 500, reach: float = 200.0) -> DataFrame:
-    """(frame, app_id, uid, text, how): the items of a layout found among a frameset's texts.
+    """(frame, app_id, uid, text, how, carried): the items of a layout found among a frameset's texts.
 
     Texts are grouped into rows and columns, each scored against the layout's by the labels that they have in order, and
     matched so that later ones follow later ones, for the largest total. Framesets whose totals of rows, left and right
-    columns together reach least_total show the application: the items of matched rows and columns take the texts in them
-    (how: 'row', 'left_col', 'right_col', the first that has it), and items that are left over take the nearest free text
-    within reach of where the layout's scale puts them (how: 'near'). Items found twice keep the first text (smallest uid).
-    Null texts match no label. Framesets without a match, and empty tables, give no rows.
+    columns together reach least_total show the application, and are confirmed, one screen at a time:
+
+    1. items of matched rows and columns take the texts in them (match_rows)
+    2. what was found in one row or column holds in the others that the item stands in (carry)
+    3. items of rows that are still missing take the nearest free text within reach of where their column and the rows' scale
+       put them (claim_near; a column at x = 0 counts as unknown)
+    4. and these, too, are carried to the columns.
+
+    how: the row, left_col or right_col that found the text that counts (of several the last right column's, then the last left
+    column's), or near; carried: in how many of the item's rows and columns it stands only since step 2 or 4. layout may have
+    min_width, the least width of user data. Null texts match no label; texts and items with null places are left out of
+    step 3's distances. Framesets without a match, and empty tables, give no rows.
     """
     if layout.count() > MOST_ITEMS:
         raise ValueError(f"a layout has more than {MOST_ITEMS} items")
-    uid = dict(texts.dtypes)["uid"]
-    groups = grouped_texts(texts)
-    places = F.broadcast(layout_places(layout))
-    labels = layout.where("type = 'label' and text is not null").select(F.col("text").alias("phrase")).distinct()
-    alike = similar(texts.select("text"), labels, threshold - 1).select("text", F.col("phrase").alias("label"), "ratio")
-    pairs = groups.join(alike, "text").join(places.where("type = 'label'"), ["kind", "label"])
-    scored = None
-    for kind in KINDS:
-        one = L.assigned_rows(L.quick_scores(pairs.where(F.col("kind") == kind), threshold)).withColumn("kind", F.lit(kind))
-        scored = one if scored is None else scored.unionByName(one)
-    total = scored.groupBy(*FRAME, "kind").agg(F.first("total").alias("t")).groupBy(*FRAME).agg(F.sum("t").alias("total")).where(F.col("total") >= least_total)
-    sure = scored.join(total.select(*FRAME), list(FRAME), "left_semi").select(*FRAME, "kind", "app_row", "ocr_row")
-    cells = sure.join(groups, [*FRAME, "kind", "ocr_row"]).join(places, ["kind", "app_row"]).join(alike, ["text", "label"], "left")
-    taken = in_groups(cells.select(*FRAME, "kind", "app_row", "app_pos", "ocr_pos", "app_id", "uid", "type", "ratio"), [*FRAME, "kind"], ["app_row"], _in_rows, f"app_id string, uid {uid}")
-    rank = F.expr("case kind when 'row' then 0 when 'left_col' then 1 else 2 end")
-    found = taken.groupBy(*FRAME, "app_id").agg(F.min(F.struct(rank.alias("rank"), "uid", "kind")).alias("m")).select(*FRAME, "app_id", "m.uid", F.col("m.kind").alias("how"))
-    # where the layout's other items should be
-    box = texts.select(*FRAME, "uid", "text", "x", "y", "w", "h")
-    spec = F.broadcast(layout.select("app_id", F.col("x").alias("ax"), F.col("y").alias("ay"), "row_no"))
-    known = found.join(box, [*FRAME, "uid"]).join(spec, "app_id")
-    tops = known.where("row_no is not null").groupBy(*FRAME, F.col("row_no").alias("ord")).agg(F.min(F.struct("ay", "y")).alias("m")).select(*FRAME, "ord", F.col("m.ay").alias("app_top"), F.col("m.y").alias("ocr_top"))
-    first_y = layout.agg(F.min(F.struct("row_no", "y"))).first()[0]
-    scale = L.vertical_scale(tops, (first_y["y"] or 0) if first_y else 0)
-    shift = known.groupBy(*FRAME).agg(F.min(F.struct("ax", "x")).alias("m")).select(*FRAME, (F.col("m.x") - F.col("m.ax")).alias("dx"))
-    missing = scale.join(shift, list(FRAME)).join(spec, F.lit(True)).join(found.select(*FRAME, "app_id"), [*FRAME, "app_id"], "left_anti")
-    y0 = (first_y["y"] or 0) if first_y else 0
-    wanted = missing.select(*FRAME, F.coalesce("row_no", F.lit(0)).alias("ord"), F.col("app_id").alias("item"), (F.col("ax") + F.col("dx")).cast("double").alias("x"), (F.col("origin") + (F.col("ay") - y0) * F.col("scale")).alias("y"), F.lit("left").alias("side"))
-    free = box.join(total.select(*FRAME), list(FRAME), "left_semi").join(found.select(*FRAME, "uid"), [*FRAME, "uid"], "left_anti")
-    near = L.claimed_neighbours(wanted, free.withColumn("x", F.col("x").cast("double")).withColumn("y", F.col("y").cast("double")), reach)
-    every = found.unionByName(near.select(*FRAME, F.col("item").alias("app_id"), "uid", F.lit("near").alias("how")))
-    return every.join(box.select(*FRAME, "uid", "text"), [*FRAME, "uid"]).select(*FRAME, "app_id", "uid", "text", "how")
+    groups, alike, matched = row_matches(texts, layout, threshold)
+    total = matched.groupBy(*FRAME, "kind").agg(F.first("total").alias("t")).groupBy(*FRAME).agg(F.sum("t").alias("total")).where(F.col("total") >= least_total)
+    sure = matched.where("score > 0").join(total.select(*FRAME), list(FRAME), "left_semi").select(*FRAME, "kind", "app_row", "ocr_row")
+    cells = groups.join(sure, [*FRAME, "kind", "ocr_row"]).groupBy(*FRAME, "uid").agg(F.collect_list(F.struct("kind", "app_row", "ocr_pos")).alias("cells"))
+    labels = alike.groupBy("text").agg(F.collect_set("label").alias("labels"))
+    t = texts.where(L.BOX).select(*FRAME, "uid", "text", "x", "y", "w", "h").join(total.select(*FRAME), list(FRAME), "left_semi")
+    t = t.join(cells, [*FRAME, "uid"], "left").join(labels, "text", "left")
+    names = ["app_id", "type", "text", "x", "y", *[c for k in KINDS.values() for c in k]]
+    spec = _Layout([r.asDict() for r in layout.select(*names, (F.col("min_width") if "min_width" in layout.columns else F.lit(None).cast("int")).alias("min_width")).collect()])
+    types = dict(texts.dtypes)["uid"], dict(layout.dtypes)["app_id"]
+    run = lambda rows: _Screen(spec, list(rows), reach).confirm()
+    return in_groups(t, list(FRAME), ["uid"], run, f"app_id {types[1]}, uid {types[0]}, text string, how string, carried int")
 
 
 def densest_frames(texts: DataFrame, threshold: int = 10) -> DataFrame:
@@ -125,23 +228,6 @@ def seldom_seen(texts: DataFrame, threshold: int = 70) -> DataFrame:
     return best.join(seen, "text", "left").select("text", (F.lit(n_others) - F.coalesce("n", F.lit(0))).alias("n_missed"))
 
 
-def scene_apps(texts: DataFrame, phrases: DataFrame, threshold: int = 70, row_gap: int = 10) -> DataFrame:
-    """(frame, app, score): the applications whose phrase grids fit a frameset's texts well enough.
-
-    phrases: app, row_no, pos, text, least (the app's score to reach). Texts are bunched into rows from above; a row of text
-    is scored against a row of phrases by the similar ones it has in order, and the app's score is the best rising match
-    of rows. Null texts and phrases match nothing.
-    """
-    rows = L.bunched(texts, row_gap).join(texts.select(*FRAME, "uid", "text", "x"), [*FRAME, "uid"])
-    rows = rows.withColumn("ocr_pos", F.row_number().over(Window.partitionBy(*FRAME, "bunch").orderBy("x", "uid")))
-    p = phrases.where("text is not null").select("app", F.col("row_no").cast("int").alias("app_row"), F.col("pos").cast("int").alias("app_pos"), F.col("text").alias("phrase"), "least")
-    alike = similar(texts.select("text"), p.select("phrase").distinct(), threshold - 1).select("text", "phrase", "ratio")
-    pairs = rows.join(alike, "text").join(p, "phrase").select("movie_url", F.struct("frameset", "app").alias("frameset"), F.col("bunch").alias("ocr_row"), "app_row", "ocr_pos", "app_pos", "ratio")
-    best = L.assigned_rows(L.quick_scores(pairs, threshold)).groupBy(*FRAME).agg(F.max("total").alias("score"))
-    least = p.groupBy("app").agg(F.max("least").alias("least"))
-    return best.select("movie_url", F.col("frameset.frameset").alias("frameset"), F.col("frameset.app").alias("app"), "score").join(least, "app").where("score >= least").select(*FRAME, "app", "score")
-
-
 def app_areas(texts: DataFrame, least_overlap: int = 25, least_width: int = 100, least_height: int = 50) -> DataFrame:
     """(frame, x1, y1, x2, y2, n_texts, phrases): areas that texts' neighbourhoods (nx1, ny1, nx2, ny2) grow together to.
 

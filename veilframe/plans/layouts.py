@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilframe.operators import focus, frames, images, layout, pixels, scores, sets, sifter, texts
+from veilframe.operators import focus, frames, images, layout, pixels, scenes, scores, sets, sifter, texts
 from veilframe.plans.registry import plain, query
 from veilframe.sources import tables as S
 
@@ -280,7 +280,14 @@ def _layout(spark, d):
 @plain
 def t6_sift(spark, d):
     """The items of a layout that are found in each frameset."""
-    return sifter.sift(S.matches(spark, d), _layout(spark, d), least_total=100)
+    return sifter.sift(S.matches(spark, d), _layout(spark, d), least_total=100).drop("carried")
+
+
+@plain
+def t6d_confirmed(spark, d):
+    """Items of a layout whose text was carried over from another row or column, or claimed by its place."""
+    found = sifter.sift(S.matches(spark, d), _layout(spark, d), least_total=100)
+    return found.where("carried > 0 or how = 'near'")
 
 
 @plain
@@ -289,11 +296,21 @@ def t6k_seldom_seen(spark, d):
     return sifter.seldom_seen(S.matches(spark, d))
 
 
+def _phrases(spark, d):
+    """Two applications' grids of phrases out of the layout's texts; the second one has a largest extent."""
+    return _layout(spark, d).selectExpr("case when row_no % 2 = 0 then 'mail' else 'bank' end app", "row_no", "row_pos pos", "text", "150 least", "case when row_no % 2 = 1 then 900 end max_width", "case when row_no % 2 = 1 then 600 end max_height")
+
+
+@plain
+def t15a_grid_scores(spark, d):
+    """What grows from every text of a frameset over the phrases of two applications."""
+    return scenes.grid_scores(S.matches(spark, d), _phrases(spark, d), 60, row_gap=150)
+
+
 @plain
 def t15_scene_apps(spark, d):
     """Applications whose phrases a frameset shows."""
-    p = _layout(spark, d).selectExpr("case when row_no % 2 = 0 then 'mail' else 'bank' end app", "row_no", "row_pos pos", "text", "100 least")
-    return sifter.scene_apps(S.matches(spark, d), p, row_gap=150)
+    return scenes.scene_apps(S.matches(spark, d), _phrases(spark, d), 60, row_gap=150)
 
 
 @plain
