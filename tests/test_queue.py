@@ -20,27 +20,35 @@ def test_stale_retry(spark):
 
 
 def test_running_stream(spark, tmp_path):
-    """Files that arrive one after the other: bad items go, each recording comes out once, the rest waits its turn."""
+    """Files that arrive one after the other: bad items go, each recording comes out once, and the rest waits its turn."""
+    from pyspark.sql import functions as F
+
+    from veilframe.streaming import admission
+
     item = lambda k, s: {"Annotation": '{"accountId": "1", "timestamp": "2024-01-02T03:04:%02d.000000Z", "value": "r%d", "agentId": "a"}' % (s, k), "Pipeline": "p"}
-    for n, rows in enumerate([[item(1, 1), item(1, 2), {"Annotation": "bad", "Pipeline": "p"}], [item(2, 3), item(1, 4), item(3, 5)]]):
-        spark.createDataFrame(rows, "Annotation string, Pipeline string").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-    raw = spark.readStream.schema("Annotation string, Pipeline string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     seen: list = []
 
-    def take(batch, number):
-        seen.append([r.recording for r in queue.admitted(batch, running=24).collect()])
+    def run(rows):
+        spark.createDataFrame(rows, "Annotation string, Pipeline string").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        raw = spark.readStream.schema("Annotation string, Pipeline string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        items = queue.parse_items(raw, ["p", "ended"])
+        events = items.select(F.lit("p").alias("queue"), "recording", F.when(F.col("pipeline") == "ended", "done").otherwise("item").alias("event"), "ts")
+        q = admission.admissions(events, throttle=1).writeStream.foreachBatch(lambda b, n: seen.append([r.recording for r in b.collect()]))
+        q.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(120)
 
-    first = queue.first_arrivals(queue.parse_items(raw, ["p"]))
-    query = first.writeStream.foreachBatch(take).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    taken = [r for b in seen for r in b]
-    assert len(taken) == len(set(taken)) and set(taken) <= {"r1", "r2", "r3"} and all(len(b) <= 1 for b in seen)
+    ended = lambda k, s: item(k, s) | {"Pipeline": "ended"}
+    run([item(1, 1), {"Annotation": "bad", "Pipeline": "p"}])
+    run([item(2, 3), item(3, 5)])
+    run([ended(1, 6)])
+    run([ended(2, 7)])
+    assert [r for b in seen for r in b] == ["r1", "r2", "r3"] and all(len(b) <= 1 for b in seen)
+    raw = spark.readStream.schema("Annotation string, Pipeline string").json(str(tmp_path / "in"))
+    assert queue.first_arrivals(queue.parse_items(raw, ["p"])).isStreaming
     dispatched = spark.createDataFrame([("r1", 1), ("r2", 2)], "recording string, n int")
     received = spark.createDataFrame([("r2",), (None,)], "recording string")
     assert [r.recording for r in queue.unreceived(dispatched, received).collect()] == ["r1"]
     assert queue.has_room(spark.createDataFrame([("running",), ("success",), (None,)], "status string"), unreceived=2, throttle=4)
     assert not queue.has_room(spark.createDataFrame([("running",)], "status string"), unreceived=3, throttle=4)
-    assert first.isStreaming
 
 
 def test_equal_texts_are_alike(spark):

@@ -9,7 +9,10 @@ from pyspark.sql.window import Window
 
 from veilframe.operators.grouped import in_groups
 from veilframe.operators.masks import Canvas
+from veilframe.operators.templates import correlation, window_sums
 
+#: Rows of an image whose medians are taken together.
+STRIP = 32
 METHODS = ("black_rectangle", "green_outline", "background_color", "blur_7x7", "blur_21x21", "blur_median")
 
 
@@ -19,8 +22,14 @@ def _blurred(a: np.ndarray, method: str) -> np.ndarray:
     k = n // 2
     if method != "blur_median" and min(a.shape) <= k:
         edge = {"mode": "symmetric"}
-    wide = np.lib.stride_tricks.sliding_window_view(np.pad(a.astype(np.int64), k, **edge), (n, n))
-    return (np.median(wide, (2, 3)) if method == "blur_median" else np.rint(wide.mean((2, 3)))).astype(np.uint8)
+    wide = np.pad(a, k, **edge)
+    if method != "blur_median":
+        return np.rint(window_sums(wide, n, n) / (n * n)).astype(np.uint8)
+    out = np.empty(a.shape, np.uint8)
+    for y in range(0, len(a), STRIP):  # a strip at a time: the windows are n * n times the pixels
+        view = np.lib.stride_tricks.sliding_window_view(wide[y : y + STRIP + n - 1], (n, n))
+        out[y : y + STRIP] = np.partition(view.reshape(*view.shape[:2], n * n), n * n // 2, axis=2)[:, :, n * n // 2]
+    return out
 
 
 def masked(images: DataFrame, regions: DataFrame, method: str) -> DataFrame:
@@ -70,11 +79,7 @@ def _correlated(target: np.ndarray, cell: np.ndarray) -> tuple[float, int, int]:
     h, w = cell.shape
     if target.shape[0] < h or target.shape[1] < w:
         return -1.0, 0, 0
-    view = np.lib.stride_tricks.sliding_window_view(target.astype(float), (h, w))
-    c = cell.astype(float) - cell.mean()
-    v = view - view.mean((2, 3), keepdims=True)
-    norm = np.sqrt((v**2).sum((2, 3)) * (c**2).sum())
-    r = np.where(norm > 0, (v * c).sum((2, 3)) / np.where(norm > 0, norm, 1), 0.0)
+    r = correlation(target, cell)
     at = int(np.argmax(np.round(r, 9)))
     return float(r.reshape(-1)[at]), at % r.shape[1], at // r.shape[1]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilframe.operators import focus, frames, images, layout, pixels, scenes, scores, sets, sifter, texts
+from veilframe.operators import focus, frames, images, layout, pixels, scenes, scores, sets, sifter, templates, texts
 from veilframe.plans.registry import plain, query
 from veilframe.sources import tables as S
 
@@ -352,3 +352,28 @@ def t5g_colour_regions(spark, d):
     """Boxes of the bright spots in a part of small images."""
     i = _images(spark, d)
     return images.colour_regions(i, i.selectExpr("image", "1 x1", "0 y1", "8 x2", "6 y2"), 150, 255, least=2)
+
+
+def _template_frames(spark, d):
+    """Small images as frames of movies, in order."""
+    return _images(spark, d).selectExpr("concat('m', image % 10) movie_url", "image frameset", "image place", "grey", "width", "height")
+
+
+def _templates(spark, d):
+    """Cuttings of the first images: 4 x 3 pixels from (2, 3) and 5 x 5 from (0, 1)."""
+    cut = "transform(sequence(0, {w} * {h} - 1), i -> grey[({y} + i div {w}) * 8 + {x} + i % {w}]) grey"
+    one = lambda where, name, **k: _images(spark, d).where(where).selectExpr(f"concat('{name}', image) anchor_id", cut.format(**k), f"{k['w']} width", f"{k['h']} height")
+    both = one("image < 3", "a", x=2, y=3, w=4, h=3).unionByName(one("image in (3, 4)", "b", x=0, y=1, w=5, h=5))
+    return both.selectExpr("*", "cast(null as string) scale", "'0.7' percent", "anchor_id = 'a1' multiple")
+
+
+@plain
+def t1_template(spark, d):
+    """Cuttings of some small images found in all of them."""
+    return templates.template_matches(_template_frames(spark, d), _templates(spark, d))
+
+
+@plain
+def t1c_adaptive(spark, d):
+    """The same movie by movie, with the scales that a movie has settled on."""
+    return templates.template_matches(_template_frames(spark, d), _templates(spark, d), adaptive=True)

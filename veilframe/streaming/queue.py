@@ -23,7 +23,8 @@ def first_arrivals(items: DataFrame, within: str = "10 minutes") -> DataFrame:
 
 
 def admitted(batch: DataFrame, running: int, throttle: int = 25) -> DataFrame:
-    """The oldest items for which there is room: for use in foreachBatch, the rest stays in the queue."""
+    """The oldest items of a table for which there is room. The others stay where they are: a stream's batch is gone once it is
+    committed, so a running queue takes streaming.admission.admissions(), which keeps them."""
     return batch.orderBy("ts", "recording").limit(max(0, throttle - running))
 
 
