@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from veilframe.operators.boxes import union_area
 from veilframe.operators.grouped import in_groups
 from veilframe.operators.sets import FRAME
+from veilframe.operators.shapes import Runs
 
 WIDTH, HEIGHT = 1920, 1080
 
@@ -43,36 +44,13 @@ class Canvas:
     def components(self, grid: np.ndarray) -> list[tuple[int, int, int, int]]:
         """First and last strip (x, y, x, y) of each outer component: strips that touch, corners included, from which
         the frame's outside can be reached."""
-        high, wide = grid.shape
-        full = np.zeros((high + 2, wide + 2), bool)
-        full[1:-1, 1:-1] = grid
-        outside = np.zeros_like(full)
-        stack = [(0, 0)]
-        outside[0, 0] = True
-        while stack:
-            y, x = stack.pop()
-            for v, u in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
-                if 0 <= v < high + 2 and 0 <= u < wide + 2 and not full[v, u] and not outside[v, u]:
-                    outside[v, u] = True
-                    stack.append((v, u))
-        seen, out = np.zeros_like(full), []
-        for y0, x0 in zip(*np.nonzero(full), strict=True):
-            if seen[y0, x0]:
-                continue
-            seen[y0, x0] = True
-            stack, outer, box = [(y0, x0)], False, [x0, y0, x0, y0]
-            while stack:
-                y, x = stack.pop()
-                box = [min(box[0], x), min(box[1], y), max(box[2], x), max(box[3], y)]
-                outer = outer or bool(outside[y - 1, x] or outside[y + 1, x] or outside[y, x - 1] or outside[y, x + 1])
-                for v in (y - 1, y, y + 1):
-                    for u in (x - 1, x, x + 1):
-                        if full[v, u] and not seen[v, u]:
-                            seen[v, u] = True
-                            stack.append((v, u))
-            if outer:
-                out.append(tuple(int(v) - 1 for v in box))
-        return out
+        full = np.pad(grid, 1)
+        own, gaps = Runs(full), Runs(~full, corners=False)
+        outside = np.zeros((full.shape[0] + 2, full.shape[1] + 2), bool)
+        outside[1:-1, 1:-1] = gaps.painted(np.arange(gaps.n) == 0, full.shape)  # the first gap begins at the upper left
+        beside = outside[:-2, 1:-1] | outside[2:, 1:-1] | outside[1:-1, :-2] | outside[1:-1, 2:]
+        outer = own.holding(beside)
+        return [(x - 1, y - 1, x + w - 2, y + h - 2) for x, y, w, h, _ in own.boxes()[outer].tolist()]
 
     def box(self, c: tuple[int, int, int, int]) -> tuple[int, int, int, int]:
         x, y = int(self.xs[c[0]]), int(self.ys[c[1]])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilframe.operators import focus, frames, images, layout, pixels, scenes, scores, sets, sifter, templates, texts
+from veilframe.operators import erase, focus, frames, images, layout, pixels, scenes, scores, screens, sets, sifter, templates, texts
 from veilframe.plans.registry import plain, query
 from veilframe.sources import tables as S
 
@@ -377,3 +377,59 @@ def t1_template(spark, d):
 def t1c_adaptive(spark, d):
     """The same movie by movie, with the scales that a movie has settled on."""
     return templates.template_matches(_template_frames(spark, d), _templates(spark, d), adaptive=True)
+
+
+def _tiles(spark, d):
+    """Small images four times as large, with a dark line across: 32 x 32."""
+    return _images(spark, d).selectExpr("image", "transform(sequence(0, 1023), i -> case when i div 32 = 20 and i % 32 between 2 and 29 then 0 else grey[(i div 128) * 8 + (i % 32) div 4] end) grey", "32 width", "32 height")
+
+
+@plain
+def red2_erased(spark, d):
+    """Larger images with the text of two regions erased by closing, lines kept."""
+    i = _tiles(spark, d)
+    regions = i.select("image", F.expr("inline(array(struct(1 ord, 0 x, 8 y, 32 w, 24 h), struct(2 ord, 4 x, 0 y, 12 w, 12 h)))"))
+    return erase.erased(i, regions, reach=5)
+
+
+@plain
+def red2_partitioned(spark, d):
+    """The same by colours."""
+    i = _tiles(spark, d)
+    return erase.erased(i, i.selectExpr("image", "1 ord", "0 x", "0 y", "32 w", "32 h"), "color_partitioned", least=40, reach=5)
+
+
+@query("select vec_id image, list_transform(range(0, 64), lambda i: case when (i % 8 - 3) * (i % 8 - 3) * 16 + (i // 8 - 4) * (i // 8 - 4) * 9 <= 144 then floor((embedding[i + 1]::double + 1) * 127)::int % 256 else round_even((floor((embedding[i + 1]::double + 1) * 127)::int % 256) / 2.0, 0)::int end)::varchar grey from embeddings")
+def red4_shaded(spark, d):
+    """Small images darkened outside of an oval (radii 3 and 4), without a line."""
+    i = _images(spark, d)
+    out = erase.illustrated(i, i.selectExpr("image", "1 ord", "'oval' kind", "3 a", "4 b", "3 c", "4 d", "0 colour"), line=0, shade=True)
+    return out.select("image", F.concat(F.lit("["), F.array_join(F.col("grey").cast("array<string>"), ", "), F.lit("]")).alias("grey"))
+
+
+@plain
+def red4_oval(spark, d):
+    """An oval and a box drawn on larger images."""
+    i = _tiles(spark, d)
+    marks = i.select("image", F.expr("inline(array(struct(1 ord, 'oval' kind, 15 a, 14 b, 10 c, 7 d, 255 colour), struct(2 ord, 'box' kind, 3 a, 3 b, 28 c, 26 d, 0 colour)))"))
+    return erase.illustrated(i, marks, line=2, shade=True)
+
+
+def _desktops(spark, d):
+    """Frames of 480 x 240 pixels, one a supplier: a line across, and one or two upright ones."""
+    p = "case when y between 118 and 120 then 255 when y < 118 and x between {a} and {a} + 2 then 250 when y > 120 and x between {b} and {b} + 2 then 245 else 40 + (i * 7 + i div 480 * 5) % 3 end"
+    p = p.format(a="150 + cast(s_suppkey % 90 as int)", b="280 + cast(s_suppkey % 70 as int)").replace("x between", "i % 480 between").replace("when y", "when i div 480")
+    return S.table(spark, d, "supplier").selectExpr("concat('m', s_suppkey % 10) movie_url", "s_suppkey frameset", f"transform(sequence(0, 480 * 240 - 1), i -> {p}) grey", "480 width", "240 height")
+
+
+@plain
+def t8_screens(spark, d):
+    """The screens of made-up desktops."""
+    return screens.screens(_desktops(spark, d))
+
+
+@plain
+def t8_single_screen(spark, d):
+    """Rectangles on the screen of their desktop that holds most of them."""
+    boxes = S.table(spark, d, "lineitem").selectExpr("concat('m', l_suppkey % 10) movie_url", "l_suppkey frameset", "l_orderkey * 10 + l_linenumber uid", "cast(l_partkey % 460 as int) x", "cast(l_orderkey % 230 as int) y", "12 w", "8 h")
+    return focus.on_one_screen(boxes, screens.screens(_desktops(spark, d))).select("movie_url", "frameset", "uid")
