@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilframe.operators import erase, focus, frames, images, layout, pixels, scenes, scores, screens, sets, sifter, templates, texts
+from veilframe.operators import detector, erase, features, focus, frames, images, layout, pixels, scenes, scores, screens, sets, sifter, templates, texts
 from veilframe.plans.registry import plain, query
+from veilframe.sources import recordings
 from veilframe.sources import tables as S
+from veilframe.sources.shared import new_folder
 
 M, FR = S.MATCHES_SQL, S.FRAMES_SQL
 LCS = """(list_reduce(list_transform(range(1, length(a) + 1), lambda i: [i]), lambda old, i: list_reduce(list_transform(range(1, length(b) + 1), lambda j: [j]), lambda nw, j: list_append(nw,
@@ -433,3 +435,59 @@ def t8_single_screen(spark, d):
     """Rectangles on the screen of their desktop that holds most of them."""
     boxes = S.table(spark, d, "lineitem").selectExpr("concat('m', l_suppkey % 10) movie_url", "l_suppkey frameset", "l_orderkey * 10 + l_linenumber uid", "cast(l_partkey % 460 as int) x", "cast(l_orderkey % 230 as int) y", "12 w", "8 h")
     return focus.on_one_screen(boxes, screens.screens(_desktops(spark, d))).select("movie_url", "frameset", "uid")
+
+
+@query("""with e as (select vec_id, list_transform(range(1, 65), lambda i: floor((embedding[i]::double + 1) * 127)::int % 256) g from embeddings)
+select 'm' || (vec_id % 5) movie_url, (vec_id // 5)::int "second", g::varchar grey from e where vec_id // 5 between 10 and 39 and vec_id % 5 <> 2""")
+def src2_range(spark, d):
+    """Frames written as recordings in chunks of 20 seconds and read back by movie and range of seconds."""
+    path = new_folder(spark, "recordings")
+    frames = _images(spark, d).selectExpr("concat('m', image % 5) movie_url", "cast(image div 5 as int) second", "width", "height", "grey")
+    recordings.write_recordings(frames, path, chunk=20)
+    back = recordings.read_recordings(spark, path).where("second >= 10 and second < 40").where(F.col("movie_url").isin("m0", "m1", "m3", "m4"))
+    return back.select("movie_url", "second", F.concat(F.lit("["), F.array_join(F.col("grey").cast("array<string>"), ", "), F.lit("]")).alias("grey"))
+
+
+def _large(spark, d):
+    """Small images eight times as large: 64 x 64."""
+    return _images(spark, d).selectExpr("concat('m', image % 10) movie_url", "image frameset", "transform(sequence(0, 4095), i -> grey[(i div 512) * 8 + (i % 64) div 8]) grey", "64 width", "64 height")
+
+
+@plain
+def t10_features(spark, d):
+    """Corners of larger images with their descriptors."""
+    return features.features(_large(spark, d), list(sets.FRAME))
+
+
+@plain
+def t10_boxes(spark, d):
+    """The boxes around each image's corners."""
+    return features.feature_boxes(features.features(_large(spark, d), list(sets.FRAME)), list(sets.FRAME))
+
+
+@query("""with p as (select p_partkey id, p_partkey // 4 g, p_partkey % 4 k from part), w as (select id, xor(g * 2654435761, (1 << (k * 5))::bigint) d0, g * 40503 d1, xor(g * 69069 + 7, (k % 2)::bigint) d2, g * 9176263 + 1 d3 from p),
+l as (select * from w where id % 2 = 0), r as (select * from w where id % 3 = 0)
+select l.id, r.id r_id, (bit_count(xor(l.d0, r.d0)) + bit_count(xor(l.d1, r.d1)) + bit_count(xor(l.d2, r.d2)) + bit_count(xor(l.d3, r.d3)))::int distance from l, r
+where bit_count(xor(l.d0, r.d0)) + bit_count(xor(l.d1, r.d1)) + bit_count(xor(l.d2, r.d2)) + bit_count(xor(l.d3, r.d3)) <= 12""")
+def t10_near(spark, d):
+    """Pairs of descriptors within 12 bits, of numbers made from the parts' keys."""
+    p = S.table(spark, d, "part").selectExpr("p_partkey id", "p_partkey div 4 g", "p_partkey % 4 k")
+    w = p.selectExpr("id", "g * 2654435761 ^ shiftleft(1L, cast(k * 5 as int)) d0", "g * 40503 d1", "(g * 69069 + 7) ^ (k % 2) d2", "g * 9176263 + 1 d3")
+    return features.near_descriptors(w.where("id % 2 = 0"), w.where("id % 3 = 0"), 12).select("id", "r_id", "distance")
+
+
+def _marked(spark, d):
+    """Larger images with a cross drawn at a place that the image's number tells, and where it is."""
+    px, py = "image % 7 * 6", "image % 5 * 9"
+    cross = "i % 64 - ({px}) between 0 and 15 and i div 64 - ({py}) between 0 and 15 and (abs(i % 64 - ({px}) - (i div 64 - ({py}))) < 2 or abs(i % 64 - ({px}) + i div 64 - ({py}) - 15) < 2)".format(px=px, py=py)
+    f = _images(spark, d).selectExpr("concat('m', image % 10) movie_url", "image frameset", f"transform(sequence(0, 4095), i -> case when {cross} then 240 else grey[(i div 512) * 8 + (i % 64) div 8] div 4 end) grey", "64 width", "64 height")
+    return f, _images(spark, d).selectExpr("concat('m', image % 10) movie_url", "image frameset", f"cast({px} as int) x", f"cast({py} as int) y", "16 w", "16 h")
+
+
+@plain
+def t9_detect(spark, d):
+    """Crosses found in the images of odd number by what was learnt from those of even number; the best of overlapping boxes."""
+    f, t = _marked(spark, d)
+    model = detector.train(f.where("frameset % 2 = 0"), t.where("frameset % 2 = 0"), detector.Spec(16, 16, 4, 2, 9, 3), distractions=4)
+    found = detector.detect(f.where("frameset % 2 = 1"), model).withColumn("uid", F.xxhash64(*sets.FRAME, "x", "y", "scale"))
+    return layout.suppressed(found)
