@@ -31,18 +31,48 @@ def closure(edges: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
         n = now
 
 
+def climbed(jobs: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(id, above, found): of each job with a parent the nearest of the asked ids (id) strictly above it (found), or, if there is none, the
+    uppermost id above it. A parent that is no job counts as uppermost.
+
+    Pointers double their steps each round, so the rounds grow with the logarithm of the depth, and a round has at most a row for
+    each job. Of rows that share an id the smallest parent counts. What climbs in a cycle without meeting an asked id finds nothing
+    (above is null).
+    """
+    j = stored(jobs.where("id is not null and parent_id is not null").groupBy("id").agg(F.min("parent_id").alias("above")))
+    stop = F.lit(False)
+    at = j
+    if asked is not None:
+        at = j.join(asked.where("id is not null").select(F.col("id").alias("above"), F.lit(True).alias("hit")).distinct(), "above", "left")
+        stop = F.coalesce("hit", F.lit(False))
+    at = at.join(j.select(F.col("id").alias("above"), F.lit(True).alias("more")), "above", "left").select("id", "above", stop.alias("found"), (~stop & F.coalesce("more", F.lit(False))).alias("going"))
+    at = stored(at)
+    for _ in range(max(1, at.count()).bit_length() + 1):
+        going = at.where("going")
+        if going.isEmpty():
+            break
+        there = at.select(F.col("id").alias("above"), F.col("above").alias("next"), F.col("found").alias("hit"), F.col("going").alias("on"))
+        moved = going.select("id", "above").join(there, "above").select("id", F.col("next").alias("above"), F.col("hit").alias("found"), F.col("on").alias("going"))
+        at = stored(at.where("not going").unionByName(moved))
+    return at.select("id", F.when(~F.col("going"), F.col("above")).alias("above"), "found")
+
+
 def subtree(jobs: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, id): each of the roots (id) with itself and all jobs below it."""
-    down = closure(jobs.select(F.col("parent_id").alias("src"), F.col("id").alias("dst")))
-    r = roots.where("id is not null").select(F.col("id").alias("root")).distinct()
-    return r.select("root", F.col("root").alias("id")).unionByName(down.join(r, F.col("src") == F.col("root")).select("root", F.col("dst").alias("id")))
+    """(root, id): each of the roots (id) with itself and all jobs below it, once.
+
+    Every job climbs to the nearest root above it; roots below other roots are told for those as well. So the work grows with the jobs and with
+    what comes out, not with all pairs of jobs above each other.
+    """
+    r = stored(roots.where("id is not null").select(F.col("id").alias("root")).distinct())
+    near = stored(climbed(jobs, r.select(F.col("root").alias("id"))).where("found").select("id", F.col("above").alias("near")))
+    over = closure(near.join(r.select(F.col("root").alias("id")), "id", "left_semi").select(F.col("id").alias("src"), F.col("near").alias("dst")))
+    over = r.select("root", F.col("root").alias("near")).unionByName(over.select(F.col("dst").alias("root"), F.col("src").alias("near"))).distinct()
+    return r.select("root", F.col("root").alias("id")).unionByName(near.join(over, "near").where("root <> id").select("root", "id"))
 
 
 def tops(jobs: DataFrame) -> DataFrame:
-    """(id, root): the uppermost job above each job, itself if it has no parent. A parent that is no job counts as root."""
-    up = closure(jobs.select(F.col("id").alias("src"), F.col("parent_id").alias("dst")))
-    best = up.groupBy("src").agg(F.max_by("dst", "distance").alias("root"))
-    return jobs.select("id").join(best, F.col("id") == F.col("src"), "left").select("id", F.coalesce("root", "id").alias("root"))
+    """(id, root): the uppermost job above each job, itself if it has no parent (or climbs in a cycle). A parent that is no job counts as root."""
+    return jobs.select("id").join(climbed(jobs).select("id", "above"), "id", "left").select("id", F.coalesce("above", "id").alias("root"))
 
 
 def rolled_up(jobs: DataFrame, value: str) -> DataFrame:
@@ -51,11 +81,38 @@ def rolled_up(jobs: DataFrame, value: str) -> DataFrame:
 
 
 def below(jobs: DataFrame, value: str) -> DataFrame:
-    """(id, values): the distinct values of a column of each job and all jobs below it, sorted."""
-    down = closure(jobs.select(F.col("parent_id").alias("src"), F.col("id").alias("dst"))).select("src", "dst")
-    pairs = down.unionByName(jobs.select(F.col("id").alias("src"), F.col("id").alias("dst")))
-    of = jobs.select(F.col("id").alias("dst"), value)
-    return pairs.join(of, "dst").groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_set(value)).alias("values")).join(jobs.select("id").distinct(), "id", "left_semi")
+    """(id, values): the distinct values (null ones left out) of a column of each job and all jobs below it, sorted.
+
+    In round k every job hands what it knows of the jobs up to 2^k - 1 steps below it to the one 2^k steps above, so the rounds grow with the logarithm
+    of the depth and their rows with the values that come out.
+    """
+    up = stored(jobs.where("id is not null and parent_id is not null").groupBy("id").agg(F.min("parent_id").alias("above")))
+    own = stored(jobs.where("id is not null").select("id", F.col(value).alias("value")).where("value is not null").distinct())
+    for _ in range(max(1, up.count()).bit_length() + 1):
+        if up.isEmpty():
+            break
+        own = stored(own.unionByName(own.join(up, "id").select(F.col("above").alias("id"), "value")).distinct())
+        up = stored(up.join(up.select(F.col("id").alias("above"), F.col("above").alias("further")), "above").select("id", F.col("further").alias("above")))
+    ids = jobs.select("id").where("id is not null").distinct()
+    values = own.groupBy("id").agg(F.array_sort(F.collect_list("value")).alias("values"))
+    return ids.join(values, "id", "left").select("id", F.coalesce("values", F.array().cast(dict(values.dtypes)["values"])).alias("values"))
+
+
+def reached(edges: DataFrame, starts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, node): the starts (keys, node) and everything that edges (keys, src, dst) lead to from them, each once.
+
+    From the starts outwards: a round follows the edges of what the last one has found for the first time, so that nothing is
+    looked at that isn't asked for; as many rounds as the farthest node has steps. Cycles end by themselves.
+    """
+    k = list(keys)
+    e = edges.where("src is not null and dst is not null").select(*k, F.col("src").alias("node"), "dst")
+    seen = new = stored(starts.where("node is not null").select(*k, "node").distinct())
+    while True:
+        ahead = new.join(e, [*k, "node"]).select(*k, F.col("dst").alias("node")).distinct()
+        new = stored(ahead.join(seen, [*k, "node"], "left_anti"))
+        if new.isEmpty():
+            return seen
+        seen = seen.unionByName(new)
 
 
 def levels(edges: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -81,10 +138,7 @@ def levels(edges: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 def restarted(edges: DataFrame, nodes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """(keys, node): the nodes that are asked to restart and all that come after them, whose jobs have to go."""
-    k = list(keys)
-    after = closure(edges, keys).select(*k, F.col("src").alias("node"), F.col("dst").alias("next"))
-    first = nodes.select(*k, "node").distinct()
-    return first.unionByName(after.join(first, [*k, "node"]).select(*k, F.col("next").alias("node"))).distinct()
+    return reached(edges, nodes, keys)
 
 
 def export_closure(roots: DataFrame, references: DataFrame, entities: DataFrame) -> DataFrame:
@@ -92,10 +146,9 @@ def export_closure(roots: DataFrame, references: DataFrame, entities: DataFrame)
 
     references: (src, dst). Ids without an entity are left out; of entities that share an id the smallest row counts.
     """
-    r = roots.select("id").distinct()
-    reach = closure(references).join(r, F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("id"))
+    ids = reached(references, roots.select(F.col("id").alias("node"))).select(F.col("node").alias("id"))
     one = entities.groupBy("id").agg(F.min(F.struct(*[c for c in entities.columns if c != "id"])).alias("e")) if len(entities.columns) > 1 else entities.distinct()
-    found = one.join(r.unionByName(reach).distinct(), "id", "left_semi")
+    found = one.join(ids, "id", "left_semi")
     return found.select("id", "e.*") if len(entities.columns) > 1 else found
 
 
