@@ -312,3 +312,27 @@ def test_masked_images_and_meshes(spark):
     assert [tuple(r)[1:] for r in images.mesh_matches(f, m, 4, 0).collect()] == [(2, 5, 4, 12, 12, 4)]
     spots = images.colour_regions(f.selectExpr("concat('i', place) image", "grey", "width", "height").where("image = 'i0'"), spark.createDataFrame([("i0", 0, 0, 10, 20)], "image string, x1 int, y1 int, x2 int, y2 int"), 200, 255)
     assert sorted(tuple(r)[1:] for r in spots.collect()) == [(3, 3, 1, 2), (3, 11, 2, 2)]
+
+
+def test_missed_items_and_hard_fails(spark):
+    from veilframe.operators import scores
+
+    rows = [("a", 1, 100, 0, 0, 0), ("a", 2, 100, 5, 0, 3), ("a", 3, 100, 0, 2, 0), ("b", 1, 100, 0, 0, None), ("b", 2, 0, 0, 0, 5), ("c", 1, 100, 0, 0, 4)]
+    df = spark.createDataFrame(rows, "movie_url string, frameset long, total long, f_pos long, f_neg long, missed int")
+    got = {(r.movie_url, r.frameset): (r.score, r.failed) for r in scores.frame_scores(df, {"max_num_missed_entities_single_frameset": 2}).collect()}
+    assert got == {("a", 1): (100.0, False), ("a", 2): (95.0, True), ("a", 3): (60.0, True), ("b", 1): (100.0, False), ("b", 2): (None, True), ("c", 1): (100.0, True)}
+    frames = scores.frame_scores(df, {"max_num_missed_entities_single_frameset": 3})
+    soft = {r.movie_url: r.failed for r in scores.movie_scores(frames).collect()}
+    hard = {r.movie_url: r.failed for r in scores.movie_scores(frames, {"hard_fail_from_any_frame": True}).collect()}
+    assert soft == {"a": False, "b": False, "c": False} and hard == {"a": True, "b": True, "c": True}
+    assert {r.failed for r in scores.frame_scores(df.drop("missed")).collect()} == {False, True, None}
+
+
+def test_start_times_of_both_kinds(spark):
+    from veilframe.operators import focus
+
+    screens = spark.createDataFrame([("a", 2, "now 1:02:03 PM"), ("a", 1, "nothing"), ("b", 1, None)], "movie_url string, ord int, text string")
+    bars = [("a", k, 1, "10:15 PM") for k in range(3)] + [("b", k, o, t) for k in range(90) for o, t in ((1, "noise"), (2, f"l0.{59 if k < 45 else 0:02} AM"))] + [("c", 0, 1, "10:1x PM"), ("c", 1, 1, None)]
+    got = sorted(map(tuple, focus.start_times(screens, spark.createDataFrame(bars, "movie_url string, place int, ord int, text string")).collect()))
+    assert got == [("a", 1, 2, 3, "PM", "blue_screen"), ("b", None, 59, 15, None, "taskbar")]
+    assert focus.start_times(screens.limit(0), spark.createDataFrame(bars[:0], "movie_url string, place int, ord int, text string")).count() == 0

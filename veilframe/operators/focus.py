@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from veilframe.functions.text import indel_ratio
 from veilframe.operators.grouped import in_groups
+from veilframe.functions.text import repair_digits
 from veilframe.operators.sets import FRAME
 
 CENTRE = ("x + cast(w div 2 as int)", "y + cast(h div 2 as int)")
@@ -112,3 +113,25 @@ def blue_screen_time(texts: DataFrame) -> DataFrame:
     hit = texts.where(F.col("text").rlike(r"(\d+):(\d+):(\d+) [A|P]M")).groupBy("movie_url").agg(F.min_by("text", "ord").alias("t"))
     part = lambda i: F.regexp_extract("t", r"(\d+):(\d+):(\d+) ([A|P])M", i)
     return hit.select("movie_url", part(1).alias("hour"), part(2).alias("minute"), part(3).alias("second"), F.concat(part(4), F.lit("M")).alias("am_pm"))
+
+
+def bar_minutes(texts: DataFrame) -> DataFrame:
+    """(movie_url, place, minute): what the taskbar's clock shows in each frame, null if nothing there looks like one.
+
+    texts: movie_url, place, ord, text. The first text (by ord) of the form 12:34 PM counts, after look-alikes of digits are repaired.
+    """
+    shown = F.regexp_extract(repair_digits("text"), r"(\w*)(:?)(\d\d)(\s*)(\S)M", 3)
+    t = texts.withColumn("shown", F.when(F.length(shown) > 0, shown.cast("int")))
+    return t.groupBy("movie_url", "place").agg(F.min_by("shown", F.when(F.col("shown").isNotNull(), F.col("ord"))).alias("minute"))
+
+
+def start_times(screens: DataFrame, bars: DataFrame) -> DataFrame:
+    """(movie_url, hour, minute, second, am_pm, how): when each recording began: by the clock of its blue screen, else by the first change
+    of its taskbar's minute (hour and am_pm null); recordings with neither have no row.
+
+    screens: movie_url, ord, text, of the first frames that are blue screens. bars: movie_url, place, ord, text, of the
+    taskbars; place is the second from the recording's start. Null texts show nothing.
+    """
+    blue = blue_screen_time(screens).select("movie_url", *[F.col(c).cast("int").alias(c) for c in ("hour", "minute", "second")], "am_pm", F.lit("blue_screen").alias("how"))
+    bar = roll_over(bar_minutes(bars)).join(blue.select("movie_url"), "movie_url", "left_anti")
+    return blue.unionByName(bar.select("movie_url", F.lit(None).cast("int").alias("hour"), "minute", "second", F.lit(None).cast("string").alias("am_pm"), F.lit("taskbar").alias("how")))

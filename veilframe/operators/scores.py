@@ -9,24 +9,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-OBJECTIVE = {"weight_false_pos": 1.0, "weight_false_neg": 20.0, "frame_passing_score": 70.0, "movie_passing_score": 70.0, "max_num_failed_frames": 2}
+OBJECTIVE = {
+    "weight_false_pos": 1.0, "weight_false_neg": 20.0, "frame_passing_score": 70.0, "movie_passing_score": 70.0, "max_num_failed_frames": 2,
+    "max_num_missed_entities_single_frameset": 1_000_000, "hard_fail_from_any_frame": False,
+}
 
 
-def frame_scores(counts: DataFrame, objective: dict = OBJECTIVE) -> DataFrame:
-    """counts: movie_url, frameset, total, f_pos, f_neg (pixels). Adds score (2 digits, half to even, not below 0) and failed."""
-    o = objective
+def frame_scores(counts: DataFrame, objective: dict | None = None) -> DataFrame:
+    """counts: movie_url, frameset, total, f_pos, f_neg (pixels), and missed (items), if that is counted. Adds score (2 digits, half to even, not
+    below 0) and failed: the score is too low, or more items are missed than the objective allows (null: none)."""
+    o = OBJECTIVE | (objective or {})
     raw = f"greatest(0.0D, 100.0D - 100.0D * {o['weight_false_pos']}D * f_pos / nullif(total, 0) - 100.0D * {o['weight_false_neg']}D * f_neg / nullif(total, 0))"
     known = "f_pos is not null and f_neg is not null and total <> 0"
-    return counts.withColumn("score", F.expr(f"case when {known} then bround({raw}, 2) end")).withColumn("failed", F.col("score") < o["frame_passing_score"])
+    failed = F.col("score") < o["frame_passing_score"]
+    if "missed" in counts.columns:
+        failed = failed | (F.coalesce("missed", F.lit(0)) > o["max_num_missed_entities_single_frameset"])
+    return counts.withColumn("score", F.expr(f"case when {known} then bround({raw}, 2) end")).withColumn("failed", failed)
 
 
-def movie_scores(frames: DataFrame, objective: dict = OBJECTIVE) -> DataFrame:
-    """Mean of a movie's rounded frame scores; failed if too low or too many frames failed."""
+def movie_scores(frames: DataFrame, objective: dict | None = None) -> DataFrame:
+    """Mean of a movie's rounded frame scores; failed if too low or too many frames failed, or, by hard_fail_from_any_frame, if one did."""
     by = frames.groupBy("movie_url").agg(
         F.bround(F.avg(F.col("score").cast("decimal(12,2)")).cast("double"), 2).alias("score"), F.min("score").alias("lowest"), F.max("score").alias("highest"), F.count_if("failed").alias("n_failed"), F.count("*").alias("n_frames")
     )
-    o = objective
-    return by.withColumn("failed", F.expr(f"n_failed >= {o['max_num_failed_frames']} and n_failed > 0 or score < {o['movie_passing_score']}"))
+    o = OBJECTIVE | (objective or {})
+    most = 1 if o["hard_fail_from_any_frame"] else o["max_num_failed_frames"]
+    return by.withColumn("failed", F.expr(f"n_failed >= {most} and n_failed > 0 or score < {o['movie_passing_score']}"))
 
 
 def job_score(movies: DataFrame) -> DataFrame:

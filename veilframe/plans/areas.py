@@ -34,6 +34,33 @@ def agg4_mask_score(spark, d):
     return scores.frame_scores(counts).select("movie_url", "frameset", "f_pos", "f_neg", "score")
 
 
+MASK_SCORES = f"{COUNTS}, s as (select movie_url, frameset, round_even(greatest(0.0::double, 100.0::double - 100.0::double * 1.0 * f_pos / 2073600 - 100.0::double * 20.0 * f_neg / 2073600), 2) score from c), v as (select movie_url, round_even(avg(score::decimal(12,2)), 2) score, min(score) lowest, max(score) highest, count(*) filter (where score < 97) n_failed, count(*) n_frames from s group by all)"
+STRICT = {"frame_passing_score": 97.0, "hard_fail_from_any_frame": True}
+
+
+def _mask_movies(spark, d):
+    counts = masks.frame_counts(_job(spark, d, 0), _job(spark, d, 1)).withColumn("total", F.lit(2073600))
+    return scores.movie_scores(scores.frame_scores(counts, STRICT), STRICT)
+
+
+@query(f"with {MASK_SCORES} select *, n_failed >= 1 or score < 70 failed from v")
+def agg5_mask_movies(spark, d):
+    """Movies scored by their masks; a single frame below 97 fails them."""
+    return _mask_movies(spark, d)
+
+
+@query(f"with {MASK_SCORES} select round_even(avg(score::decimal(12,2)), 2) score, min(score) lowest, max(score) highest, bool_or(n_failed >= 1 or score < 70) failed from v")
+def agg6_mask_job(spark, d):
+    """The job scored by its movies' masks."""
+    return scores.job_score(_mask_movies(spark, d))
+
+
+@plain
+def agg4_missed(spark, d):
+    """Framesets scored by masks that fail if an item of the standard is missed."""
+    return scores.frame_scores(agg3_missed(spark, d).withColumn("total", F.lit(2073600)), {"max_num_missed_entities_single_frameset": 0})
+
+
 @query(f"with {M}, {PIXELS} select movie_url, frameset, round_even(100.0::double * count(*) / 2073600, 4) \"percent\" from (select distinct movie_url, frameset, x0, y0 from px where job_id = 'job_0') group by all")
 def agg9_share(spark, d):
     return masks.share_of_frame(_job(spark, d, 0))

@@ -62,6 +62,26 @@ def t13_blue_screen(spark, d):
     return focus.blue_screen_time(t)
 
 
+@query(f"""with {CLOCK}, l as (select *, lag("minute") over (partition by movie_url order by place) b from c), r as (select movie_url, min(place) place, arg_min("minute", place) m from l where "minute" = b + 1 or "minute" = 0 and b = 59 group by all),
+t as (select 'm' || (user_id % 10) movie_url, event_id ord, (event_id % 12) h, (event_id % 6) q from events where event_id % 7 = 0), h as (select movie_url, arg_min(h, ord)::int "hour", arg_min(q, ord)::int "minute" from t group by all)
+select movie_url, "hour", "minute", 10 "second", 'PM' am_pm, 'blue_screen' how from h union all
+select movie_url, null::int, (((m * 60 - place) % 3600 + 3600) % 3600 // 60)::int, (((m * 60 - place) % 3600 + 3600) % 3600 % 60)::int, null, 'taskbar' from r where movie_url not in (select movie_url from h)""")
+def t13_start_times(spark, d):
+    """When recordings began, by blue screens and, where there are none, by taskbars."""
+    t = S.table(spark, d, "events").selectExpr("concat('m', user_id % 10) movie_url", "event_id ord", "case when event_id % 7 = 0 then concat('at ', event_id % 12, ':0', event_id % 6, ':10 PM') else event_type end text")
+    clock = frames.numbered(S.frames(spark, d)).selectExpr("movie_url", "frame_seq place", "1 ord", "case when value < 90 then concat('l0.', lpad(cast(floor(value) as int) % 60, 2, '0'), ' PM') else 'no clock' end text")
+    return focus.start_times(t, clock)
+
+
+@query("""with e as (select 'm' || (vec_id % 20) movie_url, vec_id // 20 place, list_transform(range(1, 65), lambda i: floor((embedding[i]::double + 1) * 127)::int % 256) g from embeddings), b as (select *, lag(g) over (partition by movie_url order by place) q from e)
+select movie_url, place, list_transform(range(1, 65), lambda i: greatest(q[i] - g[i], 0))::varchar difference from b where q is not null""")
+def t11_difference(spark, d):
+    """What each small image has lost in brightness since the one before it."""
+    f = _images(spark, d).selectExpr("concat('m', image % 20) movie_url", "image div 20 place", "grey")
+    out = pixels.frame_difference(f).where("difference is not null")
+    return out.select("movie_url", "place", F.concat(F.lit("["), F.array_join(F.col("difference").cast("array<string>"), ", "), F.lit("]")).alias("difference"))
+
+
 @query(f"with {FR}, t as (select * from f where value > 20), b as (select *, lag(frameset) over (partition by movie_url order by ts, event_id) before from t) select event_id, frameset, before from b where before is null or before <> frameset")
 def win1_skip_empty(spark, d):
     return frames.changes(S.frames(spark, d).where("value > 20")).select("event_id", "frameset", "before")
