@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilframe.operators import detector, erase, features, focus, frames, images, layout, pixels, scenes, scores, screens, sets, sifter, templates, texts
+from veilframe.operators import detector, erase, features, focus, frames, grower, images, layout, pixels, scenes, scores, screens, sets, sifter, templates, texts
 from veilframe.plans.registry import plain, query
 from veilframe.sources import recordings
 from veilframe.sources import tables as S
@@ -511,3 +514,19 @@ def t9_detect(spark, d):
     model = detector.train(f.where("frameset % 2 = 0"), t.where("frameset % 2 = 0"), detector.Spec(16, 16, 4, 2, 9, 3), distractions=4)
     found = detector.detect(f.where("frameset % 2 = 1"), model).withColumn("uid", F.xxhash64(*sets.FRAME, "x", "y", "scale"))
     return layout.suppressed(found)
+
+
+@plain
+def t5_grown_grid(spark, d):
+    """Areas of one job grown southwards over the grid of the other jobs' texts."""
+    m = S.matches(spark, d)
+    return grower.grow(m.where("job_id = 'job_0' and y < 300"), "capture_grid", "south", 1920, 1200, texts=m.where("job_id <> 'job_0'"), threshold=1, offsets={"west": 300, "east": 300})
+
+
+@plain
+def t5_grown_colours(spark, d):
+    """Areas of small images grown over the brighter pixels beside them, in four directions."""
+    i = _images(spark, d).selectExpr("concat('m', image % 10) movie_url", "image frameset", "grey", "width", "height")
+    area = i.selectExpr("movie_url", "frameset", "frameset uid", "3 x", "3 y", "2 w", "2 h")
+    out = [grower.grow(area, "color_projection", way, 8, 8, frames=i, ranges=[(120, 255)], build=build).withColumn("way", F.lit(f"{way} {build}")) for way in grower.DIRECTIONS for build in ("near_flood", "furthest_edge")]
+    return reduce(DataFrame.unionByName, out)
