@@ -55,7 +55,12 @@ def recording_id(url: str | Column) -> Column:
 
 
 def difference_hash(pixels: str, size: int = 8) -> Column:
-    """Hash of a row-major array of size * size grey values: bit k is set if a pixel is lighter than its left neighbour."""
+    """Hash of a row-major array of size * size grey values: bit k is set if a pixel is lighter than its left neighbour.
+
+    A 64-bit number: sizes up to 8; pixels.frame_hash() has no such bound.
+    """
+    if size > 8:
+        raise ValueError("the bits of more than 8 * 8 pixels don't fit into a number")
     n = size
     return F.expr(
         f"cast(aggregate(filter(sequence(1, {n * n}), i -> i % {n} <> 0 and element_at({pixels}, i + 1) > element_at({pixels}, i)), 0L, "

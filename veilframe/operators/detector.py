@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veilframe.operators.grouped import in_groups
 from veilframe.operators.templates import resized
+from veilframe.sources.shared import stored
 
 
 @dataclass(frozen=True)
@@ -171,7 +172,7 @@ def train(frames: DataFrame, truths: DataFrame, spec: Spec, *, scales: tuple[flo
     """
     # by digest, so that a larger table gives a sample of all of it
     some = lambda df, label: [r.v for r in df.where(F.col("label") == label).orderBy(F.xxhash64("movie_url", "frameset", "v")).limit(sample).select("v").collect()]
-    first = examples(frames, truths, spec, distractions)
+    first = stored(examples(frames, truths, spec, distractions))
     good, bad = some(first, True), some(first, False)
     model = Model(spec, np.zeros(spec.size), -50.0)
     for k in range(rounds + 1):

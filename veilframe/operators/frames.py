@@ -50,16 +50,25 @@ def batches(frames: DataFrame, size: int) -> DataFrame:
     return numbered(frames).withColumn("batch", F.expr(f"frame_seq div {size}"))
 
 
+#: Seconds that ranges are cut into pieces of.
+PIECE = 256
+
+
 def black_out(frames: DataFrame, ranges: DataFrame, black: str) -> DataFrame:
     """Frames outside of all ranges (lo, hi: first and last second, both included) show the black image.
 
-    Ranges are spread over their seconds, as far as some movie goes, for an equi-join; those with a null end or hi < lo are left out.
+    Ranges are cut into pieces of PIECE seconds, as far as some movie goes, and what is left of them in each piece is put together for an
+    equi-join: at most one row a piece, of at most PIECE * PIECE / 2 different parts. Those with a null end or hi < lo are left out.
     """
-    f = numbered(frames)
-    most = f.agg(F.max("frame_seq")).first()[0] or 0
-    lit = ranges.where(F.col("lo") <= F.col("hi")).select(F.greatest("lo", F.lit(0)).cast("long").alias("a"), F.least("hi", F.lit(most)).cast("long").alias("b")).where("a <= b")
-    seconds = lit.select(F.explode(F.sequence("a", "b")).alias("frame_seq")).distinct().withColumn("lit", F.lit(True))
-    return f.withColumn("frame_seq", F.col("frame_seq").cast("long")).join(seconds, "frame_seq", "left").withColumn("image", F.when(F.col("lit"), F.col("image")).otherwise(F.lit(black))).drop("lit")
+    f = numbered(frames).withColumn("frame_seq", F.col("frame_seq").cast("long"))
+    most = frames.groupBy("movie_url").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).scalar()
+    lit = ranges.where(F.col("lo") <= F.col("hi")).select(F.greatest("lo", F.lit(0)).cast("long").alias("a"), F.least("hi", most).cast("long").alias("b")).where("a <= b")
+    cut = lit.select("a", "b", F.explode(F.expr(f"sequence(a div {PIECE}, b div {PIECE})")).alias("__piece"))
+    parts = cut.select("__piece", F.expr(f"named_struct('a', greatest(a - __piece * {PIECE}, 0L), 'b', least(b - __piece * {PIECE}, {PIECE - 1}L))").alias("p"))
+    parts = parts.groupBy("__piece").agg(F.collect_set("p").alias("__parts"))
+    shown = F.expr(f"exists(__parts, p -> frame_seq % {PIECE} between p.a and p.b)")
+    d = f.withColumn("__piece", F.expr(f"frame_seq div {PIECE}")).join(parts, "__piece", "left")
+    return d.withColumn("image", F.when(shown, F.col("image")).otherwise(F.lit(black))).drop("__piece", "__parts")
 
 
 def final_image(frames: DataFrame, redacted: DataFrame, illustrated: DataFrame) -> DataFrame:

@@ -335,3 +335,16 @@ select event_id from f join o using (movie_url, frameset) left join s using (mov
 def hsh7_matches(spark, d):
     f = S.frames(spark, d)
     return frames.matches_before(f, f, "click").select("event_id")
+
+
+@query(f"with {J} select owner, id, row_number() over (partition by owner order by created_on desc, id desc) place from j where parent_id is null")
+def flt8_roots_by_owner(spark, d):
+    """Each owner's root jobs, numbered from the newest."""
+    return jobs.roots_by_owner(S.jobs(spark, d)).select("owner", "id", "place")
+
+
+@query("select p_partkey id, 'rec' || p_partkey recording from part")
+def fn_recording_id(spark, d):
+    """Recordings' names out of the addresses of their files."""
+    url = F.concat(F.lit("https://files/x_y/rec"), F.col("p_partkey"), F.lit("_"), F.col("p_size"), F.lit("_full.mp4"))
+    return S.table(spark, d, "part").select(F.col("p_partkey").alias("id"), T.recording_id(url).alias("recording"))

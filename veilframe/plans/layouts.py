@@ -12,7 +12,7 @@ from veilframe.operators import detector, erase, features, focus, frames, grower
 from veilframe.plans.registry import plain, query
 from veilframe.sources import recordings
 from veilframe.sources import tables as S
-from veilframe.sources.shared import new_folder
+from veilframe.sources.shared import new_folder, stored
 
 M, FR = S.MATCHES_SQL, S.FRAMES_SQL
 LCS = """(list_reduce(list_transform(range(1, length(a) + 1), lambda i: [i]), lambda old, i: list_reduce(list_transform(range(1, length(b) + 1), lambda j: [j]), lambda nw, j: list_append(nw,
@@ -404,9 +404,14 @@ def t1c_adaptive(spark, d):
     return templates.template_matches(_template_frames(spark, d), _templates(spark, d), adaptive=True)
 
 
+def _spread(df):
+    """Rows over all cores: what is drawn from a small file's rows is large."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _tiles(spark, d):
     """Small images four times as large, with a dark line across: 32 x 32."""
-    return _images(spark, d).selectExpr("image", "transform(sequence(0, 1023), i -> case when i div 32 = 20 and i % 32 between 2 and 29 then 0 else grey[(i div 128) * 8 + (i % 32) div 4] end) grey", "32 width", "32 height")
+    return _spread(_images(spark, d)).selectExpr("image", "transform(sequence(0, 1023), i -> case when i div 32 = 20 and i % 32 between 2 and 29 then 0 else grey[(i div 128) * 8 + (i % 32) div 4] end) grey", "32 width", "32 height")
 
 
 @plain
@@ -444,7 +449,7 @@ def _desktops(spark, d):
     """Frames of 480 x 240 pixels, one a supplier: a line across, and one or two upright ones."""
     p = "case when y between 118 and 120 then 255 when y < 118 and x between {a} and {a} + 2 then 250 when y > 120 and x between {b} and {b} + 2 then 245 else 40 + (i * 7 + i div 480 * 5) % 3 end"
     p = p.format(a="150 + cast(s_suppkey % 90 as int)", b="280 + cast(s_suppkey % 70 as int)").replace("x between", "i % 480 between").replace("when y", "when i div 480")
-    return S.table(spark, d, "supplier").selectExpr("concat('m', s_suppkey % 10) movie_url", "s_suppkey frameset", f"transform(sequence(0, 480 * 240 - 1), i -> {p}) grey", "480 width", "240 height")
+    return _spread(S.table(spark, d, "supplier")).selectExpr("concat('m', s_suppkey % 10) movie_url", "s_suppkey frameset", f"transform(sequence(0, 480 * 240 - 1), i -> {p}) grey", "480 width", "240 height")
 
 
 @plain
@@ -473,7 +478,7 @@ def src2_range(spark, d):
 
 def _large(spark, d):
     """Small images eight times as large: 64 x 64."""
-    return _images(spark, d).selectExpr("concat('m', image % 10) movie_url", "image frameset", "transform(sequence(0, 4095), i -> grey[(i div 512) * 8 + (i % 64) div 8]) grey", "64 width", "64 height")
+    return _spread(_images(spark, d)).selectExpr("concat('m', image % 10) movie_url", "image frameset", "transform(sequence(0, 4095), i -> grey[(i div 512) * 8 + (i % 64) div 8]) grey", "64 width", "64 height")
 
 
 @plain
@@ -503,7 +508,7 @@ def _marked(spark, d):
     """Larger images with a cross drawn at a place that the image's number tells, and where it is."""
     px, py = "image % 7 * 6", "image % 5 * 9"
     cross = "i % 64 - ({px}) between 0 and 15 and i div 64 - ({py}) between 0 and 15 and (abs(i % 64 - ({px}) - (i div 64 - ({py}))) < 2 or abs(i % 64 - ({px}) + i div 64 - ({py}) - 15) < 2)".format(px=px, py=py)
-    f = _images(spark, d).selectExpr("concat('m', image % 10) movie_url", "image frameset", f"transform(sequence(0, 4095), i -> case when {cross} then 240 else grey[(i div 512) * 8 + (i % 64) div 8] div 4 end) grey", "64 width", "64 height")
+    f = _spread(_images(spark, d)).selectExpr("concat('m', image % 10) movie_url", "image frameset", f"transform(sequence(0, 4095), i -> case when {cross} then 240 else grey[(i div 512) * 8 + (i % 64) div 8] div 4 end) grey", "64 width", "64 height")
     return f, _images(spark, d).selectExpr("concat('m', image % 10) movie_url", "image frameset", f"cast({px} as int) x", f"cast({py} as int) y", "16 w", "16 h")
 
 
@@ -511,6 +516,7 @@ def _marked(spark, d):
 def t9_detect(spark, d):
     """Crosses found in the images of odd number by what was learnt from those of even number; the best of overlapping boxes."""
     f, t = _marked(spark, d)
+    f = stored(f)
     model = detector.train(f.where("frameset % 2 = 0"), t.where("frameset % 2 = 0"), detector.Spec(16, 16, 4, 2, 9, 3), distractions=4)
     found = detector.detect(f.where("frameset % 2 = 1"), model).withColumn("uid", F.xxhash64(*sets.FRAME, "x", "y", "scale"))
     return layout.suppressed(found)
