@@ -45,11 +45,13 @@ def row_matches(texts: DataFrame, layout: DataFrame, threshold: int = 70) -> tup
     """Groups of texts, pairs of texts and similar labels, and the best rising match of the groups of each kind with the
     layout's rows and columns: (groups, alike, matched). Each is written once.
 
-    A group's score for a row or column is the sum of the ratios of the labels that it has in order.
+    A group's score for a row or column is the sum of the ratios of the labels that it has in order. Framesets without a text that
+    is similar to a label have no score, so only the others are grouped.
     """
-    groups = stored(grouped_texts(texts))
     labels = layout.where("type = 'label' and text is not null").select(F.col("text").alias("phrase")).distinct()
     alike = stored(similar(texts.select("text"), labels, threshold - 1).select("text", F.col("phrase").alias("label"), "ratio"))
+    shown = texts.join(alike.select("text").distinct(), "text", "left_semi").select(*FRAME).distinct()
+    groups = stored(grouped_texts(texts.join(shown, list(FRAME), "left_semi")))
     pairs = groups.join(alike, "text").join(layout_places(layout).where("type = 'label'"), ["kind", "label"])
     keys = (*FRAME, "kind")
     return groups, alike, stored(L.assigned_rows(L.quick_scores(pairs, threshold, keys), keys))
