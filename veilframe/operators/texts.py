@@ -11,23 +11,37 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.text import indel_ratio, match_masks, ratio_bound
 
-#: Phrase lists beyond so many rows are not broadcast.
-BROADCAST_PHRASES = 10_000
+def _letters(texts: DataFrame, name: str, threshold: int) -> DataFrame:
+    """The rows for each of the letters that a text similar to this one must share with it at the latest (__letter), with all its letters (__name).
+
+    Letters are told apart by how many of their kind stand before them, so that texts share as many as their bags do. All
+    texts have them in one order, seldom ones (the third of its kind) first.
+    """
+    n, s = f"length({name})", 2 * threshold + 1  # rounded, a ratio above the threshold is at least s / 2
+    chars = f"array_distinct(transform(sequence(1, {n}), i -> substring({name}, i, 1)))"
+    each = f"flatten(transform({chars}, c -> transform(sequence(1, {n} - length(replace({name}, c, ''))), k -> struct(-k as k, c))))"
+    shortest = f"(({s} * {n} + {399 - s}) div {400 - s})"
+    shared = f"(({s} * ({n} + {shortest}) + 399) div 400)"
+    bags = texts.where(f"{n} > 0").withColumn(f"__{name}", F.expr(f"transform(array_sort({each}), x -> concat(x.c, -x.k))"))
+    return bags.withColumn("__letter", F.explode(F.expr(f"slice(__{name}, 1, cast(greatest(0, {n} - {shared} + 1) as int))")))
 
 
 def similar(texts: DataFrame, phrases: DataFrame, threshold: int = 70) -> DataFrame:
-    """Distinct texts (text) with all phrases (phrase, other columns stay) that are more similar than the threshold, and the ratio.
+    """Distinct texts (text) with all phrases (phrase, other columns stay) that are more similar than the threshold (0-100), and the ratio.
 
-    Joined by length, since texts whose lengths differ too much can't pass: no pair above the threshold is missed. The
-    phrases are counted, and few are broadcast. Null and empty texts are similar to nothing here.
+    A prefix join over letters: texts above the threshold share so many letters that one of the first few is among them,
+    and no pair is missed. A pair is met at its first shared letter alone, and compared in full only if the shared letters would
+    be enough in the same order. Which side is small enough to be broadcast is seen when the query runs. Null and empty texts
+    are similar to nothing here; repeated phrases stay repeated.
     """
-    t = texts.select("text").where("text is not null").distinct().withColumn("n", F.length("text")).withColumn("__masks", F.expr(match_masks("text")))
-    p = phrases.withColumn("m", F.length("phrase"))
-    fits = F.expr(f"explode(sequence(greatest(1, cast(floor(m * {threshold} / (200.0 - {threshold})) as int)), greatest(1, cast(ceil(m * (200.0 - {threshold}) / {threshold}) as int))))")
-    few = p.count() <= BROADCAST_PHRASES
-    p = p.withColumn("n", fits)
-    pairs = t.join(F.broadcast(p) if few else p, "n").where(ratio_bound("text", "phrase") > threshold)
-    return pairs.withColumn("ratio", indel_ratio("text", "phrase", "__masks")).where(F.col("ratio") > threshold).drop("n", "m", "__masks")
+    if not 0 <= threshold <= 100:
+        raise ValueError("the threshold is a ratio of 0 to 100")
+    t = _letters(texts.select("text").where("text is not null").distinct().withColumn("__masks", F.expr(match_masks("text"))), "text", threshold)
+    pairs = t.join(_letters(phrases, "phrase", threshold), "__letter").where(ratio_bound("text", "phrase") > threshold)
+    pairs = pairs.withColumn("__shared", F.array_intersect("__text", "__phrase"))
+    pairs = pairs.where(F.expr(f"__shared[0] = __letter and 400 * size(__shared) >= {2 * threshold + 1} * (length(text) + length(phrase))"))
+    pairs = pairs.withColumn("ratio", indel_ratio("text", "phrase", "__masks")).where(F.col("ratio") > threshold)
+    return pairs.select("text", *phrases.columns, "ratio")
 
 
 def fuzzy_phrases(texts: DataFrame, phrases: DataFrame, threshold: int = 70) -> DataFrame:
