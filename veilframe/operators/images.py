@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veilframe.operators.grouped import in_groups
-from veilframe.operators.masks import Canvas
+from veilframe.operators.shapes import outer_components
 from veilframe.operators.templates import correlation, window_sums
 
 #: Rows of an image whose medians are taken together.
@@ -86,13 +86,7 @@ def _correlated(target: np.ndarray, cell: np.ndarray) -> tuple[float, int, int]:
 
 def _interest(cell: np.ndarray) -> int:
     """How many bright (over 200) spots a cell has: components, corners included."""
-    on = cell > 200
-    rects = [(int(x), int(y), 0, 0) for y, x in zip(*np.nonzero(on), strict=True)]
-    canvas = Canvas(rects, cell.shape[1], cell.shape[0])
-    grid = canvas.blank()
-    for r in rects:
-        canvas.paint(grid, r)
-    return len(canvas.components(grid))
+    return len(outer_components(cell > 200))
 
 
 def mesh_matches(frames: DataFrame, matches: DataFrame, mesh: int, min_score: int, threshold: float = 0.9, tolerance: int = 5) -> DataFrame:
@@ -146,15 +140,8 @@ def colour_regions(images: DataFrame, areas: DataFrame, low: int, high: int, *,
             a = np.array(r["grey"], np.int64).reshape(r["height"], r["width"])
             x, y = max(0, r["x1"]), max(0, r["y1"])
             on = (a[y : max(y, r["y2"]), x : max(x, r["x2"])] >= low) & (a[y : max(y, r["y2"]), x : max(x, r["x2"])] <= high)
-            if not on.any():
-                continue
-            rects = [(int(u), int(v), 0, 0) for v, u in zip(*np.nonzero(on), strict=True)]
-            canvas = Canvas(rects, on.shape[1], on.shape[0])
-            grid = canvas.blank()
-            for q in rects:
-                canvas.paint(grid, q)
-            for bx, by, bw, bh in sorted(canvas.box(c) for c in canvas.components(grid)):
-                if bw * bh >= least:
-                    yield bx + x, by + y, bw, bh
+            for x1, y1, x2, y2 in sorted(outer_components(on)):
+                if (x2 - x1 + 1) * (y2 - y1 + 1) >= least:
+                    yield x1 + x, y1 + y, x2 - x1 + 1, y2 - y1 + 1
 
     return in_groups(rows, ["image"], ["x1", "y1", "x2", "y2"], boxes, "x int, y int, w int, h int")

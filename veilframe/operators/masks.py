@@ -5,6 +5,9 @@ Each function works on one frameset at a time. Rectangles are cut to the frame;
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from itertools import pairwise
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 from veilframe.operators.boxes import union_area
 from veilframe.operators.grouped import in_groups
 from veilframe.operators.sets import FRAME
-from veilframe.operators.shapes import Runs
+from veilframe.operators.shapes import outer_components
 
 WIDTH, HEIGHT = 1920, 1080
 
@@ -22,11 +25,10 @@ class Canvas:
 
     def __init__(self, rects: list[tuple], width: int, height: int):
         inside = [r for r in rects if r[0] is not None]
-        self.width, self.height = width, height
-        clip = lambda values, most: np.unique(np.clip(np.array([0, most, *values], np.int64), 0, most))
-        self.xs = clip([v for x, _, w, _ in inside for v in (x, x + w + 1)], width)
-        self.ys = clip([v for _, y, _, h in inside for v in (y, y + h + 1)], height)
-        self.size = np.outer(np.diff(self.ys), np.diff(self.xs))
+        edges = lambda values, most: sorted({0, most, *(min(max(int(v), 0), most) for v in values)})
+        self.xs = edges((v for x, _, w, _ in inside for v in (x, x + w + 1)), width)
+        self.ys = edges((v for _, y, _, h in inside for v in (y, y + h + 1)), height)
+        self.size = np.multiply.outer(*(np.array([b - a for a, b in pairwise(at)], np.int64) for at in (self.ys, self.xs)))
 
     def blank(self) -> np.ndarray:
         return np.zeros(self.size.shape, bool)
@@ -35,26 +37,15 @@ class Canvas:
         x, y, w, h = rect
         if x is None:
             return
-        (a, b), (c, d) = (np.searchsorted(at, np.clip(v, 0, most)) for at, v, most in ((self.xs, (x, x + w + 1), self.width), (self.ys, (y, y + h + 1), self.height)))
+        a, b, c, d = bisect_left(self.xs, x), bisect_left(self.xs, x + w + 1), bisect_left(self.ys, y), bisect_left(self.ys, y + h + 1)
         grid[c:d, a:b] = value
 
     def area(self, grid: np.ndarray) -> int:
         return int(self.size[grid].sum())
 
-    def components(self, grid: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """First and last strip (x, y, x, y) of each outer component: strips that touch, corners included, from which
-        the frame's outside can be reached."""
-        full = np.pad(grid, 1)
-        own, gaps = Runs(full), Runs(~full, corners=False)
-        outside = np.zeros((full.shape[0] + 2, full.shape[1] + 2), bool)
-        outside[1:-1, 1:-1] = gaps.painted(np.arange(gaps.n) == 0, full.shape)  # the first gap begins at the upper left
-        beside = outside[:-2, 1:-1] | outside[2:, 1:-1] | outside[1:-1, :-2] | outside[1:-1, 2:]
-        outer = own.holding(beside)
-        return [(x - 1, y - 1, x + w - 2, y + h - 2) for x, y, w, h, _ in own.boxes()[outer].tolist()]
-
     def box(self, c: tuple[int, int, int, int]) -> tuple[int, int, int, int]:
-        x, y = int(self.xs[c[0]]), int(self.ys[c[1]])
-        return x, y, int(self.xs[c[2] + 1]) - x, int(self.ys[c[3] + 1]) - y
+        x, y = self.xs[c[0]], self.ys[c[1]]
+        return x, y, self.xs[c[2] + 1] - x, self.ys[c[3] + 1] - y
 
 
 def _rect(r: dict) -> tuple:
@@ -80,7 +71,7 @@ def intersected(matches: DataFrame, jobs: list[str], width: int = 2000, height:
             for x in rects:
                 canvas.paint(own, x)
             both &= own
-        return sorted(canvas.box(c) for c in canvas.components(both))
+        return sorted(canvas.box(c) for c in outer_components(both))
 
     rows = matches.where(F.col("job_id").isin(wanted)).select(*FRAME, "job_id", "x", "y", "w", "h")
     return in_groups(rows, list(FRAME), ["job_id"], boxes, "x int, y int, w int, h int")
@@ -141,7 +132,7 @@ def score_counts(marks: DataFrame, width: int = WIDTH, height: int = HEIGHT) ->
         elif "fail" in kinds:
             want = ~found
         extra, lost = found & ~want, want & ~found
-        missed = sum(1 for a, b, c, d in canvas.components(want) if lost[b, a] and lost[d, c])
+        missed = sum(1 for a, b, c, d in outer_components(want) if lost[b, a] and lost[d, c]) if lost.any() else 0
         return [(canvas.area(want), width * height - canvas.area(want), canvas.area(extra), canvas.area(lost), missed)]
 
     return in_groups(marks.select(*FRAME, "kind", "ord", "polarity", "x", "y", "w", "h"), list(FRAME), ["ord"], counts, "t_pos long, t_neg long, f_pos long, f_neg long, missed int")

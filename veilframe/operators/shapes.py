@@ -67,6 +67,30 @@ class Runs:
         return np.cumsum(out, 1)[:, :-1] > 0
 
 
+#: Up to so many components are compared with each other, box by box, before the gaps between them are searched.
+FEW = 64
+
+
+def outer_components(grid: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """First and last column and row (x, y, x, y) of each outer component of a mask: cells that touch, corners included, from
+    which the outside can be reached."""
+    if not grid.any():
+        return []
+    full = np.pad(grid, 1)
+    own = Runs(full)
+    x, y, w, h, _ = own.boxes().T
+    corners = np.stack([x - 1, y - 1, x + w - 2, y + h - 2], 1)
+    if own.n <= FEW:  # what is shut in lies within the other one's box
+        within = [np.greater.outer(x, x), np.greater.outer(y, y), np.less.outer(x + w, x + w), np.less.outer(y + h, y + h)]
+        if not np.logical_and.reduce(within).any():
+            return [tuple(c) for c in corners.tolist()]
+    gaps = Runs(~full, corners=False)
+    outside = np.zeros((full.shape[0] + 2, full.shape[1] + 2), bool)
+    outside[1:-1, 1:-1] = gaps.painted(np.arange(gaps.n) == 0, full.shape)  # the first gap begins at the upper left
+    beside = outside[:-2, 1:-1] | outside[2:, 1:-1] | outside[1:-1, :-2] | outside[1:-1, 2:]
+    return [tuple(c) for c in corners[own.holding(beside)].tolist()]
+
+
 def _running(a: np.ndarray, axis: int, reach: int, fn, edge: int) -> np.ndarray:
     """fn (minimum or maximum) over 2 * reach + 1 neighbours along an axis; nothing beyond the border counts."""
     if not reach:
