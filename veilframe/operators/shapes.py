@@ -24,16 +24,7 @@ class Runs:
         n = np.maximum(hi - lo, 0)
         a = np.repeat(np.arange(len(n)), n)
         b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        label = np.arange(len(n))
-        while len(a):
-            low = np.minimum(label[a], label[b])
-            new = label.copy()
-            for side in (label[a], label[b], a, b):
-                np.minimum.at(new, side, low)
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
+        label = _joined(len(n), a, b)
         self.label = np.unique(label, return_inverse=True)[1].reshape(-1)
         self.n = int(self.label.max()) + 1 if len(label) else 0
 
@@ -67,6 +58,48 @@ class Runs:
         return np.cumsum(out, 1)[:, :-1] > 0
 
 
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n things the smallest number of those that links a[i] - b[i] join it to."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for side in (label[a], label[b], a, b):
+            np.minimum.at(new, side, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
+class Tones:
+    """The areas of a grey image that are joined by steps (up, down, left, right) between values that differ by at most a tolerance,
+    all at once."""
+
+    def __init__(self, grey: np.ndarray, tolerance: int):
+        g = grey.astype(np.int64)
+        start = np.ones(g.shape, bool)
+        start[:, 1:] = np.abs(np.diff(g, axis=1)) > tolerance
+        self.run = np.cumsum(start.reshape(-1)).reshape(g.shape) - 1
+        down = np.abs(np.diff(g, axis=0)) <= tolerance
+        links = np.unique(np.stack([self.run[:-1][down], self.run[1:][down]], 1), axis=0)
+        n = int(self.run[-1, -1]) + 1
+        self.label = _joined(n, links[:, 0], links[:, 1])
+        row, x1 = np.nonzero(start)
+        x2 = np.append(x1[1:], 0)
+        x2[np.append(row[1:] != row[:-1], True)] = g.shape[1]
+        self.boxes = np.array([[g.shape[1]], [g.shape[0]], [0], [0]]).repeat(n, 1)
+        for fn, out, at in ((np.minimum, 0, x1), (np.minimum, 1, row), (np.maximum, 2, x2), (np.maximum, 3, row + 1)):
+            fn.at(self.boxes[out], self.label, at)
+
+    def box(self, x: int, y: int) -> tuple[int, int, int, int] | None:
+        """x1, y1, x2, y2 (the far edges outside) of the area that holds a point; None outside of the image."""
+        if not (0 <= y < self.run.shape[0] and 0 <= x < self.run.shape[1]):
+            return None
+        return tuple(self.boxes[:, self.label[self.run[y, x]]].tolist())
+
+
 #: Up to so many components are compared with each other, box by box, before the gaps between them are searched.
 FEW = 64
 

@@ -230,6 +230,27 @@ def seldom_seen(texts: DataFrame, threshold: int = 70) -> DataFrame:
     return best.join(seen, "text", "left").select("text", (F.lit(n_others) - F.coalesce("n", F.lit(0))).alias("n_missed"))
 
 
+def both(a: tuple, b: tuple) -> tuple:
+    """The smallest box that holds both."""
+    return min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])
+
+
+def grown_together(areas: list[tuple], least_overlap: int) -> list[tuple]:
+    """One after the other, an area takes in every other one that it overlaps by more than least_overlap pixels, and both become
+    what holds the two."""
+    areas = list(areas)
+    inside = lambda p, q: any(q[0] <= x <= q[2] and q[1] <= y <= q[3] for x, y in ((p[0], p[1]), (p[2], p[3])))
+    for i in range(len(areas)):
+        for j in range(len(areas)):
+            a, b = areas[i], areas[j]
+            if i == j or a == b:
+                continue
+            w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+            if w >= 0 and h >= 0 and w * h > least_overlap and (inside(a, b) or inside(b, a)):
+                areas[i] = areas[j] = both(a, b)
+    return areas
+
+
 def app_areas(texts: DataFrame, least_overlap: int = 25, least_width: int = 100, least_height: int = 50) -> DataFrame:
     """(frame, x1, y1, x2, y2, n_texts, phrases): areas that texts' neighbourhoods (nx1, ny1, nx2, ny2) grow together to.
 
@@ -240,16 +261,7 @@ def app_areas(texts: DataFrame, least_overlap: int = 25, least_width: int = 100,
 
     def grow(rows):
         rows = list(rows)
-        areas = [(r["nx1"], r["ny1"], r["nx2"], r["ny2"]) for r in rows]
-        for i in range(len(rows)):
-            for j in range(len(rows)):
-                a, b = areas[i], areas[j]
-                if i == j or a == b:
-                    continue
-                w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-                inside = lambda p, q: any(q[0] <= x <= q[2] and q[1] <= y <= q[3] for x, y in ((p[0], p[1]), (p[2], p[3])))
-                if w >= 0 and h >= 0 and w * h > least_overlap and (inside(a, b) or inside(b, a)):
-                    areas[i] = areas[j] = (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))
+        areas = grown_together([(r["nx1"], r["ny1"], r["nx2"], r["ny2"]) for r in rows], least_overlap)
         by: dict = {}
         for r, a in zip(rows, areas, strict=True):
             by.setdefault(a, []).append(r["text"] or "")

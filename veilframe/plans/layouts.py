@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilframe.operators import detector, erase, features, focus, frames, grower, images, layout, pixels, scenes, scores, screens, sets, sifter, templates, texts
+from veilframe.operators import applications, detector, erase, features, focus, frames, grower, images, layout, pixels, scenes, scores, screens, sets, sifter, templates, texts
 from veilframe.plans.registry import plain, query
 from veilframe.sources import recordings
 from veilframe.sources import tables as S
@@ -345,6 +345,15 @@ def t16_app_areas(spark, d):
     return sifter.app_areas(m)
 
 
+@plain
+def t16_movie_apps(spark, d):
+    """Applications on the tones of pictures drawn from the embeddings; screens and texts at a tenth of their size."""
+    tone = "cast(floor((cast(embedding[(i div 192 div 14) * 8 + i % 192 div 24] as double) + 1) * 2) as int) * 60"
+    m = S.matches(spark, d).selectExpr("movie_url", "frameset", "uid", "text", "x div 10 x", "y div 10 y", "w div 4 w", "h div 4 h")
+    i = S.table(spark, d, "embeddings").selectExpr("concat('m', vec_id % 10) movie_url", "vec_id frameset", f"transform(sequence(0, 192 * 108 - 1), i -> {tone}) grey", "192 width", "108 height")
+    return applications.movie_apps(m, i, None, applications.Rules(aside=1, tabs_end=8, most_area=9000, least_overlap=4, row_gap=2, header_height=12, header_gap=2, header_wider=30, least_width=12, least_height=4))
+
+
 def _images(spark, d):
     return S.table(spark, d, "embeddings").select(F.col("vec_id").alias("image"), F.expr("transform(embedding, v -> cast(floor((cast(v as double) + 1) * 127) as int) % 256)").alias("grey"), F.lit(8).alias("width"), F.lit(8).alias("height"))
 
