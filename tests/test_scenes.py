@@ -93,3 +93,43 @@ def test_known_screen_and_empty_tables(spark):
     df = spark.createDataFrame(t, "movie_url string, frameset long, uid long, text string, x int, y int, w int, h int")
     assert [tuple(r)[1:] for r in scenes.scene_apps(df, p).collect()] == [(1, "mail", 200.0, 0, 20, 9, 59, 0, 20)]
     assert scenes.scene_apps(df.limit(0), p).count() == 0 and scenes.scene_apps(df, p.limit(0)).count() == 0
+
+
+def test_matched_cells_belong_to_the_best_match(spark):
+    texts, apps, df, phrases = tables(spark, 5)
+    best = {(r.frameset, r.app): r.score for r in scenes.scene_apps(df, phrases.withColumn("least", phrases.least * 0)).collect()}
+    said, cells = {t[2]: t[3] for t in texts}, {}
+    for r in scenes.grid_cells(df, phrases).collect():
+        assert ratio(said[r.uid], apps[r.app][0][r.app_row][r.app_col]) == r.ratio > 80
+        cells.setdefault((r.frameset, r.app), []).append(r)
+    assert {k: sum(r.ratio for r in v) for k, v in cells.items()} == best
+    assert all(len({(r.app_row, r.app_col) for r in v}) == len(v) for v in cells.values())
+
+
+SCREEN = [("Menu", 0, 0), ("Name", 0, 60), ("{}", 200, 62), ("City", 0, 120), ("{}", 200, 121), ("Phone", 0, 180), ("Total", 0, 240)]
+
+
+def screen(movie, frame, values, some=None, dx=0):
+    """The screen with a movie's own values, or only some of its texts."""
+    values = iter(values)
+    return [(movie, frame, 1000 * frame + k, t.format(next(values)) if t == "{}" else t, x + dx, y, 80, 20) for k, (t, x, y) in enumerate(SCREEN) if some is None or k in some]
+
+
+def test_compiled_layout(spark):
+    from veilframe.operators import sifter
+
+    rows = screen("a", 1, ["Anna Berg", "Oslo"]) + screen("a", 2, ["Anna Berg", "Oslo"], {0, 1, 2}) + [("a", 1, 1900, None, 0, 300, 80, 20), ("a", 1, 1901, "Help", None, 1, 1, 1)]
+    rows += screen("b", 3, ["Juan Diez", "Lima"], {0, 1, 2, 3, 4, 5, 6}, 30) + screen("c", 4, ["Wu", "Oslo"], {0, 1, 2, 3, 4, 5, 6})
+    df = spark.createDataFrame(rows, "movie_url string, frameset long, uid long, text string, x int, y int, w int, h int")
+    got = {r.text: r for r in scenes.compiled(df, "form").collect()}
+    # "Anna Berg" is nobody else's and is left out; "Oslo" is one other movie's
+    assert {t: (r.type, r.n_seen, r.n_missed, r.mask_this_field) for t, r in got.items()} == {
+        **{t: ("label", 2, 0, False) for t in ("Menu", "Name", "City", "Phone", "Total")}, "Oslo": ("user_data", 1, 1, True)
+    }
+    assert (got["City"].app_id, got["City"].x, got["City"].y, got["City"].row_no, got["City"].row_pos) == ("form_2_0", 0, 120, 3, 1)
+    assert {t: r.type for t, r in ((r.text, r) for r in scenes.compiled(df, "form", most_missed=1).collect())}["Oslo"] == "label"
+    # the layout finds its items in a screen of another movie
+    found = {(r.frameset, r.app_id): r.text for r in sifter.sift(df, scenes.compiled(df, "form"), least_total=300).collect()}
+    assert found[3, "form_1_0"] == "Name" and found[3, "form_2_1"] == "Lima" and found[4, "form_4_0"] == "Total"
+    alone = scenes.compiled(df.where("movie_url = 'b'")).collect()
+    assert len(alone) == 7 and {r.type for r in alone} == {"label"} and scenes.compiled(df.limit(0)).count() == 0

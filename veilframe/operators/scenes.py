@@ -9,7 +9,9 @@ from pyspark.sql.window import Window
 from veilframe.operators import layout as L
 from veilframe.operators.grouped import in_groups
 from veilframe.operators.sets import FRAME
+from veilframe.operators.sifter import densest_frames, grouped_texts
 from veilframe.operators.texts import similar
+from veilframe.sources.shared import stored
 
 
 def text_grid(texts: DataFrame, row_gap: int = 10) -> DataFrame:
@@ -52,8 +54,9 @@ class _Hits:
         return new if fits else None
 
     def score(self, home, first):
-        """Total and box of what grows from one text as one phrase."""
+        """Total and box of what grows from one text as one phrase, and the phrases with the texts taken for them."""
         total, box = first["ratio"], (first["x1"], first["y1"], first["x2"], first["y2"])
+        taken = [(home, first)]
         start = (first["row"], first["col"])
         last = start
         for phrase in reversed([p for p in self.phrases if 0 < p[0] < home[0]]):
@@ -61,6 +64,7 @@ class _Hits:
                 here = (r["row"], r["col"])
                 if 0 < here[0] < start[0] and here < last and (new := self.grown(box, r)):
                     total, box, last = total + r["ratio"], new, here
+                    taken.append((phrase, r))
                     break
         last = start
         for phrase in [p for p in self.phrases if p[0] > home[0]]:
@@ -68,8 +72,21 @@ class _Hits:
                 free = r["row"] > start[0] and (r["row"] > last[0] or r["col"] > last[1])
                 if free and (new := self.grown(box, r)):
                     total, box, last = total + r["ratio"], new, (r["row"], r["col"])
+                    taken.append((phrase, r))
                     break
-        return total, box
+        return total, box, taken
+
+
+def _similar_cells(texts: DataFrame, phrases: DataFrame, threshold: int, row_gap: int) -> DataFrame:
+    """The texts with each phrase of an application's grid that they are similar to, and the application's largest extent."""
+    grid, p = text_grid(texts, row_gap), phrase_grid(phrases)
+    size = phrases.groupBy("app").agg(F.max("max_width").alias("max_width"), F.max("max_height").alias("max_height"))
+    alike = similar(grid.select("text"), p.select("phrase").distinct(), threshold)
+    hits = grid.join(alike, "text").join(p.join(size, "app"), "phrase")
+    return hits.select(*FRAME, "app", "uid", "row", "col", "ratio", "app_row", "app_col", "x1", "y1", "x2", "y2", "max_width", "max_height")
+
+
+ORDER = ["app_row", "app_col", "row", "col"]
 
 
 def grid_scores(texts: DataFrame, phrases: DataFrame, threshold: int = 80, row_gap: int = 10) -> DataFrame:
@@ -89,24 +106,35 @@ def grid_scores(texts: DataFrame, phrases: DataFrame, threshold: int = 80, row_g
     Of several phrases for a text the one with the largest score counts, of equal ones the first of the phrases' grid. A group
     is a screen's texts that are similar to one application's phrases. Empty tables give no rows.
     """
-    grid, p = text_grid(texts, row_gap), phrase_grid(phrases)
-    size = phrases.groupBy("app").agg(F.max("max_width").alias("max_width"), F.max("max_height").alias("max_height"))
-    alike = similar(grid.select("text"), p.select("phrase").distinct(), threshold)
-    hits = grid.join(alike, "text").join(p.join(size, "app"), "phrase")
-
     def best(rows):
         hits = _Hits(rows)
         found: dict = {}
         for phrase in hits.phrases:
             for r in hits.at[phrase]:
-                total, box = hits.score(phrase, r)
+                total, box, _ = hits.score(phrase, r)
                 if r["uid"] not in found or total > found[r["uid"]][2]:
                     found[r["uid"]] = (r["row"], r["col"], total, *phrase, *box)
         return [(u, *v) for u, v in sorted(found.items(), key=lambda x: x[1][:2])]
 
     kind = dict(texts.dtypes)["uid"]
-    columns = hits.select(*FRAME, "app", "uid", "row", "col", "ratio", "app_row", "app_col", "x1", "y1", "x2", "y2", "max_width", "max_height")
-    return in_groups(columns, [*FRAME, "app"], ["app_row", "app_col", "row", "col"], best, f"uid {kind}, row int, col int, score double, app_row int, app_col int, x1 int, y1 int, x2 int, y2 int")
+    columns = _similar_cells(texts, phrases, threshold, row_gap)
+    return in_groups(columns, [*FRAME, "app"], ORDER, best, f"uid {kind}, row int, col int, score double, app_row int, app_col int, x1 int, y1 int, x2 int, y2 int")
+
+
+def grid_cells(texts: DataFrame, phrases: DataFrame, threshold: int = 80, row_gap: int = 10) -> DataFrame:
+    """(frame, app, app_row, app_col, uid, ratio): the phrases of an application that its best match on a screen has a text for,
+    with that text. The match is the one that scene_apps() takes; for the rest see grid_scores()."""
+
+    def cells(rows):
+        hits, most, best = _Hits(rows), None, []
+        for r, phrase in sorted(((r, p) for p in hits.phrases for r in hits.at[p]), key=lambda x: (x[0]["row"], x[0]["col"], x[1])):
+            total, _, taken = hits.score(phrase, r)
+            if most is None or total > most:
+                most, best = total, taken
+        return [(*p, r["uid"], float(r["ratio"])) for p, r in sorted(best, key=lambda x: x[0])]
+
+    kind = dict(texts.dtypes)["uid"]
+    return in_groups(_similar_cells(texts, phrases, threshold, row_gap), [*FRAME, "app"], ORDER, cells, f"app_row int, app_col int, uid {kind}, ratio double")
 
 
 def scene_apps(texts: DataFrame, phrases: DataFrame, threshold: int = 80, row_gap: int = 10, offset: tuple[int, int] = (0, 0)) -> DataFrame:
@@ -120,3 +148,32 @@ def scene_apps(texts: DataFrame, phrases: DataFrame, threshold: int = 80, row_ga
     least = phrases.groupBy("app").agg(F.max("least").alias("least"))
     won = best.join(least, "app").where("m.score >= least")
     return won.select(*FRAME, "app", "m.*", (F.col("m.x1") - offset[0]).alias("origin_x"), (F.col("m.y1") - offset[1]).alias("origin_y"))
+
+
+def compiled(texts: DataFrame, name: str = "app", threshold: int = 80, row_gap: int = 20, most_missed: int = 0) -> DataFrame:
+    """A layout, as sifter.sift() takes it, out of several movies of one application, with n_seen and n_missed for each item.
+
+    Each movie is stood for by its screen with the most rows, then texts (sifter.densest_frames), and the one of these with the
+    most is the drawn screen. The others are matched to its grid by growth (grid_cells); a text that a movie's
+    match doesn't hold is missed by it. What at most most_missed others miss is a label; what none of the others sees is taken for
+    an anomaly and left out, unless there are no others; the rest varies between movies: user_data, to be masked.
+
+    Columns: app_id (name, row and column of the drawn screen's grid), type, text, x, y, min_width (null: none), mask_this_field, row_no, row_pos, left_no, left_pos, right_no, right_pos
+    (numbers from 1), n_seen, n_missed. Null texts, which can match nothing, count as missed by all. Of movies alike the
+    smaller one is drawn. Empty tables give no rows.
+    """
+    screens = stored(densest_frames(texts, row_gap))
+    top = screens.orderBy(F.col("n_rows").desc(), F.col("n_texts").desc(), "movie_url").limit(1).select(*FRAME)
+    one = stored(text_grid(texts.join(F.broadcast(top), list(FRAME), "left_semi"), row_gap))
+    others = texts.join(screens.join(F.broadcast(top), list(FRAME), "left_anti").select(*FRAME), list(FRAME), "left_semi")
+    none = F.lit(None).cast("int")
+    phrases = one.select(F.lit(name).alias("app"), F.col("row").alias("row_no"), F.col("col").alias("pos"), "text", none.alias("max_width"), none.alias("max_height"))
+    seen = grid_cells(others, phrases, threshold, row_gap).groupBy(F.col("app_row").alias("row"), F.col("app_col").alias("col")).agg(F.count_distinct("movie_url").cast("int").alias("seen"))
+    n = screens.count() - 1
+    boxes = one.select(*FRAME, "uid", "text", "row", "col", F.col("x1").alias("x"), F.col("y1").alias("y"), F.expr("x2 - x1").alias("w"), F.expr("y2 - y1").alias("h"))
+    place = lambda kind, name: [F.min(F.when(F.col("kind") == kind, F.col(f"ocr_{of}") + 1)).cast("int").alias(f"{name}_{to}") for of, to in (("row", "no"), ("pos", "pos"))]
+    places = grouped_texts(boxes).groupBy("uid").agg(*place("row", "row"), *place("left_col", "left"), *place("right_col", "right"))
+    items = boxes.join(seen, ["row", "col"], "left").withColumn("n_seen", F.coalesce("seen", F.lit(0))).withColumn("n_missed", n - F.col("n_seen"))
+    items = items.where(F.lit(n == 0) | (F.col("n_seen") > 0)).withColumn("type", F.when(F.col("n_missed") <= most_missed, "label").otherwise("user_data"))
+    wide = [F.concat_ws("_", F.lit(name), "row", "col").alias("app_id"), "type", "text", "x", "y", none.alias("min_width"), (F.col("type") == "user_data").alias("mask_this_field")]
+    return items.join(places, "uid", "left").select(*wide, "row_no", "row_pos", "left_no", "left_pos", "right_no", "right_pos", "n_seen", "n_missed")

@@ -321,6 +321,12 @@ def t6k_seldom_seen(spark, d):
     return sifter.seldom_seen(S.matches(spark, d))
 
 
+@plain
+def t6k_compiled(spark, d):
+    """A layout out of the densest screens of all movies."""
+    return scenes.compiled(S.matches(spark, d), "part")
+
+
 def _phrases(spark, d):
     """Two applications' grids of phrases out of the layout's texts; the second one has a largest extent."""
     return _layout(spark, d).selectExpr("case when row_no % 2 = 0 then 'mail' else 'bank' end app", "row_no", "row_pos pos", "text", "150 least", "case when row_no % 2 = 1 then 900 end max_width", "case when row_no % 2 = 1 then 600 end max_height")
