@@ -118,3 +118,39 @@ def test_ids_that_only_carrying_finds():
     alone = sifter._Screen(sifter._Layout(items), texts, 20.0)
     alone.carry = lambda: None
     assert "c" not in {i for i, *_ in alone.confirm()}
+
+
+def test_rows_are_matched_as_the_single_steps_match_them(spark):
+    """One pass over a screen finds the rows that grouping, scoring and assigning find as steps of their own."""
+    from veilframe.operators import layout as L
+
+    rng = random.Random(5)
+    items, texts = [], []
+    for k in range(9):
+        items.append({"app_id": f"i{k}", "type": "label", "text": f"label{k % 7}", "x": 0, "y": 0, "min_width": None} | {c: v for no, pos in sifter.KINDS.values() for c, v in ((no, k // 3 + 1), (pos, k % 3 + 1))})
+    for f in range(12):
+        for u in range(9):
+            texts.append({"movie_url": "m", "frameset": f, "uid": u, "text": f"label{rng.randrange(9)}", "x": rng.randrange(0, 200, 20), "y": rng.randrange(0, 100, 10), "w": 40, "h": 12})
+    groups = {}
+    df = spark.createDataFrame([tuple(t.values()) for t in texts], TEXTS)
+    for r in sifter.grouped_texts(df).collect():
+        groups.setdefault((r.frameset, r.kind), []).append(r)
+    for f in range(12):
+        own = [t | {"labels": [t["text"]] if t["text"] < "label7" else None, "ratios": [100] if t["text"] < "label7" else None} for t in texts if t["frameset"] == f]
+        screen, want, totals = sifter._Screen(sifter._Layout(items), own, 10.0), {}, 0
+        for kind, (no, pos) in sifter.KINDS.items():
+            cells = [(r.ocr_row, i[no], i[pos], r.ocr_pos, 100) for r in groups[f, kind] for i in items if i["text"] == r.text]
+            best = L.best_rows(L.quick_rows(cells, 70)) if cells else []
+            totals += best[0][3] if best else 0
+            for app, ocr, _, _ in best:
+                want[kind, app] = [r.uid for r in sorted(groups[f, kind], key=lambda r: r.ocr_pos) if r.ocr_row == ocr]
+        assert screen.match_groups(70, 1) == bool(want) and screen.members == want
+        assert not sifter._Screen(sifter._Layout(items), own, 10.0).match_groups(70, int(totals) + 1)
+
+
+def test_sift_shuffles_its_texts_once(spark):
+    """No joins and windows over all texts: they go by frameset once (before: three joins, two windows and five groupings)."""
+    lay = spark.createDataFrame([("a", "label", "Name", 10, 10, 1, 1, 1, 1, None, None)], LAYOUT)
+    df = spark.createDataFrame([("m", 1, 1, "Name", 20, 20, 40, 12)], TEXTS)
+    plan = sifter.sift(df, lay)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("MapInArrow") == 1

@@ -1,10 +1,12 @@
-"""Work that needs a group's rows one after the other, streamed from sorted partitions."""
+"""Work that needs a group's rows one after the other, streamed from sorted partitions; work on images one by one."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -21,13 +23,9 @@ def in_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[It
     schema = T.StructType([df.schema[k] for k in keys] + kinds.fields)
     arrow = to_arrow_schema(schema)
 
-    def rows(batches):
-        for b in batches:
-            yield from b.to_pylist()
-
     def run(batches):
         out: list = []
-        for key, group in groupby(rows(batches), lambda r: tuple(r[k] for k in keys)):
+        for key, group in groupby(_rows(batches), _key(keys)):
             out += [key + tuple(x) for x in fn(group)]
             if len(out) >= 4096:
                 yield _batch(out, arrow)
@@ -37,6 +35,67 @@ def in_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[It
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
+def each_image(df: DataFrame, keys: list[str], fn: Callable[[dict], Iterable[tuple]], added: str) -> DataFrame:
+    """The rows that fn makes of each row of df, with the row's keys before them. Rows stay where they are: nothing is shuffled.
+
+    fn gets a row as a dict; arrays of numbers (an image's pixels) are numpy arrays, not lists. Images are handed over a few
+    at a time, whatever the number of rows in Arrow's batches.
+    """
+    schema = T.StructType([df.schema[k] for k in keys] + T._parse_datatype_string(added).fields)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for b in batches:
+            out: list = []
+            for r in _rows([b], arrays=True):
+                key = tuple(r[k] for k in keys)
+                out += [key + tuple(x) for x in fn(r)]
+                if len(out) >= 64:
+                    yield _batch(out, arrow)
+                    out = []
+            yield _batch(out, arrow)
+
+    return df.mapInArrow(run, schema)
+
+
+def _key(keys: list[str]) -> Callable[[dict], tuple]:
+    return itemgetter(*keys) if len(keys) > 1 else lambda r: (r[keys[0]],)
+
+
+def _rows(batches: Iterable[pa.RecordBatch], arrays: bool = False, most: int = 8192) -> Iterator[dict]:
+    """Rows of Arrow batches as dicts of Python values (arrays: those of numbers as numpy arrays), converted a column at a time."""
+    for b in batches:
+        names = b.schema.names
+        for start in range(0, b.num_rows, most):
+            part = b.slice(start, most)
+            for values in zip(*[_values(c, arrays) for c in part.columns], strict=True):
+                yield dict(zip(names, values))  # noqa: B905
+
+
+def _values(c: pa.Array, arrays: bool) -> Iterable:
+    kind = c.type
+    if pa.types.is_integer(kind) or pa.types.is_floating(kind) or pa.types.is_boolean(kind):
+        if not c.null_count:
+            return c.to_numpy(zero_copy_only=False).tolist()
+        own = c.fill_null(False if pa.types.is_boolean(kind) else 0).to_numpy(zero_copy_only=False).tolist()
+        return [v if there else None for v, there in zip(own, c.is_valid().to_numpy(zero_copy_only=False).tolist(), strict=True)]
+    if pa.types.is_string(kind) or pa.types.is_large_string(kind):
+        return c.to_numpy(zero_copy_only=False).tolist()
+    if pa.types.is_list(kind) and (pa.types.is_integer(kind.value_type) or pa.types.is_floating(kind.value_type)) and not c.flatten().null_count:
+        return _lists(c, arrays)
+    return c.to_pylist()
+
+
+def _lists(c: pa.ListArray, arrays: bool) -> Iterator:
+    """A list column's values one after the other, cut out of the flat array."""
+    ends = np.cumsum(c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    flat, start = c.flatten().to_numpy(zero_copy_only=False), 0
+    for end, there in zip(ends.tolist(), c.is_valid().to_numpy(zero_copy_only=False).tolist(), strict=True):
+        own = flat[start:end]
+        start = end
+        yield (own if arrays else own.tolist()) if there else None
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)

@@ -5,6 +5,9 @@ Steps that depend on what was taken before (leaders, claims, greedy picks) run o
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from operator import itemgetter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +22,34 @@ def _uid(df: DataFrame) -> str:
     return dict(df.dtypes)["uid"]
 
 
+def leaders_of(rows: list[dict], overlap: int = 5, gap: int = 1000, misalign: int = 15) -> dict:
+    """The leaders of the row, left and right column of each text (by uid) of one frameset; see rows_and_columns()."""
+    out: dict = {r["uid"]: [None, None, None] for r in rows}
+    leaders: list = []
+    for r in sorted(rows, key=lambda r: (r["x"], r["uid"])):
+        x, y, right, low = r["x"], r["y"], r["x"] + r["w"], r["y"] + r["h"]
+        mine = None
+        for o in reversed(leaders):
+            top, end = o["y"], o["y"] + o["h"]
+            meet = 0 if low <= top or y >= end else max(low - top, end - y)  # the larger of the two overhangs
+            if meet >= overlap and max(0, o["x"] - right, x - o["x"] - o["w"]) <= gap:
+                mine = o
+                break
+        if mine is None:
+            leaders.append(mine := r)
+        out[r["uid"]][0] = mine["uid"]
+    down = sorted(rows, key=lambda r: (r["y"], r["uid"]))
+    for k in (1, 2):
+        edges: list = []
+        for r in down:
+            at = r["x"] if k == 1 else r["x"] + r["w"]
+            mine = next((uid for edge, uid in reversed(edges) if abs(at - edge) < misalign), None)
+            if mine is None:
+                edges.append((at, mine := r["uid"]))
+            out[r["uid"]][k] = mine
+    return out
+
+
 def rows_and_columns(matches: DataFrame, overlap: int = 5, gap: int = 1000, misalign: int = 15) -> DataFrame:
     """(frame, uid, row, left_col, right_col): the leader (uid) of the row and columns that each text belongs to.
 
@@ -27,31 +58,7 @@ def rows_and_columns(matches: DataFrame, overlap: int = 5, gap: int = 1000, misa
     from above: left (or right) edges differ by less than `misalign`. Ties go by uid. Null rectangles are left out.
     """
 
-    def spans(a, b, low, high):  # the larger of the two overhangs, 0 if they don't meet
-        return 0 if b <= low or a >= high else max(b - low, high - a)
-
-    def groups(rows):
-        rows = list(rows)
-        out: dict = {r["uid"]: [None, None, None] for r in rows}
-        leaders: list = []
-        for r in sorted(rows, key=lambda r: (r["x"], r["uid"])):
-            mine = None
-            for o in leaders:
-                apart = max(0, o["x"] - r["x"] - r["w"], r["x"] - o["x"] - o["w"])
-                if spans(r["y"], r["y"] + r["h"], o["y"], o["y"] + o["h"]) >= overlap and apart <= gap:
-                    mine = o
-            if mine is None:
-                leaders.append(mine := r)
-            out[r["uid"]][0] = mine["uid"]
-        for k, edge in ((1, lambda r: r["x"]), (2, lambda r: r["x"] + r["w"])):
-            leaders = []
-            for r in sorted(rows, key=lambda r: (r["y"], r["uid"])):
-                near = [o for o in leaders if abs(edge(r) - edge(o)) < misalign]
-                if not near:
-                    leaders.append(r)
-                out[r["uid"]][k] = (near[-1] if near else r)["uid"]
-        return [(u, *v) for u, v in out.items()]
-
+    groups = lambda rows: [(u, *v) for u, v in leaders_of(list(rows), overlap, gap, misalign).items()]
     kind = _uid(matches)
     return in_groups(matches.where(BOX).select(*FRAME, "uid", "x", "y", "w", "h"), list(FRAME), ["uid"], groups, f"uid {kind}, row {kind}, left_col {kind}, right_col {kind}")
 
@@ -78,24 +85,43 @@ def best_assignment(scores: list[list[float]]) -> tuple[list[int], float]:
     return path, best[n_cols][n_rows]
 
 
+def best_rows(cells: list[tuple]) -> list[tuple]:
+    """best_assignment() of one group's (ocr_row, app_row, score): (app_row, ocr_row, score, total) of the matched rows."""
+    ocr, app = sorted({c[0] for c in cells}), sorted({c[1] for c in cells})
+    place, side = {o: i for i, o in enumerate(ocr)}, {a: i for i, a in enumerate(app)}
+    table = [[0.0] * len(app) for _ in ocr]
+    for o, a, s in cells:
+        table[place[o]][side[a]] = float(s)
+    path, total = best_assignment(table)
+    return [(app[c], ocr[r], table[r][c], total) for c, r in enumerate(path) if r >= 0]
+
+
 def assigned_rows(scores: DataFrame, keys: tuple[str, ...] = FRAME) -> DataFrame:
     """best_assignment() for each frameset (or other keys) of (keys, ocr_row, app_row, score), rows and columns by number; missing
     scores are 0. Returns keys, app_row, ocr_row, score and the group's total, for matched rows only."""
 
-    def best(rows):
-        cells = [(r["ocr_row"], r["app_row"], r["score"]) for r in rows]
-        ocr, app = sorted({c[0] for c in cells}), sorted({c[1] for c in cells})
-        place, side = {o: i for i, o in enumerate(ocr)}, {a: i for i, a in enumerate(app)}
-        table = [[0.0] * len(app) for _ in ocr]
-        for o, a, s in cells:
-            table[place[o]][side[a]] = float(s)
-        path, total = best_assignment(table)
-        return [(app[c], ocr[r], table[r][c], total) for c, r in enumerate(path) if r >= 0]
-
+    best = lambda rows: best_rows([(r["ocr_row"], r["app_row"], r["score"]) for r in rows])
     rows = scores.where("ocr_row is not null and app_row is not null and score is not null").select(*keys, "ocr_row", "app_row", "score")
     return in_groups(rows, list(keys), ["ocr_row", "app_row"], best, "app_row int, ocr_row int, score double, total double")
 
 
+def quick_rows(cells: Iterable[tuple], threshold: int) -> list[tuple]:
+    """(ocr_row, app_row, score) of one group's (ocr_row, app_row, app_pos, ocr_pos, ratio); see quick_scores()."""
+    by: dict = {}
+    for o, a, app_pos, ocr_pos, ratio in cells:
+        by.setdefault((o, a), {}).setdefault(app_pos, []).append((ocr_pos, ratio))
+    out = []
+    for (o, a), own in sorted(by.items()):
+        total, least = 0, None
+        for pos in sorted(own):
+            for at, ratio in sorted(own[pos]):
+                if (least is None or at > least) and ratio >= threshold:
+                    total, least = total + ratio, at
+                    break
+        out.append((o, a, total))
+    return out
+
+
 def quick_scores(pairs: DataFrame, threshold: int = 70, keys: tuple[str, ...] = FRAME) -> DataFrame:
     """(keys, ocr_row, app_row, score): how well a row of text fits a row of the layout.
 
@@ -103,21 +129,8 @@ def quick_scores(pairs: DataFrame, threshold: int = 70, keys: tuple[str, ...] =
     first text of the row, after those already taken, that is similar enough; the ratios are added up.
     """
 
-    def score(rows):
-        by: dict = {}
-        for r in rows:
-            by.setdefault((r["ocr_row"], r["app_row"]), {}).setdefault(r["app_pos"], []).append((r["ocr_pos"], r["ratio"]))
-        out = []
-        for (o, a), cells in sorted(by.items()):
-            total, least = 0, None
-            for pos in sorted(cells):
-                for at, ratio in sorted(cells[pos]):
-                    if (least is None or at > least) and ratio >= threshold:
-                        total, least = total + ratio, at
-                        break
-            out.append((o, a, total))
-        return out
-
+    names = itemgetter("ocr_row", "app_row", "app_pos", "ocr_pos", "ratio")
+    score = lambda rows: quick_rows(map(names, rows), threshold)
     return in_groups(pairs.select(*keys, "ocr_row", "app_row", "ocr_pos", "app_pos", "ratio"), list(keys), ["ocr_row"], score, "ocr_row int, app_row int, score int")
 
 

@@ -35,30 +35,8 @@ def grouped_texts(texts: DataFrame) -> DataFrame:
     return rows.select(*FRAME, "kind", number.alias("ocr_row"), place.alias("ocr_pos"), "uid", "text")
 
 
-def layout_places(layout: DataFrame) -> DataFrame:
-    """(kind, app_row, app_pos, app_id, type, label): where each item stands in the layout's rows and columns."""
-    parts = [layout.select(F.lit(k).alias("kind"), F.col(no).cast("int").alias("app_row"), F.col(pos).cast("int").alias("app_pos"), "app_id", "type", F.col("text").alias("label")) for k, (no, pos) in KINDS.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).where("app_row is not null and app_pos is not null")
-
-
-def row_matches(texts: DataFrame, layout: DataFrame, threshold: int = 70) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Groups of texts, pairs of texts and similar labels, and the best rising match of the groups of each kind with the
-    layout's rows and columns: (groups, alike, matched). Each is written once.
-
-    A group's score for a row or column is the sum of the ratios of the labels that it has in order. Framesets without a text that
-    is similar to a label have no score, so only the others are grouped.
-    """
-    labels = layout.where("type = 'label' and text is not null").select(F.col("text").alias("phrase")).distinct()
-    alike = stored(similar(texts.select("text"), labels, threshold - 1).select("text", F.col("phrase").alias("label"), "ratio"))
-    shown = texts.join(alike.select("text").distinct(), "text", "left_semi").select(*FRAME).distinct()
-    groups = stored(grouped_texts(texts.join(shown, list(FRAME), "left_semi")))
-    pairs = groups.join(alike, "text").join(layout_places(layout).where("type = 'label'"), ["kind", "label"])
-    keys = (*FRAME, "kind")
-    return groups, alike, stored(L.assigned_rows(L.quick_scores(pairs, threshold, keys), keys))
-
-
 class _Layout:
-    """A layout in the rows and columns that its items stand in; bounded by a screen."""
+    """A layout in the rows and columns that its items stand in, and its labels by number; bounded by a screen."""
 
     def __init__(self, rows: list):
         self.items = {r["app_id"]: r for r in rows}
@@ -68,6 +46,22 @@ class _Layout:
                 self.groups.setdefault(kind, {}).setdefault(r[no], []).append(r["app_id"])
         first = next(iter(self.groups.get("row", {}).values()), None)
         self.first_y = (self.items[first[0]]["y"] or 0) if first else 0
+        self.labels = sorted({r["text"] for r in rows if r["type"] == "label" and r["text"] is not None})
+        #: Where each label stands: by kind and text the rows (columns) and places in them.
+        self.stands: dict = {kind: {} for kind in KINDS}
+        for r in rows:
+            for kind, (no, pos) in KINDS.items():
+                if r["type"] == "label" and r["text"] is not None and r[no] is not None and r[pos] is not None:
+                    self.stands[kind].setdefault(r["text"], []).append((r[no], r[pos]))
+        #: Of each item its cells, in the order of each(), and the cells of its first left column, without one of its first right one.
+        self.cells: dict = {}
+        self.column: dict = {}
+        for kind, no, own in self.each():
+            for item in own:
+                if (kind, no, item) not in self.cells.setdefault(item, []):
+                    self.cells[item].append((kind, no, item))
+                if kind != "row":
+                    self.column.setdefault(item, (kind, no))
 
     def each(self, kinds=tuple(KINDS)):
         """(kind, number, items) of every row, then left column, then right column."""
@@ -82,19 +76,47 @@ class _Screen:
     def __init__(self, layout: _Layout, texts: list[dict], reach: float):
         self.layout, self.reach = layout, reach
         self.texts = {t["uid"]: t for t in texts}
-        self.members: dict = {}
-        for t in texts:
-            for c in t["cells"] or ():
-                self.members.setdefault((c["kind"], c["app_row"]), []).append((c["ocr_pos"], t["uid"]))
+        cells = sorted((c["kind"], c["app_row"], c["ocr_pos"], t["uid"]) for t in texts for c in t.get("cells") or ())
+        self.members: dict = {}  # (kind, number of the layout's row) -> the texts in it
+        for kind, no, _, uid in cells:
+            self.members.setdefault((kind, no), []).append(uid)
         self.held: dict = {}  # (kind, number, item) -> (uid, how)
         self.own: set = set()  # those not carried over from elsewhere
 
+    def grouped(self) -> dict:
+        """By kind the rows (columns) of texts by where they begin, each with its texts in order: as grouped_texts() numbers them."""
+        texts, out = self.texts, {}
+        for k, (kind, leaders) in enumerate(zip(KINDS, zip(*L.leaders_of(list(texts.values())).values(), strict=True), strict=True)):
+            by: dict = {}
+            for uid, leader in zip(texts, leaders, strict=True):
+                by.setdefault(leader, []).append(uid)
+            start = (lambda u: (texts[u]["y"], u), lambda u: (texts[u]["x"], u), lambda u: (texts[u]["x"] + texts[u]["w"], u))[k]
+            along = "x" if kind == "row" else "y"
+            out[kind] = [sorted(by[u], key=lambda u: (texts[u][along], u)) for u in sorted(by, key=start)]
+        return out
+
+    def match_groups(self, threshold: int, least_total: int) -> bool:
+        """Rows and columns matched with the layout's, for the largest total of each kind; whether all totals together are enough."""
+        totals = 0
+        for kind, groups in self.grouped().items():
+            stands, cells = self.layout.stands[kind], []
+            for row, uids in enumerate(groups):
+                for pos, uid in enumerate(uids):
+                    for label, ratio in zip(self.texts[uid]["labels"] or (), self.texts[uid]["ratios"] or (), strict=True):
+                        cells += [(row, no, app_pos, pos, ratio) for no, app_pos in stands.get(label, ())]
+            best = L.best_rows(L.quick_rows(cells, threshold)) if cells else []
+            for no, row, score, _ in best:
+                if score > 0:
+                    self.members[kind, no] = groups[row]
+            totals += best[0][3] if best else 0
+        return bool(self.members) and totals >= least_total
+
     def match_rows(self):
         """Items of a matched row or column take its texts in order: user data the first that is wide enough, labels the last
         similar one; what follows begins behind as many texts as were passed."""
-        for kind, no, own in self.layout.each():
-            members, base = [u for _, u in sorted(self.members.get((kind, no), ()))], 0
-            for item in own:
+        for (kind, no), members in self.members.items():
+            base = 0
+            for item in self.layout.groups.get(kind, {}).get(no, ()):
                 spec = self.layout.items[item]
                 for i, uid in enumerate(members[base:]):
                     t = self.texts[uid]
@@ -109,15 +131,14 @@ class _Screen:
 
     def found(self) -> dict:
         """Of each item found anywhere its text: the one in the last right column, else left column, else row."""
-        return {item: self.held[kind, no, item] for kind, no, own in self.layout.each() for item in own if (kind, no, item) in self.held}
+        items = dict.fromkeys(item for _, _, item in self.held)
+        return {item: next(self.held[c] for c in reversed(self.layout.cells[item]) if c in self.held) for item in items}
 
     def carry(self):
         """What is found in one row or column holds for all others that the item stands in and that have nothing for it."""
-        found = self.found()
-        for kind, no, own in self.layout.each():
-            for item in own:
-                if item in found:
-                    self.held.setdefault((kind, no, item), found[item])
+        for item, text in self.found().items():
+            for cell in self.layout.cells[item]:
+                self.held.setdefault(cell, text)
 
     def scale(self) -> tuple[float, float]:
         """Vertical scale and origin: the mean over the rows of how far they lie below the first found one, found against drawn."""
@@ -132,34 +153,34 @@ class _Screen:
         scale = sum(steps) / len(steps)
         return scale, tops[0][1] - (tops[0][0] - self.layout.first_y) * scale
 
-    def column_at(self, item) -> tuple[float, bool] | None:
-        """Where the item's first left column (without one: right column) was found, and whether that is a left edge."""
-        for kind in ("left_col", "right_col"):
-            own = next(((no, own) for _, no, own in self.layout.each((kind,)) if item in own), None)
-            if own:
-                uid = next((self.held[kind, own[0], i][0] for i in own[1] if (kind, own[0], i) in self.held), None)
-                t = self.texts.get(uid)
-                x = (t["x"] + (t["w"] if kind == "right_col" else 0)) if t else 0
-                return (x, kind == "left_col") if x else None
-        return None
+    def column_at(self, kind: str, no: int) -> tuple[float, bool] | None:
+        """Where a column was found, and whether that is a left edge."""
+        uid = next((self.held[kind, no, i][0] for i in self.layout.groups[kind][no] if (kind, no, i) in self.held), None)
+        t = self.texts.get(uid)
+        x = (t["x"] + (t["w"] if kind == "right_col" else 0)) if t else 0
+        return (x, kind == "left_col") if x else None
 
     def claim_near(self):
         """Items of rows that are not found yet take the nearest free text, if it is near enough to where their column and the
         scale put them; one after the other."""
+        free = {u: t for u, t in self.texts.items() if u not in {uid for uid, _ in self.held.values()}}
+        if not free:
+            return
         scale, origin = self.scale()
-        taken = {uid for uid, _ in self.held.values()}
+        columns = {c: self.column_at(*c) for c in set(self.layout.column.values())}  # only rows change below
         for kind, no, own in self.layout.each(("row",)):
             for item in own:
-                at = None if (kind, no, item) in self.held else self.column_at(item)
+                at = None if (kind, no, item) in self.held else columns.get(self.layout.column.get(item))
                 if at is None or self.layout.items[item]["y"] is None:
                     continue
                 y = int((self.layout.items[item]["y"] - self.layout.first_y) * scale) + origin
-                free = [(((t["x"] + (0 if at[1] else t["w"]) - at[0]) ** 2 + (t["y"] - y) ** 2) ** 0.5, u) for u, t in self.texts.items() if u not in taken]
-                best = min(free, default=None)
-                if best and best[0] <= self.reach:
-                    taken.add(best[1])
+                best = min((((t["x"] + (0 if at[1] else t["w"]) - at[0]) ** 2 + (t["y"] - y) ** 2) ** 0.5, u) for u, t in free.items())
+                if best[0] <= self.reach:
+                    del free[best[1]]
                     self.held[kind, no, item] = (best[1], "near")
                     self.own.add((kind, no, item))
+                    if not free:
+                        return
 
     def confirm(self):
         """(item, uid, text, how, carried) of all found items."""
@@ -168,13 +189,13 @@ class _Screen:
         self.claim_near()
         self.carry()
         carried: dict = {}
-        for kind, no, item in self.held:
-            carried[item] = carried.get(item, 0) + ((kind, no, item) not in self.own)
+        for cell in self.held:
+            carried[cell[2]] = carried.get(cell[2], 0) + (cell not in self.own)
         return [(item, uid, self.texts[uid]["text"], how, carried[item]) for item, (uid, how) in sorted(self.found().items(), key=lambda x: str(x[0]))]
 
 
 def sift(texts: DataFrame, layout: DataFrame, *, threshold: int = 70, least_total: int = 500, reach: float = 200.0) -> DataFrame:
-    """(frame, app_id, uid, text, how, carried): the items of a layout found among a frameset's texts.
+    """(frame, app_id, uid, text, how, carried): the items of a layout found among a frameset's texts (uid: unique in a frameset).
 
     Texts are grouped into rows and columns, each scored against the layout's by the labels that they have in order, and
     matched so that later ones follow later ones, for the largest total. Framesets whose totals of rows, left and right
@@ -190,20 +211,27 @@ def sift(texts: DataFrame, layout: DataFrame, *, threshold: int = 70, least_tota
     column's), or near; carried: in how many of the item's rows and columns it stands only since step 2 or 4. layout may have
     min_width, the least width of user data. Null texts match no label; texts and items with null places are left out of
     step 3's distances. Framesets without a match, and empty tables, give no rows.
+
+    Texts are shuffled once, by frameset, each with the numbers and ratios of the labels that it is similar to.
     """
-    if layout.count() > MOST_ITEMS:
-        raise ValueError(f"a layout has more than {MOST_ITEMS} items")
-    groups, alike, matched = row_matches(texts, layout, threshold)
-    total = matched.groupBy(*FRAME, "kind").agg(F.first("total").alias("t")).groupBy(*FRAME).agg(F.sum("t").alias("total")).where(F.col("total") >= least_total)
-    sure = matched.where("score > 0").join(total.select(*FRAME), list(FRAME), "left_semi").select(*FRAME, "kind", "app_row", "ocr_row")
-    cells = groups.join(sure, [*FRAME, "kind", "ocr_row"]).groupBy(*FRAME, "uid").agg(F.collect_list(F.struct("kind", "app_row", "ocr_pos")).alias("cells"))
-    labels = alike.groupBy("text").agg(F.collect_set("label").alias("labels"))
-    t = texts.where(L.BOX).select(*FRAME, "uid", "text", "x", "y", "w", "h").join(total.select(*FRAME), list(FRAME), "left_semi")
-    t = t.join(cells, [*FRAME, "uid"], "left").join(labels, "text", "left")
     names = ["app_id", "type", "text", "x", "y", *[c for k in KINDS.values() for c in k]]
-    spec = _Layout([r.asDict() for r in layout.select(*names, (F.col("min_width") if "min_width" in layout.columns else F.lit(None).cast("int")).alias("min_width")).collect()])
+    rows = layout.select(*names, (F.col("min_width") if "min_width" in layout.columns else F.lit(None).cast("int")).alias("min_width")).limit(MOST_ITEMS + 1).collect()
+    if len(rows) > MOST_ITEMS:
+        raise ValueError(f"a layout has more than {MOST_ITEMS} items")
+    spec = _Layout([r.asDict() for r in rows])
+    phrases = texts.sparkSession.createDataFrame(list(enumerate(spec.labels)), "n int, phrase string")
+    alike = similar(texts.select("text"), phrases, threshold - 1).groupBy("text").agg(F.array_sort(F.collect_list(F.struct("n", "ratio"))).alias("l"))
+    alike = stored(alike.select("text", F.col("l.n").alias("labels"), F.col("l.ratio").alias("ratios")))
+    t = texts.where(L.BOX).where("movie_url is not null and frameset is not null").select(*FRAME, "uid", "text", "x", "y", "w", "h").join(alike, "text", "left")
     types = dict(texts.dtypes)["uid"], dict(layout.dtypes)["app_id"]
-    run = lambda rows: _Screen(spec, list(rows), reach).confirm()
+
+    def run(rows):
+        rows = [r | {"labels": [spec.labels[k] for k in r["labels"] or ()]} for r in rows]
+        if not any(r["labels"] for r in rows):
+            return []
+        screen = _Screen(spec, rows, reach)
+        return screen.confirm() if screen.match_groups(threshold, least_total) else []
+
     return in_groups(t, list(FRAME), ["uid"], run, f"app_id {types[1]}, uid {types[0]}, text string, how string, carried int")
 
 
