@@ -116,17 +116,20 @@ def movie_apps(texts: DataFrame, images: DataFrame, ignored: DataFrame | None =
         rows = rows.unionByName(p, allowMissingColumns=True)
 
     def find(rows):
-        tones, shape, own, points = None, (0, 0), [], []
+        grey, shape, own, points = None, (0, 0), [], []
         for r in rows:
-            if r["part"] == 0 and tones is None:
+            if r["part"] == 0 and grey is None:
                 shape = r["h"], r["w"]
-                tones = Tones(np.array(r["grey"], np.int64).reshape(shape), rules.tolerance)
+                grey = r["grey"]
             elif r["part"] == 1:
                 own.append(r)
             elif r["part"] == 2:
                 points.append((r["x"], r["y"]))
+        if not own:
+            return []
+        tones = None if grey is None else Tones(np.array(grey, np.int64).reshape(shape), rules.tolerance)
         areas = grown_together([_around(t, tones, shape, rules) for t in own], rules.least_overlap)
         found = _apps(own, {t["uid"]: a for t, a in zip(own, areas, strict=True)}, points, rules)
         return [(i, *a.box, a.header, a.phrases) for i, a in enumerate(found)]
 
-    return in_groups(rows, list(FRAME), ["part", "uid", "grey"], find, "app int, x1 int, y1 int, x2 int, y2 int, header boolean, phrases array<array<string>>")
+    return in_groups(rows, list(FRAME), ["part", "uid", "grey"], find, "app int, x1 int, y1 int, x2 int, y2 int, header boolean, phrases array<array<string>>", arrays=True)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.operators.grouped import in_groups
+from veilframe.operators.grouped import each_image
 from veilframe.operators.templates import window_sums
 
 #: The circle of 16 pixels around a corner, clockwise from above: made by rule from its radius of 3.
@@ -86,14 +86,12 @@ def features(images: DataFrame, keys: list[str], *, threshold: int = 20, most: i
     Null images and those whose pixels aren't width * height have none. Images are looked at one by one.
     """
 
-    def find(rows):
-        for r in rows:
-            if r["grey"] and len(r["grey"]) == r["width"] * r["height"]:
-                a = np.array(r["grey"], np.uint8).reshape(r["height"], r["width"])
-                yield from ((n, *f) for n, f in enumerate(described(a, threshold, most)))
+    def find(r):
+        if r["grey"] is not None and len(r["grey"]) and len(r["grey"]) == r["width"] * r["height"]:
+            yield from ((n, *f) for n, f in enumerate(described(r["grey"].astype(np.uint8).reshape(r["height"], r["width"]), threshold, most)))
 
     added = "n int, x int, y int, response int, angle double, " + ", ".join(f"{c} long" for c in NAMES)
-    return in_groups(images.where("grey is not null").select(*keys, "grey", "width", "height"), keys, [], find, added)
+    return each_image(images.where("grey is not null").select(*keys, "grey", "width", "height"), keys, find, added)
 
 
 def feature_boxes(found: DataFrame, keys: list[str]) -> DataFrame:

@@ -13,11 +13,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
-def in_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[Iterator[dict]], Iterable[tuple]], added: str) -> DataFrame:
+def in_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[Iterator[dict]], Iterable[tuple]], added: str, arrays: bool = False) -> DataFrame:
     """The rows that fn makes of each group's rows, with the group's keys before them. added: DDL of fn's columns.
 
     One shuffle by the keys; a partition's groups come sorted by keys and order, and fn gets an iterator over the rows as
     dicts, so that only what fn itself keeps of a group is in memory. Groups of null keys are groups like others.
+    arrays: fn gets arrays of numbers as numpy arrays, not lists.
     """
     kinds = T._parse_datatype_string(added)
     schema = T.StructType([df.schema[k] for k in keys] + kinds.fields)
@@ -25,7 +26,7 @@ def in_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[It
 
     def run(batches):
         out: list = []
-        for key, group in groupby(_rows(batches), _key(keys)):
+        for key, group in groupby(_rows(batches, arrays), _key(keys)):
             out += [key + tuple(x) for x in fn(group)]
             if len(out) >= 4096:
                 yield _batch(out, arrow)

@@ -354,9 +354,10 @@ def t16_app_areas(spark, d):
 @plain
 def t16_movie_apps(spark, d):
     """Applications on the tones of pictures drawn from the embeddings; screens and texts at a tenth of their size."""
-    tone = "cast(floor((cast(embedding[(i div 192 div 14) * 8 + i % 192 div 24] as double) + 1) * 2) as int) * 60"
+    row = "flatten(transform(slice(embedding, j * 8 + 1, 8), v -> array_repeat(cast(floor((cast(v as double) + 1) * 2) as int) * 60, 24)))"
+    grey = f"transform(array(transform(sequence(0, 7), j -> {row})), k -> flatten(transform(sequence(0, 107), y -> k[y div 14])))[0]"
     m = S.matches(spark, d).selectExpr("movie_url", "frameset", "uid", "text", "x div 10 x", "y div 10 y", "w div 4 w", "h div 4 h")
-    i = S.table(spark, d, "embeddings").selectExpr("concat('m', vec_id % 10) movie_url", "vec_id frameset", f"transform(sequence(0, 192 * 108 - 1), i -> {tone}) grey", "192 width", "108 height")
+    i = S.table(spark, d, "embeddings").selectExpr("concat('m', vec_id % 10) movie_url", "vec_id frameset", f"{grey} grey", "192 width", "108 height")
     return applications.movie_apps(m, i, None, applications.Rules(aside=1, tabs_end=8, most_area=9000, least_overlap=4, row_gap=2, header_height=12, header_gap=2, header_wider=30, least_width=12, least_height=4))
 
 
@@ -462,9 +463,14 @@ def red4_oval(spark, d):
 
 def _desktops(spark, d):
     """Frames of 480 x 240 pixels, one a supplier: a line across, and one or two upright ones."""
-    p = "case when y between 118 and 120 then 255 when y < 118 and x between {a} and {a} + 2 then 250 when y > 120 and x between {b} and {b} + 2 then 245 else 40 + (i * 7 + i div 480 * 5) % 3 end"
-    p = p.format(a="150 + cast(s_suppkey % 90 as int)", b="280 + cast(s_suppkey % 70 as int)").replace("x between", "i % 480 between").replace("when y", "when i div 480")
-    return _spread(S.table(spark, d, "supplier")).selectExpr("concat('m', s_suppkey % 10) movie_url", "s_suppkey frameset", f"transform(sequence(0, 480 * 240 - 1), i -> {p}) grey", "480 width", "240 height")
+    base = lambda k: f"transform(sequence(0, 479), x -> 40 + (x + {k}) % 3)"
+    line = lambda k, at, grey: f"concat(slice({base(k)}, 1, {at}), array({grey}, {grey}, {grey}), slice({base(k)}, {at} + 4, 480))"
+    three = lambda at, grey: "array(" + ", ".join(line(k, at, grey) for k in range(3)) + ")"
+    above, below = three("150 + cast(s_suppkey % 90 as int)", 250), three("280 + cast(s_suppkey % 70 as int)", 245)
+    # the few kinds of rows are made once and put together: a whole row at a time, not pixel by pixel
+    rows = "flatten(transform(sequence(0, 239), y -> case when y between 118 and 120 then k.line when y < 118 then k.above[2 * y % 3] else k.below[2 * y % 3] end))"
+    p = f"transform(array(struct({above} above, {below} below, array_repeat(255, 480) line)), k -> {rows})[0]"
+    return _spread(S.table(spark, d, "supplier")).selectExpr("concat('m', s_suppkey % 10) movie_url", "s_suppkey frameset", f"{p} grey", "480 width", "240 height")
 
 
 @plain
@@ -477,7 +483,7 @@ def t8_screens(spark, d):
 def t8_single_screen(spark, d):
     """Rectangles on the screen of their desktop that holds most of them."""
     boxes = S.table(spark, d, "lineitem").selectExpr("concat('m', l_suppkey % 10) movie_url", "l_suppkey frameset", "l_orderkey * 10 + l_linenumber uid", "cast(l_partkey % 460 as int) x", "cast(l_orderkey % 230 as int) y", "12 w", "8 h")
-    return focus.on_one_screen(boxes, screens.screens(_desktops(spark, d))).select("movie_url", "frameset", "uid")
+    return focus.on_one_screen(boxes, stored(screens.screens(_desktops(spark, d)))).select("movie_url", "frameset", "uid")
 
 
 @query("""with e as (select vec_id, list_transform(range(1, 65), lambda i: floor((embedding[i]::double + 1) * 127)::int % 256) g from embeddings)
