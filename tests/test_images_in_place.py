@@ -16,7 +16,18 @@ def test_screens_and_features_shuffle_no_image(spark):
 def test_rows_of_batches():
     cols = {"i": pa.array([1, None, 3]), "f": pa.array([0.5, None, 2.0]), "b": pa.array([True, None, False]), "s": pa.array(["a", None, ""]), "l": pa.array([[1, 2], None, []], pa.list_(pa.int32())), "n": pa.array([[1, None], [2], None], pa.list_(pa.int32())), "t": pa.array([{"x": 1}, None, {"x": None}])}
     batch = pa.RecordBatch.from_pydict(cols)
-    assert list(grouped._rows([batch])) == batch.to_pylist() and list(grouped._rows([batch.slice(1, 2)], most=1)) == batch.to_pylist()[1:]
-    assert all(type(r["i"]) in (int, type(None)) for r in grouped._rows([batch]))
-    lists = [r["l"] for r in grouped._rows([batch.slice(0, 2)], arrays=True)]
+    assert list(grouped.rows_of([batch])) == batch.to_pylist() and list(grouped.rows_of([batch.slice(1, 2)], most=1)) == batch.to_pylist()[1:]
+    assert all(type(r["i"]) in (int, type(None)) for r in grouped.rows_of([batch]))
+    lists = [r["l"] for r in grouped.rows_of([batch.slice(0, 2)], arrays=True)]
     assert isinstance(lists[0], np.ndarray) and lists[0].tolist() == [1, 2] and lists[1] is None
+
+
+def test_hotspots_are_counted_by_frameset(spark):
+    """A movie's framesets go to several tasks, and a frameset counts once for each pixel."""
+    from veilframe.operators import focus
+
+    rows = [("m", f, f * 10 + k, 2, 2, 3, 3) for f in range(40) for k in range(2)] + [("m", 99, 990, 20, 20, 3, 3), ("n", 1, 1, 2, 2, 3, 3)]
+    df = spark.createDataFrame(rows, "movie_url string, frameset long, uid long, x int, y int, w int, h int")
+    out = focus.without_hotspots(df, 60, 40, least_pixels=4, bins=4)
+    assert "hashpartitioning(movie_url" in (plan := out._jdf.queryExecution().executedPlan().toString()) and "frameset" in plan.split("MapInArrow count")[-1].split("hashpartitioning(movie_url")[1][:40]
+    assert sorted(r.uid for r in out.collect()) == [990]

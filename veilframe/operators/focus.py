@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veilframe.functions.text import indel_ratio
-from veilframe.operators.grouped import in_groups
+from veilframe.operators.grouped import in_groups, rows_of
 from veilframe.functions.text import repair_digits
 from veilframe.operators.sets import FRAME
 
@@ -65,23 +68,34 @@ def without_hotspots(matches: DataFrame, width: int, height: int, *, bins: int =
     For each movie the framesets that cover a pixel are counted (up to 255) and scaled to the brightest; the histogram of brightness
     in equal bins is searched downwards for a trough below the top bin (a bin that the top one exceeds by the ratio, right
     beneath it); brightness from the trough's upper end on is hot. Without enough top pixels or a trough nothing is hot.
-    A task holds one movie's mask of width * height bytes and its matches' ids and centres.
-    """
-
-    def cool(rows):
-        heat, own, centres, current = np.zeros((height, width), np.uint8), None, [], None
-
-        def close():
-            if own is not None:
-                np.minimum(heat.astype(np.uint16) + own, 255, out=heat, casting="unsafe")
 
+    Framesets are dealt out over all tasks, each of which counts a movie's pixels in a mask of width * height numbers and hands
+    it on packed; a movie's masks are then added up one after the other, and its hot pixels joined to the centres by lines of the screen.
+    """
+    ok = matches.where("movie_url is not null and frameset is not null and uid is not null and x is not null and y is not null and w is not null and h is not null")
+
+    def count(batches):
+        heat = stamp = movie = frameset = None
+        mark = 0
+        for r in rows_of(batches):
+            if r["movie_url"] != movie:
+                if heat is not None:
+                    yield _packed(movie, heat)
+                heat, stamp, mark, movie, frameset = np.zeros((height, width), np.int32), np.zeros((height, width), np.int32), 0, r["movie_url"], None
+            if r["frameset"] != frameset:
+                mark, frameset = mark + 1, r["frameset"]
+            at = (slice(max(0, r["y"]), max(0, r["y"] + r["h"] + 1)), slice(max(0, r["x"]), max(0, r["x"] + r["w"] + 1)))
+            seen = stamp[at]
+            heat[at] += seen != mark  # a frameset counts once, however many of its rectangles cover a pixel
+            seen[...] = mark
+        if heat is not None:
+            yield _packed(movie, heat)
+
+    def hot(rows):
+        heat = np.zeros((height, width), np.uint8)
         for r in rows:
-            if r["frameset"] != current:
-                close()
-                own, current = np.zeros((height, width), np.uint8), r["frameset"]
-            own[max(0, r["y"]) : r["y"] + r["h"] + 1, max(0, r["x"]) : r["x"] + r["w"] + 1] = 1
-            centres.append((r["frameset"], r["uid"], min(max(r["x"] + r["w"] // 2, 0), width - 1), min(max(r["y"] + r["h"] // 2, 0), height - 1)))
-        close()
+            own = np.frombuffer(zlib.decompress(r["mask"]), np.uint8).reshape(height, width)
+            np.minimum(heat.astype(np.uint16) + own, 255, out=heat, casting="unsafe")
         heat = heat * (most // max(1, int(heat.max())))
         hist = np.bincount(heat.reshape(-1).astype(np.int64) * bins // (most + 1), minlength=bins)
         cut = None
@@ -90,12 +104,22 @@ def without_hotspots(matches: DataFrame, width: int, height: int, *, bins: int =
                 if not hist[i] or not hist[bins - 1] / hist[i] > ratio:
                     break
                 cut = (i + 1) * most / bins if cut is None else cut
-        return [(f, u) for f, u, x, y in centres if cut is None or heat[y, x] < cut]
-
-    rows = matches.where("x is not null and y is not null and w is not null and h is not null").select(*FRAME, "uid", "x", "y", "w", "h")
-    kind = dict(matches.dtypes)
-    kept = in_groups(rows, ["movie_url"], ["frameset", "uid"], cool, f"frameset {kind['frameset']}, uid {kind['uid']}")
-    return matches.join(kept, [*FRAME, "uid"], "left_semi")
+        for y in range(height if cut is not None else 0):
+            if (heat[y] >= cut).any():
+                yield y, (heat[y] >= cut).tobytes()
+
+    parts = ok.select(*FRAME, "x", "y", "w", "h").repartition(*FRAME).sortWithinPartitions(*FRAME).mapInArrow(count, "movie_url string, mask binary")
+    lines = in_groups(parts, ["movie_url"], [], hot, "cy int, line binary")
+    centre = lambda at, size, most: F.expr(f"cast(greatest(0, least({most - 1}, {at} + cast(floor({size} / 2) as int))) as int)")
+    spots = ok.withColumn("__cx", centre("x", "w", width)).withColumn("__cy", centre("y", "h", height))
+    own = lines.select("movie_url", F.col("cy").alias("__cy"), "line")
+    cool = spots.join(own, ["movie_url", "__cy"], "left").where("line is null or substring(line, __cx + 1, 1) = X'00'")
+    return cool.select(*matches.columns)
+
+
+def _packed(movie: str, heat: np.ndarray) -> pa.RecordBatch:
+    mask = zlib.compress(np.minimum(heat, 255).astype(np.uint8).tobytes(), 1)
+    return pa.RecordBatch.from_arrays([pa.array([movie], pa.string()), pa.array([mask], pa.binary())], names=["movie_url", "mask"])
 
 
 def roll_over(frames: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def in_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[It
 
     def run(batches):
         out: list = []
-        for key, group in groupby(_rows(batches, arrays), _key(keys)):
+        for key, group in groupby(rows_of(batches, arrays), _key(keys)):
             out += [key + tuple(x) for x in fn(group)]
             if len(out) >= 4096:
                 yield _batch(out, arrow)
@@ -48,7 +48,7 @@ def each_image(df: DataFrame, keys: list[str], fn: Callable[[dict], Iterable[tup
     def run(batches):
         for b in batches:
             out: list = []
-            for r in _rows([b], arrays=True):
+            for r in rows_of([b], arrays=True):
                 key = tuple(r[k] for k in keys)
                 out += [key + tuple(x) for x in fn(r)]
                 if len(out) >= 64:
@@ -63,7 +63,7 @@ def _key(keys: list[str]) -> Callable[[dict], tuple]:
     return itemgetter(*keys) if len(keys) > 1 else lambda r: (r[keys[0]],)
 
 
-def _rows(batches: Iterable[pa.RecordBatch], arrays: bool = False, most: int = 8192) -> Iterator[dict]:
+def rows_of(batches: Iterable[pa.RecordBatch], arrays: bool = False, most: int = 8192) -> Iterator[dict]:
     """Rows of Arrow batches as dicts of Python values (arrays: those of numbers as numpy arrays), converted a column at a time."""
     for b in batches:
         names = b.schema.names
