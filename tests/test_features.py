@@ -70,3 +70,19 @@ def test_images_as_rows(spark):
     assert [tuple(r)[2:] for r in rows] == features.described(a, 20, 7) and [r.n for r in rows] == list(range(7))
     box = features.feature_boxes(features.features(df, ["image"]), ["image"]).collect()
     assert [(b.image, b.x1 <= b.x2, b.y1 <= b.y2) for b in box] == [(1, True, True)]
+
+
+def test_descriptors_of_small_numbers(spark):
+    """Words whose upper bits are 0 meet by the bits that tell them apart: few pairs are compared, none is lost."""
+    rng = np.random.default_rng(3)
+    base = [[int(v) for v in rng.integers(0, 1 << 20, 4)] for _ in range(40)]
+    rows = [(k, *[v ^ (1 << int(b) if rng.random() < 0.7 else 0) for v, b in zip(base[k % 40], rng.integers(0, 20, 4))]) for k in range(240)]
+    df = spark.createDataFrame(rows, "id long, d0 long, d1 long, d2 long, d3 long")
+    for radius in (0, 5, 12, 25):
+        want = {(a[0], b[0], d) for a in rows for b in rows if (d := sum((x ^ y).bit_count() for x, y in zip(a[1:], b[1:]))) <= radius}
+        got = [(r.id, r.r_id, r.distance) for r in features.near_descriptors(df, df, radius).collect()]
+        assert len(got) == len(want) and set(got) == want
+    masks = features._parts(df.select(*features.NAMES), 14)
+    used = [sum(m[w].bit_count() for m in masks) for w in range(4)]
+    assert used == [20] * 4 and max(sum(v.bit_count() for v in m) for m in masks) <= 6
+    assert features._parts(df.limit(0).select(*features.NAMES), 14) == [] and features.near_descriptors(df, df.limit(0), 12).count() == 0

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from veilframe.operators.grouped import each_image
 from veilframe.operators.templates import window_sums
+from veilframe.sources.shared import stored
 
 #: The circle of 16 pixels around a corner, clockwise from above: made by rule from its radius of 3.
 CIRCLE = [(0, -3), (1, -3), (2, -2), (3, -1), (3, 0), (3, 1), (2, 2), (1, 3), (0, 3), (-1, 3), (-2, 2), (-3, 1), (-3, 0), (-3, -1), (-2, -2), (-1, -3)]
@@ -103,27 +104,43 @@ def near_descriptors(left: DataFrame, right: DataFrame, radius: int = 15) -> Dat
     """All pairs of a left and a right descriptor (d0 ... d3) that differ in at most `radius` bits: the left columns, the right ones with
     r_ before them, and distance.
 
-    The 256 bits are cut into radius + 1 chunks or a few more; pairs that near have a chunk in common, so they meet in the hash join of that chunk's number
-    and value, and of several such chunks in the first one alone. Equal descriptors are put together before the join and
+    The bits that are not the same in all descriptors are dealt out over radius + 2 parts, those that tell most apart first, so that every part tells
+    about as much. Pairs that near agree in two parts at least, so they meet in the hash join of these parts' numbers and values, and of several
+    such parts in the first two alone. (Parts of fixed places would put all descriptors of small numbers, whose upper bits are 0, into one group.) Over a radius
+    of 20 there are radius + 1 parts and one has to agree. Equal descriptors are put together before the join and
     dealt out again afterwards, so that a descriptor that very many corners have is compared once. Null descriptors are near nothing.
     """
     if not 0 <= radius < 64:
         raise ValueError("radius must be from 0 to 63")
-    per = radius // WORDS + 1  # chunks of each word: of 64 // per bits, the last one with the bits that remain
-    size = 64 // per
-    cuts = []
-    for c in NAMES:
-        for j in range(per):
-            bits = size if j < per - 1 else 64 - size * (per - 1)
-            cuts.append(f"shiftrightunsigned({c}, {j * size}) & {(1 << bits) - 1}L" if bits < 64 else c)
-    chunk = "array(" + ", ".join(cuts) + ")"
-    kinds = lambda df, p: df.select(*NAMES).where(" and ".join(f"{c} is not null" for c in NAMES)).distinct().withColumn(f"{p}chunks", F.expr(chunk))
-    a, b = kinds(left, "a_"), kinds(right, "b_").withColumnsRenamed({c: f"b_{c}" for c in NAMES})
-    a = a.select("*", F.posexplode("a_chunks").alias("k", "v"))
-    b = b.select("*", F.posexplode("b_chunks").alias("k", "v"))
-    first = F.expr("array_position(zip_with(a_chunks, b_chunks, (p, q) -> p = q), true) - 1")
+    kinds = lambda df: stored(df.select(*NAMES).where(" and ".join(f"{c} is not null" for c in NAMES)).distinct())
+    a, b = kinds(left), kinds(right)
+    need = 2 if radius <= 20 else 1
+    masks = _parts(a.unionByName(b), radius + need)
+    if not masks:
+        return left.crossJoin(right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])).withColumn("distance", F.lit(0)).where("false")
+    value = lambda m: f"xxhash64({', '.join(f'{c} & {v}L' for c, v in zip(NAMES, m, strict=True))})"
+    other = f"transform(sequence(i + 1, {len(masks) - 1}), j -> struct(i, j, xxhash64(h[i], h[j]) as v))" if need == 2 else "array(struct(i, i as j, h[i] as v))"
+    keys = f"transform(array(array({', '.join(map(value, masks))})), h -> flatten(transform(sequence(0, {len(masks) - need}), i -> {other})))[0]"
+    keyed = lambda df: df.select("*", F.expr(f"inline({keys})"))
+    same = [" and ".join(f"(({c} ^ b_{c}) & {v}L) = 0" for c, v in zip(NAMES, m, strict=True) if v) or "true" for m in masks]
+    agree = "array(" + ", ".join(same) + ")"
+    first = f"array_position({agree}, true) - 1 = i" + (f" and i + array_position(slice({agree}, i + 2, {len(masks)}), true) = j" if need == 2 else "")
     distance = F.expr(" + ".join(f"bit_count({c} ^ b_{c})" for c in NAMES)).cast("int")
-    pairs = a.join(b, ["k", "v"]).where((first == F.col("k")) & (distance <= radius)).select(*NAMES, *[f"b_{c}" for c in NAMES], distance.alias("distance"))
+    pairs = keyed(a).join(keyed(b).withColumnsRenamed({c: f"b_{c}" for c in NAMES}), ["i", "j", "v"]).where(distance <= radius).where(first)
+    pairs = pairs.select(*NAMES, *[f"b_{c}" for c in NAMES], distance.alias("distance"))
     r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
     joined = left.join(pairs, NAMES).join(r.withColumnsRenamed({f"r_{c}": f"b_{c}" for c in NAMES}), [f"b_{c}" for c in NAMES])
     return joined.select(*left.columns, *[F.col(f"b_{c}" if c in NAMES else f"r_{c}").alias(f"r_{c}") for c in right.columns], "distance")
+
+
+def _parts(kinds: DataFrame, n: int) -> list[tuple[int, ...]]:
+    """Masks (a signed number for each word) of n parts of the bits that differ somewhere; none without descriptors. From one row of counts."""
+    bits = [(w, k) for w in range(WORDS) for k in range(64)]
+    total, *ones = kinds.agg(F.count("*"), *[F.sum(F.expr(f"shiftrightunsigned({NAMES[w]}, {k}) & 1L")) for w, k in bits]).first()
+    if not total:
+        return []
+    rare = {at: min(one, total - one) for at, one in zip(bits, ones, strict=True)}
+    masks = [[0] * WORDS for _ in range(n)]
+    for at, (w, k) in enumerate(sorted((b for b in bits if rare[b]), key=lambda b: (-rare[b], b))):
+        masks[at % n][w] |= 1 << k
+    return [tuple(m - (1 << 64) if m >> 63 else m for m in own) for own in masks]
