@@ -1,5 +1,7 @@
 """Images are looked at where they are, as numpy arrays; rows of Arrow batches keep their values and nulls."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
 
@@ -26,8 +28,25 @@ def test_hotspots_are_counted_by_frameset(spark):
     """A movie's framesets go to several tasks, and a frameset counts once for each pixel."""
     from veilframe.operators import focus
 
-    rows = [("m", f, f * 10 + k, 2, 2, 3, 3) for f in range(40) for k in range(2)] + [("m", 99, 990, 20, 20, 3, 3), ("n", 1, 1, 2, 2, 3, 3)]
+    rows = [("m", f, f * 10 + k, 2, 2, 3, 3) for f in range(40) for k in range(2)] + [("m", f, f * 10 + 5, 30, 30, 0, 0) for f in range(30)]
+    rows += [("m", 99, 990, 20, 20, 3, 3), ("n", 1, 1, 2, 2, 3, 3), ("n", 2, 2, None, 2, 3, 3)]
     df = spark.createDataFrame(rows, "movie_url string, frameset long, uid long, x int, y int, w int, h int")
     out = focus.without_hotspots(df, 60, 40, least_pixels=4, bins=4)
-    assert "hashpartitioning(movie_url" in (plan := out._jdf.queryExecution().executedPlan().toString()) and "frameset" in plan.split("MapInArrow count")[-1].split("hashpartitioning(movie_url")[1][:40]
-    assert sorted(r.uid for r in out.collect()) == [990]
+    assert re.search(r"hashpartitioning\(movie_url#\d+, frameset#\d+L", out._jdf.queryExecution().executedPlan().toString())
+    assert sorted(r.uid for r in out.collect()) == [1, *range(5, 300, 10), 990]
+
+
+def test_grey_values_are_doubles_on_both_sides(spark, tmp_path):
+    """A float just below a step: added in single precision it would be taken for the step itself."""
+    import duckdb
+    import pyarrow.parquet as pq
+
+    from veilframe.plans import layouts
+    from veilframe.plans.registry import ORACLES
+
+    v = np.zeros(64, np.float32)
+    v[18] = np.nextafter(np.float32(-0.15625), np.float32(-1))
+    pq.write_table(pa.table({"vec_id": pa.array([1], pa.int64()), "embedding": pa.array([v.tolist()], pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
+    sql = ORACLES["t3b_arrow"].replace("from embeddings", f"from '{tmp_path}/embeddings.parquet'")
+    got = [tuple(r) for r in layouts.t3b_arrow(spark, str(tmp_path)).collect()]
+    assert got == duckdb.sql(sql).fetchall() and got[0][1] == 2

@@ -229,21 +229,21 @@ def agg23_colour_groups(spark, d):
     return pixels.colour_groups(_pixels(spark, d), share=0.0)
 
 
-GREY = "list_transform(range(1, 65), lambda i: floor((embedding[i] + 4) * 32)::int % 256)"
+GREY = "list_transform(range(1, 65), lambda i: floor((embedding[i]::double + 4) * 32)::int % 256)"
 
 
 @query(f"""with e as (select vec_id, {GREY} g from embeddings), t as (select vec_id, list_filter(range(0, 3), lambda i: ((g[2 * 8 + 3 + 1] - g[2 * 8 + i + 1]) % 256 + 256) % 256 > 5) l, list_filter(range(3, 8), lambda i: ((g[20] - g[2 * 8 + i + 1]) % 256 + 256) % 256 > 5) r,
 list_filter(range(0, 2), lambda i: ((g[20] - g[i * 8 + 4]) % 256 + 256) % 256 > 5) u, list_filter(range(2, 8), lambda i: ((g[20] - g[i * 8 + 4]) % 256 + 256) % 256 > 5) o from e)
 select vec_id, coalesce(list_max(l), 0)::int x1, coalesce(list_max(u), 0)::int y1, coalesce(list_min(r), 11)::int x2, coalesce(list_min(o), 10)::int y2 from t""")
 def t3b_arrow(spark, d):
-    e = S.table(spark, d, "embeddings").select("vec_id", F.expr("transform(embedding, v -> cast(floor((v + 4) * 32) as int) % 256)").alias("grey"))
+    e = S.table(spark, d, "embeddings").select("vec_id", F.expr("transform(embedding, v -> cast(floor((cast(v as double) + 4) * 32) as int) % 256)").alias("grey"))
     return e.select("vec_id", pixels.arrow_area("grey", 8, 8, 3, 2).alias("a")).select("vec_id", "a.*")
 
 
 @plain
 def t3a_flood(spark, d):
     """The box of the like pixels around the middle of each small image."""
-    e = S.table(spark, d, "embeddings").select(F.col("vec_id").alias("image"), F.expr("transform(embedding, v -> cast(floor((v + 4) * 32) as int) % 256)").alias("grey"), F.lit(8).alias("width"), F.lit(8).alias("height"))
+    e = S.table(spark, d, "embeddings").select(F.col("vec_id").alias("image"), F.expr("transform(embedding, v -> cast(floor((cast(v as double) + 4) * 32) as int) % 256)").alias("grey"), F.lit(8).alias("width"), F.lit(8).alias("height"))
     return pixels.flood_areas(e, 3, 3, 20)
 
 
