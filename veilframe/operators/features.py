@@ -112,7 +112,8 @@ def near_descriptors(left: DataFrame, right: DataFrame, radius: int = 15) -> Dat
     """
     if not 0 <= radius < 64:
         raise ValueError("radius must be from 0 to 63")
-    kinds = lambda df: stored(df.select(*NAMES).where(" and ".join(f"{c} is not null" for c in NAMES)).distinct())
+    spread = left.sparkSession.sparkContext.defaultParallelism  # few bytes, but many keys are made of each
+    kinds = lambda df: stored(df.select(*NAMES).where(" and ".join(f"{c} is not null" for c in NAMES)).distinct().repartition(spread))
     a, b = kinds(left), kinds(right)
     need = 2 if radius <= 20 else 1
     masks = _parts(a.unionByName(b), radius + need)
@@ -121,7 +122,7 @@ def near_descriptors(left: DataFrame, right: DataFrame, radius: int = 15) -> Dat
     value = lambda m: f"xxhash64({', '.join(f'{c} & {v}L' for c, v in zip(NAMES, m, strict=True))})"
     other = f"transform(sequence(i + 1, {len(masks) - 1}), j -> struct(i, j, xxhash64(h[i], h[j]) as v))" if need == 2 else "array(struct(i, i as j, h[i] as v))"
     keys = f"transform(array(array({', '.join(map(value, masks))})), h -> flatten(transform(sequence(0, {len(masks) - need}), i -> {other})))[0]"
-    keyed = lambda df: df.select("*", F.expr(f"inline({keys})"))
+    keyed = lambda df: df.repartition(spread).select("*", F.expr(f"inline({keys})"))
     same = [" and ".join(f"(({c} ^ b_{c}) & {v}L) = 0" for c, v in zip(NAMES, m, strict=True) if v) or "true" for m in masks]
     agree = "array(" + ", ".join(same) + ")"
     first = f"array_position({agree}, true) - 1 = i" + (f" and i + array_position(slice({agree}, i + 2, {len(masks)}), true) = j" if need == 2 else "")
