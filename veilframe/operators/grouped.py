@@ -8,6 +8,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -36,6 +37,51 @@ def in_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[It
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
+def many_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pa.Table, np.ndarray], list], added: str) -> DataFrame:
+    """One row for each group, of its keys and what fn makes of it, for work that numpy can do on many groups at once.
+
+    fn gets the rows of whole groups, sorted as in in_groups(), with the number of each group's first row, and returns added's columns
+    with a value for each group. A batch of Arrow's is in memory at a time, and as much more as its last group has.
+    """
+    schema = T.StructType([df.schema[k] for k in keys] + T._parse_datatype_string(added).fields)
+    arrow = to_arrow_schema(schema)
+
+    def made(t, starts):
+        values = [t.column(k).take(pa.array(starts)).combine_chunks() for k in keys] + list(fn(t, starts))
+        return pa.RecordBatch.from_arrays([(v if isinstance(v, pa.Array) else pa.array(v)).cast(f.type) for v, f in zip(values, arrow, strict=True)], schema=arrow)
+
+    def run(batches):
+        held: list = []
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ends = tuple(b.column(k)[b.num_rows - 1].as_py() for k in keys)
+            held.append(b)
+            if ends == last:
+                continue
+            last = ends
+            t = pa.Table.from_batches(held).combine_chunks()
+            starts = _first_rows(t, keys)
+            if len(starts) > 1:
+                yield made(t.slice(0, int(starts[-1])), starts[:-1])
+            held = t.slice(int(starts[-1])).to_batches()
+        if held:
+            yield made(pa.Table.from_batches(held).combine_chunks(), np.zeros(1, np.int64))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def _first_rows(t: pa.Table, keys: list[str]) -> np.ndarray:
+    """The number of each group's first row in sorted rows."""
+    first = np.ones(t.num_rows, bool)
+    first[1:] = False
+    for k in keys:
+        code = pc.dictionary_encode(t.column(k).combine_chunks(), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        first[1:] |= code[1:] != code[:-1]
+    return np.flatnonzero(first)
+
+
 def each_image(df: DataFrame, keys: list[str], fn: Callable[[dict], Iterable[tuple]], added: str) -> DataFrame:
     """The rows that fn makes of each row of df, with the row's keys before them. Rows stay where they are: nothing is shuffled.
 

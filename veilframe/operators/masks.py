@@ -13,11 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.operators.boxes import union_area
-from veilframe.operators.grouped import in_groups
+from veilframe.operators.grouped import in_groups, many_groups
 from veilframe.operators.sets import FRAME
 from veilframe.operators.shapes import outer_components
 
 WIDTH, HEIGHT = 1920, 1080
+#: What a rectangle or a verdict is to score_counts().
+KINDS = {"found": 0, "expected": 1, "desired": 2, "unwanted": 3, "pass": 4, "fail": 5}
+#: Framesets of more rectangles are not compared pair by pair.
+MANY = 64
 
 
 class Canvas:
@@ -112,30 +116,83 @@ def score_counts(marks: DataFrame, width: int = WIDTH, height: int = HEIGHT) ->
     expected: a standard that is right by itself, whatever was found. pass: all that was found is right; fail: just
     everything else would have been. Framesets with none of these marks pass (f_pos and f_neg are 0). An expected component counts
     as missed if the first and the last corner of its box are missing.
-    """
-    rank = {"found": 0, "expected": 1, "desired": 1, "unwanted": 2}
 
-    def counts(rows):
-        rows = sorted(rows, key=lambda r: (rank.get(r["kind"], 3), r["ord"]))
-        kinds = {r["kind"] for r in rows}
-        canvas = Canvas([_rect(r) for r in rows], width, height)
-        found = canvas.blank()
-        for r in rows:
-            if r["kind"] == "found":
-                canvas.paint(found, _rect(r), r["polarity"] != "negative")
-        want = canvas.blank() if "expected" in kinds else found.copy()
-        for r in rows:
-            if r["kind"] in ("expected", "desired", "unwanted"):
-                canvas.paint(want, _rect(r), r["kind"] != "unwanted")
-        if "pass" in kinds:
-            want = found
-        elif "fail" in kinds:
-            want = ~found
-        extra, lost = found & ~want, want & ~found
-        missed = sum(1 for a, b, c, d in outer_components(want) if lost[b, a] and lost[d, c]) if lost.any() else 0
-        return [(canvas.area(want), width * height - canvas.area(want), canvas.area(extra), canvas.area(lost), missed)]
-
-    return in_groups(marks.select(*FRAME, "kind", "ord", "polarity", "x", "y", "w", "h"), list(FRAME), ["ord"], counts, "t_pos long, t_neg long, f_pos long, f_neg long, missed int")
+    Framesets whose rectangles all lie apart are told by their areas alone, many at once; the others on grids, one by one.
+    """
+    codes = F.create_map(*[F.lit(v) for kv in KINDS.items() for v in kv])
+
+    def counts(t, starts):
+        col = lambda name, none=0: t.column(name).fill_null(none).combine_chunks().to_numpy(zero_copy_only=False)
+        kind, blank, (x, y, w, h) = col("kind"), col("blank", False), (col(c).astype(np.int64) for c in "xywh")
+        there = np.logical_and.reduce([t.column(c).combine_chunks().is_valid().to_numpy(zero_copy_only=False) for c in "xywh"])
+        n = len(starts)
+        group = np.repeat(np.arange(n), np.diff(np.append(starts, len(kind))))
+        x1, y1, x2, y2 = np.maximum(x, 0), np.maximum(y, 0), np.minimum(x + w + 1, width), np.minimum(y + h + 1, height)
+        size = np.maximum(x2 - x1, 0) * np.maximum(y2 - y1, 0)
+        drawn = there & (size > 0) & (kind <= KINDS["unwanted"])
+        total = lambda of, what: np.bincount(group[of], what[of], n).astype(np.int64)
+        has = lambda k: np.bincount(group[kind == KINDS[k]], minlength=n) > 0
+        on = drawn & (kind == KINDS["found"]) & ~blank
+        asked = drawn & ((kind == KINDS["expected"]) | (kind == KINDS["desired"]))
+        found, more, items = total(on, size), total(asked, size), np.bincount(group[asked], minlength=n)
+        corner = on & (((x1 == 0) & (y1 == 0)) | ((x2 == width) & (y2 == height)))
+        right, wrong, standard, every = has("pass"), has("fail"), has("expected"), width * height
+        pick = lambda passed, failed, expected, else_: np.where(right, passed, np.where(wrong, failed, np.where(standard, expected, else_)))
+        out = np.stack([
+            pick(found, every - found, more, found + more),
+            pick(every - found, found, every - more, every - found - more),
+            pick(0, found, found, 0),
+            pick(0, every - found, more, more),
+            pick(0, np.bincount(group[corner], minlength=n) == 0, items, items),
+        ])
+        # what spans the frame may part what is not found
+        hard = np.bincount(group[on & (((x1 == 0) & (x2 == width)) | ((y1 == 0) & (y2 == height)))], minlength=n) > 0
+        hard |= _touching(group, n, drawn, x1, y1, x2, y2)
+        ends = np.append(starts, len(kind))
+        for g in np.flatnonzero(hard):
+            own = slice(ends[g], ends[g + 1])
+            rects = [v if ok else (None,) * 4 for ok, *v in zip(there[own].tolist(), *(c[own].tolist() for c in (x, y, w, h)), strict=True)]
+            out[:, g] = _counted(rects, kind[own].tolist(), blank[own].tolist(), width, height)
+        return list(out)
+
+    rows = marks.select(*FRAME, F.coalesce(F.try_element_at(codes, "kind"), F.lit(len(KINDS))).alias("kind"), "ord", (F.col("polarity") == "negative").alias("blank"), "x", "y", "w", "h")
+    return many_groups(rows, list(FRAME), ["ord"], counts, "t_pos long, t_neg long, f_pos long, f_neg long, missed int")
+
+
+def _touching(group: np.ndarray, n: int, drawn: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> np.ndarray:
+    """For each of n groups whether any of its drawn rectangles (far edges outside) overlap or touch, corners included. Groups of more than
+    MANY count as if they did."""
+    many = np.bincount(group[drawn], minlength=n) > MANY
+    at = np.flatnonzero(drawn & ~many[group])
+    g, a, b, c, d = (v[at] for v in (group, x1, y1, x2, y2))
+    for k in range(1, MANY):
+        same = np.flatnonzero(g[k:] == g[:-k])
+        if not len(same):
+            break
+        p, q = same, same + k
+        many[g[p[(a[p] <= c[q]) & (a[q] <= c[p]) & (b[p] <= d[q]) & (b[q] <= d[p])]]] = True
+    return many
+
+
+def _counted(rects: list[tuple], kinds: list[int], blank: list[bool], width: int, height: int) -> tuple[int, int, int, int, int]:
+    """What score_counts() tells of one frameset, on the grid of its rectangles' strips."""
+    canvas = Canvas(rects, width, height)
+    found = canvas.blank()
+    for r, k, off in zip(rects, kinds, blank, strict=True):
+        if k == KINDS["found"]:
+            canvas.paint(found, r, not off)
+    want = canvas.blank() if KINDS["expected"] in kinds else found.copy()
+    for value, marked in ((True, (KINDS["expected"], KINDS["desired"])), (False, (KINDS["unwanted"],))):
+        for r, k in zip(rects, kinds, strict=True):
+            if k in marked:
+                canvas.paint(want, r, value)
+    if KINDS["pass"] in kinds:
+        want = found
+    elif KINDS["fail"] in kinds:
+        want = ~found
+    extra, lost = found & ~want, want & ~found
+    missed = sum(1 for a, b, c, d in outer_components(want) if lost[b, a] and lost[d, c]) if lost.any() else 0
+    return canvas.area(want), width * height - canvas.area(want), canvas.area(extra), canvas.area(lost), missed
 
 
 def share_of_frame(matches: DataFrame, total: int = WIDTH * HEIGHT) -> DataFrame:
