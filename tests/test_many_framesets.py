@@ -37,7 +37,7 @@ def test_a_crowded_frameset(spark):
 
 def test_groups_over_several_batches(spark):
     rows = [(k, i) for k, n in (("a", 1), ("b", 25), (None, 12), ("c", 3)) for i in range(n)]
-    sums = lambda t, starts: [np.add.reduceat(t.column("v").to_numpy(), starts), pc.take(t.column("v"), starts).combine_chunks()]
+    sums = lambda t, starts: (starts, [np.add.reduceat(t.column("v").to_numpy(), starts), pc.take(t.column("v"), starts)])
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     try:

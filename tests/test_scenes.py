@@ -133,3 +133,14 @@ def test_compiled_layout(spark):
     assert found[3, "form_1_0"] == "Name" and found[3, "form_2_1"] == "Lima" and found[4, "form_4_0"] == "Total"
     alone = scenes.compiled(df.where("movie_url = 'b'")).collect()
     assert len(alone) == 7 and {r.type for r in alone} == {"label"} and scenes.compiled(df.limit(0)).count() == 0
+
+
+def test_texts_go_through_python_once_and_keep_their_own_rows(spark):
+    """Before, a screen's rows were found twice and joined back by id, so that texts that share an id got each other's rows."""
+    t = [("m", 1, 1, "Inbox", 0, 20, 9, 9), ("m", 1, 1, "Sent", 0, 50, 9, 9), ("m", 1, None, "Sent", 0, 80, 9, 9), ("m", 1, 2, "Sent", 5, 81, 9, 9), (None, 1, 3, "Inbox", 0, 20, 9, 9)]
+    df = spark.createDataFrame(t, "movie_url string, frameset long, uid long, text string, x int, y int, w int, h int")
+    p = spark.createDataFrame([("mail", 1, 1, "Inbox", None, None), ("mail", 2, 1, "Sent", None, None)], "app string, row_no int, pos int, text string, max_width int, max_height int")
+    assert sorted((r.text, r.row, r.col) for r in scenes.text_grid(df).collect() if r.movie_url) == [("Inbox", 0, 0), ("Sent", 1, 0), ("Sent", 2, 0)]
+    named = scenes.grid_scores(df.withColumn("uid", df.uid.cast("string")), p)
+    assert sorted((r.movie_url or "", r.uid, r.score, r.row, r.app_row) for r in named.collect()) == [("", "3", 100.0, 0, 0), ("m", "1", 200.0, 0, 0), ("m", "2", 100.0, 2, 1)]
+    assert named._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1

@@ -37,17 +37,19 @@ def in_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[It
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
-def many_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pa.Table, np.ndarray], list], added: str) -> DataFrame:
-    """One row for each group, of its keys and what fn makes of it, for work that numpy can do on many groups at once.
+def many_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pa.Table, np.ndarray], tuple], added: str) -> DataFrame:
+    """What fn makes of groups, with the groups' keys before it, for work that numpy can do on many groups at once.
 
-    fn gets the rows of whole groups, sorted as in in_groups(), with the number of each group's first row, and returns added's columns
-    with a value for each group. A batch of Arrow's is in memory at a time, and as much more as its last group has.
+    fn gets the rows of whole groups, sorted as in in_groups(), with the number of each group's first row, and returns the numbers of the rows
+    whose keys its rows have, and added's columns. A batch of Arrow's is in memory at a time, and as much more as its last group has.
     """
     schema = T.StructType([df.schema[k] for k in keys] + T._parse_datatype_string(added).fields)
     arrow = to_arrow_schema(schema)
 
     def made(t, starts):
-        values = [t.column(k).take(pa.array(starts)).combine_chunks() for k in keys] + list(fn(t, starts))
+        rows, columns = fn(t, starts)
+        values = [t.column(k).take(pa.array(rows)) for k in keys] + list(columns)
+        values = [v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v for v in values]
         return pa.RecordBatch.from_arrays([(v if isinstance(v, pa.Array) else pa.array(v)).cast(f.type) for v, f in zip(values, arrow, strict=True)], schema=arrow)
 
     def run(batches):

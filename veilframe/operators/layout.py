@@ -8,11 +8,12 @@ from __future__ import annotations
 from collections.abc import Iterable
 from operator import itemgetter
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilframe.operators.grouped import in_groups
+from veilframe.operators.grouped import in_groups, many_groups
 from veilframe.operators.sets import FRAME
 
 BOX = "x is not null and y is not null and w is not null and h is not null"
@@ -215,17 +216,30 @@ def compiled_layout(lines: DataFrame, dictionary: DataFrame) -> DataFrame:
     return rows.select(*FRAME, "uid", "text", F.when(F.col("user"), "user_data").otherwise("label").alias("type"), F.when(F.col("n_right") > F.col("n_left"), "right").otherwise("left").alias("side"))
 
 
-def bunched(matches: DataFrame, threshold: int) -> DataFrame:
-    """(frame, uid, bunch): texts in rows by y; a new row begins where y is more than the threshold below the row's first text."""
+def bunches(y: np.ndarray, group: np.ndarray, threshold: int) -> np.ndarray:
+    """The number of the row that each text of sorted groups is in, as bunched() tells; y rises within a group."""
+    y = y.astype(np.int64) if y.dtype.kind == "i" else y
+    bunch, rest, k = np.zeros(len(y), np.int32), np.arange(len(y)), 0
+    while len(rest):  # in each round every group's next row; what lies below it is left
+        bunch[rest] = k
+        head = np.ones(len(rest), bool)
+        head[1:] = np.diff(group[rest]) > 0
+        rest = rest[y[rest] - y[rest[head]][np.cumsum(head) - 1] > threshold]
+        k += 1
+    return bunch
 
-    def rows_of(rows):
-        n, first = -1, None
-        for r in rows:
-            if first is None or r["y"] - first > threshold:
-                n, first = n + 1, r["y"]
-            yield r["uid"], n
 
-    return in_groups(matches.where("y is not null").select(*FRAME, "uid", "y"), list(FRAME), ["y", "uid"], rows_of, f"uid {_uid(matches)}, bunch int")
+def bunched(matches: DataFrame, threshold: int, *carried: str) -> DataFrame:
+    """(frame, uid, bunch, carried): texts in rows by y; a new row begins where y is more than the threshold below the row's first text.
+    carried: other columns that stay with the texts."""
+
+    def rows_of(t, starts):
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, t.num_rows)))
+        return np.arange(t.num_rows), [t.column("uid"), bunches(t.column("y").to_numpy(), group, threshold), *(t.column(c) for c in carried)]
+
+    texts = matches.where("y is not null").select(*dict.fromkeys([*FRAME, "uid", "y", *carried]))
+    ddl = "".join(f", {c} {dict(texts.dtypes)[c]}" for c in carried)
+    return many_groups(texts, list(FRAME), ["y", "uid"], rows_of, f"uid {_uid(matches)}, bunch int{ddl}")
 
 
 def gaps(values: DataFrame, keys: list[str], at: str) -> DataFrame:

@@ -153,7 +153,7 @@ def score_counts(marks: DataFrame, width: int = WIDTH, height: int = HEIGHT) ->
             own = slice(ends[g], ends[g + 1])
             rects = [v if ok else (None,) * 4 for ok, *v in zip(there[own].tolist(), *(c[own].tolist() for c in (x, y, w, h)), strict=True)]
             out[:, g] = _counted(rects, kind[own].tolist(), blank[own].tolist(), width, height)
-        return list(out)
+        return starts, list(out)
 
     rows = marks.select(*FRAME, F.coalesce(F.try_element_at(codes, "kind"), F.lit(len(KINDS))).alias("kind"), "ord", (F.col("polarity") == "negative").alias("blank"), "x", "y", "w", "h")
     return many_groups(rows, list(FRAME), ["ord"], counts, "t_pos long, t_neg long, f_pos long, f_neg long, missed int")

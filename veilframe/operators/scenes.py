@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veilframe.operators import layout as L
-from veilframe.operators.grouped import in_groups
+from veilframe.operators.grouped import in_groups, many_groups
 from veilframe.operators.sets import FRAME
 from veilframe.operators.sifter import densest_frames, grouped_texts
 from veilframe.operators.texts import similar
@@ -20,8 +23,7 @@ def text_grid(texts: DataFrame, row_gap: int = 10) -> DataFrame:
     A row begins where a text is more than row_gap below the row's first one. Texts with a null in their box are left out;
     null texts keep their place. Ties go by uid.
     """
-    t = texts.where(L.BOX).select(*FRAME, "uid", "text", "x", "y", "w", "h")
-    rows = t.join(L.bunched(t, row_gap), [*FRAME, "uid"])
+    rows = L.bunched(texts.where(L.BOX), row_gap, "text", "x", "y", "w", "h").where("uid is not null")
     col = F.row_number().over(Window.partitionBy(*FRAME, "bunch").orderBy("x", "uid")) - 1
     return rows.select(*FRAME, "uid", "text", F.col("bunch").alias("row"), col.alias("col"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.expr("x + w").alias("x2"), F.expr("y + h").alias("y2"))
 
@@ -77,16 +79,17 @@ class _Hits:
         return total, box, taken
 
 
-def _similar_cells(texts: DataFrame, phrases: DataFrame, threshold: int, row_gap: int) -> DataFrame:
-    """The texts with each phrase of an application's grid that they are similar to, and the application's largest extent."""
-    grid, p = text_grid(texts, row_gap), phrase_grid(phrases)
+def _similar_phrases(texts: DataFrame, phrases: DataFrame, threshold: int) -> DataFrame:
+    """Distinct texts with each phrase of an application's grid that they are similar to, and the application's largest extent."""
+    p = phrase_grid(phrases)
     size = phrases.groupBy("app").agg(F.max("max_width").alias("max_width"), F.max("max_height").alias("max_height"))
-    alike = similar(grid.select("text"), p.select("phrase").distinct(), threshold)
-    hits = grid.join(alike, "text").join(p.join(size, "app"), "phrase")
-    return hits.select(*FRAME, "app", "uid", "row", "col", "ratio", "app_row", "app_col", "x1", "y1", "x2", "y2", "max_width", "max_height")
+    alike = similar(texts.where(L.BOX).select("text"), p.select("phrase").distinct(), threshold)
+    return alike.join(p.join(size, "app"), "phrase").select("text", "app", "ratio", "app_row", "app_col", "max_width", "max_height")
 
 
 ORDER = ["app_row", "app_col", "row", "col"]
+#: An extent that no box exceeds.
+ENDLESS = 2**31 - 1
 
 
 def grid_scores(texts: DataFrame, phrases: DataFrame, threshold: int = 80, row_gap: int = 10) -> DataFrame:
@@ -106,19 +109,88 @@ def grid_scores(texts: DataFrame, phrases: DataFrame, threshold: int = 80, row_g
     Of several phrases for a text the one with the largest score counts, of equal ones the first of the phrases' grid. A group
     is a screen's texts that are similar to one application's phrases. Empty tables give no rows.
     """
-    def best(rows):
-        hits = _Hits(rows)
-        found: dict = {}
-        for phrase in hits.phrases:
-            for r in hits.at[phrase]:
-                total, box, _ = hits.score(phrase, r)
-                if r["uid"] not in found or total > found[r["uid"]][2]:
-                    found[r["uid"]] = (r["row"], r["col"], total, *phrase, *box)
-        return [(u, *v) for u, v in sorted(found.items(), key=lambda x: x[1][:2])]
-
-    kind = dict(texts.dtypes)["uid"]
-    columns = _similar_cells(texts, phrases, threshold, row_gap)
-    return in_groups(columns, [*FRAME, "app"], ORDER, best, f"uid {kind}, row int, col int, score double, app_row int, app_col int, x1 int, y1 int, x2 int, y2 int")
+    def best(t, starts):
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, t.num_rows)))
+        x, y, w, h = (t.column(c).to_numpy().astype(np.int64) for c in "xywh")
+        row = L.bunches(y, group, row_gap)
+        uid = t.column("uid").combine_chunks()
+        there = uid.is_valid().to_numpy(zero_copy_only=False)
+        col = _columns(x, pc.rank(uid, tiebreaker="dense").to_numpy(), there, row, group)
+        lists = t.column("hits").combine_chunks()
+        text = np.repeat(np.arange(t.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        flat = pa.Table.from_batches([pa.RecordBatch.from_struct_array(lists.flatten())])
+        hit = lambda c, none=0: flat.column(c).fill_null(none).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
+        app = flat.column("app").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        by = np.lexsort((col[text], row[text], hit("app_col"), hit("app_row"), app, group[text]))
+        by = by[there[text[by]]]
+        text, app = text[by], app[by]
+        fresh = np.ones(len(by), bool)
+        fresh[1:] = (np.diff(group[text]) != 0) | (np.diff(app) != 0)
+        first = np.flatnonzero(fresh)
+        at = dict(zip(ORDER, (hit("app_row")[by], hit("app_col")[by], row[text], col[text]), strict=True))
+        ratio = flat.column("ratio").to_numpy().astype(np.float64)[by]
+        total, box = _grown_totals(first, np.diff(np.append(first, len(by))), np.cumsum(fresh) - 1, at, ratio, [v[text] for v in (x, y, x + w, y + h)], [hit(c, ENDLESS)[by] for c in ("max_width", "max_height")])
+        same = uid.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)[text]
+        rank = np.lexsort((np.arange(len(by)), -total, same, np.cumsum(fresh)))
+        won = np.ones(len(by), bool)
+        won[1:] = (np.diff(np.cumsum(fresh)[rank]) != 0) | (np.diff(same[rank]) != 0)
+        won = np.sort(rank[won])
+        mine = text[won]
+        return mine, [flat.column("app").take(pa.array(by[won])), uid.take(pa.array(mine)), *(at[c][won] for c in ("row", "col")), total[won], *(at[c][won] for c in ("app_row", "app_col")), *(v[won] for v in box)]
+
+    kinds = dict(texts.dtypes) | dict(phrases.dtypes)
+    hits = _similar_phrases(texts, phrases, threshold).groupBy("text").agg(F.collect_list(F.struct("app", "ratio", "app_row", "app_col", "max_width", "max_height")).alias("hits"))
+    rows = texts.where(L.BOX).select(*FRAME, "uid", "text", "x", "y", "w", "h").join(hits, "text", "left").drop("text")
+    return many_groups(rows, list(FRAME), ["y", "uid"], best, f"app {kinds['app']}, uid {kinds['uid']}, row int, col int, score double, app_row int, app_col int, x1 int, y1 int, x2 int, y2 int")
+
+
+def _columns(x, rank, there, row, group):
+    """Each text's column: its number among those of its row that have an id, from the left, then by id."""
+    by = np.lexsort((rank, x, row, group))
+    by = by[there[by]]
+    fresh = np.ones(len(by), bool)
+    fresh[1:] = (np.diff(group[by]) != 0) | (np.diff(row[by]) != 0)
+    col = np.zeros(len(x), np.int32)
+    col[by] = np.arange(len(by)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+    return col
+
+
+def _grown_totals(starts, size, group, at, ratio, box, most):
+    """Total and box of what grows from each hit, as _Hits.score() has it, for the hits of many groups at once.
+
+    A group's hits lie in the order of phrases, then of texts. Step k looks at every group's k-th hit from the end (upwards) or from the start
+    (downwards) for all hits that something grows from; those of large groups stand first, so that a step takes the ones in front.
+    """
+    front = np.argsort(-size[group], kind="stable")
+    lo, many = starts[group][front], size[group][front]
+    p_row, p_col, row, col = (at[c] for c in ORDER)
+    change = np.ones(len(group), bool)
+    change[1:] = (np.diff(group) != 0) | (np.diff(p_row) != 0) | (np.diff(p_col) != 0)
+    phrase = np.cumsum(change)
+    home, s_row, s_col = p_row[front], row[front], col[front]
+    total, now, widest = ratio[front], [b[front] for b in box], [m[front] for m in most]
+    for up in (True, False):
+        l_row, l_col, taken = s_row.copy(), s_col.copy(), np.zeros(len(front), np.int64)
+        for k in range(int(size.max(initial=0))):
+            m = int(np.searchsorted(-many, -k))  # groups of more than k hits
+            j = lo[:m] + (many[:m] - 1 - k if up else k)
+            rj, cj, pj = row[j], col[j], p_row[j]
+            if up:
+                ok = (pj > 0) & (pj < home[:m]) & (rj > 0) & (rj < s_row[:m]) & ((rj < l_row[:m]) | ((rj == l_row[:m]) & (cj < l_col[:m])))
+            else:
+                ok = (pj > home[:m]) & (rj > s_row[:m]) & ((rj > l_row[:m]) | (cj > l_col[:m]))
+            i = np.flatnonzero(ok & (phrase[j] != taken[:m]))
+            j = j[i]
+            new = [np.minimum(now[0][i], box[0][j]), np.minimum(now[1][i], box[1][j]), np.maximum(now[2][i], box[2][j]), np.maximum(now[3][i], box[3][j])]
+            fits = (new[2] - new[0] <= widest[0][i]) & (new[3] - new[1] <= widest[1][i])
+            i, j = i[fits], j[fits]
+            total[i] += ratio[j]
+            for own, b in zip(now, new, strict=True):
+                own[i] = b[fits]
+            l_row[i], l_col[i], taken[i] = row[j], col[j], phrase[j]
+    back = np.empty_like(front)
+    back[front] = np.arange(len(front))
+    return total[back], [b[back] for b in now]
 
 
 def grid_cells(texts: DataFrame, phrases: DataFrame, threshold: int = 80, row_gap: int = 10) -> DataFrame:
@@ -134,7 +206,8 @@ def grid_cells(texts: DataFrame, phrases: DataFrame, threshold: int = 80, row_ga
         return [(*p, r["uid"], float(r["ratio"])) for p, r in sorted(best, key=lambda x: x[0])]
 
     kind = dict(texts.dtypes)["uid"]
-    return in_groups(_similar_cells(texts, phrases, threshold, row_gap), [*FRAME, "app"], ORDER, cells, f"app_row int, app_col int, uid {kind}, ratio double")
+    hits = text_grid(texts, row_gap).join(_similar_phrases(texts, phrases, threshold), "text")
+    return in_groups(hits, [*FRAME, "app"], ORDER, cells, f"app_row int, app_col int, uid {kind}, ratio double")
 
 
 def scene_apps(texts: DataFrame, phrases: DataFrame, threshold: int = 80, row_gap: int = 10, offset: tuple[int, int] = (0, 0)) -> DataFrame:
