@@ -68,3 +68,23 @@ def test_reached_like_a_walk(spark):
     e, s = spark.createDataFrame(edges, "pipeline int, src int, dst int"), spark.createDataFrame(starts, "pipeline int, node int")
     assert sorted(map(tuple, graphs.reached(e, s, ("pipeline",)).collect())) == sorted(want)
     assert graphs.reached(e, s.limit(0), ("pipeline",)).count() == 0 and graphs.reached(e.limit(0), s, ("pipeline",)).count() == 4
+
+
+def test_paths_are_doubled_from_the_longest_ones_in_small_tasks(spark, monkeypatch):
+    """Before, every round joined and grouped all paths with all, in as few tasks as the shuffle gave."""
+    from veilframe.operators import graphs
+
+    monkeypatch.setattr(graphs, "ROWS", 20)
+    rng = random.Random(4)
+    edges = {(rng.randrange(14), rng.randrange(14)) for _ in range(17)} | {(k, k + 1) for k in range(20, 30)} | {(29, 25)} | {(k, 50) for k in range(51, 80)} | {(50, 49)}
+    ahead: dict = {}
+    for a, b in edges:
+        ahead.setdefault(a, set()).add(b)
+    want = set()
+    for a in ahead:
+        near, seen, n = ahead[a], set(), 1
+        while near - seen:
+            want |= {(a, b, n) for b in near - seen}
+            seen, near, n = seen | near, {c for b in near - seen for c in ahead.get(b, ())}, n + 1
+    got = graphs.closure(spark.createDataFrame([*edges, (None, 3)], "src int, dst int"))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(got.inputFiles()) >= len(want) // 20

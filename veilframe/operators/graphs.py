@@ -11,24 +11,27 @@ from pyspark.sql import functions as F
 
 from veilframe.sources.shared import stored
 
+#: Paths of one task when they are grouped.
+ROWS = 500_000
+
 
 def closure(edges: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, src, dst, distance): every node that can be reached from another one, over the fewest edges.
 
-    Paths are doubled, so the rounds grow with the logarithm of the longest one. Cycles end by themselves: a node on
-    one reaches itself.
+    Paths are doubled, so the rounds grow with the logarithm of the longest one: once all of up to n edges are known, those of n go on by all
+    that begin where they end. Each way is met once, and a node that much leads to is joined over its paths of n edges only.
+    A task of the groups has some ROWS of them, however many there are. Cycles end by themselves: a node on one reaches itself.
     """
     k = list(keys)
     paths = stored(edges.where("src is not null and dst is not null").select(*k, "src", "dst").distinct().withColumn("distance", F.lit(1)))
-    n = paths.count()
-    while True:
+    n = 1
+    while not (last := paths.where(F.col("distance") == n)).isEmpty():
         ahead = paths.select(*k, F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("distance").alias("more"))
-        twice = paths.join(ahead, [*k, "dst"]).select(*k, "src", F.col("end").alias("dst"), (F.col("distance") + F.col("more")).alias("distance"))
-        paths = stored(paths.unionByName(twice).groupBy(*k, "src", "dst").agg(F.min("distance").alias("distance")))
-        now = paths.count()
-        if now == n:
-            return paths
-        n = now
+        twice = stored(last.join(ahead, [*k, "dst"]).select(*k, "src", F.col("end").alias("dst"), (F.col("distance") + F.col("more")).alias("distance")))
+        parts = max((paths.count() + twice.count()) // ROWS + 1, paths.sparkSession.sparkContext.defaultParallelism)
+        paths = stored(paths.unionByName(twice).repartition(parts, *k, "src", "dst").groupBy(*k, "src", "dst").agg(F.min("distance").alias("distance")))
+        n *= 2
+    return paths
 
 
 def climbed(jobs: DataFrame, asked: DataFrame | None = None) -> DataFrame:
