@@ -50,13 +50,15 @@ def tier_2(matches: DataFrame, anchors: DataFrame, zones: DataFrame) -> DataFram
 
     anchors: anchor (an id that is part of a match's anchor_id; of several the largest counts), ax, ay. zones: ord, zone_anchor
     (null: of every anchor), x1, y1, x2, y2; the last one counts. Matches without an anchor or a zone are left out.
+
+    A template has few anchors, and each of them many matches: these stay where they are, and the anchors' zones are broadcast.
     """
     of = containing(matches.select("anchor_id").distinct(), "anchor_id", anchors, "anchor")
     of = of.groupBy("anchor_id").agg(F.max_by(F.struct("anchor", "ax", "ay"), "anchor").alias("a")).select("anchor_id", "a.*")
-    found = matches.join(of, "anchor_id")
     general = zones.where("zone_anchor is null").agg(F.max(F.struct("ord", "x1", "y1", "x2", "y2")).alias("g"))
     own = zones.where("zone_anchor is not null").groupBy("zone_anchor").agg(F.max(F.struct("ord", "x1", "y1", "x2", "y2")).alias("z"))
-    rows = found.join(own, F.col("anchor_id") == F.col("zone_anchor"), "left").join(F.broadcast(general), F.lit(True), "left")
+    zoned = of.join(own, F.col("anchor_id") == F.col("zone_anchor"), "left")
+    rows = matches.join(F.broadcast(zoned), "anchor_id").join(F.broadcast(general), F.lit(True), "left")
     rows = rows.withColumn("z", F.when(F.col("g").isNull() | (F.col("z.ord") > F.col("g.ord")), F.col("z")).otherwise(F.col("g"))).where("z is not null")
     cut = lambda e: F.expr(f"cast({e} as int)")
     return rows.select(*FRAME, "uid", cut("x + (z.x1 - ax) / scale").alias("x"), cut("y + (z.y1 - ay) / scale").alias("y"), cut("(z.x2 - z.x1) / scale").alias("w"), cut("(z.y2 - z.y1) / scale").alias("h"))
