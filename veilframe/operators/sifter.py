@@ -245,11 +245,12 @@ def densest_frames(texts: DataFrame, threshold: int = 10) -> DataFrame:
 def seldom_seen(texts: DataFrame, threshold: int = 70) -> DataFrame:
     """(text, n_missed): the texts of the densest frame of all movies, and how many of the other movies have nothing similar in theirs.
 
-    Texts that others miss are a client's own data, those that all have are labels.
+    Texts that others miss are a client's own data, those that all have are labels. The densest frames and their texts, which all else is
+    made of, are found once and written to the shared folder.
     """
-    dense = densest_frames(texts)
+    dense = stored(densest_frames(texts))
     top = dense.orderBy(F.col("n_rows").desc(), F.col("n_texts").desc(), "movie_url").limit(1)
-    own = texts.join(dense.select(*FRAME), list(FRAME), "left_semi").where("text is not null").select("movie_url", "text").distinct()
+    own = stored(texts.join(dense.select(*FRAME), list(FRAME), "left_semi").where("text is not null").select("movie_url", "text").distinct())
     best = own.join(top.select("movie_url"), "movie_url", "left_semi").select("text").distinct()
     others = own.join(top.select("movie_url"), "movie_url", "left_anti")
     pairs = similar(others.select("text"), best.select(F.col("text").alias("phrase")), threshold - 1)
