@@ -30,17 +30,17 @@ def changed_text(matches: DataFrame, threshold: int = 70) -> DataFrame:
     A text of the frameset before is found again in the last (by uid) current one whose rectangle holds its centre; it
     is altered if they are less similar than the threshold, else unchanged. Current ones that hold no earlier centre
     are new. Disappeared ones are told with the current frameset. A movie's first frameset is all new. Null texts are
-    similar to nothing.
+    similar to nothing. Each frameset is told the next one, so that rows are joined by framesets alone.
     """
-    m = in_order(matches).select(*FRAME, "place", "uid", "text", "x", "y", "w", "h")
-    before = m.selectExpr("movie_url", "place + 1 place", "uid b_uid", "text b_text", f"{CENTRE[0]} cx", f"{CENTRE[1]} cy")
-    held = before.join(m, ["movie_url", "place"]).where("cx between x and x + w and cy between y and y + h")
-    last = held.groupBy("movie_url", "place", "b_uid").agg(F.max_by(F.struct("uid", "text", "b_text"), "uid").alias("c")).select("movie_url", "place", "b_uid", F.col("c.uid").alias("uid"), F.col("c.text").alias("t"), F.col("c.b_text").alias("b"))
+    m = matches.where("movie_url is not null and frameset is not null").select(*FRAME, "uid", "text", "x", "y", "w", "h")
+    ahead = m.select(*FRAME).distinct().withColumn("next", F.lead("frameset").over(Window.partitionBy("movie_url").orderBy("frameset"))).where("next is not null")
+    before = m.join(ahead, list(FRAME)).selectExpr("movie_url", "next frameset", "uid b_uid", "text b_text", f"{CENTRE[0]} cx", f"{CENTRE[1]} cy")
+    held = before.join(m, list(FRAME)).where("cx between x and x + w and cy between y and y + h")
+    last = held.groupBy(*FRAME, "b_uid").agg(F.max_by(F.struct("uid", "text", "b_text"), "uid").alias("c")).select(*FRAME, "b_uid", F.col("c.uid").alias("uid"), F.col("c.text").alias("t"), F.col("c.b_text").alias("b"))
     alike = F.coalesce(indel_ratio("b", "t"), F.lit(0)) >= threshold
-    kept = last.withColumn("altered", ~alike).groupBy("movie_url", "place", "uid").agg(F.bool_or("altered").alias("altered"))
-    now = m.join(kept, ["movie_url", "place", "uid"], "left").where("altered is null or altered").select(*FRAME, "uid", F.when(F.col("altered"), "altered").otherwise("new").alias("state"))
-    there = m.select("movie_url", "place", "frameset").distinct()
-    gone = before.join(last.select("movie_url", "place", "b_uid"), ["movie_url", "place", "b_uid"], "left_anti").join(there, ["movie_url", "place"])
+    kept = last.withColumn("altered", ~alike).groupBy(*FRAME, "uid").agg(F.bool_or("altered").alias("altered"))
+    now = m.join(kept, [*FRAME, "uid"], "left").where("altered is null or altered").select(*FRAME, "uid", F.when(F.col("altered"), "altered").otherwise("new").alias("state"))
+    gone = before.join(last.select(*FRAME, "b_uid"), [*FRAME, "b_uid"], "left_anti")
     return now.unionByName(gone.select(*FRAME, F.col("b_uid").alias("uid"), F.lit("disappeared").alias("state")))
 
 
