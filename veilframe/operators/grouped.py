@@ -24,12 +24,13 @@ def in_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[It
     kinds = T._parse_datatype_string(added)
     schema = T.StructType([df.schema[k] for k in keys] + kinds.fields)
     arrow = to_arrow_schema(schema)
+    most = 64 if any(isinstance(f.dataType, T.ArrayType) for f in kinds) else 4096  # images' pixels are handed over a few at a time
 
     def run(batches):
         out: list = []
         for key, group in groupby(rows_of(batches, arrays), _key(keys)):
             out += [key + tuple(x) for x in fn(group)]
-            if len(out) >= 4096:
+            if len(out) >= most:
                 yield _batch(out, arrow)
                 out = []
         yield _batch(out, arrow)
@@ -112,11 +113,13 @@ def _key(keys: list[str]) -> Callable[[dict], tuple]:
 
 
 def rows_of(batches: Iterable[pa.RecordBatch], arrays: bool = False, most: int = 8192) -> Iterator[dict]:
-    """Rows of Arrow batches as dicts of Python values (arrays: those of numbers as numpy arrays), converted a column at a time."""
+    """Rows of Arrow batches as dicts of Python values (arrays: those of numbers as numpy arrays), converted a column at a time, and about
+    a megabyte of the batch at once."""
     for b in batches:
         names = b.schema.names
-        for start in range(0, b.num_rows, most):
-            part = b.slice(start, most)
+        step = max(1, min(most, b.num_rows * 1_000_000 // max(1, b.nbytes)))
+        for start in range(0, b.num_rows, step):
+            part = b.slice(start, step)
             for values in zip(*[_values(c, arrays) for c in part.columns], strict=True):
                 yield dict(zip(names, values))  # noqa: B905
 
