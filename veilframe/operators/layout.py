@@ -152,22 +152,22 @@ def claimed_neighbours(wanted: DataFrame, texts: DataFrame, reach: float = 200.0
     wanted: frame, ord, item, x, y, side ('left': a text's first corner counts, 'right': its right upper corner). Places
     whose nearest free text is out of reach take none. Ties go by uid.
     """
-    item = dict(wanted.dtypes)["item"]
-    w = wanted.select(*FRAME, F.lit(1).alias("kind"), "ord", "item", F.lit(None).cast(_uid(texts)).alias("uid"), "x", "y", F.lit(0).alias("w"), "side")
-    t = texts.where("x is not null and y is not null").select(*FRAME, F.lit(0).alias("kind"), F.lit(0).alias("ord"), F.lit(None).cast(item).alias("item"), "uid", "x", "y", F.coalesce("w", F.lit(0)).alias("w"), F.lit(None).cast("string").alias("side"))
+    w = wanted.select(*FRAME, "ord", "item", F.col("x").alias("at_x"), F.col("y").alias("at_y"), "side", F.monotonically_increasing_id().alias("place"))
+    t = texts.where("x is not null and y is not null").select(*FRAME, "uid", "x", "y", F.coalesce("w", F.lit(0)).alias("w"))
+    square = F.expr("cast(pow(x + if(side = 'right', w, 0) - at_x, 2) + pow(y - at_y, 2) as double)")
+    # only what is within reach can be claimed, so that nothing else goes to Python
+    near = w.join(t, (w.movie_url.eqNullSafe(t.movie_url)) & (w.frameset.eqNullSafe(t.frameset))).select(w.movie_url, w.frameset, "ord", "item", "place", "uid", square.alias("square")).where(F.sqrt("square") <= reach)
 
     def claims(rows):
-        free: dict = {}
+        taken: set = set()
+        done = None
         for r in rows:
-            if r["kind"] == 0:
-                free[r["uid"]] = (r["x"], r["y"], r["w"])
-                continue
-            best = min(((((x + (w if r["side"] == "right" else 0)) - r["x"]) ** 2 + (y - r["y"]) ** 2, u) for u, (x, y, w) in free.items()), default=None)
-            if best and best[0] ** 0.5 <= reach:
-                del free[best[1]]
-                yield r["item"], best[1], best[0] ** 0.5
-
-    return in_groups(t.unionByName(w), list(FRAME), ["kind", "ord", "uid"], claims, f"item {item}, uid {_uid(texts)}, distance double")
+            if r["place"] != done and r["uid"] not in taken:
+                taken.add(r["uid"])
+                done = r["place"]
+                yield r["item"], r["uid"], r["square"] ** 0.5
+
+    return in_groups(near, list(FRAME), ["ord", "place", "square", "uid"], claims, f"item {dict(wanted.dtypes)['item']}, uid {_uid(texts)}, distance double")
 
 
 def masked_fields(items: DataFrame, ratio_to_empty: str = "empty_ratio", threshold: int = 70, *, debug: bool = False) -> DataFrame:
