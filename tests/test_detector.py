@@ -111,3 +111,34 @@ def test_odd_tables(spark, scenes):
     assert detector.train(frames.limit(0), truths, SPEC).bias == -50.0
     rows = detector.examples(frames, truths, SPEC, 5).collect()
     assert sorted(r.label for r in rows) == [False] * 10 + [True] * 4
+
+
+def test_images_stay_in_many_tasks(spark, scenes):
+    """Detection moves no image, examples and false alarms move each once, into a number of parts that is given."""
+    frames, truths = tables(spark, scenes[:6], 0)
+    model = detector.Model(SPEC, np.zeros(SPEC.size), 5.0)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(detector.detect(frames, model))
+    for df in (detector.examples(frames, truths, SPEC, 2), detector.false_alarms(frames, truths, model, (1.0,), 0.9)):
+        moved = [x for x in plan(df).splitlines() if "Exchange hashpartitioning" in x]
+        assert sum("REPARTITION_BY_NUM" in x for x in moved) == 1 and len(moved) <= 2, plan(df)  # the other one: boxes
+
+
+def test_false_alarms_like_plain_rules(spark, scenes):
+    frames, truths = tables(spark, scenes[:3], 0)
+    model = detector.Model(SPEC, np.zeros(SPEC.size), 5.0)  # takes every window
+    got = [tuple(round(v, 9) for v in (r.frameset, *r.v)) for r in detector.false_alarms(frames, truths, model, (1.0,), 0.9).collect()]
+    want = []
+    for k, (a, boxes) in enumerate(scenes[:3]):
+        for y in range(0, a.shape[0] - 15, SPEC.step):
+            for x in range(0, a.shape[1] - 15, SPEC.step):
+                if not any(max(0, 16 - abs(x - u)) * max(0, 16 - abs(y - v)) > 0.3 * 256 for u, v, _, _ in boxes):
+                    want.append(tuple(round(v, 9) for v in (k, *detector.described(a[y : y + 16, x : x + 16], SPEC).tolist())))
+    assert sorted(got) == sorted(want) and want
+
+
+def test_windows_in_bands(monkeypatch):
+    a = np.random.default_rng(5).integers(0, 256, (70, 90), dtype=np.uint8)
+    whole = [(y, xs.tolist(), v.tolist()) for y, xs, v in detector.windows(a, SPEC)]
+    monkeypatch.setattr(detector, "BAND", 1)
+    assert [(y, xs.tolist(), v.tolist()) for y, xs, v in detector.windows(a, SPEC)] == whole and len(whole) == 14

@@ -8,11 +8,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.operators.grouped import in_groups
+from veilframe.operators.grouped import each_image
 from veilframe.operators.templates import resized
 from veilframe.sources.shared import stored
 
 
+#: Windows whose vectors are in memory at once, in whole rows of windows.
+BAND = 1024
+
+
 @dataclass(frozen=True)
 class Spec:
     """Size of the window, of a cell and of a block (in cells), number of directions, step between windows; root: of the greys first."""
@@ -42,10 +46,8 @@ def _histograms(a: np.ndarray, spec: Spec) -> np.ndarray:
     gy[1:-1], gx[:, 1:-1] = v[2:] - v[:-2], v[:, 2:] - v[:, :-2]
     bin_ = np.minimum((np.degrees(np.arctan2(gy, gx)) % 180 / 180 * spec.directions).astype(int), spec.directions - 1)
     out = np.zeros((v.shape[0] + 1, v.shape[1] + 1, spec.directions))
-    size = np.hypot(gy, gx)
-    for k in range(spec.directions):
-        out[1:, 1:, k] = np.cumsum(np.cumsum(size * (bin_ == k), 0), 1)
-    return out
+    np.put_along_axis(out[1:, 1:], bin_[:, :, None], np.hypot(gy, gx)[:, :, None], 2)
+    return np.cumsum(np.cumsum(out, 0, out=out), 1, out=out)
 
 
 def windows(a: np.ndarray, spec: Spec):
@@ -54,14 +56,19 @@ def windows(a: np.ndarray, spec: Spec):
     if a.shape[0] < spec.height or a.shape[1] < spec.width:
         return
     s, c, b = _histograms(a, spec), spec.cell, spec.block
-    x = np.arange(0, a.shape[1] - spec.width + 1, spec.step)
+    cells = s[c:, c:] - s[:-c, c:] - s[c:, :-c] + s[:-c, :-c]  # of the cell that starts at each pixel
+    x, tops = np.arange(0, a.shape[1] - spec.width + 1, spec.step), np.arange(0, a.shape[0] - spec.height + 1, spec.step)
     down, across = spec.cells
-    for y in range(0, a.shape[0] - spec.height + 1, spec.step):
-        left = x[:, None] + c * np.arange(across)
-        top = y + c * np.arange(down)
-        cells = s[top[:, None, None] + c, left + c] - s[top[:, None, None], left + c] - s[top[:, None, None] + c, left] + s[top[:, None, None], left]  # down, windows, across, directions
-        blocks = [cells[i : i + b, :, j : j + b].transpose(1, 0, 2, 3).reshape(len(x), -1) for i in range(down - b + 1) for j in range(across - b + 1)]
-        yield y, x, np.concatenate([v / (v.sum(1, keepdims=True) + 1e-5) for v in blocks], 1)
+    left = x[:, None] + c * np.arange(across)
+    for first in range(0, len(tops), rows := max(1, BAND // len(x))):
+        top = tops[first : first + rows, None] + c * np.arange(down)
+        own = cells[top[:, None, :, None], left[None, :, None, :]]  # rows of windows, windows, down, across, directions
+        v = np.empty((len(top), len(x), spec.size))
+        for k, (i, j) in enumerate((i, j) for i in range(down - b + 1) for j in range(across - b + 1)):
+            block = own[:, :, i : i + b, j : j + b].reshape(len(top), len(x), -1)
+            n = block.shape[2]
+            np.divide(block, block.sum(2, keepdims=True) + 1e-5, out=v[:, :, k * n : (k + 1) * n])
+        yield from ((int(y), x, row) for y, row in zip(tops[first : first + rows], v, strict=True))
 
 
 def described(a: np.ndarray, spec: Spec) -> np.ndarray:
@@ -100,68 +107,79 @@ def fitted(v: np.ndarray, label: np.ndarray, spec: Spec, penalty: float = 1e-3,
     return Model(spec, w[:-1] * np.sqrt(spec.size), float(w[-1]))
 
 
+def _with_boxes(frames: DataFrame, truths: DataFrame) -> DataFrame:
+    """Frames with their true boxes, sorted. The number of parts is given, else adaptive execution would put all of a few hundred MB of pixels,
+    which take Python long, into a few tasks."""
+    keys, parts = ["movie_url", "frameset"], int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = truths.where("x is not null and y is not null and w > 0 and h > 0").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", "y", "w", "h"))).alias("boxes"))
+    return frames.where("grey is not null").select(*keys, "grey", "width", "height").repartition(parts, *keys).join(own, keys, "left")
+
+
 def examples(frames: DataFrame, truths: DataFrame, spec: Spec, distractions: int = 20) -> DataFrame:
     """(movie_url, frameset, label, v): feature vectors of the true boxes (movie_url, frameset, x, y, w, h; label true), and of
     `distractions` windows of each frame after its boxes were painted in the grey of their upper left corner (label false). Where these
     windows lie is drawn from a generator seeded by the frame's pixels. Null images and boxes, and boxes outside, give nothing."""
-    box = F.array_sort(F.collect_list(F.struct("x", "y", "w", "h")))
-    own = truths.where("x is not null and y is not null and w > 0 and h > 0").groupBy("movie_url", "frameset").agg(box.alias("boxes"))
-    rows = frames.where("grey is not null").select("movie_url", "frameset", "grey", "width", "height").join(own, ["movie_url", "frameset"], "left")
-
-    def describe(rows):
-        for r in rows:
-            if not r["grey"] or len(r["grey"]) != r["width"] * r["height"]:
-                continue
-            a = np.array(r["grey"], np.uint8).reshape(r["height"], r["width"])
-            blank = a.copy()
-            for b in r["boxes"] or ():
-                cut = (slice(max(0, b["y"]), max(0, b["y"] + b["h"])), slice(max(0, b["x"]), max(0, b["x"] + b["w"])))
-                if a[cut].size:
-                    yield True, described(a[cut], spec).tolist()
-                    blank[cut] = a[cut][0, 0]
-            rng = np.random.default_rng(np.frombuffer(a.tobytes()[:4096].ljust(8, b"\0"), np.uint8))
-            for _ in range(distractions if a.shape[0] >= spec.height and a.shape[1] >= spec.width else 0):
-                y, x = int(rng.integers(0, a.shape[0] - spec.height + 1)), int(rng.integers(0, a.shape[1] - spec.width + 1))
-                yield False, described(blank[y : y + spec.height, x : x + spec.width], spec).tolist()
-
-    return in_groups(rows, ["movie_url", "frameset"], [], describe, "label boolean, v array<double>")
+    rows = _with_boxes(frames, truths)
+
+    def describe(r):
+        a = _pixels(r)
+        if a is None:
+            return
+        blank = a.copy()
+        for b in r["boxes"] or ():
+            cut = (slice(max(0, b["y"]), max(0, b["y"] + b["h"])), slice(max(0, b["x"]), max(0, b["x"] + b["w"])))
+            if a[cut].size:
+                yield True, described(a[cut], spec)
+                blank[cut] = a[cut][0, 0]
+        rng = np.random.default_rng(np.frombuffer(a.tobytes()[:4096].ljust(8, b"\0"), np.uint8))
+        for _ in range(distractions if a.shape[0] >= spec.height and a.shape[1] >= spec.width else 0):
+            y, x = int(rng.integers(0, a.shape[0] - spec.height + 1)), int(rng.integers(0, a.shape[1] - spec.width + 1))
+            yield False, described(blank[y : y + spec.height, x : x + spec.width], spec)
+
+    return each_image(rows, ["movie_url", "frameset"], describe, "label boolean, v array<double>")
+
+
+def _pixels(r: dict) -> np.ndarray | None:
+    """A row's image; none if its pixels aren't width * height."""
+    if r["grey"] is None or not len(r["grey"]) or len(r["grey"]) != r["width"] * r["height"]:
+        return None
+    return np.array(r["grey"], np.uint8).reshape(r["height"], r["width"])
+
+
+def _found(a: np.ndarray, model: Model, scales: tuple[float, ...], least: float):
+    """detect() for one image."""
+    for scale in scales:
+        for y, xs, v in windows(resized(a, int(a.shape[1] * scale)), model.spec):
+            p = model.probability(v)
+            for k in np.flatnonzero(p > least).tolist():
+                yield int(xs[k] / scale), int(y / scale), int(model.spec.width / scale), int(model.spec.height / scale), scale, float(p[k])
 
 
 def detect(frames: DataFrame, model: Model, scales: tuple[float, ...] = (1.0,), least: float = 0.9) -> DataFrame:
     """(movie_url, frameset, x, y, w, h, scale, score): the windows, over all scales of the frame, whose probability is above `least`, in the
     frame's own pixels (rounded down). Null images and those whose pixels aren't width * height have none."""
 
-    def find(rows):
-        for r in rows:
-            if not r["grey"] or len(r["grey"]) != r["width"] * r["height"]:
-                continue
-            a = np.array(r["grey"], np.uint8).reshape(r["height"], r["width"])
-            for scale in scales:
-                for y, xs, v in windows(resized(a, int(a.shape[1] * scale)), model.spec):
-                    p = model.probability(v)
-                    for k in np.flatnonzero(p > least).tolist():
-                        yield int(xs[k] / scale), int(y / scale), int(model.spec.width / scale), int(model.spec.height / scale), scale, float(p[k])
+    def find(r):
+        a = _pixels(r)
+        return () if a is None else _found(a, model, scales, least)
 
     rows = frames.where("grey is not null").select("movie_url", "frameset", "grey", "width", "height")
-    return in_groups(rows, ["movie_url", "frameset"], [], find, "x int, y int, w int, h int, scale double, score double")
+    return each_image(rows, ["movie_url", "frameset"], find, "x int, y int, w int, h int, scale double, score double")
 
 
 def false_alarms(frames: DataFrame, truths: DataFrame, model: Model, scales: tuple[float, ...], least: float, overlap: float = 0.3) -> DataFrame:
     """(movie_url, frameset, label, v): vectors of detected windows that no true box covers by more than `overlap` of their area: hard negatives."""
-    own = truths.where("x is not null and y is not null and w > 0 and h > 0").groupBy("movie_url", "frameset").agg(F.collect_list(F.struct("x", "y", "w", "h")).alias("boxes"))
-    found = detect(frames, model, scales, least).groupBy("movie_url", "frameset").agg(F.array_sort(F.collect_list(F.struct("x", "y", "w", "h"))).alias("found"))
-    rows = frames.select("movie_url", "frameset", "grey", "width", "height").join(found, ["movie_url", "frameset"]).join(own, ["movie_url", "frameset"], "left")
+    rows = _with_boxes(frames.where("movie_url is not null and frameset is not null"), truths)
     spec = model.spec
 
-    def describe(rows):
-        for r in rows:
-            a = np.array(r["grey"], np.uint8).reshape(r["height"], r["width"])
-            for f in r["found"]:
-                cover = max((max(0, min(f["x"] + f["w"], b["x"] + b["w"]) - max(f["x"], b["x"])) * max(0, min(f["y"] + f["h"], b["y"] + b["h"]) - max(f["y"], b["y"])) for b in r["boxes"] or ()), default=0)
-                if cover <= overlap * f["w"] * f["h"]:
-                    yield False, described(a[f["y"] : f["y"] + f["h"], f["x"] : f["x"] + f["w"]], spec).tolist()
+    def describe(r):
+        a = _pixels(r)
+        for x, y, w, h in sorted(f[:4] for f in _found(a, model, scales, least)) if a is not None else ():
+            cover = max((max(0, min(x + w, b["x"] + b["w"]) - max(x, b["x"])) * max(0, min(y + h, b["y"] + b["h"]) - max(y, b["y"])) for b in r["boxes"] or ()), default=0)
+            if cover <= overlap * w * h:
+                yield False, described(a[y : y + h, x : x + w], spec)
 
-    return in_groups(rows, ["movie_url", "frameset"], [], describe, "label boolean, v array<double>")
+    return each_image(rows, ["movie_url", "frameset"], describe, "label boolean, v array<double>")
 
 
 def train(frames: DataFrame, truths: DataFrame, spec: Spec, *, scales: tuple[float, ...] = (1.0,), least: float = 0.9, rounds: int = 1, distractions: int = 20, sample: int = 4000) -> Model:

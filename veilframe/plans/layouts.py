@@ -528,8 +528,11 @@ def t10_near(spark, d):
 def _marked(spark, d):
     """Larger images with a cross drawn at a place that the image's number tells, and where it is."""
     px, py = "image % 7 * 6", "image % 5 * 9"
-    cross = "i % 64 - ({px}) between 0 and 15 and i div 64 - ({py}) between 0 and 15 and (abs(i % 64 - ({px}) - (i div 64 - ({py}))) < 2 or abs(i % 64 - ({px}) + i div 64 - ({py}) - 15) < 2)".format(px=px, py=py)
-    f = _spread(_images(spark, d)).selectExpr("concat('m', image % 10) movie_url", "image frameset", f"transform(sequence(0, 4095), i -> case when {cross} then 240 else grey[(i div 512) * 8 + (i % 64) div 8] div 4 end) grey", "64 width", "64 height")
+    cross = f"x between {px} and {px} + 15 and (abs(x - {px} - (y - {py})) < 2 or abs(x - {px} + y - {py} - 15) < 2)"
+    # the eight kinds of rows are made once; only the rows that the cross crosses are made pixel by pixel
+    lines = "transform(sequence(0, 7), k -> transform(sequence(0, 63), x -> grey[k * 8 + x div 8] div 4))"
+    rows = f"flatten(transform(sequence(0, 63), y -> case when y between {py} and {py} + 15 then transform(k[y div 8], (v, x) -> case when {cross} then 240 else v end) else k[y div 8] end))"
+    f = _spread(_images(spark, d)).selectExpr("concat('m', image % 10) movie_url", "image frameset", f"transform(array({lines}), k -> {rows})[0] grey", "64 width", "64 height")
     return f, _images(spark, d).selectExpr("concat('m', image % 10) movie_url", "image frameset", f"cast({px} as int) x", f"cast({py} as int) y", "16 w", "16 h")
 
 
@@ -540,7 +543,7 @@ def t9_detect(spark, d):
     f = stored(f)
     model = detector.train(f.where("frameset % 2 = 0"), t.where("frameset % 2 = 0"), detector.Spec(16, 16, 4, 2, 9, 3), distractions=4)
     found = detector.detect(f.where("frameset % 2 = 1"), model).withColumn("uid", F.xxhash64(*sets.FRAME, "x", "y", "scale"))
-    return layout.suppressed(found)
+    return layout.suppressed(stored(found))  # which reads them twice
 
 
 @plain
