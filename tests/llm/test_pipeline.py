@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline as pipeline
-from veilframe.llm import jaccard
+from veilframe.llm import jaccard, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -94,3 +94,15 @@ def test_run_on_empty_tables(spark, tmp_path):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/e/{t}.parquet")
     assert pipeline.run(spark, f"{tmp_path}/e").count() == 0
+
+
+def test_driver_gets_the_model_alone(spark, monkeypatch):
+    """The bags of the classifier's sample stay on the cluster, where it is trained."""
+    docs = spark.createDataFrame([(i, f"{'vile awful' if i % 2 else 'kind lovely'} words number {i}") for i in range(80)], "doc_id long, text string")
+    kind, seen = type(docs), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda df: seen.append(collect(df)) or seen[-1])
+    weights, bias = toxicity.fit_by_id(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) label"), per_class=30)
+    assert max(map(len, seen)) <= 2 and weights.shape == (1 << toxicity.BITS,)
+    got = collect(toxicity.score(docs, (weights, bias)))
+    assert all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in got)

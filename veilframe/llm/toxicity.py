@@ -128,8 +128,8 @@ def train(bags, labels: np.ndarray, *, prior: float, epochs: int = 12, batch: in
 def fit(labelled: DataFrame, *, text: str = "text", label: str = "label", per_class: int = PER_CLASS):
     """Train on (text, label 0/1) rows; at most per_class rows of each class, whole texts, chosen by md5 of the text.
 
-    Texts are turned into bags in Spark tasks; the driver gets the bags of the sample, packed (about 5 kB a row), and trains in
-    numpy. Rows with a null text or label are left out. The classes' shares among all rows set the bias. Without rows
+    Texts are turned into bags in Spark tasks; one task gets the bags of the sample, packed (about 5 kB a row), and trains in
+    numpy; the driver gets the model alone (1 MB). Rows with a null text or label are left out. The classes' shares among all rows set the bias. Without rows
     of both classes every score is the share of label 1 (0.5 without any rows).
     """
     rows = labelled.where(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(F.col(text).cast("binary").alias("t"), F.col(label).cast("int").alias("y"))
@@ -170,7 +170,7 @@ def _constant(n: dict[int, int]):
 
 
 def _below(rows: DataFrame, n: dict[int, int], per_class: int) -> DataFrame:
-    """About 1.2 * per_class rows of each class by key (48 bits): the driver never sees more."""
+    """About 1.2 * per_class rows of each class by key (48 bits): the task that trains never sees more."""
     limit = F.lit(0).cast("long")
     for y, k in n.items():
         limit = F.when(F.col("y") == y, F.lit(int(2**48 * min(1.0, 1.2 * per_class / k)))).otherwise(limit)
@@ -186,13 +186,22 @@ def _fit_sample(near: DataFrame, n: dict[int, int], per_class: int):
                 c = b.slice(a, 64)
                 yield pa.RecordBatch.from_arrays([c.column("key"), c.column("y"), pa.array([pack_bag(t) for t in c.column("t").to_pylist()], pa.binary())], names=["key", "y", "body"])
 
-    got = near.select("key", "y", "t").mapInArrow(bags, "key long, y int, body binary").collect()
-    key, y = np.array([r.key for r in got], np.int64), np.array([r.y for r in got], np.int64)
-    order = np.argsort(key, kind="stable")
-    rows = order[np.sort(np.concatenate([np.flatnonzero(y[order] == c)[:per_class] for c in (0, 1)]))]
-    bodies = [bytes(got[i].body) for i in rows]
-    del got
-    return train(PackedBags(bodies), y[rows], prior=n.get(1, 0) / sum(n.values()))
+    def fitted(batches):
+        got = [x for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        got.sort(key=lambda r: r[:2])
+        left, rows = {0: per_class, 1: per_class}, []
+        for r in got:
+            if left[r[1]] > 0:
+                left[r[1]] -= 1
+                rows.append(r)
+        del got
+        weights, bias = train(PackedBags([r[2] for r in rows]), np.array([r[1] for r in rows], np.int64), prior=prior)
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["weights", "bias"])
+
+    prior = n.get(1, 0) / sum(n.values())
+    packed = near.select("key", "y", "t").mapInArrow(bags, "key long, y int, body binary")
+    model = packed.repartition(1).mapInArrow(fitted, "weights binary, bias double").first()
+    return np.frombuffer(bytes(model.weights), np.float32), model.bias
 
 
 def score(df: DataFrame, model, *, text: str = "text", out: str = "score") -> DataFrame:
