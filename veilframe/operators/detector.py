@@ -108,8 +108,7 @@ def fitted(v: np.ndarray, label: np.ndarray, spec: Spec, penalty: float = 1e-3,
 
 
 def _with_boxes(frames: DataFrame, truths: DataFrame) -> DataFrame:
-    """Frames with their true boxes, sorted. The number of parts is given, else adaptive execution would put all of a few hundred MB of pixels,
-    which take Python long, into a few tasks."""
+    """Frames with their true boxes, sorted. The number of parts is given, so that it does not depend on the pixels' size, as Python takes long for each."""
     keys, parts = ["movie_url", "frameset"], int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = truths.where("x is not null and y is not null and w > 0 and h > 0").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", "y", "w", "h"))).alias("boxes"))
     return frames.where("grey is not null").select(*keys, "grey", "width", "height").repartition(parts, *keys).join(own, keys, "left")
