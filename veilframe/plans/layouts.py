@@ -463,13 +463,14 @@ def red4_oval(spark, d):
 
 def _desktops(spark, d):
     """Frames of 480 x 240 pixels, one a supplier: a line across, and one or two upright ones."""
-    base = lambda k: f"transform(sequence(0, 479), x -> 40 + (x + {k}) % 3)"
-    line = lambda k, at, grey: f"concat(slice({base(k)}, 1, {at}), array({grey}, {grey}, {grey}), slice({base(k)}, {at} + 4, 480))"
+    grey_bytes = lambda greys: f"X'{bytes(greys).hex()}'"
+    base = lambda k: grey_bytes(40 + (x + k) % 3 for x in range(480))
+    line = lambda k, at, grey: f"concat(substring({base(k)}, 1, {at}), {grey_bytes([grey] * 3)}, substring({base(k)}, {at} + 4, 480))"
     three = lambda at, grey: "array(" + ", ".join(line(k, at, grey) for k in range(3)) + ")"
     above, below = three("150 + cast(s_suppkey % 90 as int)", 250), three("280 + cast(s_suppkey % 70 as int)", 245)
-    # the few kinds of rows are made once and put together: a whole row at a time, not pixel by pixel
-    rows = "flatten(transform(sequence(0, 239), y -> case when y between 118 and 120 then k.line when y < 118 then k.above[2 * y % 3] else k.below[2 * y % 3] end))"
-    p = f"transform(array(struct({above} above, {below} below, array_repeat(255, 480) line)), k -> {rows})[0]"
+    # the few kinds of rows are made once and put together: a whole row at a time, a byte a pixel
+    rows = "concat(" + ", ".join("k.line" if 118 <= y <= 120 else f"k.above[{2 * y % 3}]" if y < 118 else f"k.below[{2 * y % 3}]" for y in range(240)) + ")"
+    p = f"transform(array(struct({above} above, {below} below, {grey_bytes([255] * 480)} line)), k -> {rows})[0]"
     return _spread(S.table(spark, d, "supplier")).selectExpr("concat('m', s_suppkey % 10) movie_url", "s_suppkey frameset", f"{p} grey", "480 width", "240 height")
 
 
