@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,19 +95,92 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(v @ self.weights + self.bias, -50, 50)))
 
 
+def _sums(v: np.ndarray, label: np.ndarray, at: np.ndarray, weights: tuple[float, float], spec: Spec) -> np.ndarray:
+    """Added up over vectors, one after the other: loss, its slope and its curvature at the weights and bias `at`. weights: of a true
+    and of a false vector. A band of vectors is in memory at once besides what is given."""
+    n = len(at)
+    out = np.zeros(1 + n + n * n)
+    for k in range(0, len(v), BAND):
+        x, yes = np.column_stack([v[k : k + BAND] * np.sqrt(spec.size), np.ones(len(v[k : k + BAND]))]), label[k : k + BAND]
+        z, weight = x @ at, np.where(yes, *weights)
+        p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+        out[0] += weight @ (np.logaddexp(0, z) - yes * z)
+        out[1 : n + 1] += x.T @ (weight * (p - yes))
+        out[n + 1 :] += ((x * (weight * p * (1 - p))[:, None]).T @ x).reshape(-1)
+    return out
+
+
+def _minimum(sums: Callable[[np.ndarray], np.ndarray], at: np.ndarray, penalty: float, steps: int) -> np.ndarray:
+    """Where the loss with its penalty is least, by Newton's steps from `at`, each halved until the loss falls; sums: see _sums()."""
+    n, ridge = len(at), np.append(np.full(len(at) - 1, penalty), 0.0)
+
+    def seen(at):
+        s = sums(at)
+        return s[0] + ridge @ (at * at) / 2, s[1 : n + 1] + ridge * at, s[n + 1 :].reshape(n, n) + np.diag(np.maximum(ridge, 1e-12))
+
+    loss, slope, curve = seen(at)
+    for _ in range(steps):
+        step = np.linalg.solve(curve, slope)
+        gain = slope @ step
+        if gain < 1e-12:  # so near that the next step can't be told from none
+            return at - step
+        new = seen(at - step)
+        while new[0] > loss - 1e-4 * gain:
+            step, gain = step / 2, gain / 2
+            if gain < 1e-15:
+                return at
+            new = seen(at - step)
+        at, (loss, slope, curve) = at - step, new
+    return at
+
+
+def _model(at: np.ndarray, spec: Spec) -> Model:
+    return Model(spec, at[:-1] * np.sqrt(spec.size), float(at[-1]))
+
+
 def fitted(v: np.ndarray, label: np.ndarray, spec: Spec, penalty: float = 1e-3, steps: int = 400) -> Model:
-    """Logistic regression by accelerated descent; both labels weigh the same."""
-    w, at, last = np.zeros(v.shape[1] + 1), np.zeros(v.shape[1] + 1), 0.0
-    x = np.column_stack([v * np.sqrt(spec.size), np.ones(len(v))])
-    weight = np.where(label, 0.5 / max(1, label.sum()), 0.5 / max(1, (~label).sum()))
-    rate = 1 / (0.25 * (weight[:, None] * x * x).sum() + penalty)
-    for k in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ at, -50, 50)))
-        new = at - rate * 4 * (x.T @ (weight * (p - label)) + penalty * np.append(at[:-1], 0))
-        now = (1 + np.sqrt(1 + 4 * last * last)) / 2
-        at = new + (last - 1) / now * (new - w) if k else new
-        w, last = new, now
-    return Model(spec, w[:-1] * np.sqrt(spec.size), float(w[-1]))
+    """Logistic regression by Newton's method; both labels weigh the same."""
+    weights = 0.5 / max(1, label.sum()), 0.5 / max(1, (~label).sum())
+    return _model(_minimum(lambda at: _sums(v, label, at, weights, spec), np.zeros(v.shape[1] + 1), penalty, steps), spec)
+
+
+def learnt(rows: DataFrame, spec: Spec, penalty: float = 1e-3, steps: int = 400, last: Model | None = None) -> Model | None:
+    """fitted() to all rows (label, v) of a table, from `last` on if given; None if a label has none.
+
+    Each step reads the table once. A task adds up its rows, one task adds up the tasks, and the driver gets the sums: their size
+    is that of (spec.size + 1) squared numbers, whatever the number of rows.
+    """
+    n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if not n.get(True) or not n.get(False):
+        return None
+    weights = 0.5 / n[True], 0.5 / n[False]
+
+    def sums(at):
+        def of_rows(batches):
+            total, part = None, TaskContext.get().partitionId()
+            for b in batches:
+                if b.num_rows:
+                    v, label = b.column("v").flatten().to_numpy().reshape(b.num_rows, spec.size), b.column("label").to_numpy(zero_copy_only=False)
+                    own = _sums(v, label, at, weights, spec)
+                    total = own if total is None else np.add(total, own, out=total)
+            if total is not None:
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+        def of_parts(batches):
+            total = None
+            for b in batches:
+                for own in b.column("sums"):
+                    own = np.frombuffer(own.as_py())
+                    total = own.copy() if total is None else np.add(total, own, out=total)
+            if total is not None:
+                yield pa.RecordBatch.from_pydict({"sums": pa.array([total.tobytes()], pa.binary())})
+
+        parts = rows.select("label", "v").mapInArrow(of_rows, "part int, sums binary")
+        # in order of parts, so that sums are rounded alike each time
+        return np.frombuffer(parts.repartition(1).sortWithinPartitions("part").mapInArrow(of_parts, "sums binary").first()["sums"])
+
+    start = np.zeros(spec.size + 1) if last is None else np.append(last.weights / np.sqrt(spec.size), last.bias)
+    return _model(_minimum(sums, start, penalty, steps), spec)
 
 
 def _with_boxes(frames: DataFrame, truths: DataFrame) -> DataFrame:
@@ -181,23 +257,22 @@ def false_alarms(frames: DataFrame, truths: DataFrame, model: Model, scales: tup
     return each_image(rows, ["movie_url", "frameset"], describe, "label boolean, v array<double>")
 
 
-def train(frames: DataFrame, truths: DataFrame, spec: Spec, *, scales: tuple[float, ...] = (1.0,), least: float = 0.9, rounds: int = 1, distractions: int = 20, sample: int = 4000) -> Model:
+def train(frames: DataFrame, truths: DataFrame, spec: Spec, *, scales: tuple[float, ...] = (1.0,), least: float = 0.9, rounds: int = 1, distractions: int = 20) -> Model:
     """A model learnt from labelled frames; after each of `rounds` rounds what it took for a box by mistake is added as negative.
 
-    Vectors are made on the cluster; the driver fits on at most `sample` of each label, chosen by digest (bounded whatever the
-    number of frames). Without a true box, or without frames, nothing is ever detected.
+    It is fitted to all vectors of all frames, which are made, stored and added up on the cluster (see learnt()). Without a true box,
+    or without frames, nothing is ever detected.
     """
-    # by digest, so that a larger table gives a sample of all of it
-    some = lambda df, label: [r.v for r in df.where(F.col("label") == label).orderBy(F.xxhash64("movie_url", "frameset", "v")).limit(sample).select("v").collect()]
-    first = stored(examples(frames, truths, spec, distractions))
-    good, bad = some(first, True), some(first, False)
-    model = Model(spec, np.zeros(spec.size), -50.0)
-    for k in range(rounds + 1):
-        if not good or not bad:
-            return model
-        model = fitted(np.array(good + bad), np.array([True] * len(good) + [False] * len(bad)), spec)
-        more = some(false_alarms(frames, truths, model, scales, least), False) if k < rounds else []
-        if not more:
-            return model
-        bad += more
+    # sorted, so that the sums over a part are rounded alike each time
+    kept = lambda df: stored(df.sortWithinPartitions("movie_url", "frameset", "label", F.xxhash64("v")).select("label", "v"))
+    rows = kept(examples(frames, truths, spec, distractions))
+    model = learnt(rows, spec)
+    if model is None:
+        return Model(spec, np.zeros(spec.size), -50.0)
+    for _ in range(rounds):
+        more = kept(false_alarms(frames, truths, model, scales, least))
+        if more.isEmpty():
+            break
+        rows = rows.unionByName(more)
+        model = learnt(rows, spec, last=model)
     return model
