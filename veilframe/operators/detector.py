@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,13 +12,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.operators.grouped import each_image
+from veilframe.operators.grouped import each_image, in_groups
 from veilframe.operators.templates import resized
 from veilframe.sources.shared import stored
 
 
 #: Windows whose vectors are in memory at once, in whole rows of windows.
 BAND = 1024
+#: Pieces that the sums of a fit are dealt out in.
+PIECES = 64
 
 
 @dataclass(frozen=True)
@@ -147,8 +150,8 @@ def fitted(v: np.ndarray, label: np.ndarray, spec: Spec, penalty: float = 1e-3,
 def learnt(rows: DataFrame, spec: Spec, penalty: float = 1e-3, steps: int = 400, last: Model | None = None) -> Model | None:
     """fitted() to all rows (label, v) of a table, from `last` on if given; None if a label has none.
 
-    Each step reads the table once. A task adds up its rows, one task adds up the tasks, and the driver gets the sums: their size
-    is that of (spec.size + 1) squared numbers, whatever the number of rows.
+    Each step reads the table once. A task adds up its rows, the tasks' sums are added up in pieces, and the driver gets the sums: their
+    size is that of (spec.size + 1) squared numbers, whatever the number of rows.
     """
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if not n.get(True) or not n.get(False):
@@ -164,20 +167,16 @@ def learnt(rows: DataFrame, spec: Spec, penalty: float = 1e-3, steps: int = 400,
                     own = _sums(v, label, at, weights, spec)
                     total = own if total is None else np.add(total, own, out=total)
             if total is not None:
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+                pieces = [x.tobytes() for x in np.array_split(total, PIECES)]
+                yield pa.RecordBatch.from_pydict({"piece": pa.array(range(PIECES), pa.int32()), "part": pa.array([part] * PIECES, pa.int32()), "sums": pa.array(pieces, pa.binary())})
 
-        def of_parts(batches):
-            total = None
-            for b in batches:
-                for own in b.column("sums"):
-                    own = np.frombuffer(own.as_py())
-                    total = own.copy() if total is None else np.add(total, own, out=total)
-            if total is not None:
-                yield pa.RecordBatch.from_pydict({"sums": pa.array([total.tobytes()], pa.binary())})
+        def of_parts(parts):
+            yield (reduce(np.add, (np.frombuffer(r["sums"]) for r in parts)).tobytes(),)
 
-        parts = rows.select("label", "v").mapInArrow(of_rows, "part int, sums binary")
+        parts = rows.select("label", "v").mapInArrow(of_rows, "piece int, part int, sums binary")
         # in order of parts, so that sums are rounded alike each time
-        return np.frombuffer(parts.repartition(1).sortWithinPartitions("part").mapInArrow(of_parts, "sums binary").first()["sums"])
+        total = in_groups(parts, ["piece"], ["part"], of_parts, "sums binary").collect()
+        return np.concatenate([np.frombuffer(r["sums"]) for r in sorted(total, key=lambda r: r["piece"])])
 
     start = np.zeros(spec.size + 1) if last is None else np.append(last.weights / np.sqrt(spec.size), last.bias)
     return _model(_minimum(sums, start, penalty, steps), spec)
